@@ -77,14 +77,19 @@ def v_object(v: Column, path: str) -> Column:
     return _get(v, path, "map<string,variant>")
 
 
+def _id_text(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    text = v.cast("string")
+    return F.when(kind == "STRING", F.nullif(text, F.lit(""))).when(
+        kind.rlike(_NUMERIC), F.regexp_replace(text, r"\.0+$", "")
+    )
+
+
 def v_id(v: Column, *paths: str) -> Column:
     """Identifier at the first path holding any non-null value: text or number."""
-    present = [json_type_at(v, p) for p in paths]
-    value = [F.coalesce(v_text(v, p), v_num_text(v, p)) for p in paths]
-    chosen = F.when((present[0].isNotNull()) & (present[0] != "VOID"), value[0])
-    for kind, candidate in zip(present[1:], value[1:], strict=True):
-        chosen = chosen.when(kind.isNotNull() & (kind != "VOID"), candidate)
-    return chosen
+    values = [_get(v, p, "variant") for p in paths]
+    present = [F.when(~F.is_variant_null(x), x) for x in values]
+    return _id_text(F.coalesce(*present) if len(present) > 1 else values[0])
 
 
 def first_text(v: Column, *paths: str) -> Column:

@@ -35,7 +35,7 @@ def event_id(index: Column | None = None) -> Column:
 
 
 def split_categories(cat: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(cat, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(cat, F.lit("")), ","), lambda part: F.trim(part))
     return F.filter(parts, lambda part: part != "")
 
 
