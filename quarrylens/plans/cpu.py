@@ -92,8 +92,11 @@ def node_versions(declared: DataFrame) -> DataFrame:
     return stable.unionByName(changing).select(*node, "since", "until", "frame.*")
 
 
-def node_paths(declared: DataFrame) -> DataFrame:
-    """Root paths per node and period, including ids used before any declaration."""
+def node_states(declared: DataFrame) -> DataFrame:
+    """Definition and root path of each node per period in which both stay the same.
+
+    Ids used before or without a declaration have a path but no definition.
+    """
     versions = cut(node_versions(declared))
     node = ["trace_id", "nodeId"]
     first = versions.groupBy(*node).agg(F.min("since").alias("until"))
@@ -113,7 +116,26 @@ def node_paths(declared: DataFrame) -> DataFrame:
         )
     )
     every = versions.select(*undeclared.columns).unionByName(undeclared)
-    return root_paths(every, ["trace_id"], "nodeId", "parentNodeId", "functionName", "since", "until")
+    paths = root_paths(
+        every, ["trace_id"], "nodeId", "parentNodeId", "functionName", "since", "until"
+    )
+    definition = versions.withColumnsRenamed({"since": "v_since", "until": "v_until"})
+    during = (F.col("since") >= F.col("v_since")) & (F.col("since") < F.col("v_until"))
+    same = (F.col("trace_id") == F.col("s_trace")) & (F.col("nodeId") == F.col("s_node"))
+    return (
+        paths.select(
+            F.col("trace_id").alias("s_trace"),
+            F.col("node").alias("s_node"),
+            "since",
+            "until",
+            F.col("ids").alias("stackNodeIds"),
+            F.array_join("labels", " > ").alias("stackLabel"),
+        )
+        .join(definition, same & during, "left")
+        .select(
+            "s_trace", "s_node", "since", "until", "stackNodeIds", "stackLabel", *FRAME_FIELDS
+        )
+    )
 
 
 def sample_points(chunks: DataFrame) -> DataFrame:
@@ -145,39 +167,22 @@ def sample_points(chunks: DataFrame) -> DataFrame:
 def cpu_samples(events: DataFrame, scripts: DataFrame) -> DataFrame:
     """``devtools.facts.cpuSamples`` with node definitions as of each chunk."""
     chunks = profile_chunks(events)
-    declared = cut(node_declarations(chunks))
-    versions = node_versions(declared)
-    paths = node_paths(declared)
+    states = node_states(cut(node_declarations(chunks)))
     points = sample_points(chunks)
-    node = ["trace_id", "nodeId"]
-    in_force = (F.col("chunk") >= F.col("since")) & (F.col("chunk") < F.col("until"))
-    frames = (
-        points.select(*node, "chunk")
-        .distinct()
-        .join(versions, node)
-        .filter(in_force)
-        .drop("since", "until")
-    )
-    stacks = (
-        points.select(*node, "chunk")
-        .distinct()
-        .join(paths.withColumnRenamed("node", "nodeId"), node)
-        .filter(in_force)
-        .select(
-            *node,
-            "chunk",
-            F.col("ids").alias("stackNodeIds"),
-            F.array_join("labels", " > ").alias("stackLabel"),
-        )
+    # At most one state of a node is in force at a chunk.
+    stated = points.join(
+        states,
+        (points.trace_id == states.s_trace)
+        & (points.nodeId == states.s_node)
+        & (points.chunk >= states.since)
+        & (points.chunk < states.until),
+        "left",
     )
     script_map = scripts.filter(F.col("sourceMapId").isNotNull()).select(
         "trace_id", "scriptId", "sourceMapId"
     )
-    # A sample is identified by its chunk and position; this packs both in order.
     return (
-        points.join(frames, [*node, "chunk"], "left")
-        .join(stacks, [*node, "chunk"], "left")
-        .join(script_map, ["trace_id", "scriptId"], "left")
+        stated.join(script_map, ["trace_id", "scriptId"], "left")
         .select(
             "trace_id",
             F.concat_ws(":", F.lit("evt"), "chunk").alias("eventId"),
@@ -306,9 +311,9 @@ def cpu_call_trees(samples: DataFrame) -> DataFrame:
     )
 
 
-def cpu_timeline(samples: DataFrame) -> DataFrame:
+def cpu_timeline(samples: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """``devtools.views.cpuTimeline``: 5 ms buckets with their five busiest functions."""
-    bucket = F.floor(F.col("tsUs") / BUCKET_US)
+    bucket = F.floor(F.col("tsUs") / bucket_us)
     per_function = samples.groupBy("trace_id", bucket.alias("bucket"), "functionName").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum("timeDeltaUs").alias("us"),
@@ -325,12 +330,12 @@ def cpu_timeline(samples: DataFrame) -> DataFrame:
             lambda t: F.struct(t["functionName"].alias("functionName"), t["count"].alias("count")),
         ).alias("topFunctions")
     )
-    start = F.col("bucket") * BUCKET_US
+    start = F.col("bucket") * bucket_us
     return totals.join(tops, key).select(
         "trace_id",
         F.concat(F.lit("cpu-bucket:"), F.col("bucket").cast("string")).alias("bucketId"),
         start.alias("startTsUs"),
-        (start + BUCKET_US).alias("endTsUs"),
+        (start + bucket_us).alias("endTsUs"),
         "sampleCount",
         "totalTimeMs",
         "topFunctions",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fact_queries", "dim_queries")
+MODULES = ("fact_queries", "dim_queries", "view_queries", "cpu_queries")
 
 
 def load_all() -> None:
