@@ -19,13 +19,22 @@ MAGIC_BYTES = (
     ("1F8B", 2, "application/gzip"),
 )
 
-DATA_URL = r"^data:([^;,]+);base64,(.+)$"
+DATA_URL = r"^data:([^;,]++);base64,[^\n\r]++$"
 
 
 def is_base64(text: Column) -> Column:
     """At least 16 characters, length a multiple of 4, base64 alphabet."""
     size = F.length(text)
-    return (size >= 16) & (size % 4 == 0) & text.rlike(r"\A[A-Za-z0-9+/]+={0,2}\z")
+    return (size >= 16) & (size % 4 == 0) & text.rlike(r"\A[A-Za-z0-9+/]++={0,2}\z")
+
+
+def data_url_media(text: Column) -> Column:
+    return F.regexp_extract(text, DATA_URL, 1)
+
+
+def data_url_payload(text: Column) -> Column:
+    """Text after the first comma."""
+    return F.substr(text, F.instr(text, ",") + 1)
 
 
 def is_byte_array(numbers: Column) -> Column:
@@ -46,11 +55,9 @@ def bytes_of(numbers: Column) -> Column:
 def from_base64(text: Column) -> Column:
     """Lenient base64: characters outside the alphabet are skipped."""
     clean = F.regexp_replace(F.translate(text, "-_", "+/"), r"[^A-Za-z0-9+/]", "")
-    whole = F.when(
-        F.length(clean) % 4 == 1, F.left(clean, F.length(clean) - 1)
-    ).otherwise(clean)
+    whole = F.when(F.length(clean) % 4 == 1, F.left(clean, F.length(clean) - 1)).otherwise(clean)
     padded = F.rpad(whole, F.ceil(F.length(whole) / 4).cast("int") * 4, F.lit("="))
-    return F.unbase64(padded)
+    return F.unbase64(F.when(is_base64(text), text).otherwise(padded))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -70,31 +77,39 @@ def gunzip(data: Column) -> Column:
     return F.when(looks_gzip, _inflate(F.when(looks_gzip, data)))
 
 
-def looks_textual(data: Column) -> Column:
+def as_text(data: Column) -> Column:
+    """Bytes read as UTF-8, invalid sequences replaced."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def looks_textual(text: Column) -> Column:
     """Few control characters: at most one, or two percent of the text."""
-    text = F.decode(data, "UTF-8")
-    controls = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    controls = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]+", ""))
     allowed = F.greatest(F.lit(1), F.floor(F.length(text) * 0.02))
-    return (F.octet_length(data) > 0) & (controls <= allowed)
+    return (F.length(text) > 0) & (controls <= allowed)
 
 
-def sniff_media_type(data: Column) -> Column:
+def magic_media_type(data: Column) -> Column:
+    """Media type told by the first bytes, NULL when none matches."""
     head = F.hex(F.substring(data, 1, 4))
     out = None
     for magic, least, media in MAGIC_BYTES:
         test = head.startswith(magic) & (F.octet_length(data) >= least)
         out = F.when(test, media) if out is None else out.when(test, media)
-    text = F.trim(F.decode(data, "UTF-8"))
-    bracketed = (text.startswith("{") & text.endswith("}")) | (
-        text.startswith("[") & text.endswith("]")
-    )
-    return (
-        out.when(
-            looks_textual(data) & bracketed & F.try_parse_json(text).isNotNull(), "application/json"
-        )
-        .when(looks_textual(data), "text/plain")
-        .otherwise("application/octet-stream")
-    )
+    return out
+
+
+def _text_media_type(text: Column) -> Column:
+    edges = F.concat(F.left(F.trim(text), F.lit(1)), F.right(F.trim(text), F.lit(1)))
+    is_json = F.when(edges.isin("{}", "[]"), F.try_parse_json(F.trim(text)).isNotNull())
+    return F.when(
+        looks_textual(text),
+        F.when(F.coalesce(is_json, F.lit(False)), "application/json").otherwise("text/plain"),
+    ).otherwise("application/octet-stream")
+
+
+def sniff_media_type(data: Column) -> Column:
+    return F.coalesce(magic_media_type(data), _text_media_type(as_text(data)))
 
 
 def decoded_kind(media_type: Column) -> Column:

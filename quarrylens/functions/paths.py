@@ -99,14 +99,21 @@ def collapse_roots(path: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """``0 B``, ``512 B``, ``1.50 KB`` up to TB."""
-    value = size.cast("double")
-    out = F.when(value.isNull() | F.isnan(value) | (value <= 0), F.lit("0 B"))
-    out = out.when(value < 1024, F.format_string("%.0f B", value))
+    """``0 B``, ``512 B``, ``1.50 KB`` up to TB; exact ties round up."""
+    whole = size.cast("bigint")
+    out = F.when(whole.isNull() | (whole <= 0), F.lit("0 B")).when(
+        whole < 1024, F.concat(whole.cast("string"), F.lit(" B"))
+    )
     for power, unit in enumerate(BYTE_UNITS[1:], start=1):
-        scaled = value / float(1024**power)
-        text = F.format_string(f"%.2f {unit}", scaled)
-        out = out.otherwise(text) if unit == "TB" else out.when(value < 1024 ** (power + 1), text)
+        scale = 1024**power
+        cents = F.floor((whole.cast("decimal(38,0)") * 100 + scale // 2) / F.lit(scale).cast("decimal(20,0)"))
+        text = F.concat(
+            F.floor(cents / 100).cast("string"),
+            F.lit("."),
+            F.lpad((cents % 100).cast("string"), 2, "0"),
+            F.lit(f" {unit}"),
+        )
+        out = out.otherwise(text) if unit == "TB" else out.when(whole < 1024 ** (power + 1), text)
     return out
 
 

@@ -141,71 +141,101 @@ def inferred_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def _numbers(v: Column, path: str) -> Column:
-    return F.transform(p.v_array(v, path), lambda x: p.v_num(x, "$"))
+def _numbers(v: Column) -> Column:
+    return F.transform(p.v_array(v, "$"), lambda x: p.v_num(x, "$"))
 
 
-def _found(data: Column, media: Column, confidence, encoding: str, container: str, loc: Column) -> Column:
+def _found(loc, mode, text, numbers, hint, confidence, encoding, container) -> Column:
+    """A payload still encoded: how to decode it, and what is known about it."""
     confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
     return F.struct(
         loc.alias("loc"),
-        data.alias("raw"),
-        media.alias("hint"),
+        F.lit(mode).alias("mode"),
+        text.alias("text"),
+        numbers.alias("numbers"),
+        hint.alias("hint"),
         confidence.alias("confidence"),
         F.lit(encoding).alias("encoding"),
         F.lit(container).alias("containerKind"),
     )
 
 
+def _no_numbers() -> Column:
+    return F.lit(None).cast("array<double>")
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
 def _wrapper(v: Column, loc: Column) -> Column:
     """Payload of an object by its first member that qualifies."""
-    media = F.coalesce(p.v_str(v, "$.mimeType"), p.v_str(v, "$.contentType"), p.v_str(v, "$.mediaType"))
-    declared = F.lower(p.v_str(v, "$.encoding")) == "base64"
-    declared = F.coalesce(declared, F.lit(False))
+    members = p.v_object(v, "$")
+
+    def text_at(key: str) -> Column:
+        return p.v_str(F.try_element_at(members, F.lit(key)), "$")
+
+    media = F.coalesce(text_at("mimeType"), text_at("contentType"), text_at("mediaType"))
+    declared = F.coalesce(F.lower(text_at("encoding")) == "base64", F.lit(False))
     texty = F.coalesce(media.startswith("text/") | (media == "application/json"), F.lit(False))
-    out = None
-    for key in WRAPPER_KEYS:
-        at = F.concat(loc, F.lit("." + key))
-        text = p.v_str(v, f"$.{key}")
-        numbers = _numbers(v, f"$.{key}")
-        url = text.rlike(blobs.DATA_URL)
-        named = F.lit("base64" in key.lower())
-        coded = text.isNotNull() & (declared | named | blobs.is_base64(text))
-        cases = (
-            (
-                url,
-                _found(
-                    blobs.from_base64(F.regexp_extract(text, blobs.DATA_URL, 2)),
-                    F.regexp_extract(text, blobs.DATA_URL, 1),
-                    "high",
-                    "data-url+base64",
-                    "wrapper-object",
-                    at,
-                ),
-            ),
-            (
+
+    def candidate(key: Column) -> Column:
+        at = F.concat(loc, F.lit("."), key)
+        value = F.try_element_at(members, key)
+        text, numbers = p.v_str(value, "$"), _numbers(value)
+        coded = declared | F.contains(F.lower(key), F.lit("base64")) | blobs.is_base64(text)
+        kind = "wrapper-object"
+        of_text = (
+            F.when(
+                text.rlike(blobs.DATA_URL),
+                _found(at, "url", text, _no_numbers(), blobs.data_url_media(text), "high", "data-url+base64", kind),
+            )
+            .when(
                 coded,
                 _found(
-                    blobs.from_base64(text),
+                    at,
+                    "base64",
+                    text,
+                    _no_numbers(),
                     media,
                     F.when(declared, "high").otherwise("medium"),
                     "base64",
-                    "wrapper-object",
-                    at,
+                    kind,
                 ),
-            ),
-            (
+            )
+            .when(
                 texty & (text != ""),
-                _found(F.encode(text, "UTF-8"), media, "medium", "utf8", "wrapper-object", at),
-            ),
-            (
-                blobs.is_byte_array(numbers),
-                _found(blobs.bytes_of(numbers), media, "high", "bytes", "wrapper-object", at),
-            ),
+                _found(at, "utf8", text, _no_numbers(), media, "medium", "utf8", kind),
+            )
+        )
+        return F.when(text.isNotNull(), of_text).when(
+            blobs.is_byte_array(numbers),
+            _found(at, "bytes", _no_text(), numbers, media, "high", "bytes", kind),
         )
-        for test, value in cases:
-            out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+
+    present = F.filter(
+        F.array(*[F.lit(k) for k in WRAPPER_KEYS]), lambda k: F.map_contains_key(members, k)
+    )
+    fitting = F.filter(F.transform(present, candidate), lambda c: c.isNotNull())
+    return F.get(fitting, F.lit(0))
+
+
+def _leaf(v: Column, loc: Column) -> Column:
+    """Payload of a string or an array standing on its own."""
+    text, numbers = p.v_str(v, "$"), _numbers(v)
+    return F.when(
+        text.isNotNull(),
+        F.when(
+            text.rlike(blobs.DATA_URL),
+            _found(loc, "url", text, _no_numbers(), blobs.data_url_media(text), "high", "data-url+base64", "data-url"),
+        ).when(
+            loc.rlike(BLOB_PATH) & blobs.is_base64(text),
+            _found(loc, "base64", text, _no_numbers(), _no_text(), "medium", "base64", "base64-string"),
+        ),
+    ).when(
+        blobs.is_byte_array(numbers),
+        _found(loc, "bytes", _no_text(), numbers, _no_text(), "medium", "bytes", "byte-array"),
+    )
 
 
 def _filename_hint(v: Column) -> Column:
@@ -217,61 +247,50 @@ def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Payloads found in walked JSON, first candidate per location, with ``blobIndex``.
 
     ``nodes`` must be walked in written order.  An object is met before its members,
-    so a payload named by its wrapper wins over the bare member.
+    so a payload named by its wrapper wins over the bare member.  Payloads are passed
+    on as found; :func:`decode_blobs` decodes each once.
     """
     keys = list(keys)
     v, loc = F.col("v"), F.col("loc")
-    text = p.v_str(v, "$")
-    numbers = _numbers(v, "$")
-    no_hint = F.lit(None).cast("string")
-    leaf = (
-        F.when(
-            text.rlike(blobs.DATA_URL),
-            _found(
-                blobs.from_base64(F.regexp_extract(text, blobs.DATA_URL, 2)),
-                F.regexp_extract(text, blobs.DATA_URL, 1),
-                "high",
-                "data-url+base64",
-                "data-url",
-                loc,
-            ),
-        )
-        .when(
-            loc.rlike(BLOB_PATH) & blobs.is_base64(text),
-            _found(blobs.from_base64(text), no_hint, "medium", "base64", "base64-string", loc),
-        )
-        .when(
-            blobs.is_byte_array(numbers),
-            _found(blobs.bytes_of(numbers), no_hint, "medium", "bytes", "byte-array", loc),
+    is_object = p.v_object(v, "$").isNotNull()
+    # Exploding keeps the search from being repeated for every field read below.
+    search = F.array(F.when(is_object, _wrapper(v, loc)).otherwise(_leaf(v, loc)))
+    found = (
+        nodes.select(
+            *keys,
+            "pos",
+            F.when(is_object, _filename_hint(v)).alias("filenameHint"),
+            F.explode(search).alias("c"),
         )
+        .filter(F.col("c").isNotNull())
+        .select(*keys, "pos", "filenameHint", "c.*")
     )
-    is_object = p.v_object(v, "$").isNotNull()
-    found = nodes.select(
-        *keys,
-        "pos",
-        F.when(is_object, _wrapper(v, loc)).otherwise(leaf).alias("c"),
-        F.when(is_object, _filename_hint(v)).alias("filenameHint"),
-    ).filter(F.col("c").isNotNull())
     # pos of a wrapper is the object's, which sorts before its members.
-    per_loc = Window.partitionBy(*keys, "c.loc").orderBy("pos")
-    first = found.withColumn("_rn", F.row_number().over(per_loc)).filter("_rn = 1")
+    per_loc = Window.partitionBy(*keys, "loc").orderBy("pos")
     inside_document = Window.partitionBy(*keys).orderBy("pos")
-    return first.select(
-        *keys,
-        (F.row_number().over(inside_document) - 1).alias("blobIndex"),
-        F.col("c.loc").alias("path"),
-        "c.raw",
-        "c.hint",
-        "c.confidence",
-        "c.encoding",
-        "c.containerKind",
-        "filenameHint",
+    return (
+        found.withColumn("_rn", F.row_number().over(per_loc))
+        .filter("_rn = 1")
+        .withColumn("blobIndex", F.row_number().over(inside_document) - 1)
+        .withColumnRenamed("loc", "path")
+        .drop("_rn", "pos")
+    )
+
+
+def _raw_bytes() -> Column:
+    text, mode = F.col("text"), F.col("mode")
+    return (
+        F.when(mode == "url", blobs.from_base64(blobs.data_url_payload(text)))
+        .when(mode == "base64", blobs.from_base64(text))
+        .when(mode == "utf8", F.encode(text, "UTF-8"))
+        .otherwise(blobs.bytes_of(F.col("numbers")))
     )
 
 
 def decode_blobs(candidates: DataFrame) -> DataFrame:
     """Unpack gzip, find the media type and the kind of content."""
-    unpacked = candidates.withColumn("plain", blobs.gunzip(F.col("raw")))
+    raw = candidates.withColumn("raw", _raw_bytes()).drop("text", "numbers", "mode")
+    unpacked = raw.withColumn("plain", blobs.gunzip(F.col("raw")))
     data = unpacked.withColumn("bytes", F.coalesce("plain", "raw"))
     hint = F.col("hint")
     media = F.when(hint.isNotNull() & (hint != "") & (hint != "application/octet-stream"), hint)

@@ -2,7 +2,14 @@
 
 from importlib import import_module
 
-MODULES = ("fact_queries", "dim_queries", "view_queries", "cpu_queries")
+MODULES = (
+    "fact_queries",
+    "dim_queries",
+    "view_queries",
+    "cpu_queries",
+    "plan_queries",
+    "json_queries",
+)
 
 
 def load_all() -> None:
