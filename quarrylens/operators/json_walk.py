@@ -61,7 +61,12 @@ def walk_json(
         F.lit(0).alias("level"),
     )
     for level in range(depth):
-        root = root.select(*keys, F.inline(_expand(level, ordered)))
+        # Containers are opened once, as columns of their own.
+        here = F.col("level") == level
+        opened = root.withColumn("_members", F.when(here, p.v_object(F.col("v"), "$"))).withColumn(
+            "_items", F.when(here & F.col("_members").isNull(), p.v_array(F.col("v"), "$"))
+        )
+        root = opened.select(*keys, F.inline(_expand(level, ordered)))
     return root.drop("t", "level")
 
 
@@ -73,8 +78,7 @@ def _node(path, loc, pos, v, t, level) -> Column:
 def _expand(level: int, ordered: bool) -> Column:
     path, loc, pos, v, t = (F.col(c) for c in ("path", "loc", "pos", "v", "t"))
     own = F.array(_node(path, loc, pos, v, t, F.col("level")))
-    members = p.v_object(v, "$")
-    items = p.v_array(v, "$")
+    members, items = F.col("_members"), F.col("_items")
     below = F.lit(level + 1)
     if ordered:
         written = F.map_entries(F.from_json(t, "map<string,string>"))
@@ -107,8 +111,8 @@ def _expand(level: int, ordered: bool) -> Column:
             below,
         )
 
-    children = F.when(members.isNotNull(), F.transform(written, member)).when(
-        items.isNotNull(), F.transform(items, item)
+    return (
+        F.when(members.isNotNull(), F.concat(own, F.transform(written, member)))
+        .when(items.isNotNull(), F.concat(own, F.transform(items, item)))
+        .otherwise(own)
     )
-    fresh = (F.col("level") == level) & children.isNotNull()
-    return F.when(fresh, F.concat(own, children)).otherwise(own)

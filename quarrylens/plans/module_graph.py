@@ -26,12 +26,12 @@ def _part_sums() -> list:
 
 def source_paths(sources: DataFrame, children: DataFrame) -> DataFrame:
     """Sources with their full path, joined from the root's segment down."""
-    known = sources.select("trace_id", F.col("sourceIndex").alias("parent"))
-    linked = sources.join(
-        known,
-        (sources.trace_id == known.trace_id) & (sources.parentIndex == known.parent),
-        "left",
-    ).select(sources.trace_id, "sourceIndex", "segment", "parent", F.lit(0).alias("lo"), F.lit(1).alias("hi"))
+    known = sources.select("trace_id", F.col("sourceIndex").alias("parent")).withColumn(
+        "parentIndex", F.col("parent")
+    )
+    linked = sources.join(known, ["trace_id", "parentIndex"], "left").select(
+        "trace_id", "sourceIndex", "segment", "parent", F.lit(0).alias("lo"), F.lit(1).alias("hi")
+    )
     walked = root_paths(linked, ["trace_id"], "sourceIndex", "parent", "segment", "lo", "hi").select(
         "trace_id",
         F.col("node").alias("sourceIndex"),

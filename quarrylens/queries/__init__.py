@@ -9,6 +9,7 @@ MODULES = (
     "cpu_queries",
     "plan_queries",
     "json_queries",
+    "bundle_queries",
 )
 
 

@@ -95,8 +95,8 @@ def _turn_nodes(spark, sf_dir):
       ('$.items[].mix', 'array', 'x', 0), ('$.items[].mix[]', 'string', 'r', 0), ('$.items[].mix[]', 'string', 's', 1), ('$.items[].late', 'boolean', 't', 0)) AS q(p, k, s, i)
     WHERE p <> '$.items[].late' OR turn > 1), m AS (
   SELECT conv_id, turn, path, kind, CASE WHEN path = '$.items[].mix[]' AND v IS NULL THEN '"' || turn || '"' ELSE v END AS v, i FROM n), f AS (
-  SELECT path, v, min(struct_pack(a := conv_id, b := turn, c := i)) AS at FROM m WHERE v IS NOT NULL GROUP BY 1, 2), r AS (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY at) AS rn FROM f), s AS (
+  SELECT path, v, min(struct_pack(a := conv_id, b := turn, c := i)) AS first_at FROM m WHERE v IS NOT NULL GROUP BY 1, 2), r AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY first_at) AS rn FROM f), s AS (
   SELECT path, string_agg(v, ',' ORDER BY rn) AS samples FROM r WHERE rn <= 5 GROUP BY 1), c AS (
   SELECT path, count(*) AS count, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM m GROUP BY 1)
 SELECT path, count, types, coalesce(samples, '') AS samples FROM c LEFT JOIN s USING (path)""",
