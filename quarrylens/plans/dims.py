@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import blobs
 from quarrylens.functions import payload as p
+from quarrylens.functions.json_text import source_map_texts
 from quarrylens.operators.latest import first_where, last_where
 from quarrylens.operators.ordinal import ordinal_by_order
 from quarrylens.operators.range_join import overlap_join, range_join
@@ -566,8 +567,8 @@ def source_maps(metadata: DataFrame) -> DataFrame:
 
     ``content`` keeps the text of each map, for the artifact made from it.
     """
-    texts = F.from_json(F.get_json_object("metadata", "$.sourceMaps"), "array<string>")
-    entries = metadata.select("trace_id", F.posexplode(texts).alias("pos", "content")).select(
+    texts = metadata.select("trace_id", source_map_texts("metadata").alias("texts"))
+    entries = texts.select("trace_id", F.posexplode("texts").alias("pos", "content")).select(
         "trace_id",
         F.col("pos").cast("bigint").alias("mapIndex"),
         "content",
