@@ -25,7 +25,7 @@ from quarrylens.sources import module_graph as mg_files
 from quarrylens.sources.classify import classify
 from quarrylens.sources.documents import dataset_id, read_documents
 from quarrylens.sources.export import ExportResult, export_collection, materialize_artifact
-from quarrylens.sources.trace_events import events_from_json, trace_events, trace_metadata
+from quarrylens.sources.trace_events import trace_events, trace_metadata
 from quarrylens.sources.trace_stream import ingest_traces, split_metadata
 
 
@@ -41,8 +41,11 @@ class TableSpec:
 
 @dataclass
 class CollectionSpec:
+    """Items of a collection, and the artifacts they are taken from."""
+
     items: Callable[[], DataFrame]
     description: str = ""
+    artifacts: Callable[[], DataFrame] | None = None
 
 
 class Dataset:
@@ -167,7 +170,8 @@ class Dataset:
 
     def export_collection(self, collection_id: str, out: str, per_trace: bool = False) -> ExportResult:
         items = self.collection_items(collection_id)
-        return export_collection(collection_id, items, self.artifacts(), out, per_trace)
+        source = self.collection_specs[collection_id].artifacts or self.artifacts
+        return export_collection(collection_id, items, source(), out, per_trace)
 
 
 def _unit(column: str) -> str | None:
@@ -274,24 +278,25 @@ def trace_dataset(
         t("devtools.dims.screenshots"),
         t("devtools.dims.requestBodies"),
     )
-    ds.artifact_builder = lambda: art.trace_artifacts(
-        t("devtools.dims.screenshots"),
-        t("devtools.dims.scripts"),
-        dims.script_texts(events),
-        t("code.dims.sourceMaps"),
-        t("code.dims.sources"),
-        t("devtools.dims.requestBodies"),
+    shots, scripts, bodies = (
+        f"devtools.dims.{n}" for n in ("screenshots", "scripts", "requestBodies")
+    )
+    maps, sources = "code.dims.sourceMaps", "code.dims.sources"
+
+    def collection(name, items, table, build) -> None:
+        ds.collection_specs[name] = CollectionSpec(
+            lambda: items(t(table)), f"Files of {table}", build
+        )
+
+    collection("devtools.screenshots", art.screenshot_files, shots, lambda: art.screenshot_artifacts(t(shots)))
+    collection("devtools.scripts", art.script_files, scripts, lambda: art.script_artifacts(t(scripts), dims.script_texts(events)))
+    collection("devtools.network-bodies", art.body_files, bodies, lambda: art.body_artifacts(t(bodies)))
+    collection("code.source-maps", art.source_map_files, maps, lambda: art.source_map_artifacts(t(maps)))
+    collection("code.sources", art.source_files, sources, lambda: art.source_artifacts(t(sources)))
+    ds.artifact_builder = lambda: art.all_artifacts(
+        *[spec.artifacts() for spec in ds.collection_specs.values()]
     )
     ds.document_builder = lambda: documents
-    collections = {
-        "devtools.screenshots": (art.screenshot_files, "devtools.dims.screenshots"),
-        "devtools.scripts": (art.script_files, "devtools.dims.scripts"),
-        "devtools.network-bodies": (art.body_files, "devtools.dims.requestBodies"),
-        "code.source-maps": (art.source_map_files, "code.dims.sourceMaps"),
-        "code.sources": (art.source_files, "code.dims.sources"),
-    }
-    for name, (items, table) in collections.items():
-        ds.collection_specs[name] = CollectionSpec(lambda i=items, x=table: i(t(x)), f"Files of {table}")
     return ds
 
 
@@ -479,7 +484,7 @@ def open_dataset(
         return graph_dataset(spark, paths[0], collation)
     if kind == "devtools" and bronze is not None:
         events, metadata = split_metadata(ingest_traces(spark, paths, bronze))
-        return trace_dataset(spark, events_from_json(events), metadata, collation=collation)
+        return trace_dataset(spark, events, metadata, collation=collation)
     documents = read_documents(spark, paths)
     if kind == "devtools":
         events = trace_events(documents)

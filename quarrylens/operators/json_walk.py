@@ -19,7 +19,7 @@ NODE_FIELDS = ("path", "loc", "pos", "v", "t", "level")
 
 def bracket_depth(text: Column) -> Column:
     """Deepest nesting of brackets in JSON text, outside string literals."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     marks = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != "")
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
@@ -45,16 +45,17 @@ def walk_json(
 ) -> DataFrame:
     """(keys, path, loc, pos, v): one row per value of the JSON text.
 
-    ``path`` writes arrays as ``[]``, ``loc`` with the index.  ``pos`` lists the
-    positions from the root, so sorting by it gives visit order; with ``ordered``
-    object members count in the order they are written, which needs the text of
-    every container, otherwise in key order.
+    ``path`` writes arrays as ``[]``.  ``pos`` lists the positions from the root, so
+    sorting by it gives visit order.  With ``ordered`` object members count in the
+    order they are written, which needs the text of every container, and ``loc`` is
+    the path with array indexes; otherwise members count in key order and ``loc`` is
+    left empty.
     """
     depth = max_depth(documents, text) if depth is None else depth
     root = documents.select(
         *keys,
         F.lit("$").alias("path"),
-        F.lit("$").alias("loc"),
+        (F.lit("$") if ordered else F.lit(None).cast("string")).alias("loc"),
         F.array().cast("array<int>").alias("pos"),
         F.parse_json(F.col(text)).alias("v"),
         (F.col(text) if ordered else F.lit(None).cast("string")).alias("t"),
@@ -80,6 +81,7 @@ def _expand(level: int, ordered: bool) -> Column:
     own = F.array(_node(path, loc, pos, v, t, F.col("level")))
     members, items = F.col("_members"), F.col("_items")
     below = F.lit(level + 1)
+    nothing = F.lit(None).cast("string")
     if ordered:
         written = F.map_entries(F.from_json(t, "map<string,string>"))
         parts = F.from_json(t, "array<string>")
@@ -90,10 +92,10 @@ def _expand(level: int, ordered: bool) -> Column:
     def member(e: Column, i: Column) -> Column:
         key = e["key"]
         value = F.try_element_at(members, key) if ordered else e["value"]
-        text = e["value"] if ordered else F.lit(None).cast("string")
+        text = e["value"] if ordered else nothing
         return _node(
             F.concat(path, F.lit("."), key),
-            F.concat(loc, F.lit("."), key),
+            F.concat(loc, F.lit("."), key) if ordered else nothing,
             F.concat(pos, F.array(i)),
             value,
             text,
@@ -101,10 +103,10 @@ def _expand(level: int, ordered: bool) -> Column:
         )
 
     def item(x: Column, i: Column) -> Column:
-        text = F.get(parts, i) if ordered else F.lit(None).cast("string")
+        text = F.get(parts, i) if ordered else nothing
         return _node(
             F.concat(path, F.lit("[]")),
-            F.concat(loc, F.lit("["), i.cast("string"), F.lit("]")),
+            F.concat(loc, F.lit("["), i.cast("string"), F.lit("]")) if ordered else nothing,
             F.concat(pos, F.array(i)),
             x,
             text,

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.operators.lineage import cut
+
 FANOUT = 8
 BASE_WIDTH = 1024
 MAX_LEVEL = 16
@@ -58,6 +60,12 @@ def interval_stats(intervals: DataFrame, start: str, end: str) -> IntervalStats:
     return IntervalStats(sum(r["count"] for r in rows), tuple(sorted(r["level"] for r in rows)))
 
 
+def measure(intervals: DataFrame, start: str, end: str) -> tuple[DataFrame, IntervalStats]:
+    """The intervals written once, and their stats; what made them is not run again."""
+    written = cut(intervals)
+    return written, interval_stats(written, start, end)
+
+
 def range_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -74,7 +82,8 @@ def range_join(
     Column names other than ``keys`` must differ.  ``left_open`` tests start < ts.
     The interval side is broadcast only when its counted rows fit the bound.
     """
-    stats = stats or interval_stats(intervals, start, end)
+    if stats is None:
+        intervals, stats = measure(intervals, start, end)
     level = _level(F.col(end) - F.col(start))
     cells = F.sequence(_cell(F.col(start), F.col("_level")), _cell(F.col(end), F.col("_level")))
     spread = (
@@ -112,10 +121,23 @@ def overlap_join(
     """
     left_start, left_end = left_span
     right_start, right_end = right_span
-    left_ok = left.filter(F.col(left_end) >= F.col(left_start))
-    right_ok = right.filter(F.col(right_end) >= F.col(right_start))
-    starts_inside = range_join(left_ok, right_ok, keys, left_start, right_start, right_end)
+    left_ok, left_stats = measure(
+        left.filter(F.col(left_end) >= F.col(left_start)), left_start, left_end
+    )
+    right_ok, right_stats = measure(
+        right.filter(F.col(right_end) >= F.col(right_start)), right_start, right_end
+    )
+    starts_inside = range_join(
+        left_ok, right_ok, keys, left_start, right_start, right_end, stats=right_stats
+    )
     covers_start = range_join(
-        right_ok, left_ok, keys, right_start, left_start, left_end, left_open=True
+        right_ok,
+        left_ok,
+        keys,
+        right_start,
+        left_start,
+        left_end,
+        stats=left_stats,
+        left_open=True,
     )
     return starts_inside.unionByName(covers_start.select(*starts_inside.columns))

@@ -6,6 +6,8 @@ metadata, content).  Collections are (trace_id, relativePath, artifactId, metada
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,9 @@ def _kind_of(decoded: Column) -> Column:
     return F.when(decoded.isin("binary", "json"), decoded).otherwise("text")
 
 
-def trace_artifacts(
-    screenshots: DataFrame,
-    scripts: DataFrame,
-    texts: DataFrame,
-    source_maps: DataFrame,
-    sources: DataFrame,
-    bodies: DataFrame,
-) -> DataFrame:
-    """Screenshots, script texts, source maps, sources and request bodies as one list."""
+def screenshot_artifacts(screenshots: DataFrame) -> DataFrame:
     c = F.col
-    shots = screenshots.select(
+    return screenshots.select(
         *_artifact(
             "image",
             c("mediaType"),
@@ -60,11 +54,16 @@ def trace_artifacts(
             c("artifactId"),
         )
     )
+
+
+def script_artifacts(scripts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Source texts: the first one of each script."""
+    c = F.col
     with_text = scripts.filter(c("sourceTextArtifactId").isNotNull()).join(
         texts, ["trace_id", "scriptId"]
     )
     unnamed = F.concat(F.lit("script-"), c("scriptId"))
-    script_rows = with_text.select(
+    return with_text.select(
         *_artifact(
             "text",
             "text/javascript",
@@ -74,7 +73,11 @@ def trace_artifacts(
             c("sourceTextArtifactId"),
         )
     )
-    maps = source_maps.select(
+
+
+def source_map_artifacts(source_maps: DataFrame) -> DataFrame:
+    c = F.col
+    return source_maps.select(
         *_artifact(
             "json",
             "application/source-map+json",
@@ -84,7 +87,11 @@ def trace_artifacts(
             c("artifactId"),
         )
     )
-    files = sources.filter(c("artifactId").isNotNull()).select(
+
+
+def source_artifacts(sources: DataFrame) -> DataFrame:
+    c = F.col
+    return sources.filter(c("artifactId").isNotNull()).select(
         *_artifact(
             "text",
             "text/plain",
@@ -94,7 +101,11 @@ def trace_artifacts(
             c("artifactId"),
         )
     )
-    payloads = bodies.select(
+
+
+def body_artifacts(bodies: DataFrame) -> DataFrame:
+    c = F.col
+    return bodies.select(
         *_artifact(
             _kind_of(c("decodedKind")),
             c("mediaType"),
@@ -104,10 +115,11 @@ def trace_artifacts(
             c("artifactId"),
         )
     )
-    out = shots
-    for part in (script_rows, maps, files, payloads):
-        out = out.unionByName(part)
-    return out
+
+
+def all_artifacts(*parts: DataFrame) -> DataFrame:
+    """Artifacts of every kind as one list."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def raw_artifacts(documents: DataFrame, blob_rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
+from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_order, ordinal_by_unique
 from quarrylens.operators.range_join import interval_stats, overlap_join, range_join
 from quarrylens.operators.sessions import capped_sessions
@@ -194,6 +195,7 @@ def interaction_windows(
         .groupBy("trace_id", "tsUs", "kind")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    interactions = cut(interactions)
     windows = _windows(interactions)
     stats = interval_stats(windows, "winStart", "winEnd")
     hits = range_join(points, windows, ["trace_id"], "tsUs", "winStart", "winEnd", stats=stats)

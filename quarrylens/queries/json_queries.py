@@ -415,13 +415,12 @@ def trace_artifact_rows(spark, sf_dir):
     media = media_trace(spark, sf_dir)
     maps = dims.source_maps(_document_maps(spark, sf_dir))
     no_maps = _empty(spark, "trace_id string, url string, mapIndex bigint")
-    return art.trace_artifacts(
-        dims.screenshots(media),
-        dims.scripts(media, no_maps),
-        dims.script_texts(media),
-        maps,
-        dims.sources(maps),
-        _bodies(spark, sf_dir),
+    return art.all_artifacts(
+        art.screenshot_artifacts(dims.screenshots(media)),
+        art.script_artifacts(dims.scripts(media, no_maps), dims.script_texts(media)),
+        art.source_map_artifacts(maps),
+        art.source_artifacts(dims.sources(maps)),
+        art.body_artifacts(_bodies(spark, sf_dir)),
     )
 
 

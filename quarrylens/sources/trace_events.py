@@ -50,9 +50,3 @@ def trace_metadata(documents: DataFrame) -> DataFrame:
         .otherwise(rest)
         .alias("metadata"),
     )
-
-
-def events_from_json(rows: DataFrame) -> DataFrame:
-    """Events from (trace_id, rawIndex, event_json) rows, e.g. written by an ingest."""
-    parsed = rows.select("trace_id", "rawIndex", F.parse_json("event_json").alias("event"))
-    return parsed.select("trace_id", "rawIndex", *event_columns(F.col("event")))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.sources.documents import clean_path, dataset_id
+from quarrylens.sources.trace_events import event_columns
 
 EVENTS_KEY = "traceEvents"
 METADATA_INDEX = -1
@@ -186,16 +187,31 @@ def stream_trace_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     )
 
 
+def typed_rows(rows: DataFrame) -> DataFrame:
+    """Event columns of streamed rows; the metadata row keeps its text instead."""
+    is_event = F.col("rawIndex") != METADATA_INDEX
+    parsed = rows.select(
+        "trace_id",
+        "rawIndex",
+        F.when(is_event, F.parse_json("event_json")).alias("event"),
+        F.when(~is_event, F.col("event_json")).alias("metadata"),
+    )
+    return parsed.select("trace_id", "rawIndex", *event_columns(F.col("event")), "metadata")
+
+
 def ingest_traces(spark: SparkSession, paths: str | Sequence[str], out: str) -> DataFrame:
-    """Write the event rows of ``paths`` to Parquet at ``out`` and return them."""
-    stream_trace_rows(spark, paths).write.mode("append").parquet(out)
+    """Write the events of ``paths`` to Parquet at ``out`` and return them.
+
+    Rows are sorted by event name within each file, so a filter on the name, which
+    nearly every table starts with, skips row groups.
+    """
+    typed = typed_rows(stream_trace_rows(spark, paths))
+    typed.sortWithinPartitions("trace_id", "name", "rawIndex").write.mode("append").parquet(out)
     return spark.read.parquet(out)
 
 
 def split_metadata(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Event rows, and (trace_id, metadata) with the metadata as JSON text."""
-    events = rows.filter(F.col("rawIndex") >= 0)
-    metadata = rows.filter(F.col("rawIndex") == METADATA_INDEX).select(
-        "trace_id", F.col("event_json").alias("metadata")
-    )
+    """Events, and (trace_id, metadata) with the metadata as JSON text."""
+    events = rows.filter(F.col("rawIndex") >= 0).drop("metadata")
+    metadata = rows.filter(F.col("rawIndex") == METADATA_INDEX).select("trace_id", "metadata")
     return events, metadata
