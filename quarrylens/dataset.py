@@ -29,6 +29,9 @@ from quarrylens.sources.trace_events import trace_events, trace_metadata
 from quarrylens.sources.trace_stream import ingest_traces, split_metadata
 
 
+MAX_NAMED_TABLES = 2_000
+
+
 @dataclass
 class TableSpec:
     """How a table is built, and the order its rows are listed in."""
@@ -430,8 +433,17 @@ def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | Non
         value = F.try_variant_get("row", "$", struct)
         return rows.select("trace_id", "row_index", value.alias("r")).select("trace_id", "row_index", "r.*")
 
-    # One schema string per table name reaches the driver.
-    shapes = long_rows.groupBy("name").agg(F.schema_of_variant_agg("row").alias("shape")).collect()
+    # One schema string per table name reaches the driver.  A document keyed by data may
+    # hold any number of names; past the bound all rows are still in raw.inferred.
+    shapes = (
+        long_rows.groupBy("name")
+        .agg(F.schema_of_variant_agg("row").alias("shape"))
+        .limit(MAX_NAMED_TABLES + 1)
+        .collect()
+    )
+    ds.raw_specs["raw.inferred"] = lambda: long_rows
+    if len(shapes) > MAX_NAMED_TABLES:
+        shapes = []
     for shape in shapes:
         ds.add_table(
             shape["name"],

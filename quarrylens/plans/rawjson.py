@@ -28,14 +28,14 @@ def path_catalog(
     Values are reduced to one row each before any are ranked.
     """
     keys = list(keys)
-    kinds = nodes.select(
+    is_leaf = ~F.col("kind").isin("array", "object")
+    kinds = nodes.withColumn("kind", json_kind_of(F.col("v"))).select(
         *keys,
         "path",
-        json_kind_of(F.col("v")).alias("kind"),
-        F.to_json("v").alias("text"),
+        "kind",
+        F.when(is_leaf, F.to_json("v")).alias("text"),
         F.struct(*order).alias("at"),
     )
-    is_leaf = ~F.col("kind").isin("array", "object")
     counts = (
         kinds.groupBy(*keys, "path", "kind")
         .agg(F.count(F.lit(1)).alias("n"))
