@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -25,3 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_below(written: DataFrame, max_rows: int) -> DataFrame:
+    """``written`` marked for broadcast when it is counted to have few enough rows.
+
+    Meant for frames already written by :func:`cut`, where counting is a short read.
+    """
+    few = written.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(written) if few else written

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
 from quarrylens.operators.closure import ancestor_closure, root_paths
-from quarrylens.operators.lineage import cut
+from quarrylens.operators.lineage import broadcast_below, cut
 from quarrylens.operators.ordinal import ordinal_by_unique, top_per_group
 from quarrylens.operators.range_join import range_join
 
@@ -15,6 +15,8 @@ ANONYMOUS = "(anonymous)"
 BUCKET_US = 5_000
 TOP_FUNCTIONS = 5
 FOREVER = (1 << 62) - 1
+# A state holds its root path, about a kilobyte.
+BROADCAST_STATES = 20_000
 
 
 def profile_chunks(events: DataFrame) -> DataFrame:
@@ -165,24 +167,27 @@ def sample_points(chunks: DataFrame) -> DataFrame:
 
 
 def cpu_samples(events: DataFrame, scripts: DataFrame) -> DataFrame:
-    """``devtools.facts.cpuSamples`` with node definitions as of each chunk."""
+    """``devtools.facts.cpuSamples`` with node definitions as of each chunk.
+
+    Script lookups are made per node, so samples are joined once.
+    """
     chunks = profile_chunks(events)
-    states = node_states(cut(node_declarations(chunks)))
+    script_map = scripts.filter(F.col("sourceMapId").isNotNull()).select(
+        F.col("trace_id").alias("s_trace"), "scriptId", "sourceMapId"
+    )
+    states = cut(
+        node_states(cut(node_declarations(chunks))).join(script_map, ["s_trace", "scriptId"], "left")
+    )
     points = sample_points(chunks)
     # At most one state of a node is in force at a chunk.
-    stated = points.join(
-        states,
-        (points.trace_id == states.s_trace)
-        & (points.nodeId == states.s_node)
-        & (points.chunk >= states.since)
-        & (points.chunk < states.until),
-        "left",
-    )
-    script_map = scripts.filter(F.col("sourceMapId").isNotNull()).select(
-        "trace_id", "scriptId", "sourceMapId"
+    in_force = (
+        (F.col("trace_id") == F.col("s_trace"))
+        & (F.col("nodeId") == F.col("s_node"))
+        & (F.col("chunk") >= F.col("since"))
+        & (F.col("chunk") < F.col("until"))
     )
     return (
-        stated.join(script_map, ["trace_id", "scriptId"], "left")
+        points.join(broadcast_below(states, BROADCAST_STATES), in_force, "left")
         .select(
             "trace_id",
             F.concat_ws(":", F.lit("evt"), "chunk").alias("eventId"),

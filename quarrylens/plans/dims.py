@@ -12,6 +12,7 @@ from quarrylens.functions import blobs
 from quarrylens.functions import payload as p
 from quarrylens.functions.json_text import source_map_texts
 from quarrylens.operators.latest import first_where, last_where
+from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_order
 from quarrylens.operators.range_join import overlap_join, range_join
 from quarrylens.plans.facts import event_id, trace_bounds
@@ -192,6 +193,8 @@ def requests(facts: DataFrame) -> DataFrame:
         ).alias("responseHeaders"),
         F.parse_json(answer(timing)).alias("timing"),
     )
+    # One row per request; written because it is read twice below.
+    base = cut(base)
     finish = F.col("_finish.rawIndex")
     mixed = (F.col("_firstSend.rawIndex") < finish) & (F.col("_lastSend.rawIndex") > finish)
     pending = base.filter(mixed).select("trace_id", "requestId", finish.alias("_at"))
@@ -237,12 +240,15 @@ def screenshots(events: DataFrame) -> DataFrame:
         p.v_num_text(args, "$.frame_sequence").alias("frameSeqId"),
         p.v_long(args, "$.expected_display_time").alias("expectedDisplayTimeUs"),
     )
-    ordered = ordinal_by_order(
-        shots.filter(F.col("base64").isNotNull()),
+    shots = shots.filter(F.col("base64").isNotNull())
+    # Only the keys are sorted and numbered; the images join them once.
+    numbers = ordinal_by_order(
+        shots.select("trace_id", "rawIndex", "tsUs"),
         ["trace_id"],
         [F.col("tsUs"), F.col("rawIndex")],
         "index",
-    )
+    ).drop("tsUs")
+    ordered = shots.join(numbers, ["trace_id", "rawIndex"])
     padded = F.when(
         F.length(F.col("index").cast("string")) < 4, F.lpad(F.col("index").cast("string"), 4, "0")
     ).otherwise(F.col("index").cast("string"))

@@ -264,6 +264,8 @@ def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         .filter(F.col("c").isNotNull())
         .select(*keys, "pos", "filenameHint", "c.*")
+        # Both windows below are met by one exchange on the document.
+        .repartition(*[F.col(k) for k in keys])
     )
     # pos of a wrapper is the object's, which sorts before its members.
     per_loc = Window.partitionBy(*keys, "loc").orderBy("pos")
