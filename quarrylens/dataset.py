@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
 from quarrylens.operators.json_walk import walk_json
+from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordering import ordering
 from quarrylens.plans import artifacts as art
 from quarrylens.plans import chunks as ch
 from quarrylens.plans import cpu, dims, facts, rawjson, reports, views
 from quarrylens.plans import module_graph as mg
+from quarrylens.plans.provenance import provenance
 from quarrylens.plans.table_plan import TablePlan, TableQuery
 from quarrylens.sources import module_graph as mg_files
 from quarrylens.sources.classify import classify
@@ -88,6 +90,15 @@ class Dataset:
         """Query handle with select, where, order_by, offset, limit, rows, count."""
         return TableQuery(self.frame(name), ordering(self.specs[name].order), TablePlan(), self.collation)
 
+    def materialize(self, *names: str) -> None:
+        """Write tables to the checkpoint folder, so later tables read instead of redo them."""
+        for name in names:
+            self._frames[name] = cut(self.frame(name))
+
+    def provenance(self, name: str) -> DataFrame:
+        """(trace_id, layer, rowId, eventId): the events behind each row of a trace table."""
+        return provenance(self.frame("devtools.facts.events"), name)
+
     def create_views(self, prefix: str = "") -> list[str]:
         """Register every table as a temporary view named with underscores."""
         names = []

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from quarrylens.plans import chunks as ch
 from quarrylens.plans import module_graph as mg
+from quarrylens.queries.json_queries import turn_documents
 from quarrylens.queries.registry import query
+from quarrylens.sources.classify import HEAD_BYTES, TRACE_EVENTS, source_kind
+from quarrylens.sources.module_graph import decode_contents, edges
 from quarrylens.sources.star_events import read_table
 
 
@@ -184,6 +187,54 @@ def chunk_documents(spark, sf_dir):
     return ch.chunks_of(docs).groupBy(valid).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@query(
+    "a05_source_kinds",
+    """SELECT 'devtools' AS kind, count(*) AS n FROM conversations
+UNION ALL SELECT 'vite-bundle', count(*) FROM pages
+UNION ALL SELECT 'raw-json', (SELECT count(*) FROM events) + (SELECT count(*) FROM customer)
+UNION ALL SELECT NULL, count(*) FROM benchmark""",
+)
+def source_kinds(spark, sf_dir):
+    """Trace documents, chunk lists, other JSON and plain text, told apart by their heads."""
+    traces = turn_documents(spark, sf_dir).select("text")
+    lists = page_chunks(spark, sf_dir).select(F.concat(F.lit(" ["), F.to_json("chunk"), F.lit("]")).alias("text"))
+    other = read_table(spark, sf_dir, "events").select(F.col("props").alias("text"))
+    arrays = read_table(spark, sf_dir, "customer").select(
+        F.to_json(F.array(F.struct("c_custkey", F.col("c_name").alias("name")))).alias("text")
+    )
+    words = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("# "), "text").alias("text"))
+    texts = traces.union(lists).union(other).union(arrays).union(words)
+    heads = texts.select(
+        F.left("text", F.lit(HEAD_BYTES)).alias("head"),
+        F.to_json(F.try_variant_get(F.try_parse_json("text"), "$[0]", "variant")).alias("first_item"),
+        F.col("text").rlike(TRACE_EVENTS).alias("has_events"),
+        F.lit(None).cast("string").alias("header"),
+    )
+    return heads.groupBy(source_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _word(number):
+    return F.lpad(F.hex(number), 8, "0")
+
+
+@query(
+    "a09_edge_sections",
+    """SELECT 'p' || p_partkey AS path, q.section, q.node, q.pos, p_partkey + q.add AS target FROM part, (VALUES
+  ('source_children', 0, 0, 0), ('source_children', 2, 0, 7), ('source_children', 2, 1, 9), ('module_dependents', 0, 0, 1)) AS q(section, node, pos, add)""",
+)
+def edge_sections(spark, sf_dir):
+    """Each part as a binary file with two edge sections, decoded again."""
+    key = F.col("p_partkey")
+    children = [F.lit(3), F.lit(1), F.lit(1), F.lit(3), key, key + 7, key + 9]
+    dependents = [F.lit(1), F.lit(1), key + 1]
+    header = '{"source_children":{"offset":0,"length":28},"module_dependents":{"offset":28,"length":12}}'
+    parts = [F.lit(f"{len(header):08X}"), F.hex(F.encode(F.lit(header), "UTF-8")), *[_word(w) for w in (*children, *dependents)]]
+    files = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("path"), F.unhex(F.concat(*parts)).alias("content")
+    )
+    return edges(decode_contents(files))
+
+
 # Module graph ---------------------------------------------------------------------------
 def _graph(spark, sf_dir):
     """Sources and modules are parts, parts of files are line items, files are suppliers."""
@@ -237,14 +288,14 @@ def _graph(spark, sf_dir):
         .when(F.col("l_linestatus") == "F", "module_dependents")
         .otherwise("async_module_dependents")
     )
-    edges = item.select(
+    links = item.select(
         graph,
         section.alias("section"),
         F.col("l_partkey").alias("node"),
         F.col("l_linenumber").alias("pos"),
         (F.col("l_suppkey") * 25).alias("target"),
     )
-    return sources, children, parts, outputs, modules, edges
+    return sources, children, parts, outputs, modules, links
 
 
 GRAPH = r"""WITH RECURSIVE src AS (
@@ -296,13 +347,13 @@ def _source_tree(spark, sf_dir):
 
 
 def _module_table(spark, sf_dir):
-    *_, modules, edges = _graph(spark, sf_dir)
-    return mg.modules(modules, edges)
+    *_, modules, links = _graph(spark, sf_dir)
+    return mg.modules(modules, links)
 
 
 def _dependencies(spark, sf_dir):
-    *_, modules, edges = _graph(spark, sf_dir)
-    return mg.module_dependencies(modules, edges)
+    *_, modules, links = _graph(spark, sf_dir)
+    return mg.module_dependencies(modules, links)
 
 
 @query("i01_source_paths", GRAPH + ' SELECT i AS "sourceIndex", path, seg AS segment, par AS "parentIndex", dir AS "isDirectory" FROM s')
@@ -448,9 +499,9 @@ def graph_summary_totals(spark, sf_dir):
 
 def _graph_summary(spark, sf_dir):
     route_rows, files, *_ = _route_frames(spark, sf_dir)
-    sources, children, parts, outputs, modules, edges = _graph(spark, sf_dir)
+    sources, children, parts, outputs, modules, links = _graph(spark, sf_dir)
     rows, file_rows = mg.source_rows(sources, children, parts), mg.output_files(outputs, parts)
-    tree, table = mg.source_tree(rows, parts, file_rows), mg.modules(modules, edges)
+    tree, table = mg.source_tree(rows, parts, file_rows), mg.modules(modules, links)
     return mg.graph_summary(
         mg.routes(route_rows, files),
         sources,
@@ -459,7 +510,7 @@ def _graph_summary(spark, sf_dir):
         table,
         tree,
         mg.package_sizes(tree, table),
-        mg.module_dependencies(modules, edges),
+        mg.module_dependencies(modules, links),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.plans import dims, facts
+from quarrylens.plans.provenance import provenance
 from quarrylens.queries.registry import query, with_events
 from quarrylens.sources.star_events import by_type, trace_of
 
@@ -239,6 +240,24 @@ def posting_blocks(spark, sf_dir):
     return rows.withColumn("event_ids", F.array_join("event_ids", ","))
 
 
+@query(
+    "c13_provenance",
+    with_events(
+        FACTS
+        + """, m AS (
+  SELECT trace_id, 'devtools.dims.requests' AS layer, "requestId" AS id, "eventId" FROM f
+  UNION ALL SELECT trace_id, 'devtools.facts.objectLifecycles', coalesce(oid, scope), "eventId" FROM f
+  UNION ALL SELECT trace_id, 'devtools.dims.frames', "frameId", "eventId" FROM f)
+SELECT trace_id, layer, id AS "rowId", "eventId" FROM m WHERE id IS NOT NULL"""
+    ),
+)
+def event_provenance(spark, sf_dir):
+    rows = facts.event_facts(keyed_trace(spark, sf_dir))
+    layers = ("devtools.dims.requests", "devtools.facts.objectLifecycles", "devtools.dims.frames")
+    first, second, third = (provenance(rows, layer) for layer in layers)
+    return first.unionByName(second).unionByName(third)
+
+
 # Threads and processes -----------------------------------------------------------------
 NAMED = {"error": "thread_name", "signup": "process_name", "click": "click", "view": "view", "purchase": "purchase"}
 NAMED_PHASES = {"error": "M", "signup": "M", "click": "I", "view": "I", "purchase": "X"}

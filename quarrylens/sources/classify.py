@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
@@ -66,25 +66,11 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def classify(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(dataset_id, path, kind, driverId) for every recognised file below ``paths``.
+def source_kind() -> Column:
+    """Kind told by the columns head, first_item, has_events and header.
 
-    Tests are tried in a fixed order, the first that holds wins: trace, chunk list,
-    module graph (named by its folder), any other JSON.  Only the heads of files are
-    read.
+    The first test that holds wins: trace, chunk list, module graph, other JSON.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(paths)
-        .select(F.col("path").alias("uri"), clean_path(F.col("path")).alias("path"))
-    )
-    wanted = listing.filter(
-        F.col("path").rlike(r"(\.json|\.gz)$") | F.col("path").endswith("/analyze.data")
-    )
-    heads = wanted.repartition(spark.sparkContext.defaultParallelism * 4, "uri").mapInPandas(
-        _peek, _SCHEMA
-    )
     start = F.ltrim(F.regexp_replace("head", r"^[\s\x{FEFF}]+", ""))
     first = F.try_parse_json("first_item")
     marked = p.any_of([F.col("head").rlike(m) for m in TRACE_MARKERS])
@@ -94,16 +80,35 @@ def classify(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         & p.v_num(first, "$.pid").isNotNull()
         & p.v_num(first, "$.ts").isNotNull()
     )
-    kind = (
+    return (
         F.when(start.startswith("{") & (marked | F.col("has_events")), "devtools")
         .when(start.startswith("[") & event_like, "devtools")
         .when(start.startswith("[") & is_chunk(first), "vite-bundle")
         .when(is_analyze_header(F.try_parse_json("header")), "nextjs-bundle")
         .when(start.rlike(r'^[\[{"\-0-9tfn]'), "raw-json")
     )
+
+
+def classify(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(dataset_id, path, kind, driverId) for every recognised file below ``paths``.
+
+    Only the heads of files are read.  A module graph is named by its folder.
+    """
+    listing = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(paths)
+        .select(F.col("path").alias("uri"), clean_path(F.col("path")).alias("path"))
+    )
+    wanted = listing.filter(
+        F.col("path").rlike(r"(\.json|\.gz)$") | F.col("path").endswith("/analyze.data")
+    )
+    heads = wanted.repartition(spark.sparkContext.defaultParallelism * 4, "uri").mapInPandas(
+        _peek, _SCHEMA
+    )
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     return (
-        heads.withColumn("kind", kind)
+        heads.withColumn("kind", source_kind())
         .filter(F.col("kind").isNotNull())
         .withColumn("path", F.when(F.col("kind") == "nextjs-bundle", folder).otherwise(F.col("path")))
         .select(dataset_id(F.col("path")).alias("dataset_id"), "path", "kind", F.col("kind").alias("driverId"))

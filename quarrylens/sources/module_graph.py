@@ -62,29 +62,37 @@ def section_edges(body: memoryview, ref: dict) -> tuple[np.ndarray, np.ndarray,
     return node, pos, targets[np.repeat(begins, sizes) + pos]
 
 
+_COLUMNS = ["path", "section", "node", "pos", "target", "header"]
+
+
+def _file_frames(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+    header, body = header_of(content)
+    text = json.dumps(header, ensure_ascii=False)
+    yield pd.DataFrame([[path, "header", None, None, None, text]], columns=_COLUMNS)
+    for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
+        if not isinstance(header.get(name), dict):
+            continue
+        node, pos, target = section_edges(body, header[name])
+        for at in range(0, len(node), EDGE_BATCH):
+            part = slice(at, at + EDGE_BATCH)
+            columns = {"node": node[part], "pos": pos[part], "target": target[part]}
+            yield pd.DataFrame({"path": path, "section": name, **columns, "header": None})[_COLUMNS]
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "section", "node", "pos", "target", "header"]
+    """Rows of all files, small files together in one batch."""
+    pending: list[pd.DataFrame] = []
+    rows = 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            header, body = header_of(content)
-            text = json.dumps(header, ensure_ascii=False)
-            yield pd.DataFrame([[path, "header", None, None, None, text]], columns=columns)
-            for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
-                if not isinstance(header.get(name), dict):
-                    continue
-                node, pos, target = section_edges(body, header[name])
-                for at in range(0, len(node), EDGE_BATCH):
-                    part = slice(at, at + EDGE_BATCH)
-                    yield pd.DataFrame(
-                        {
-                            "path": path,
-                            "section": name,
-                            "node": node[part],
-                            "pos": pos[part],
-                            "target": target[part],
-                            "header": None,
-                        }
-                    )[columns]
+            for frame in _file_frames(path, content):
+                pending.append(frame.astype({c: "Int64" for c in ("node", "pos", "target")}))
+                rows += len(frame)
+                if rows >= EDGE_BATCH:
+                    yield pd.concat(pending)
+                    pending, rows = [], 0
+    if pending:
+        yield pd.concat(pending)
 
 
 def decode_graph_files(spark: SparkSession, root: str) -> DataFrame:
@@ -96,6 +104,11 @@ def decode_graph_files(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select(clean_path(F.col("path")).alias("path"), "content")
     )
+    return decode_contents(files)
+
+
+def decode_contents(files: DataFrame) -> DataFrame:
+    """Header and edge rows of (path, content)."""
     return files.mapInPandas(_decode, DECODED)
 
 
