@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,37 +62,45 @@ def section_edges(body: memoryview, ref: dict) -> tuple[np.ndarray, np.ndarray,
     return node, pos, targets[np.repeat(begins, sizes) + pos]
 
 
-_COLUMNS = ["path", "section", "node", "pos", "target", "header"]
+def _rows(path: str, section: str, node, pos, target, header: str | None = None) -> pa.RecordBatch:
+    count = len(node)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.repeat(pa.scalar(path), count),
+            pa.repeat(pa.scalar(section), count),
+            *[pa.array(x, pa.int64()) for x in (node, pos, target)],
+            pa.repeat(pa.scalar(header, pa.string()), count),
+        ],
+        names=["path", "section", "node", "pos", "target", "header"],
+    )
 
 
-def _file_frames(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+def _file_rows(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
     header, body = header_of(content)
-    text = json.dumps(header, ensure_ascii=False)
-    yield pd.DataFrame([[path, "header", None, None, None, text]], columns=_COLUMNS)
+    none = [None]
+    yield _rows(path, "header", none, none, none, json.dumps(header, ensure_ascii=False))
     for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
         if not isinstance(header.get(name), dict):
             continue
-        node, pos, target = section_edges(body, header[name])
-        for at in range(0, len(node), EDGE_BATCH):
-            part = slice(at, at + EDGE_BATCH)
-            columns = {"node": node[part], "pos": pos[part], "target": target[part]}
-            yield pd.DataFrame({"path": path, "section": name, **columns, "header": None})[_COLUMNS]
+        edges = section_edges(body, header[name])
+        for at in range(0, len(edges[0]), EDGE_BATCH):
+            yield _rows(path, name, *[column[at : at + EDGE_BATCH] for column in edges])
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of all files, small files together in one batch."""
-    pending: list[pd.DataFrame] = []
-    rows = 0
+    pending: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            for frame in _file_frames(path, content):
-                pending.append(frame.astype({c: "Int64" for c in ("node", "pos", "target")}))
-                rows += len(frame)
-                if rows >= EDGE_BATCH:
-                    yield pd.concat(pending)
-                    pending, rows = [], 0
+            for rows in _file_rows(path.as_py(), content.as_py()):
+                pending.append(rows)
+                count += rows.num_rows
+                if count >= EDGE_BATCH:
+                    yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
+                    pending, count = [], 0
     if pending:
-        yield pd.concat(pending)
+        yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
 
 
 def decode_graph_files(spark: SparkSession, root: str) -> DataFrame:
@@ -109,7 +117,7 @@ def decode_graph_files(spark: SparkSession, root: str) -> DataFrame:
 
 def decode_contents(files: DataFrame) -> DataFrame:
     """Header and edge rows of (path, content)."""
-    return files.mapInPandas(_decode, DECODED)
+    return files.mapInArrow(_decode, DECODED)
 
 
 def headers(decoded: DataFrame) -> DataFrame:
