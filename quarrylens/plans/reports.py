@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quarrylens.operators.counts import spread
@@ -67,7 +67,7 @@ def choose(df: DataFrame, order: Order, wanted: Mapping[str, str | None]) -> Row
     return df.orderBy(*order).limit(1).first()
 
 
-def _one(spark: SparkSession, df: DataFrame, key: str, row: Row | None) -> DataFrame:
+def _one(df: DataFrame, key: str, row: Row | None) -> DataFrame:
     if row is None:
         return df.limit(0)
     return df.filter((F.col("trace_id") == row["trace_id"]) & (F.col(key) == row[key]))
@@ -204,7 +204,7 @@ def interaction_report(tables: Tables, interaction_id: str | None = None) -> dic
         cpu = cpu.filter(same & (F.col("scopeId") == target["interactionId"]))
         code = code.filter(same)
     return {
-        "interaction": _one(interactions.sparkSession, interactions, "interactionId", target),
+        "interaction": _one(interactions, "interactionId", target),
         "renders": renders.orderBy("rawIndex"),
         "topComponents": renders.groupBy("componentName")
         .count()
@@ -240,7 +240,7 @@ def frame_report(tables: Tables, frame_sequence: str | None = None) -> dict[str,
             & (F.col("artifactId") == target["screenshotArtifactId"])
         )
     return {
-        "frame": _one(frames.sparkSession, frames, "frameReportId", target),
+        "frame": _one(frames, "frameReportId", target),
         "screenshot": shown,
         "visualChanges": _changes(
             tables("devtools.views.visualChanges"), target, ts - FRAME_MARGIN_US, ts + FRAME_MARGIN_US
@@ -258,7 +258,7 @@ def request_report(
     start = target["startTimeUs"] if target else 0
     end = target["endTimeUs"] if target and target["endTimeUs"] is not None else start
     return {
-        "request": _one(requests.sparkSession, requests, "requestId", target),
+        "request": _one(requests, "requestId", target),
         "visualChanges": _changes(tables("devtools.views.visualChanges"), target, start, end),
     }
 
@@ -272,7 +272,7 @@ def soft_navigation_report(
     target = choose(navs, order, {"softNavigationId": soft_navigation_id})
     start, end = (target["startTsUs"], target["endTsUs"]) if target else (0, 0)
     return {
-        "softNavigation": _one(navs.sparkSession, navs, "softNavigationId", target),
+        "softNavigation": _one(navs, "softNavigationId", target),
         "layoutShifts": within(tables("devtools.dims.layoutShifts"), target, "tsUs", start, end),
         "screenshots": within(tables("devtools.dims.screenshots"), target, "tsUs", start, end),
         "requests": within(tables("devtools.dims.requests"), target, "startTimeUs", start, end),
@@ -306,7 +306,7 @@ def script_report(
         )
 
     return {
-        "script": _one(scripts.sparkSession, scripts, "scriptId", target),
+        "script": _one(scripts, "scriptId", target),
         "sourceMap": mapped("code.dims.sourceMaps"),
         "sources": mapped("code.dims.sources"),
         "codeHotspots": matching("devtools.views.codeHotspots").orderBy(*ordering(CODE_ORDER)),

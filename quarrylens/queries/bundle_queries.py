@@ -152,7 +152,7 @@ def duplicate_modules(spark, sf_dir):
 @query(
     "f11_bundle_summary_totals",
     CHUNKS
-    + """ SELECT count(*) AS chunks, count_if(entry) AS "entryChunks", count_if(asset) AS "assetChunks", CAST(sum(s) AS BIGINT) AS "parsedSize",
+    + """ SELECT count(*) AS chunks, count(*) FILTER (entry) AS "entryChunks", count(*) FILTER (asset) AS "assetChunks", CAST(sum(s) AS BIGINT) AS "parsedSize",
   CAST(sum(g) AS BIGINT) AS "gzipSize", CAST(sum(b) AS BIGINT) AS "brotliSize", max(page_id) > 0 AS "hasSourceMaps", 3 * count(*) AS "totalModules" FROM c""",
 )
 def bundle_summary_totals(spark, sf_dir):
@@ -319,7 +319,7 @@ GRAPH = r"""WITH RECURSIVE src AS (
   FROM parts JOIN f ON f.i = parts.f GROUP BY 1), tree AS (
   SELECT s.*, coalesce(nf, 0) AS nf, coalesce(files, '') AS files, coalesce(envs, '') AS envs FROM s LEFT JOIN pl USING (i) WHERE NOT dir), ed AS (
   SELECT CASE WHEN l_returnflag = 'A' THEN 'sync' WHEN l_returnflag = 'N' THEN 'async' WHEN l_linestatus = 'F' THEN 'in' ELSE 'async_in' END AS sec, l_partkey AS a, l_suppkey * 25 AS b FROM lineitem), dg AS (
-  SELECT a AS i, count_if(sec = 'sync') AS d1, count_if(sec = 'async') AS d2, count_if(sec = 'in') AS d3, count_if(sec = 'async_in') AS d4 FROM ed GROUP BY 1), m AS (
+  SELECT a AS i, count(*) FILTER (sec = 'sync') AS d1, count(*) FILTER (sec = 'async') AS d2, count(*) FILTER (sec = 'in') AS d3, count(*) FILTER (sec = 'async_in') AS d4 FROM ed GROUP BY 1), m AS (
   SELECT p_partkey AS i, 'id-' || p_partkey AS ident, CASE WHEN p_size % 2 = 0 THEN 'node_modules/' || replace(p_brand, '#', '-') || '/' || p_partkey ELSE 'src/' || p_partkey END AS clean,
     p_size % 2 = 0 AS nm, CASE WHEN p_size % 2 = 0 THEN replace(p_brand, '#', '-') END AS package, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2, coalesce(d3, 0) AS d3, coalesce(d4, 0) AS d4
   FROM part LEFT JOIN dg ON dg.i = p_partkey), dep AS (
@@ -456,7 +456,7 @@ def routes(spark, sf_dir):
 
 @query(
     "i11_route_sizes",
-    """WITH c AS (SELECT c_nationkey AS k, count(*) AS sources, count_if(c_acctbal > 0) AS files FROM customer GROUP BY 1), o AS (
+    """WITH c AS (SELECT c_nationkey AS k, count(*) AS sources, count(*) FILTER (c_acctbal > 0) AS files FROM customer GROUP BY 1), o AS (
   SELECT c_nationkey AS k, CAST(sum(floor(o_totalprice)) AS BIGINT) AS size, CAST(sum(floor(o_totalprice / 2)) AS BIGINT) AS comp, count(*) AS n
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
 SELECT '/' || n_name AS route, coalesce(size, 0) AS "totalSize", coalesce(comp, 0) AS "compressedSize", coalesce(sources, 0) AS "sourceCount",
@@ -472,7 +472,7 @@ def route_sizes(spark, sf_dir):
     "i12_dependency_stats",
     GRAPH
     + """, b AS (SELECT '[project]/' || clean AS path FROM m ORDER BY d3 DESC, '[project]/' || clean LIMIT 1)
-SELECT count_if(kind = 'sync') AS "syncEdgeCount", count_if(kind = 'async') AS "asyncEdgeCount", (SELECT path FROM b) AS "mostDependedOnModule" FROM dep""",
+SELECT count(*) FILTER (kind = 'sync') AS "syncEdgeCount", count(*) FILTER (kind = 'async') AS "asyncEdgeCount", (SELECT path FROM b) AS "mostDependedOnModule" FROM dep""",
 )
 def dependency_stats(spark, sf_dir):
     stats = mg.dependency_stats(_dependencies(spark, sf_dir))
@@ -516,7 +516,7 @@ def _graph_summary(spark, sf_dir):
 
 @query(
     "f13_route_report",
-    """WITH c AS (SELECT count(*) AS sources, count_if(c_acctbal > 0) AS files FROM customer JOIN nation ON c_nationkey = n_nationkey AND n_name = (SELECT n_name FROM nation WHERE n_nationkey = 3)), o AS (
+    """WITH c AS (SELECT count(*) AS sources, count(*) FILTER (c_acctbal > 0) AS files FROM customer JOIN nation ON c_nationkey = n_nationkey AND n_name = (SELECT n_name FROM nation WHERE n_nationkey = 3)), o AS (
   SELECT CAST(sum(floor(o_totalprice)) AS BIGINT) AS size, CAST(sum(floor(o_totalprice / 2)) AS BIGINT) AS comp, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3)
 SELECT '/' || n_name AS route, size AS "totalSize", comp AS "compressedSize", sources AS "sourceCount", files AS "outputFileCount", n AS "chunkPartCount" FROM nation, c, o WHERE n_nationkey = 3""",
 )

@@ -425,7 +425,7 @@ TASKS = """, tn AS (
   SELECT trace_id, pid, tid FROM e WHERE et = 'error' GROUP BY ALL HAVING arg_max(k, idx) < 80), m AS (
   SELECT *, ts + CASE WHEN et = 'purchase' THEN span ELSE 0 END AS end_ts FROM e SEMI JOIN tn USING (trace_id, pid, tid)), tk AS (
   SELECT * FROM m WHERE et = 'purchase' AND span > 0), ch AS (
-  SELECT tk.trace_id, tk.idx, count(*) AS n, count_if(m.et = 'click') AS fc, count_if(m.et = 'view') AS pt
+  SELECT tk.trace_id, tk.idx, count(*) AS n, count(*) FILTER (m.et = 'click') AS fc, count(*) FILTER (m.et = 'view') AS pt
   FROM tk JOIN m ON m.trace_id = tk.trace_id AND m.pid = tk.pid AND m.tid = tk.tid AND m.idx <> tk.idx
     AND m.ts >= tk.ts AND m.ts <= tk.end_ts AND m.end_ts <= tk.end_ts GROUP BY 1, 2), tasks AS (
   SELECT tk.trace_id, tk.idx, tk.ts, tk.end_ts, tk.span, tk.pid || ':' || tk.tid AS thread_key,

@@ -202,8 +202,8 @@ def code_hotspots(spark, sf_dir):
   UNION ALL SELECT trace_id, ts, 'screenshot' FROM e WHERE et = 'view'
   UNION ALL SELECT trace_id, ts, 'dropped' FROM e WHERE et = 'signup' AND uid > 10 AND k < 40
   UNION ALL SELECT trace_id, ts, 'shift' FROM e WHERE et = 'error'), hit AS (
-  SELECT ia.trace_id, iid, count_if(kind = 'render') AS a, count_if(kind = 'request') AS b, count_if(kind = 'screenshot') AS c,
-    count_if(kind = 'dropped') AS d, count_if(kind = 'shift') AS s
+  SELECT ia.trace_id, iid, count(*) FILTER (kind = 'render') AS a, count(*) FILTER (kind = 'request') AS b, count(*) FILTER (kind = 'screenshot') AS c,
+    count(*) FILTER (kind = 'dropped') AS d, count(*) FILTER (kind = 'shift') AS s
   FROM ia JOIN pts ON pts.trace_id = ia.trace_id AND pts.ts >= lo AND pts.ts <= hi GROUP BY 1, 2), nav AS (
   SELECT trace_id, CASE WHEN k > 10 THEN CAST(k AS VARCHAR) ELSE 'soft-nav:' || idx END AS id, min(ts) AS nlo, max(ts) AS nhi
   FROM e WHERE et = 'signup' GROUP BY 1, 2), nh AS (
@@ -419,8 +419,8 @@ def capabilities(spark, sf_dir):
     "f01_summary",
     with_events("""
 SELECT trace_id, count(*) AS "totalEvents", round((max(ts + CASE WHEN et IN ('click', 'purchase') THEN span ELSE 0 END) - min(ts)) / 1000, 3) AS "durationMs",
-  1 AS categories, count(DISTINCT pid || ':' || tid) AS threads, count(*) AS facts, count_if(et = 'view') AS screenshots,
-  count(DISTINCT k) FILTER (et = 'error') AS scripts, count_if(et = 'error') AS "layoutShifts", count_if(et = 'signup') AS "frameReports",
+  1 AS categories, count(DISTINCT pid || ':' || tid) AS threads, count(*) AS facts, count(*) FILTER (et = 'view') AS screenshots,
+  count(DISTINCT k) FILTER (et = 'error') AS scripts, count(*) FILTER (et = 'error') AS "layoutShifts", count(*) FILTER (et = 'signup') AS "frameReports",
   0 AS failing, TRUE AS reported FROM e GROUP BY 1"""),
 )
 def summary(spark, sf_dir):
