@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.llm.byte_cnn import fit, score_texts
 from quarrylens.llm.common import table
+from quarrylens.llm.html_text import extract_text
 from quarrylens.llm.line_runs import dedup_lines
 from quarrylens.llm.mixture import mix_sources
+from quarrylens.llm.passages import repeated_passages
 from quarrylens.llm.pieces import round_trip
+from quarrylens.llm.pivots import near_vectors
 from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.simhash import simhash_groups
+from quarrylens.llm.tool_calls import DIALOGUE_SCHEMAS, as_tool_messages, link_tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +33,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_html_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op2_repeated_passages")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("part")
+
+
+@query("op3_pivot_permutation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_simhash_pigeonring")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
@@ -40,6 +60,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "token_ids", F.col("same").alias("round_trip"))
 
 
+@query("op6_tool_calls")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(as_tool_messages(table(spark, sf_dir, "conversations")), DIALOGUE_SCHEMAS)
+
+
 @query("op7_tokeniser_fertility")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
@@ -60,6 +85,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_byte_cnn")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    found = score_texts(docs, fit(docs, labels))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, pos, line,
