@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,14 @@ from quarrylens.plans.provenance import provenance
 from quarrylens.plans.table_plan import TablePlan, TableQuery
 from quarrylens.sources import module_graph as mg_files
 from quarrylens.sources.classify import classify
-from quarrylens.sources.documents import dataset_id, read_documents
+from quarrylens.sources.documents import dataset_id, document_errors, read_documents
 from quarrylens.sources.export import ExportResult, export_collection, materialize_artifact
 from quarrylens.sources.trace_events import trace_events, trace_metadata
-from quarrylens.sources.trace_stream import ingest_traces, split_metadata
+from quarrylens.sources.trace_stream import failed_files, ingest_traces, list_files, split_metadata
+from quarrylens.shipping import ship_package
 
-
-MAX_NAMED_TABLES = 2_000
+INFERRED = "raw.inferred."
+FOUND_ARRAY = "Array found in the document"
 
 
 @dataclass
@@ -68,6 +70,10 @@ class Dataset:
         self.capability_builder: Callable[[], DataFrame] | None = None
         self.artifact_builder: Callable[[], DataFrame] | None = None
         self.document_builder: Callable[[], DataFrame] | None = None
+        self.error_builder: Callable[[], DataFrame] | None = None
+        # Tables that are found by name instead of being listed: any number may exist.
+        self.found_table: Callable[[str], TableSpec | None] = lambda name: None
+        self.found_names: Callable[[], DataFrame] | None = None
         self._frames: dict[str, DataFrame] = {}
 
     # Registration -----------------------------------------------------------------
@@ -78,17 +84,22 @@ class Dataset:
         self.report_specs[name] = (run, description)
 
     # Tables -----------------------------------------------------------------------
-    def frame(self, name: str) -> DataFrame:
-        """The table as a lazy DataFrame, without an order."""
-        if name not in self.specs:
+    def spec(self, name: str) -> TableSpec:
+        spec = self.specs.get(name) or self.found_table(name)
+        if spec is None:
             raise KeyError(f"Table not found: {name}")
+        return spec
+
+    def frame(self, name: str) -> DataFrame:
+        """The table as a DataFrame without an order; trees, samples and windows write parts of it."""
         if name not in self._frames:
-            self._frames[name] = self.specs[name].build()
+            self._frames[name] = self.spec(name).build()
         return self._frames[name]
 
     def table(self, name: str) -> TableQuery:
         """Query handle with select, where, order_by, offset, limit, rows, count."""
-        return TableQuery(self.frame(name), ordering(self.specs[name].order), TablePlan(), self.collation)
+        frame = self.frame(name)
+        return TableQuery(frame, ordering(self.spec(name).order), TablePlan(), self.collation)
 
     def materialize(self, *names: str) -> None:
         """Write tables to the checkpoint folder, so later tables read instead of redo them."""
@@ -96,13 +107,27 @@ class Dataset:
             self._frames[name] = cut(self.frame(name))
 
     def provenance(self, name: str) -> DataFrame:
-        """(trace_id, layer, rowId, eventId): the events behind each row of a trace table."""
-        return provenance(self.frame("devtools.facts.events"), name)
+        """(trace_id, layer, rowId, eventId): the events behind each row of a trace table.
+
+        Events that look like a row's source, but gave none, are left out.
+        """
+        found = provenance(self.frame("devtools.facts.events"), name)
+        if name not in ROW_IDS:
+            return found
+        rows = self.frame(name).select("trace_id", F.col(ROW_IDS[name]).cast("string").alias("rowId"))
+        return found.join(rows, ["trace_id", "rowId"], "left_semi").select("trace_id", "layer", "rowId", "eventId")
+
+    def errors(self) -> DataFrame:
+        """(trace_id, path, reason) of the files that could not be read; they give no rows."""
+        if self.error_builder is None:
+            return self.spark.createDataFrame([], "trace_id string, path string, reason string")
+        return self.error_builder()
 
     def create_views(self, prefix: str = "") -> list[str]:
         """Register every table as a temporary view named with underscores."""
         names = []
-        for name in self.specs:
+        found = [] if self.found_names is None else [r["name"] for r in self.found_names().toLocalIterator()]
+        for name in [*self.specs, *sorted(found)]:
             view = prefix + name.replace(".", "_").replace("-", "_")
             self.frame(name).createOrReplaceTempView(view)
             names.append(view)
@@ -111,11 +136,12 @@ class Dataset:
     # Catalog ----------------------------------------------------------------------
     def tables(self) -> DataFrame:
         rows = [(n, n.split(".")[0], s.description) for n, s in sorted(self.specs.items())]
-        return self.spark.createDataFrame(rows, "name string, namespace string, description string")
+        listed = self.spark.createDataFrame(rows, "name string, namespace string, description string")
+        return listed if self.found_names is None else listed.unionByName(self.found_names())
 
     def columns(self, name: str) -> DataFrame:
         """(name, type, unit) of one table's columns."""
-        units = self.specs[name].units if name in self.specs else {}
+        units = self.spec(name).units
         rows = [
             (f.name, f.dataType.simpleString(), units.get(f.name) or _unit(f.name))
             for f in self.frame(name).schema.fields
@@ -144,12 +170,15 @@ class Dataset:
 
     # Raw access -------------------------------------------------------------------
     def raw_document(self) -> DataFrame:
+        """(trace_id, path, text, doc): whole documents, which must fit a Spark value."""
         return self.document_builder()
 
     def raw_rows(self, name: str) -> DataFrame:
-        if name not in self.raw_specs:
-            raise KeyError(f"Raw rows not found: {name}")
-        return self.raw_specs[name]()
+        if name in self.raw_specs:
+            return self.raw_specs[name]()
+        if name.startswith(INFERRED) and "raw.inferred" in self.raw_specs:
+            return self.raw_specs["raw.inferred"]().filter(F.col("name") == name)
+        raise KeyError(f"Raw rows not found: {name}")
 
     def _nodes(self) -> DataFrame:
         return walk_json(self.raw_document(), ["trace_id"], "text")
@@ -170,24 +199,54 @@ class Dataset:
     def list_artifacts(self) -> DataFrame:
         return self.artifacts().drop("content").orderBy("id", "trace_id")
 
-    def artifact(self, artifact_id: str) -> DataFrame:
-        """The artifact with its text and JSON forms; no row for an unknown id."""
-        return art.artifact_views(self.artifacts().filter(F.col("id") == artifact_id))
+    def _of_trace(self, trace_id: str | None) -> DataFrame:
+        found = self.artifacts()
+        return found if trace_id is None else found.filter(F.col("trace_id") == trace_id)
+
+    def artifact(self, artifact_id: str, trace_id: str | None = None) -> DataFrame:
+        """The artifact with its text and JSON forms, one row per trace that has it."""
+        return art.artifact_views(self._of_trace(trace_id).filter(F.col("id") == artifact_id))
 
-    def materialize_artifact(self, artifact_id: str, out: str) -> str:
-        return materialize_artifact(self.artifacts(), artifact_id, out)
+    def materialize_artifact(self, artifact_id: str, out: str, trace_id: str | None = None) -> str:
+        """Write one artifact; ``trace_id`` is needed where several traces have the id."""
+        return materialize_artifact(self._of_trace(trace_id), artifact_id, out)
 
     def collection_items(self, collection_id: str) -> DataFrame:
         if collection_id not in self.collection_specs:
             raise KeyError(f"Collection not found: {collection_id}")
         return self.collection_specs[collection_id].items()
 
-    def export_collection(self, collection_id: str, out: str, per_trace: bool = False) -> ExportResult:
+    def export_collection(self, collection_id: str, out: str, per_trace: bool | None = None) -> ExportResult:
+        """Write a collection; with several traces, or ``per_trace``, each gets its own folder."""
         items = self.collection_items(collection_id)
         source = self.collection_specs[collection_id].artifacts or self.artifacts
         return export_collection(collection_id, items, source(), out, per_trace)
 
 
+# The column that identifies a row, where an event that looks like its source may give none.
+ROW_IDS = {
+    "devtools.dims.interactions": "interactionId",
+    "devtools.dims.layoutShifts": "layoutShiftId",
+    "devtools.dims.softNavigations": "softNavigationId",
+    "devtools.views.renderMeasures": "renderMeasureId",
+    "devtools.views.framePipeline": "frameReportId",
+}
+
+
+def manifest_of(kind: str, files: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per file: what was opened, when, and how much it holds."""
+    return files.join(counts, "trace_id", "left").select(
+        "trace_id",
+        dataset_id(F.col("path")).alias("id"),
+        F.lit(kind).alias("kind"),
+        F.lit(kind).alias("driverId"),
+        F.col("path").alias("source"),
+        F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("loadedAt"),
+        "fileSizeBytes",
+        F.coalesce("itemCount", F.lit(0)).alias("itemCount"),
+    )
+
+
 def _unit(column: str) -> str | None:
     if column.endswith("Us"):
         return "µs"
@@ -206,15 +265,24 @@ def trace_dataset(
     events: DataFrame,
     metadata: DataFrame,
     manifest: DataFrame | None = None,
-    documents: DataFrame | None = None,
+    documents: Callable[[], DataFrame] | None = None,
     collation: str | None = None,
 ) -> Dataset:
-    """A dataset over event rows and (trace_id, metadata JSON text)."""
+    """A dataset over event rows and (trace_id, metadata JSON text).
+
+    Every report takes a ``trace_id``, since ids repeat between traces.
+    """
     if manifest is None:
         manifest = events.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
     ds = Dataset(spark, "devtools", manifest, collation)
     t = ds.frame
 
+    def of(trace_id: str | None) -> Callable[[str], DataFrame]:
+        return t if trace_id is None else lambda name: t(name).filter(F.col("trace_id") == trace_id)
+
+    def events_of(trace_id: str | None) -> DataFrame:
+        return events if trace_id is None else events.filter(F.col("trace_id") == trace_id)
+
     def add(name: str, build, *order, description: str = "") -> None:
         ds.add_table(name, build, order, description)
 
@@ -275,13 +343,17 @@ def trace_dataset(
     add("code.dims.sourceMaps", lambda: dims.source_maps(metadata), "trace_id", "mapIndex", description="Source maps")
     add("code.dims.sources", lambda: dims.sources(t("code.dims.sourceMaps")), "trace_id", "mapIndex", "sourceIndex", description="Original sources")
 
-    ds.add_report("devtools.summary", lambda: {"summary": reports.trace_summary(events, t)}, "Counts of everything found")
-    ds.add_report("devtools.interaction", lambda id=None: reports.interaction_report(t, id), "One interaction")
-    ds.add_report("devtools.frame", lambda frameSequence=None, id=None: reports.frame_report(t, frameSequence or id), "One frame")
-    ds.add_report("devtools.request", lambda requestId=None, id=None, url=None: reports.request_report(t, requestId or id, url), "One request")
-    ds.add_report("devtools.soft-navigation", lambda softNavigationId=None, id=None: reports.soft_navigation_report(t, softNavigationId or id), "One soft navigation")
-    ds.add_report("devtools.hotspots", lambda: reports.hotspots_report(t("devtools.views.codeHotspots"), t("devtools.views.cpuHotspots"), t("devtools.views.cpuCallTrees")), "Code and CPU hotspots")
-    ds.add_report("devtools.script", lambda scriptId=None, url=None: reports.script_report(t, scriptId, url), "One script")
+    def hotspots(trace_id=None):
+        names = ("codeHotspots", "cpuHotspots", "cpuCallTrees")
+        return reports.hotspots_report(*[of(trace_id)(f"devtools.views.{n}") for n in names])
+
+    ds.add_report("devtools.summary", lambda trace_id=None: {"summary": reports.trace_summary(events_of(trace_id), of(trace_id))}, "Counts of everything found")
+    ds.add_report("devtools.interaction", lambda id=None, trace_id=None: reports.interaction_report(of(trace_id), id), "One interaction")
+    ds.add_report("devtools.frame", lambda frameSequence=None, id=None, trace_id=None: reports.frame_report(of(trace_id), frameSequence or id), "One frame")
+    ds.add_report("devtools.request", lambda requestId=None, id=None, url=None, trace_id=None: reports.request_report(of(trace_id), requestId or id, url), "One request")
+    ds.add_report("devtools.soft-navigation", lambda softNavigationId=None, id=None, trace_id=None: reports.soft_navigation_report(of(trace_id), softNavigationId or id), "One soft navigation")
+    ds.add_report("devtools.hotspots", hotspots, "Code and CPU hotspots of each trace")
+    ds.add_report("devtools.script", lambda scriptId=None, url=None, trace_id=None: reports.script_report(of(trace_id), scriptId, url), "One script")
 
     ds.raw_specs["devtools.raw.events"] = lambda: events
     ds.capability_builder = lambda: reports.trace_capabilities(
@@ -310,14 +382,15 @@ def trace_dataset(
     ds.artifact_builder = lambda: art.all_artifacts(
         *[spec.artifacts() for spec in ds.collection_specs.values()]
     )
-    ds.document_builder = lambda: documents
+    ds.document_builder = documents
     return ds
 
 
 # Chunk lists --------------------------------------------------------------------------
 def chunk_dataset(spark: SparkSession, documents: DataFrame, collation: str | None = None) -> Dataset:
     chunks = ch.chunks_of(documents)
-    manifest = chunks.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
+    counts = chunks.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
+    manifest = manifest_of("vite-bundle", documents, counts)
     ds = Dataset(spark, "vite-bundle", manifest, collation)
     t = ds.frame
     native = ("trace_id", "chunkIndex", "pos")
@@ -429,7 +502,7 @@ def graph_dataset(spark: SparkSession, root: str, collation: str | None = None)
 # Any other JSON -----------------------------------------------------------------------
 def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | None = None) -> Dataset:
     items = p.v_array(F.col("doc"), "$")
-    manifest = documents.select("trace_id", "path", "fileSizeBytes", F.size(items).alias("itemCount"))
+    manifest = manifest_of("raw-json", documents, documents.select("trace_id", F.size(items).alias("itemCount")))
     ds = Dataset(spark, "raw-json", manifest, collation)
     t = ds.frame
     nodes = walk_json(documents, ["trace_id"], "text")
@@ -444,25 +517,25 @@ def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | Non
         value = F.try_variant_get("row", "$", struct)
         return rows.select("trace_id", "row_index", value.alias("r")).select("trace_id", "row_index", "r.*")
 
-    # One schema string per table name reaches the driver.  A document keyed by data may
-    # hold any number of names; past the bound all rows are still in raw.inferred.
-    shapes = (
-        long_rows.groupBy("name")
-        .agg(F.schema_of_variant_agg("row").alias("shape"))
-        .limit(MAX_NAMED_TABLES + 1)
-        .collect()
-    )
+    # A document keyed by data may hold any number of arrays, so their tables are not listed here:
+    # a table is looked up when it is asked for, and the list of names is a relation.
+    shapes: dict[str, str | None] = {}
+
+    def inferred_table(name: str) -> TableSpec | None:
+        if not name.startswith(INFERRED):
+            return None
+        if name not in shapes:
+            own = long_rows.filter(F.col("name") == name)
+            shapes[name] = own.agg(F.schema_of_variant_agg("row")).first()[0] if not own.isEmpty() else None
+        if shapes[name] is None:
+            return None
+        return TableSpec(lambda: typed_rows(name, shapes[name]), ("trace_id", "row_index"), FOUND_ARRAY)
+
     ds.raw_specs["raw.inferred"] = lambda: long_rows
-    if len(shapes) > MAX_NAMED_TABLES:
-        shapes = []
-    for shape in shapes:
-        ds.add_table(
-            shape["name"],
-            lambda s=shape: typed_rows(s["name"], s["shape"]),
-            ("trace_id", "row_index"),
-            "Array found in the document",
-        )
-        ds.raw_specs[shape["name"]] = lambda s=shape: long_rows.filter(F.col("name") == s["name"])
+    ds.found_table = inferred_table
+    ds.found_names = lambda: inferred.select(
+        "name", F.lit("raw").alias("namespace"), F.lit(FOUND_ARRAY).alias("description")
+    ).distinct()
     ds.raw_specs["raw.document"] = lambda: documents
     ds.document_builder = lambda: documents
     ds.add_report(
@@ -493,7 +566,9 @@ def open_dataset(
 
     ``bronze`` names a folder where trace events are written once as Parquet rows;
     use it for traces too large for one value and whenever more than one query runs.
+    A file that cannot be read gives no rows and is listed by ``errors()``.
     """
+    ship_package(spark)
     paths = [path] if isinstance(path, str) else list(path)
     if kind is None:
         found = classify(spark, paths).select("kind").distinct().limit(5).collect()
@@ -506,14 +581,26 @@ def open_dataset(
     if kind == "nextjs-bundle":
         return graph_dataset(spark, paths[0], collation)
     if kind == "devtools" and bronze is not None:
-        events, metadata = split_metadata(ingest_traces(spark, paths, bronze))
-        return trace_dataset(spark, events, metadata, collation=collation)
-    documents = read_documents(spark, paths)
+        rows = ingest_traces(spark, paths, bronze)
+        events, metadata = split_metadata(rows)
+        files = list_files(spark, paths)
+        counts = events.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
+        manifest = manifest_of(kind, files.withColumnRenamed("length", "fileSizeBytes"), counts)
+        ds = trace_dataset(
+            spark, events, metadata, manifest, lambda: read_documents(spark, paths), collation
+        )
+        ds.error_builder = lambda: failed_files(rows).join(files, "trace_id").select("trace_id", "path", "reason")
+        return ds
+    every = read_documents(spark, paths)
+    documents = every.filter(F.col("doc").isNotNull())
     if kind == "devtools":
         events = trace_events(documents)
-        return trace_dataset(
-            spark, events, trace_metadata(documents), documents=documents, collation=collation
-        )
-    if kind == "vite-bundle":
-        return chunk_dataset(spark, documents, collation)
-    return json_dataset(spark, documents, collation)
+        counts = events.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
+        manifest = manifest_of(kind, documents, counts)
+        ds = trace_dataset(spark, events, trace_metadata(documents), manifest, lambda: documents, collation)
+    elif kind == "vite-bundle":
+        ds = chunk_dataset(spark, documents, collation)
+    else:
+        ds = json_dataset(spark, documents, collation)
+    ds.error_builder = lambda: document_errors(every)
+    return ds

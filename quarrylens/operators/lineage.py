@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; make a local one only in local mode."""
+    """Use ``spark.checkpoint.dir``; make a local one only where all tasks run in this process.
+
+    The configured folder must be one that all executors share.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylens-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -27,11 +30,3 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def broadcast_below(written: DataFrame, max_rows: int) -> DataFrame:
-    """``written`` marked for broadcast when it is counted to have few enough rows.
-
-    Meant for frames already written by :func:`cut`, where counting is a short read.
-    """
-    few = written.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(written) if few else written

@@ -20,7 +20,6 @@ from quarrylens.operators.lineage import cut
 FANOUT = 8
 BASE_WIDTH = 1024
 MAX_LEVEL = 16
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -30,10 +29,6 @@ class IntervalStats:
     rows: int
     levels: tuple[int, ...]
 
-    @property
-    def broadcastable(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
-
 
 def _level(length: Column) -> Column:
     """Smallest level whose FANOUT cells are at least as long as ``length``."""
@@ -80,7 +75,7 @@ def range_join(
     """Rows of ``points`` and ``intervals`` with equal keys and start <= ts <= end.
 
     Column names other than ``keys`` must differ.  ``left_open`` tests start < ts.
-    The interval side is broadcast only when its counted rows fit the bound.
+    Whether a side is broadcast is left to adaptive execution, which knows its bytes.
     """
     if stats is None:
         intervals, stats = measure(intervals, start, end)
@@ -99,9 +94,8 @@ def range_join(
         probes = probes.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
     probes = probes.withColumn("_cell", _cell(F.col(ts), F.col("_level")))
     inside = (F.col(ts) > F.col(start)) if left_open else (F.col(ts) >= F.col(start))
-    right = F.broadcast(spread) if stats.broadcastable else spread
     return (
-        probes.join(right, [*keys, "_level", "_cell"])
+        probes.join(spread, [*keys, "_level", "_cell"])
         .filter(inside & (F.col(ts) <= F.col(end)))
         .drop("_level", "_cell")
     )

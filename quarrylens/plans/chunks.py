@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.operators.ordinal import top_per_group
 from quarrylens.functions import paths
 from quarrylens.functions import payload as p
 from quarrylens.operators.json_walk import bracket_depth
@@ -213,10 +214,9 @@ def duplicate_modules(module_rows: DataFrame) -> DataFrame:
 
 
 def largest_modules(module_rows: DataFrame, k: int = LARGEST) -> DataFrame:
-    """``bundle.views.largestModules``: a top-k report by size, then path."""
-    return module_rows.orderBy(
-        F.col("parsedSize").desc(), "path", "trace_id", "chunkIndex", "pos"
-    ).limit(k)
+    """``bundle.views.largestModules``: each bundle's top k by size, then path."""
+    order = [F.col("parsedSize").desc(), F.col("path"), F.col("chunkIndex"), F.col("pos")]
+    return top_per_group(module_rows, ["trace_id"], order, k).drop("_rank")
 
 
 def bundle_totals(rows: DataFrame, module_rows: DataFrame) -> DataFrame:
@@ -239,11 +239,16 @@ def bundle_totals(rows: DataFrame, module_rows: DataFrame) -> DataFrame:
 def bundle_summary(
     rows: DataFrame, package_rows: DataFrame, module_rows: DataFrame, k: int = 5
 ) -> dict[str, DataFrame]:
-    """``bundle.summary``: totals and the largest chunks, packages and modules."""
+    """``bundle.summary``: each bundle's totals and its largest chunks, packages and modules."""
     size = F.col("parsedSize").desc()
+
+    def top(df: DataFrame, name: str) -> DataFrame:
+        found = top_per_group(df, ["trace_id"], [size, F.col(name)], k).drop("_rank")
+        return found.orderBy("trace_id", size, name)
+
     return {
         "totals": bundle_totals(rows, module_rows),
-        "topChunks": rows.orderBy(size, "filename").limit(k),
-        "topPackages": package_rows.orderBy(size, "packageName").limit(k),
-        "topModules": largest_modules(module_rows, k),
+        "topChunks": top(rows, "filename"),
+        "topPackages": top(package_rows, "packageName"),
+        "topModules": largest_modules(module_rows, k).orderBy("trace_id", size, "path", "chunkIndex", "pos"),
     }

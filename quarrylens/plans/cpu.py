@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
 from quarrylens.operators.closure import ancestor_closure, root_paths
-from quarrylens.operators.lineage import broadcast_below, cut
+from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_unique, top_per_group
 from quarrylens.operators.range_join import range_join
 
@@ -16,7 +16,6 @@ BUCKET_US = 5_000
 TOP_FUNCTIONS = 5
 FOREVER = (1 << 62) - 1
 # A state holds its root path, about a kilobyte.
-BROADCAST_STATES = 20_000
 
 
 def profile_chunks(events: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def cpu_samples(events: DataFrame, scripts: DataFrame) -> DataFrame:
         & (F.col("chunk") < F.col("until"))
     )
     return (
-        points.join(broadcast_below(states, BROADCAST_STATES), in_force, "left")
+        points.join(states, in_force, "left")
         .select(
             "trace_id",
             F.concat_ws(":", F.lit("evt"), "chunk").alias("eventId"),

@@ -141,16 +141,16 @@ def layers(facts: DataFrame) -> DataFrame:
 
 def _headers(data: Column) -> Column:
     objects = F.filter(
-        F.transform(p.v_array(data, "$.data.headers"), lambda h: h.cast("map<string,string>")),
+        F.transform(p.v_array(data, "$.data.headers"), lambda h: p.v_object(h, "$")),
         lambda h: h.isNotNull(),
     )
-    return F.transform(
-        objects,
-        lambda h: F.struct(
-            F.coalesce(F.try_element_at(h, F.lit("name")), F.lit("")).alias("name"),
-            F.coalesce(F.try_element_at(h, F.lit("value")), F.lit("")).alias("value"),
-        ),
-    )
+
+    def member(h: Column, name: str) -> Column:
+        text = F.try_variant_get(F.try_element_at(h, F.lit(name)), "$", "string")
+        return F.coalesce(text, F.lit("")).alias(name)
+
+    # An entry of another type is left out, as one without members would be.
+    return F.transform(objects, lambda h: F.struct(member(h, "name"), member(h, "value")))
 
 
 def requests(facts: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def raw_events(events: DataFrame) -> DataFrame:
 def event_facts(events: DataFrame, keep_args: bool = True) -> DataFrame:
     """``devtools.facts.events``."""
     args = F.col("args")
-    dur = F.coalesce(F.col("dur"), F.lit(0).cast("bigint"))
+    dur = F.coalesce(F.col("dur"), F.lit(0))
     data_id = ["$.data.sampleTraceId", "$.data.traceId", "$.traceId"]
     facts = events.select(
         "trace_id",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarrylens.operators.counts import spread
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordering import ordering
+from quarrylens.operators.ordinal import top_per_group
 from quarrylens.plans.facts import split_categories, trace_bounds
 
 FRAME_MARGIN_US = 16_000
@@ -174,11 +175,15 @@ def trace_capabilities(events: DataFrame, scripts: DataFrame, sources: DataFrame
 
 
 def hotspots_report(code: DataFrame, cpu: DataFrame, stacks: DataFrame) -> dict[str, DataFrame]:
-    """``devtools.hotspots``: top-k lists of code, CPU nodes and stacks."""
+    """``devtools.hotspots``: top-k lists of code, CPU nodes and stacks of each trace."""
+
+    def top(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+        return top_per_group(df, ["trace_id"], ordering(order), k).drop("_rank").orderBy(*ordering(order))
+
     return {
-        "codeHotspots": code.orderBy(*ordering(CODE_ORDER)).limit(TOP_CODE),
-        "cpuHotspots": cpu.orderBy(*ordering(CPU_ORDER)).limit(TOP_CODE),
-        "cpuCallTrees": stacks.orderBy(*ordering(STACK_ORDER)).limit(TOP_STACKS),
+        "codeHotspots": top(code, CODE_ORDER, TOP_CODE),
+        "cpuHotspots": top(cpu, CPU_ORDER, TOP_CODE),
+        "cpuCallTrees": top(stacks, STACK_ORDER, TOP_STACKS),
     }
 
 

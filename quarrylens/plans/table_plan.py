@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The operators of a filter.
 FILTER_OPS = (
     "=",
     "!=",
@@ -296,7 +297,8 @@ class TableQuery:
         return self.limit(1).rows().first()
 
     def count(self) -> int:
-        return apply_plan(self.df, replace(self.current.without_pagination(), order_by=None)).count()
+        kept = replace(self.current.without_pagination(), order_by=None)
+        return apply_plan(self.df, kept, collation=self.collation).count()
 
 
 def _whole(name: str, count: Any) -> int:

@@ -106,8 +106,19 @@ def first(spark, sf_dir):
 @query("b21_count", f"SELECT count(*) AS n FROM {NULLED} WHERE bucket IS NULL OR bucket < 5")
 def count(spark, sf_dir):
     counted = _orders(spark, sf_dir).where("bucket", "<", 5).limit(3).offset(2)
-    kept = TableQuery(counted.df, (), counted.plan().without_pagination())
-    return kept.rows().agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(counted.count(),)], "n bigint")
+
+
+@query(
+    "b21_count_collated",
+    "SELECT count(*) AS n FROM customer WHERE lower(left(c_name, 1) || c_mktsegment) < 'cf'",
+)
+def count_collated(spark, sf_dir):
+    """Letters before case: half of the names are in lower case."""
+    name = F.concat(F.left("c_name", F.lit(1)), "c_mktsegment")
+    mixed = F.when(F.col("c_custkey") % 2 == 0, F.lower(name)).otherwise(name).alias("s")
+    table = TableQuery(read_table(spark, sf_dir, "customer").select(mixed), collation="UNICODE")
+    return spark.createDataFrame([(table.where("s", "<", "cF").count(),)], "n bigint")
 
 
 @query(

@@ -370,7 +370,7 @@ def soft_navigation_report_requests(spark, sf_dir):
     with_events(
         CODE
         + """ SELECT trace_id, "hotspotId", "functionName", round("totalDurationMs", 3) AS "totalDurationMs", count FROM ch
-ORDER BY ch."totalDurationMs" DESC, count DESC, trace_id, "hotspotId" LIMIT 50"""
+QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY ch."totalDurationMs" DESC, count DESC, "hotspotId") <= 50"""
     ),
 )
 def hotspots_report_code(spark, sf_dir):

@@ -14,6 +14,7 @@ from quarrylens.functions import payload as p
 from quarrylens.plans.chunks import is_chunk
 from quarrylens.sources.documents import clean_path, dataset_id
 from quarrylens.sources.module_graph import is_analyze_header
+from quarrylens.sources.trace_stream import JsonReader, TraceFormatError
 
 HEAD_BYTES = 4096
 WIDE_HEAD_BYTES = 8 * 1024 * 1024
@@ -30,16 +31,33 @@ _COLUMNS = ["path", "head", "first_item", "has_events", "header"]
 _SCHEMA = "path string, head string, first_item string, has_events boolean, header string"
 
 
-def _first_object(text: str) -> str | None:
-    """First item of an array when it is an object, as JSON text."""
-    found = re.match(r"\s*\[[\s,]*(?=\{)", text)
-    if not found:
-        return None
+class _Replay:
+    """A stream that first gives back the bytes already read from it."""
+
+    def __init__(self, head: bytes, stream):
+        self._head, self._stream = head, stream
+
+    def read(self, size: int) -> bytes:
+        if self._head:
+            out, self._head = self._head[:size], self._head[size:]
+            return out
+        return self._stream.read(size)
+
+
+def _first_object(head: bytes, stream) -> str | None:
+    """First item of an array when it is an object, as JSON text, however long it is."""
+    reader = JsonReader(_Replay(head, stream))
     try:
-        value, _ = json.JSONDecoder().raw_decode(text, found.end())
-    except json.JSONDecodeError:
+        if reader.peek() != "[":
+            return None
+        reader.take("[")
+        while reader.peek() == ",":
+            reader.take(",")
+        if reader.peek() != "{":
+            return None
+        return json.dumps(reader.value())
+    except (TraceFormatError, RecursionError):
         return None
-    return json.dumps(value)
 
 
 def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,14 +73,16 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     header = stream.read(size)
                 out.append([path, None, None, False, header.decode("utf-8", "replace")])
                 continue
+            raw, first = b"", None
             try:
                 with system.open_input_stream(name, compression="detect") as stream:
                     raw = stream.read(WIDE_HEAD_BYTES)
+                    first = _first_object(raw, stream)
             except OSError:
-                raw = b""
+                pass
             text = raw.decode("utf-8", "replace")
             has_events = re.search(TRACE_EVENTS, text) is not None
-            out.append([path, text[:HEAD_BYTES], _first_object(text), has_events, None])
+            out.append([path, text[:HEAD_BYTES], first, has_events, None])
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
@@ -92,7 +112,8 @@ def source_kind() -> Column:
 def classify(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(dataset_id, path, kind, driverId) for every recognised file below ``paths``.
 
-    Only the heads of files are read.  A module graph is named by its folder.
+    Only the heads of files are read, and the first item of an array to its end.  A module
+    graph is named by its folder.
     """
     listing = (
         spark.read.format("binaryFile")

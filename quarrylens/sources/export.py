@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quarrylens.functions.paths import artifact_filename
-from quarrylens.plans.artifacts import manifest_items
+from quarrylens.operators.lineage import cut
+from quarrylens.plans.artifacts import shorten
 
 
 @dataclass(frozen=True)
@@ -61,24 +62,43 @@ def _file_system(fs, out: str):
     return fs.LocalFileSystem(), out
 
 
+def _distinct_paths(items: DataFrame) -> DataFrame:
+    """``items`` with no relative path twice: equal ones get a part of their artifact's hash.
+
+    Two events of one request, or names cut to the same slug, may ask for one path.
+    """
+    times = items.groupBy(F.lower("relativePath").alias("_path")).agg(F.count(F.lit(1)).alias("_times"))
+    shared = items.join(times.filter(F.col("_times") > 1), F.lower("relativePath") == F.col("_path"), "left")
+    parts = F.regexp_extract("relativePath", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("relativePath", r"(\.[^./]*)?$", 1)
+    mark = F.left(F.sha2(F.concat_ws("|", "trace_id", "artifactId"), 256), F.lit(16))
+    unique = F.concat(parts[0], F.lit("-"), mark, F.coalesce(parts[1], F.lit("")))
+    path = F.when(F.col("_times").isNull(), F.col("relativePath")).otherwise(unique)
+    return shared.withColumn("relativePath", path).drop("_path", "_times")
+
+
 def export_collection(
-    collection_id: str, items: DataFrame, artifacts: DataFrame, out: str, per_trace: bool = False
+    collection_id: str, items: DataFrame, artifacts: DataFrame, out: str, per_trace: bool | None = None
 ) -> ExportResult:
     """Write every item of a collection below ``out`` and list them in a manifest.
 
     Items without an artifact are skipped.  ``manifest.json`` names the collection;
     its items are JSON lines under ``manifest-items``, so no list of files passes
-    through the driver.  ``per_trace`` puts each trace in its own folder.
+    through the driver.  ``per_trace`` puts each trace in its own folder, which is done
+    whenever there are several; no file overwrites another.
     """
-    folder = F.concat("trace_id", F.lit("/"), "relativePath") if per_trace else F.col("relativePath")
     content = artifacts.select(
-        "trace_id", F.col("id").alias("artifactId"), "kind", F.col("content").alias("body")
+        "trace_id", F.col("id").alias("artifactId"), "kind", "mediaType", "sizeBytes", F.col("content").alias("body")
+    )
+    # Decoding the artifacts is the work, so they are written once and read twice.
+    found = cut(items.join(content, ["trace_id", "artifactId"]).dropDuplicates(["trace_id", "artifactId", "relativePath"]))
+    if per_trace is None:
+        per_trace = found.select("trace_id").distinct().limit(2).count() > 1
+    folder = F.concat("trace_id", F.lit("/"), "relativePath") if per_trace else F.col("relativePath")
+    placed = _distinct_paths(found.withColumn("relativePath", folder))
+    placed.select("relativePath", "kind", "body").foreachPartition(_writer(out))
+    listed = placed.select(
+        "trace_id", "relativePath", "artifactId", shorten(F.col("metadata")).alias("metadata"), "mediaType", "sizeBytes"
     )
-    placed = items.withColumn("relativePath", folder)
-    placed.join(content, ["trace_id", "artifactId"]).select(
-        "relativePath", "kind", "body"
-    ).foreachPartition(_writer(out))
-    listed = manifest_items(placed, artifacts)
     items_path = f"{out.rstrip('/')}/manifest-items"
     listed.write.mode("overwrite").json(items_path)
     count = listed.sparkSession.read.text(items_path).count()
@@ -94,21 +114,30 @@ def export_collection(
 
 
 def materialize_artifact(artifacts: DataFrame, artifact_id: str, out: str) -> str:
-    """Write one artifact below ``out`` under a safe name and return its path."""
+    """Write one artifact below ``out`` under a safe name and return its path.
+
+    Raises where more than one trace has the id.
+    """
     name = artifact_filename(F.col("filenameHint"), F.col("id"), F.col("mediaType"))
-    rows = artifacts.filter(F.col("id") == artifact_id).select(
-        name.alias("relativePath"), "kind", F.col("content").alias("body")
+    rows = cut(
+        artifacts.filter(F.col("id") == artifact_id)
+        .select("trace_id", name.alias("relativePath"), "kind", F.col("content").alias("body"))
+        .orderBy("trace_id", "relativePath")
+        .limit(2)
     )
-    found = rows.select("relativePath").first()
-    if found is None:
+    found = rows.select("trace_id", "relativePath").collect()
+    if not found:
         raise KeyError(f"Artifact not found: {artifact_id}")
-    rows.limit(1).foreachPartition(_writer(out))
+    if len({r["trace_id"] for r in found}) > 1:
+        raise ValueError(f"Several traces have {artifact_id}, name one by trace_id")
+    path = min(r["relativePath"] for r in found)
+    rows.filter(F.col("relativePath") == path).limit(1).foreachPartition(_writer(out))
     _write_text(
         out,
         "manifest.json",
-        json.dumps({"type": "artifact", "artifactId": artifact_id, "path": found["relativePath"]}),
+        json.dumps({"type": "artifact", "artifactId": artifact_id, "path": path}),
     )
-    return _target(out, found["relativePath"])
+    return _target(out, path)
 
 
 def _write_text(out: str, name: str, text: str) -> None:

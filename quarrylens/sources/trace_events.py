@@ -17,7 +17,7 @@ def event_columns(event: Column) -> list[Column]:
         p.v_long(event, "$.pid").alias("pid"),
         p.v_long(event, "$.tid").alias("tid"),
         p.v_long(event, "$.ts").alias("ts"),
-        p.v_long(event, "$.dur").alias("dur"),
+        p.v_num(event, "$.dur").alias("dur"),
         F.try_variant_get(event, "$.id", "variant").alias("id"),
         F.try_variant_get(event, "$.s", "variant").alias("s"),
         F.try_variant_get(event, "$.args", "variant").alias("args"),

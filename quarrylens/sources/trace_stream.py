@@ -1,7 +1,8 @@
 """Ingest of trace files too large for one value: file -> event rows -> Parquet.
 
 Each file is read by one task (gzip cannot be split) in constant memory and written
-out once; every later query runs on the Parquet rows with full parallelism.
+out once, into a folder of its own key; every later query runs on the Parquet rows with
+full parallelism.  A file that was ingested before and has not changed is left as it is.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.sources.documents import clean_path, dataset_id
+from quarrylens.operators.lineage import cut
+from quarrylens.sources.documents import clean_path, trace_key
 from quarrylens.sources.trace_events import event_columns
 
 EVENTS_KEY = "traceEvents"
 METADATA_INDEX = -1
+ERROR_INDEX = -2
+TASK_BYTES = 64 << 20
+LOG = "_ingested"
+ROWS = "events"
 BATCH_EVENTS = 4096
 READ_BYTES = 1 << 20
 _SPACE = re.compile(r"[\s]*")
@@ -28,7 +34,7 @@ class TraceFormatError(ValueError):
     """The document is not a trace: no event array, a cut array or a non-object item."""
 
 
-class _Reader:
+class JsonReader:
     """A text window over a byte stream that grows only as far as one value needs."""
 
     def __init__(self, stream):
@@ -77,14 +83,19 @@ class _Reader:
 
     def value(self):
         """Decode one JSON value, reading twice as much on each attempt."""
+        return self.value_and_text()[0]
+
+    def value_and_text(self):
+        """One JSON value and its text as it stands in the document."""
         self.peek()
         size = READ_BYTES
         while True:
             try:
                 found, end = self._decoder.raw_decode(self.text, self.at)
                 if end < len(self.text) or self.done:
+                    text = self.text[self.at : end]
                     self.at = end
-                    return found
+                    return found, text
             except json.JSONDecodeError as error:
                 if self.done:
                     raise TraceFormatError("unterminated trace document") from error
@@ -92,7 +103,7 @@ class _Reader:
             size *= 2
 
 
-def _items(reader: _Reader) -> Iterator[dict]:
+def _items(reader: JsonReader) -> Iterator[tuple[dict, str]]:
     reader.take("[")
     while True:
         nxt = reader.peek()
@@ -104,22 +115,28 @@ def _items(reader: _Reader) -> Iterator[dict]:
         if nxt == ",":
             reader.at += 1
             continue
-        item = reader.value()
+        item, text = reader.value_and_text()
         if not isinstance(item, dict):
             raise TraceFormatError("event array holds an item that is not an object")
-        yield item
+        yield item, text
 
 
 def iter_trace(stream) -> Iterator[tuple[int, dict]]:
     """Yield (index, event) in order, then (-1, metadata)."""
-    reader = _Reader(stream)
+    for index, found, _ in iter_trace_text(stream):
+        yield index, found
+
+
+def iter_trace_text(stream) -> Iterator[tuple[int, dict, str]]:
+    """Yield (index, event, its text) in order, then (-1, metadata, its text)."""
+    reader = JsonReader(stream)
     rest: dict = {}
     index = 0
     if reader.peek() == "[":
-        for event in _items(reader):
-            yield index, event
+        for event, text in _items(reader):
+            yield index, event, text
             index += 1
-        yield METADATA_INDEX, {}
+        yield METADATA_INDEX, {}, "{}"
         return
     reader.take("{")
     found = False
@@ -133,15 +150,19 @@ def iter_trace(stream) -> Iterator[tuple[int, dict]]:
         reader.take(":")
         if key == EVENTS_KEY and reader.peek() == "[":
             found = True
-            for event in _items(reader):
-                yield index, event
+            for event, text in _items(reader):
+                yield index, event, text
                 index += 1
         else:
-            rest[key] = reader.value()
+            rest[key] = reader.value_and_text()
     if not found:
         raise TraceFormatError(f"missing {EVENTS_KEY} array")
-    own = rest.get("metadata")
-    yield METADATA_INDEX, own if isinstance(own, dict) else rest
+    own = rest.get("metadata", (None, ""))
+    if isinstance(own[0], dict):
+        yield METADATA_INDEX, *own
+        return
+    members = ",".join(f"{json.dumps(key, ensure_ascii=False)}:{text}" for key, (_, text) in rest.items())
+    yield METADATA_INDEX, {key: value for key, (value, _) in rest.items()}, "{" + members + "}"
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,16 +170,20 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for trace_id, uri in zip(batch["trace_id"], batch["uri"], strict=True):
-            system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(path, compression="detect") as stream:
-                rows: list[tuple[int, str]] = []
-                for index, item in iter_trace(stream):
-                    rows.append((index, json.dumps(item, ensure_ascii=False, separators=(",", ":"))))
-                    if len(rows) >= BATCH_EVENTS:
-                        yield _frame(trace_id, rows)
-                        rows = []
-                if rows:
-                    yield _frame(trace_id, rows)
+            rows: list[tuple[int, str]] = []
+            try:
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path, compression="detect") as stream:
+                    for index, _, text in iter_trace_text(stream):
+                        rows.append((index, text))
+                        if len(rows) >= BATCH_EVENTS:
+                            yield _frame(trace_id, rows)
+                            rows = []
+            except (TraceFormatError, OSError, RecursionError) as error:
+                # The rows so far are left out when the table is read; see split_metadata.
+                rows = [(ERROR_INDEX, f"{type(error).__name__}: {error}")]
+            if rows:
+                yield _frame(trace_id, rows)
 
 
 def _frame(trace_id: str, rows: list[tuple[int, str]]) -> pd.DataFrame:
@@ -167,51 +192,113 @@ def _frame(trace_id: str, rows: list[tuple[int, str]]) -> pd.DataFrame:
     return out
 
 
-def stream_trace_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(trace_id, rawIndex, event_json); the metadata row has rawIndex -1."""
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(trace_id, path, uri, length, modified) of the files, without reading them."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    listed = (
+    return (
         spark.read.format("binaryFile")
         .load(paths)
         .select(
+            trace_key(clean_path(F.col("path"))).alias("trace_id"),
+            clean_path(F.col("path")).alias("path"),
             F.col("path").alias("uri"),
             "length",
-            dataset_id(clean_path(F.col("path"))).alias("trace_id"),
+            F.col("modificationTime").alias("modified"),
         )
     )
-    # One file per task: the listing is tiny, the files are not.
+
+
+def stream_files(files: DataFrame) -> DataFrame:
+    """(trace_id, rawIndex, event_json) of listed files.
+
+    The metadata row has rawIndex -1, and the row of a file that cannot be read -2 with the
+    reason.  The files are spread over as many tasks as their sizes ask for.
+    """
+    total, count = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+    spread = max(files.sparkSession.sparkContext.defaultParallelism * 4, (total or 0) // TASK_BYTES)
     return (
-        listed.select("trace_id", "uri")
-        .repartition(max(1, spark.sparkContext.defaultParallelism * 4), "uri")
+        files.select("trace_id", "uri")
+        .repartition(max(1, min(count, spread)))
         .mapInPandas(_read_files, "trace_id string, rawIndex bigint, event_json string")
     )
 
 
+def stream_trace_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Rows of the trace files of ``paths``, as :func:`stream_files` gives them."""
+    return stream_files(list_files(spark, paths))
+
+
 def typed_rows(rows: DataFrame) -> DataFrame:
-    """Event columns of streamed rows; the metadata row keeps its text instead."""
-    is_event = F.col("rawIndex") != METADATA_INDEX
+    """Event columns of streamed rows; metadata and error rows keep their text instead."""
+    is_event = F.col("rawIndex") >= 0
     parsed = rows.select(
         "trace_id",
         "rawIndex",
-        F.when(is_event, F.parse_json("event_json")).alias("event"),
+        F.when(is_event, F.try_parse_json("event_json")).alias("event"),
         F.when(~is_event, F.col("event_json")).alias("metadata"),
+        (is_event & F.try_parse_json("event_json").isNull()).alias("_broken"),
+    )
+    # Python reads a few spellings, such as NaN, that are no JSON: such an event is an error row.
+    broken = F.col("_broken")
+    return parsed.select(
+        "trace_id",
+        F.when(broken, F.lit(ERROR_INDEX)).otherwise(F.col("rawIndex")).cast("bigint").alias("rawIndex"),
+        *event_columns(F.col("event")),
+        F.when(broken, F.concat(F.lit("event "), F.col("rawIndex").cast("string"), F.lit(" is not JSON")))
+        .otherwise(F.col("metadata"))
+        .alias("metadata"),
     )
-    return parsed.select("trace_id", "rawIndex", *event_columns(F.col("event")), "metadata")
+
+
+def _log(spark: SparkSession, out: str) -> DataFrame:
+    """The last entry of each file in the folder's log, empty before the first ingest."""
+    schema = "trace_id string, length bigint, modified timestamp, at timestamp"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/{LOG}")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], schema)
+    entries = spark.read.schema(schema).parquet(f"{out.rstrip('/')}/{LOG}")
+    last = entries.groupBy("trace_id").agg(F.max_by(F.struct("length", "modified"), "at").alias("last"))
+    return last.select("trace_id", "last.*")
 
 
 def ingest_traces(spark: SparkSession, paths: str | Sequence[str], out: str) -> DataFrame:
-    """Write the events of ``paths`` to Parquet at ``out`` and return them.
+    """Write the events of ``paths`` to Parquet below ``out`` and return those of ``paths``.
 
-    Rows are sorted by event name within each file, so a filter on the name, which
-    nearly every table starts with, skips row groups.
+    Each file has a folder of its own, replaced as a whole when the file has changed, so
+    ingesting again neither repeats nor mixes rows.  Rows are sorted by event name within
+    each file, so a filter on the name, which nearly every table starts with, skips row groups.
     """
-    typed = typed_rows(stream_trace_rows(spark, paths))
-    typed.sortWithinPartitions("trace_id", "name", "rawIndex").write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    base = out.rstrip("/")
+    asked = list_files(spark, paths)
+    new = asked.join(_log(spark, base), ["trace_id", "length", "modified"], "left_anti")
+    new = cut(new)
+    typed = typed_rows(stream_files(new))
+    if not new.isEmpty():
+        (
+            typed.sortWithinPartitions("trace_id", "name", "rawIndex")
+            .write.partitionBy("trace_id")
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(f"{base}/{ROWS}")
+        )
+        entries = new.select("trace_id", "length", "modified", F.current_timestamp().alias("at"))
+        entries.write.mode("append").parquet(f"{base}/{LOG}")
+    # The schema is given: a key of digits alone would be read as a number.
+    rows = spark.read.schema(typed.schema).parquet(f"{base}/{ROWS}").select(*typed.columns)
+    return rows.join(asked.select("trace_id"), "trace_id", "left_semi")
+
+
+def failed_files(rows: DataFrame) -> DataFrame:
+    """(trace_id, reason) of the files that could not be read to their end."""
+    return rows.filter(F.col("rawIndex") == ERROR_INDEX).select("trace_id", F.col("metadata").alias("reason")).dropDuplicates(["trace_id"])
 
 
 def split_metadata(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events, and (trace_id, metadata) with the metadata as JSON text."""
-    events = rows.filter(F.col("rawIndex") >= 0).drop("metadata")
-    metadata = rows.filter(F.col("rawIndex") == METADATA_INDEX).select("trace_id", "metadata")
+    """Events, and (trace_id, metadata) with the metadata as JSON text.
+
+    A file that could not be read to its end gives neither; :func:`failed_files` names it.
+    """
+    whole = rows.join(failed_files(rows).select("trace_id"), "trace_id", "left_anti")
+    events = whole.filter(F.col("rawIndex") >= 0).drop("metadata")
+    metadata = whole.filter(F.col("rawIndex") == METADATA_INDEX).select("trace_id", "metadata")
     return events, metadata
