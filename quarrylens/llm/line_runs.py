@@ -190,7 +190,8 @@ def dedup_lines(
     store = runs or LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(2**63 - 1))
     ids = docs.select(number.alias("_id"))
-    cuts = ids.filter(f"_id < {2**63 - 1}").approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = ids.filter(f"_id < {2**63 - 1}").approxQuantile("_id", shares, 0.01) if shares else []
     edges = [None, *sorted({int(x) for x in cuts}), None]
     losses = None
     for low, high in zip(edges, edges[1:]):

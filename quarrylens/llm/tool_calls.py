@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 
-ROUNDS = 50
+ROUNDS = 20
 
 PARTS = (
     "conv_id bigint, turn bigint, part int, kind string, call_id string, name string, refs array<string>, "
