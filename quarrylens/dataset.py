@@ -18,6 +18,7 @@ from quarrylens.functions import payload as p
 from quarrylens.operators.json_walk import walk_json
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordering import ordering
+from quarrylens.operators.spreading import spread_rows
 from quarrylens.plans import artifacts as art
 from quarrylens.plans import chunks as ch
 from quarrylens.plans import cpu, dims, facts, rawjson, reports, views
@@ -594,7 +595,7 @@ def open_dataset(
     every = read_documents(spark, paths)
     documents = every.filter(F.col("doc").isNotNull())
     if kind == "devtools":
-        events = trace_events(documents)
+        events = spread_rows(trace_events(documents), "trace_id", "rawIndex")
         counts = events.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
         manifest = manifest_of(kind, documents, counts)
         ds = trace_dataset(spark, events, trace_metadata(documents), manifest, lambda: documents, collation)

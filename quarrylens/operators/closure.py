@@ -73,6 +73,52 @@ def ancestor_closure(
     raise CycleError("edges form a cycle")
 
 
+def subtree_sums(
+    values: DataFrame,
+    edges: DataFrame,
+    keys: Sequence[str],
+    node: str,
+    child: str,
+    parent: str,
+    columns: Sequence[str],
+    repeated_edges: bool = False,
+) -> DataFrame:
+    """(keys, node, columns): ``columns`` summed over each node and everything below it.
+
+    Only nodes with values and their ancestors have a row.  A round adds to each node what the
+    nodes exactly 2**k below it have gathered so far, so a tree of n nodes and depth d writes
+    about n rows in each of log2(d) rounds, never the pairs of nodes and ancestors.  Several
+    ways up count as in :func:`ancestor_closure`.
+    """
+    keys = list(keys)
+    jump = cut(
+        edges.filter(F.col(parent).isNotNull())
+        .select(*keys, F.col(child).alias("_from"), F.col(parent).alias("_to"))
+        .groupBy(*keys, "_from", "_to")
+        .agg((F.count(F.lit(1)) if repeated_edges else F.lit(1).cast("bigint")).alias("_ways"))
+    )
+    edge_count = jump.count()
+    total = values.select(*keys, node, *columns)
+    for round_no in range(MAX_ROUNDS):
+        if jump.isEmpty():
+            return total
+        if 2**round_no > edge_count:
+            break
+        lifted = total.join(jump.withColumnRenamed("_from", node), [*keys, node]).select(
+            *keys, F.col("_to").alias(node), *[(F.col(c) * F.col("_ways")).alias(c) for c in columns]
+        )
+        total = cut(total.unionByName(lifted).groupBy(*keys, node).agg(*[F.sum(c).alias(c) for c in columns]))
+        second = jump.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_ways").alias("_more"))
+        jump = cut(
+            jump.join(second, [*keys, "_to"])
+            .groupBy(*keys, "_from", F.col("_next").alias("_to"))
+            .agg(F.sum(F.col("_ways") * F.col("_more")).alias("_ways"))
+        )
+    if jump.isEmpty():
+        return total
+    raise CycleError("edges form a cycle")
+
+
 def root_paths(
     versions: DataFrame, keys: Sequence[str], node: str, parent: str, label: str, since: str, until: str
 ) -> DataFrame:

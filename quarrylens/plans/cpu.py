@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
-from quarrylens.operators.closure import ancestor_closure, root_paths
+from quarrylens.operators.closure import root_paths, subtree_sums
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_unique, top_per_group
 from quarrylens.operators.range_join import range_join
@@ -260,16 +260,8 @@ def cpu_nodes(events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.sum("timeDeltaUs").alias("us"))
     )
     edges = declared.select(*node, "parentNodeId").filter(F.col("parentNodeId").isNotNull())
-    members = declared.select(*node).union(own.select(*node)).distinct()
-    closure = ancestor_closure(members, edges, ["trace_id"], "nodeId", "nodeId", "parentNodeId")
-    totals = (
-        closure.join(own.withColumnRenamed("nodeId", "descendant"), ["trace_id", "descendant"])
-        .groupBy("trace_id", F.col("ancestor").alias("nodeId"))
-        .agg(
-            F.sum(F.col("n") * F.col("paths")).alias("tn"),
-            F.sum(F.col("us") * F.col("paths")).alias("tus"),
-        )
-    )
+    summed = own.withColumnsRenamed({"n": "tn", "us": "tus"})
+    totals = subtree_sums(summed, edges, ["trace_id"], "nodeId", "nodeId", "parentNodeId", ["tn", "tus"])
     zero = F.lit(0)
     return (
         last.join(own, node, "left")

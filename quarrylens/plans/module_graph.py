@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths
-from quarrylens.operators.closure import ancestor_closure, root_paths
+from quarrylens.operators.closure import root_paths, subtree_sums
 from quarrylens.operators.counts import count_rows
 
 ROOT = "[root]"
@@ -63,14 +63,9 @@ def source_totals(sources: DataFrame, children: DataFrame, parts: DataFrame) ->
     """(trace_id, sourceIndex, totals): sums over each source and everything below it."""
     key = ["trace_id", "sourceIndex"]
     direct = parts.groupBy(*key).agg(*_part_sums())
-    closure = ancestor_closure(
-        sources, children, ["trace_id"], "sourceIndex", "target", "node", repeated_edges=True
-    )
-    return (
-        closure.join(direct.withColumnRenamed("sourceIndex", "descendant"), ["trace_id", "descendant"])
-        .groupBy("trace_id", F.col("ancestor").alias("sourceIndex"))
-        .agg(*[F.sum(F.col(t) * F.col("paths")).alias(t) for t in TOTALS])
-    )
+    known = children.join(sources.select("trace_id", F.col("sourceIndex").alias("target")), ["trace_id", "target"], "left_semi")
+    direct = direct.join(sources.select(*key), key, "left_semi")
+    return subtree_sums(direct, known, ["trace_id"], "sourceIndex", "target", "node", list(TOTALS), repeated_edges=True)
 
 
 def source_rows(sources: DataFrame, children: DataFrame, parts: DataFrame) -> DataFrame:

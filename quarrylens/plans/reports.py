@@ -17,6 +17,7 @@ from quarrylens.operators.counts import spread
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordering import ordering
 from quarrylens.operators.ordinal import top_per_group
+from quarrylens.plans.cpu import interaction_cpu_hotspots
 from quarrylens.plans.facts import split_categories, trace_bounds
 
 FRAME_MARGIN_US = 16_000
@@ -199,14 +200,15 @@ def interaction_report(tables: Tables, interaction_id: str | None = None) -> dic
     renders = inside("devtools.views.renderMeasures")
     frames = inside("devtools.views.framePipeline")
     navs = tables("devtools.dims.softNavigations")
-    cpu = tables("devtools.views.interactionCpuHotspots")
+    # Only the samples of this window are gathered, not those of every interaction.
+    samples = inside("devtools.facts.cpuSamples")
+    cpu = interaction_cpu_hotspots(samples, _one(interactions, "interactionId", target))
     code = tables("devtools.views.codeHotspots")
     if target is None:
-        navs, cpu, code = navs.limit(0), cpu.limit(0), code.limit(0)
+        navs, code = navs.limit(0), code.limit(0)
     else:
         same = F.col("trace_id") == target["trace_id"]
         navs = navs.filter(same & (F.col("startTsUs") <= end) & (F.col("endTsUs") >= start))
-        cpu = cpu.filter(same & (F.col("scopeId") == target["interactionId"]))
         code = code.filter(same)
     return {
         "interaction": _one(interactions, "interactionId", target),

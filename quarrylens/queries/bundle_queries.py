@@ -10,13 +10,13 @@ from quarrylens.queries.json_queries import turn_documents
 from quarrylens.queries.registry import query
 from quarrylens.sources.classify import HEAD_BYTES, TRACE_EVENTS, source_kind
 from quarrylens.sources.module_graph import decode_contents, edges
-from quarrylens.sources.star_events import read_table
+from quarrylens.sources.star_events import read_table, spread_table
 
 
 # Chunks ---------------------------------------------------------------------------------
 def page_chunks(spark, sf_dir):
     """Each page is a chunk; its host holds a package file and a file shared by language."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = spread_table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
     lang = F.regexp_extract("url", "^https?://[^/]+/([^/]+)", 1)
     size = F.length("html")

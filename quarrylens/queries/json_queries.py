@@ -10,14 +10,14 @@ from quarrylens.plans import artifacts as art
 from quarrylens.plans import dims, rawjson
 from quarrylens.queries.registry import query, with_events
 from quarrylens.sources.documents import dataset_id
-from quarrylens.sources.star_events import base_rows, by_type, read_table, trace_of
+from quarrylens.sources.star_events import base_rows, by_type, read_table, spread_table, trace_of
 from quarrylens.sources.trace_events import trace_events, trace_metadata
 
 
 # Trace documents ------------------------------------------------------------------------
 def turn_documents(spark, sf_dir):
     """Each conversation turn as a trace document: an object, or a bare event array."""
-    turns = read_table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations")
     key = F.concat_ws("-", "conv_id", "turn")
 
     def event(name, offset):
@@ -41,7 +41,7 @@ def turn_documents(spark, sf_dir):
 
 TURN_EVENTS = """SELECT left(sha256(conv_id || '-' || turn), 8) AS trace_id, n AS "rawIndex",
   CASE n WHEN 0 THEN 'say' ELSE 'end' END AS name, 'X' AS ph, conv_id AS pid, turn AS tid,
-  turn * 1000 + n * 500 AS ts, CAST(length(text) AS BIGINT) AS dur, role, md5(text) AS digest
+  turn * 1000 + n * 500 AS ts, CAST(length(text) AS DOUBLE) AS dur, role, md5(text) AS digest
 FROM conversations, (SELECT unnest([0, 1]) AS n)"""
 
 
@@ -73,7 +73,7 @@ def trace_document_metadata(spark, sf_dir):
 
 # Discovery ------------------------------------------------------------------------------
 def _turn_nodes(spark, sf_dir):
-    turns = read_table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations")
     inner = F.struct(
         F.col("turn").alias("startTurn"),
         F.array(F.col("role"), F.col("turn").cast("string")).alias("mix"),
@@ -114,7 +114,7 @@ def path_catalog(spark, sf_dir):
 UNION ALL SELECT '$.k', count(*), 'number' FROM events""",
 )
 def event_props_paths(spark, sf_dir):
-    nodes = walk_json(read_table(spark, sf_dir, "events"), ["event_id"], "props")
+    nodes = walk_json(spread_table(spark, sf_dir, "events"), ["event_id"], "props")
     rows = rawjson.path_catalog(nodes, keys=(), order=("event_id",))
     return rows.withColumn("types", F.array_join("types", ",")).drop("samples")
 
@@ -124,7 +124,7 @@ def event_props_paths(spark, sf_dir):
     """SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events ORDER BY 'e' || event_id LIMIT 5""",
 )
 def path_samples(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "events").select(
+    docs = spread_table(spark, sf_dir, "events").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("trace_id"), "props"
     )
     return rawjson.path_samples(walk_json(docs, ["trace_id"], "props"), "$.k").select("value")
@@ -148,7 +148,7 @@ def time_like_paths(spark, sf_dir):
 
 def _conversation_documents(spark, sf_dir):
     """A document per turn with two arrays of one name and one nested in objects."""
-    turns = read_table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations")
     word = F.split("text", " ")
     parts = F.transform(word, lambda w: F.struct(w.alias("w"), F.length(w).alias("n")))
     body = F.struct(
@@ -233,7 +233,7 @@ def raw_capabilities(spark, sf_dir):
 # Blobs ----------------------------------------------------------------------------------
 def blob_documents(spark, sf_dir):
     """Documents wrapping their text in each of the ways a payload may be held."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     coded = F.base64(F.encode("text", "UTF-8"))
     coded = F.regexp_replace(coded, r"[\r\n]", "")
     body = F.struct(
@@ -281,7 +281,7 @@ def embedded_blobs(spark, sf_dir):
 )
 def base64_texts(spark, sf_dir):
     coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "")
-    return read_table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id",
         blobs.is_base64(coded).alias("whole"),
         blobs.is_base64(F.substr(coded, F.lit(2))).alias("cut"),
@@ -337,7 +337,7 @@ def stored_gzip(data):
 )
 def gunzip(spark, sf_dir):
     """Gzipped texts come back whole; texts that are not gzip give NULL."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
     packed = docs.withColumn("packed", stored_gzip(F.col("data")))
     opened = packed.select(
         "doc_id", blobs.gunzip(F.col("packed")).alias("out"), blobs.gunzip(F.col("data")).isNull().alias("plain")
@@ -405,7 +405,7 @@ def _empty(spark, schema):
 
 def _document_maps(spark, sf_dir):
     """Documents as source maps: every document is the content of one source."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     entry = F.struct(
         F.concat(F.lit("https://m/"), F.col("source")).alias("url"),
         F.lit("x.map").alias("sourceMapUrl"),
@@ -547,7 +547,7 @@ def export_manifest(spark, sf_dir):
 )
 def manifest_metadata(spark, sf_dir):
     short = art.shorten(F.create_map(F.lit("text"), F.col("text")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", short["text"].alias("text"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", short["text"].alias("text"))
 
 
 @query(
@@ -698,6 +698,6 @@ def human_sizes(spark, sf_dir):
 )
 def decode_and_hash(spark, sf_dir):
     data = blobs.from_base64(F.base64(F.encode("text", "UTF-8")))
-    return read_table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", F.sha2(data, 256).alias("hash"), F.octet_length(data).cast("bigint").alias("bytes")
     )

@@ -276,8 +276,8 @@ class _Tables:
         schema = "trace_id string, nodeId string, scriptId string, url string, functionName string, selfTimeMs double, sampleCount bigint"
         return self.spark.createDataFrame([], schema)
 
-    def _interactionCpuHotspots(self):
-        schema = "trace_id string, scopeId string, nodeId string, totalTimeMs double, sampleCount bigint"
+    def _cpuSamples(self):
+        schema = "trace_id string, nodeId string, functionName string, url string, scriptId string, tsUs bigint, timeDeltaUs bigint"
         return self.spark.createDataFrame([], schema)
 
     def _cpuCallTrees(self):

@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.operators.spreading import spread_rows
+
 MICROS_PER_MINUTE = 60_000_000
 
 
@@ -18,6 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become documents or events, spread by its first column."""
+    rows = read_table(spark, sf_dir, name)
+    return spread_rows(rows, rows.columns[0])
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
     seconds = F.unix_date(F.to_date(ts)) * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
@@ -28,7 +36,7 @@ def epoch_micros(ts: Column) -> Column:
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rawIndex, trace_id, pid, tid, uid, ts, minutes, et, k."""
-    return read_table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("rawIndex"),
         F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("trace_id"),
         (F.col("user_id") % 8).alias("pid"),

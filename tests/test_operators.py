@@ -5,11 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import range_join as rj
-from quarrylens.operators.closure import CycleError, ancestor_closure, root_paths
+from quarrylens.operators.closure import CycleError, ancestor_closure, root_paths, subtree_sums
 from quarrylens.operators.lineage import ensure_checkpoint_dir
 from quarrylens.operators.ordinal import ordinal_by_order, ordinal_by_unique, top_per_group
-from quarrylens.operators.range_join import IntervalStats, interval_stats, overlap_join, range_join
+from quarrylens.operators.range_join import interval_stats, overlap_join, range_join
 from quarrylens.operators.sessions import capped_sessions
 
 
@@ -31,10 +30,14 @@ def test_range_join(spark, broadcast):
     w = spark.createDataFrame(spans, schema)
     stats = interval_stats(w, "s", "e")
     assert stats.rows == 60 and len(stats.levels) > 2
-    if not broadcast:
-        stats = IntervalStats(rj.BROADCAST_ROWS + 1, stats.levels)
-    got = range_join(p, w, ["k"], "ts", "s", "e", stats=stats)
-    pairs = sorted((r["p"], r["s_id"]) for r in got.collect())
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, before if broadcast else "-1")
+    try:
+        got = range_join(p, w, ["k"], "ts", "s", "e", stats=stats)
+        pairs = sorted((r["p"], r["s_id"]) for r in got.collect())
+    finally:
+        spark.conf.set(key, before)
     want = sorted(
         (pid, sid) for pk, pid, ts in points for sk, sid, lo, hi in spans if pk == sk and lo <= ts <= hi
     )
@@ -105,6 +108,32 @@ def test_closure_of_a_deep_chain(spark):
     assert closure.count() == depth * (depth + 1) // 2
 
 
+def test_subtree_sums(spark):
+    """Against a plain recursion over random graphs, where nodes may have several parents."""
+    rng = random.Random(4)
+    edges = [(c, rng.randrange(c)) for c in range(1, 60) for _ in range(rng.choice([1, 1, 1, 2]))]
+    own = {n: rng.randrange(10) for n in range(60) if n % 3}
+    values = spark.createDataFrame(list(own.items()), "n int, v bigint")
+    frame = spark.createDataFrame(edges, "n int, up int")
+    for repeated in (False, True):
+        used = edges if repeated else sorted(set(edges))
+
+        def below(n, used=used):
+            return own.get(n, 0) + sum(below(c) for c, p in used if p == n)
+
+        got = subtree_sums(values, frame, [], "n", "n", "up", ["v"], repeated_edges=repeated)
+        found = {r["n"]: r["v"] for r in got.collect()}
+        assert {n: found.get(n, 0) for n in range(60)} == {n: below(n) for n in range(60)}
+
+
+def test_subtree_sums_of_a_deep_chain(spark):
+    depth = 2_000
+    nodes = spark.range(depth).select(F.col("id").alias("n"), F.lit(1).alias("v"))
+    edges = nodes.filter("n > 0").select("n", (F.col("n") - 1).alias("up"))
+    got = subtree_sums(nodes, edges, [], "n", "n", "up", ["v"])
+    assert got.filter(F.col("v") != depth - F.col("n")).isEmpty() and got.count() == depth
+
+
 def test_closure_rejects_a_cycle(spark):
     nodes = spark.createDataFrame([(1,), (2,)], "n int")
     edges = spark.createDataFrame([(1, 2), (2, 1)], "n int, up int")
@@ -164,14 +193,11 @@ def test_ordinals(spark):
     assert top.count() == 6
 
 
-def test_broadcast_only_below_the_bound(spark):
+def test_range_join_leaves_the_strategy_to_spark(spark):
     p = spark.createDataFrame([("a", 1, 5)], "k string, p int, ts bigint")
     w = spark.createDataFrame([("a", 1, 0, 10)], "k string, s_id int, s bigint, e bigint")
-    small = range_join(p, w, ["k"], "ts", "s", "e")
-    plan = small._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan
-    large = range_join(p, w, ["k"], "ts", "s", "e", stats=IntervalStats(rj.BROADCAST_ROWS + 1, (0,)))
-    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    joined = range_join(p, w, ["k"], "ts", "s", "e")
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_checkpoint_folder_is_set(spark):
