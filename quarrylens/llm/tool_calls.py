@@ -191,8 +191,9 @@ def call_order(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     A call that comes after all it refers to keeps its place in time.  Only the others move:
     each takes the latest place of what it refers to, one step deeper, until nothing changes.
-    That takes as many rounds as the longest chain of calls that refer forwards; calls still
-    moving after ``rounds`` (a cycle, or a longer chain) are not settled and stay where they are.
+    That takes as many rounds as the longest chain of calls that refer forwards.  If calls still
+    move after ``rounds``, those that moved in the second half of them are not settled: they are
+    in or behind a cycle, or at the end of a longer chain.
     """
     edges = cut(
         calls.select("conv_id", "call_id", F.explode("refs").alias("ref"))
@@ -203,6 +204,7 @@ def call_order(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     if edges.isEmpty():
         return places
     places = cut(places)
+    late = None
     for left in range(rounds, -1, -1):
         target = places.select("conv_id", F.col("call_id").alias("ref"), F.col("place").alias("_before"))
         pushed = (
@@ -219,12 +221,13 @@ def call_order(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         )
         if moved.isEmpty():
             return places
+        if left <= rounds // 2:
+            late = moved.drop("_pushed") if late is None else late.unionByName(moved.drop("_pushed"))
         found = places.join(moved, ["conv_id", "call_id"], "left")
-        if left:
-            places = cut(found.select("conv_id", "call_id", F.coalesce("_pushed", "place").alias("place"), "settled"))
-        else:
-            places = found.select("conv_id", "call_id", "place", F.col("_pushed").isNull().alias("settled"))
-    return places
+        places = cut(found.select("conv_id", "call_id", F.coalesce("_pushed", "place").alias("place"), "settled"))
+    moving = late.distinct().withColumn("_late", F.lit(True))
+    found = places.join(moving, ["conv_id", "call_id"], "left")
+    return found.select("conv_id", "call_id", "place", F.col("_late").isNull().alias("settled"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], rounds: int = ROUNDS) -> DataFrame:

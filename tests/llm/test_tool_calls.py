@@ -75,7 +75,7 @@ def test_links_orders_and_errors(spark):
     got = linked(spark, rows)
     assert len(got) == 18
     one = [(r.kind, r.call_id) for r in got if r.conv_id == 1]
-    place = {x: i for i, x in enumerate(one)}
+    place = {x: i for i, x in reversed(list(enumerate(one)))}
     assert place[("call", "z")] < place[("call", "y")] < place[("result", "y")]
     assert place[("call", "z")] < place[("result", "z")] and place[("call", "x")] < place[("result", "x")]
     by = {(r.conv_id, r.turn, r.kind, r.call_id): r for r in got}
