@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
 
-NODE_FIELDS = ("path", "loc", "pos", "v", "t", "level")
+NODE_FIELDS = ("path", "pos", "v", "level")
 
 
 def bracket_depth(text: Column) -> Column:
@@ -40,25 +40,19 @@ def walk_json(
     keys: Sequence[str],
     text: str,
     *,
-    ordered: bool = False,
     depth: int | None = None,
 ) -> DataFrame:
-    """(keys, path, loc, pos, v): one row per value of the JSON text.
+    """(keys, path, pos, v): one row per value of the JSON text.
 
-    ``path`` writes arrays as ``[]``.  ``pos`` lists the positions from the root, so
-    sorting by it gives visit order.  With ``ordered`` object members count in the
-    order they are written, which needs the text of every container, and ``loc`` is
-    the path with array indexes; otherwise members count in key order and ``loc`` is
-    left empty.
+    ``path`` writes arrays as ``[]``.  ``pos`` lists the positions from the root, members
+    in key order, so sorting by it gives visit order.
     """
     depth = max_depth(documents, text) if depth is None else depth
     root = documents.select(
         *keys,
         F.lit("$").alias("path"),
-        (F.lit("$") if ordered else F.lit(None).cast("string")).alias("loc"),
         F.array().cast("array<int>").alias("pos"),
         F.parse_json(F.col(text)).alias("v"),
-        (F.col(text) if ordered else F.lit(None).cast("string")).alias("t"),
         F.lit(0).alias("level"),
     )
     for level in range(depth):
@@ -67,54 +61,29 @@ def walk_json(
         opened = root.withColumn("_members", F.when(here, p.v_object(F.col("v"), "$"))).withColumn(
             "_items", F.when(here & F.col("_members").isNull(), p.v_array(F.col("v"), "$"))
         )
-        root = opened.select(*keys, F.inline(_expand(level, ordered)))
-    return root.drop("t", "level")
+        root = opened.select(*keys, F.inline(_expand(level)))
+    return root.drop("level")
 
 
-def _node(path, loc, pos, v, t, level) -> Column:
-    values = (path, loc, pos, v, t, level)
+def _node(path, pos, v, level) -> Column:
+    values = (path, pos, v, level)
     return F.struct(*[x.alias(n) for x, n in zip(values, NODE_FIELDS, strict=True)])
 
 
-def _expand(level: int, ordered: bool) -> Column:
-    path, loc, pos, v, t = (F.col(c) for c in ("path", "loc", "pos", "v", "t"))
-    own = F.array(_node(path, loc, pos, v, t, F.col("level")))
+def _expand(level: int) -> Column:
+    path, pos, v = (F.col(c) for c in ("path", "pos", "v"))
+    own = F.array(_node(path, pos, v, F.col("level")))
     members, items = F.col("_members"), F.col("_items")
     below = F.lit(level + 1)
-    nothing = F.lit(None).cast("string")
-    if ordered:
-        written = F.map_entries(F.from_json(t, "map<string,string>"))
-        parts = F.from_json(t, "array<string>")
-    else:
-        written = F.map_entries(members)
-        parts = None
 
     def member(e: Column, i: Column) -> Column:
-        key = e["key"]
-        value = F.try_element_at(members, key) if ordered else e["value"]
-        text = e["value"] if ordered else nothing
-        return _node(
-            F.concat(path, F.lit("."), key),
-            F.concat(loc, F.lit("."), key) if ordered else nothing,
-            F.concat(pos, F.array(i)),
-            value,
-            text,
-            below,
-        )
+        return _node(F.concat(path, F.lit("."), e["key"]), F.concat(pos, F.array(i)), e["value"], below)
 
     def item(x: Column, i: Column) -> Column:
-        text = F.get(parts, i) if ordered else nothing
-        return _node(
-            F.concat(path, F.lit("[]")),
-            F.concat(loc, F.lit("["), i.cast("string"), F.lit("]")) if ordered else nothing,
-            F.concat(pos, F.array(i)),
-            x,
-            text,
-            below,
-        )
+        return _node(F.concat(path, F.lit("[]")), F.concat(pos, F.array(i)), x, below)
 
     return (
-        F.when(members.isNotNull(), F.concat(own, F.transform(written, member)))
+        F.when(members.isNotNull(), F.concat(own, F.transform(F.map_entries(members), member)))
         .when(items.isNotNull(), F.concat(own, F.transform(items, item)))
         .otherwise(own)
     )

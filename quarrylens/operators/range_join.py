@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 
-FANOUT = 8
+FANOUT = 16
 BASE_WIDTH = 1024
-MAX_LEVEL = 16
+MAX_LEVEL = 11
 
 
 @dataclass(frozen=True)

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.functions import blobs
 from quarrylens.functions import payload as p
-from quarrylens.operators.json_walk import walk_json
+from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import top_per_group
 
 SAMPLE_LIMIT = 5
+# Words in the paths of times and of payloads.
 TIME_LIKE = r"(?i)(time|timestamp|duration|start|end|ts)"
 BLOB_PATH = r"(?i)(snapshot|base64|blob|image|payload|body|content)$"
+_BLOB_PATH = re.compile(BLOB_PATH)
 
 # Members of an object that may hold a payload, in order.
 WRAPPER_KEYS = ("data", "body", "content", "payload", "bytesBase64", "base64", "snapshot")
+# Members that describe it.
+_WRAPPER_MEMBERS = (*WRAPPER_KEYS, "mimeType", "contentType", "mediaType", "encoding", "filename", "name")
 
 
 def path_catalog(
@@ -243,10 +251,73 @@ def _filename_hint(v: Column) -> Column:
     return F.coalesce(p.v_str(v, "$.filename"), F.when(F.contains(name, F.lit(".")), name))
 
 
+def _is_numbers(value) -> bool:
+    return isinstance(value, list) and bool(value) and all(type(x) in (int, float) for x in value)
+
+
+def _payload_nodes(text: str) -> Iterator[tuple[str, list[int], str]]:
+    """(loc, pos, JSON) of the values that may hold a payload, members in written order.
+
+    Of an object only the members that say something about a payload are given.
+    """
+    stack = [("$", (), json.loads(text))]
+    while stack:
+        loc, pos, value = stack.pop()
+        if isinstance(value, str):
+            if value.startswith("data:") or (len(value) >= 16 and _BLOB_PATH.search(loc)):
+                yield loc, list(pos), json.dumps(value)
+        elif _is_numbers(value):
+            yield loc, list(pos), json.dumps(value)
+        elif isinstance(value, list):
+            stack.extend((f"{loc}[{i}]", (*pos, i), x) for i, x in enumerate(value) if isinstance(x, str | list | dict))
+        elif isinstance(value, dict):
+            own = {k: value[k] for k in _WRAPPER_MEMBERS if k in value and (isinstance(value[k], str) or _is_numbers(value[k]))}
+            if not own.keys().isdisjoint(WRAPPER_KEYS):
+                yield loc, list(pos), json.dumps(own)
+            members = enumerate(value.items())
+            stack.extend((f"{loc}.{k}", (*pos, i), x) for i, (k, x) in members if isinstance(x, str | list | dict))
+
+
+def payload_nodes(documents: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, loc, pos, v) of the values that may hold a payload, in one pass over each text.
+
+    ``pos`` lists the positions from the root, so sorting by it gives visit order.
+    """
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, found = [], []
+            for row, value in enumerate(batch.column(width).to_pylist()):
+                own = [] if value is None else list(_payload_nodes(value))
+                owners.extend([row] * len(own))
+                found.extend(own)
+            at = pa.array(owners, pa.int32())
+            columns = [
+                *[c.take(at) for c in batch.columns[:width]],
+                pa.array([x[0] for x in found], pa.string()),
+                pa.array([x[1] for x in found], pa.list_(pa.int32())),
+                pa.array([x[2] for x in found], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "loc", "pos", "json"])
+
+    rows = documents.select(*keys, text)
+    fields = [rows.schema[k] for k in keys]
+    schema = T.StructType(
+        [
+            *fields,
+            T.StructField("loc", T.StringType()),
+            T.StructField("pos", T.ArrayType(T.IntegerType())),
+            T.StructField("json", T.StringType()),
+        ]
+    )
+    return rows.mapInArrow(run, schema).select(*keys, "loc", "pos", F.parse_json("json").alias("v"))
+
+
 def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Payloads found in walked JSON, first candidate per location, with ``blobIndex``.
 
-    ``nodes`` must be walked in written order.  An object is met before its members,
+    ``nodes`` are those of :func:`payload_nodes`.  An object comes before its members,
     so a payload named by its wrapper wins over the bare member.  Payloads are passed
     on as found; :func:`decode_blobs` decodes each once.
     """
@@ -255,7 +326,7 @@ def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     is_object = p.v_object(v, "$").isNotNull()
     # Exploding keeps the search from being repeated for every field read below.
     search = F.array(F.when(is_object, _wrapper(v, loc)).otherwise(_leaf(v, loc)))
-    found = (
+    found = cut(
         nodes.select(
             *keys,
             "pos",
@@ -264,19 +335,19 @@ def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         .filter(F.col("c").isNotNull())
         .select(*keys, "pos", "filenameHint", "c.*")
-        # Both windows below are met by one exchange on the document.
-        .repartition(*[F.col(k) for k in keys])
     )
+    # Positions are numbered without the payloads, which are joined back by their own place.
     # pos of a wrapper is the object's, which sorts before its members.
+    places = found.select(*keys, "loc", "pos").repartition(*[F.col(k) for k in keys])
     per_loc = Window.partitionBy(*keys, "loc").orderBy("pos")
     inside_document = Window.partitionBy(*keys).orderBy("pos")
-    return (
-        found.withColumn("_rn", F.row_number().over(per_loc))
+    numbered = (
+        places.withColumn("_rn", F.row_number().over(per_loc))
         .filter("_rn = 1")
         .withColumn("blobIndex", F.row_number().over(inside_document) - 1)
-        .withColumnRenamed("loc", "path")
-        .drop("_rn", "pos")
+        .drop("_rn")
     )
+    return found.join(numbered, [*keys, "loc", "pos"]).withColumnRenamed("loc", "path").drop("pos")
 
 
 def _raw_bytes() -> Column:
@@ -312,7 +383,7 @@ def decode_blobs(candidates: DataFrame) -> DataFrame:
 
 def embedded_blobs(documents: DataFrame, text: str = "text", keys: Sequence[str] = ("trace_id",)) -> DataFrame:
     """``raw.embeddedBlobs``: payloads held in documents, decoded and hashed."""
-    nodes = walk_json(documents, keys, text, ordered=True)
+    nodes = payload_nodes(documents, keys, text)
     index = F.col("blobIndex").cast("string")
     padded = F.when(F.length(index) < 4, F.lpad(index, 4, "0")).otherwise(index)
     return decode_blobs(blob_candidates(nodes, keys)).select(
@@ -347,8 +418,8 @@ def request_bodies(events: DataFrame, requests: DataFrame) -> DataFrame:
         )
         .filter(F.col("requestId").isNotNull())
     )
-    nodes = walk_json(holders, ["trace_id", "rawIndex", "tsUs", "requestId"], "data", ordered=True)
-    found = decode_blobs(blob_candidates(nodes, ["trace_id", "rawIndex", "tsUs", "requestId"]))
+    keys = ["trace_id", "rawIndex", "tsUs", "requestId"]
+    found = decode_blobs(blob_candidates(payload_nodes(holders, keys, "data"), keys))
     both = F.concat_ws(":", "rawIndex", "blobIndex")
     owner = requests.select("trace_id", "requestId", "url", "mimeType")
     index = F.col("blobIndex").cast("string")

@@ -233,8 +233,10 @@ def _changes(changes: DataFrame, row: Row | None, start, end) -> DataFrame:
     return within(changes, row, "tsUs", start, end).orderBy("tsUs", "sourceOrder", "rawIndex")
 
 
-def frame_report(tables: Tables, frame_sequence: str | None = None) -> dict[str, DataFrame]:
-    """``devtools.frame``: a frame, its screenshot, visual changes within 16 ms."""
+def frame_report(
+    tables: Tables, frame_sequence: str | None = None, margin_us: int = FRAME_MARGIN_US
+) -> dict[str, DataFrame]:
+    """``devtools.frame``: a frame, its screenshot, visual changes within 16 ms or ``margin_us``."""
     frames = tables("devtools.views.framePipeline")
     shots = tables("devtools.dims.screenshots")
     order = (F.col("rawIndex"), F.col("trace_id"))
@@ -250,7 +252,7 @@ def frame_report(tables: Tables, frame_sequence: str | None = None) -> dict[str,
         "frame": _one(frames, "frameReportId", target),
         "screenshot": shown,
         "visualChanges": _changes(
-            tables("devtools.views.visualChanges"), target, ts - FRAME_MARGIN_US, ts + FRAME_MARGIN_US
+            tables("devtools.views.visualChanges"), target, ts - margin_us, ts + margin_us
         ),
     }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.dataset import chunk_dataset
 from quarrylens.plans import chunks as ch
 from quarrylens.plans import module_graph as mg
 from quarrylens.queries.json_queries import turn_documents
@@ -171,6 +172,23 @@ def bundle_summary_packages(spark, sf_dir):
     return report["topPackages"].select("packageName", "parsedSize")
 
 
+@query(
+    "f14_bundle_capabilities",
+    CHUNKS
+    + """ SELECT TRUE AS "bundleAnalyzer", CAST(1 AS BIGINT) AS "totalChunks", CAST(3 AS BIGINT) AS "totalModules", TRUE AS "hasGzipSizes",
+  TRUE AS "hasBrotliSizes", page_id > 0 AS "hasSourceMaps", CAST(entry AS BIGINT) AS "entryChunks" FROM c""",
+)
+def bundle_capabilities(spark, sf_dir):
+    """Each page as a bundle of one chunk."""
+    docs = page_chunks(spark, sf_dir).select(
+        F.col("chunkIndex").cast("string").alias("trace_id"),
+        F.concat(F.lit("/"), F.col("chunkIndex").cast("string")).alias("path"),
+        F.lit(0).cast("bigint").alias("fileSizeBytes"),
+        F.parse_json(F.concat(F.lit("["), F.to_json("chunk"), F.lit("]"))).alias("doc"),
+    )
+    return chunk_dataset(spark, docs).capabilities().drop("trace_id")
+
+
 @query(
     "a07_chunk_documents",
     """SELECT page_id % 2 AS valid, count(*) AS chunks FROM pages WHERE page_id % 2 = 1 GROUP BY 1""",
