@@ -43,7 +43,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("part")
 
 
-@query("op3_pivot_permutation")
+# All pairs, in double precision, and the smallest id reachable by links.
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), found AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT f.vec_id, count(l.b) AS n_links, f.component_id, f.vec_id = f.component_id AS kept
+FROM found f LEFT JOIN links l ON l.a = f.vec_id GROUP BY f.vec_id, f.component_id"""
+
+
+@query("op3_pivot_permutation", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
