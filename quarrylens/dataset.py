@@ -112,6 +112,11 @@ class Dataset:
 
         Events that look like a row's source, but gave none, are left out.
         """
+        if name in EVENT_TABLES:
+            rows = self.frame(name)
+            event = F.col("eventId") if "eventId" in rows.columns else facts.event_id()
+            row_id = F.col(EVENT_TABLES[name]).cast("string")
+            return rows.select("trace_id", F.lit(name).alias("layer"), row_id.alias("rowId"), event.alias("eventId"))
         found = provenance(self.frame("devtools.facts.events"), name)
         if name not in ROW_IDS:
             return found
@@ -234,6 +239,17 @@ ROW_IDS = {
 }
 
 
+# Tables with one row per event, and the column that identifies the row.
+EVENT_TABLES = {
+    "devtools.facts.cpuSamples": "sampleId",
+    "devtools.dims.screenshots": "screenshotId",
+    "devtools.dims.requestBodies": "requestBodyId",
+    "devtools.dims.tasks": "taskId",
+    "devtools.views.mainThreadTasks": "taskId",
+    "devtools.views.visualChanges": "changeId",
+}
+
+
 def manifest_of(kind: str, files: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per file: what was opened, when, and how much it holds."""
     return files.join(counts, "trace_id", "left").select(

@@ -43,7 +43,9 @@ def _row_ids() -> dict[str, Column]:
             event,
         ),
         "devtools.facts.objectLifecycles": F.coalesce("id", "flowScope"),
+        "devtools.raw.events": event,
         "devtools.dims.processes": F.col("pid").cast("string"),
+        "devtools.dims.threads": F.col("threadKey"),
         "devtools.dims.frames": F.col("frameId"),
         "devtools.dims.workers": F.col("workerId"),
         "devtools.dims.layers": F.col("layerId"),

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from traces import b64, data, ev, full_trace
 
-from quarrylens.dataset import open_dataset
+from quarrylens.dataset import EVENT_TABLES, ROW_IDS, open_dataset, trace_dataset
 from quarrylens.plans import dims, facts, reports
 from quarrylens.plans.table_plan import TableQuery
 from quarrylens.sources.classify import classify
-from quarrylens.sources.trace_events import trace_events
+from quarrylens.sources.trace_events import trace_events, trace_metadata
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,21 @@ def test_two_traces_keep_their_files_and_reports(spark, two, tmp_path):
     assert [(r["trace_id"], round(r["durationMs"], 6)) for r in short] == [(traces["b.json"], 0.0007)]
 
 
+def test_provenance_names_rows_and_events_that_exist(spark, two):
+    """Also where an event looks like a source and gave no row: a shift without data, a report without content."""
+    trace = full_trace()
+    trace["traceEvents"] += [ev("LayoutShift", "I", 9_000), ev("PipelineReporter", "b", 9_001), ev("UserTiming::Measure", "X", 9_002, dur=1)]
+    document = spark.createDataFrame([("t", json.dumps(trace))], "trace_id string, text string")
+    document = document.withColumn("doc", F.parse_json("text"))
+    ds = trace_dataset(spark, trace_events(document), trace_metadata(document))
+    events = {r["eventId"] for r in ds.frame("devtools.facts.events").select("eventId").collect()}
+    for name, column in {**ROW_IDS, **EVENT_TABLES, "devtools.dims.threads": "threadKey"}.items():
+        rows = {r["id"] for r in ds.frame(name).select(F.col(column).cast("string").alias("id")).collect()}
+        found = ds.provenance(name).collect()
+        assert {r["rowId"] for r in found} == rows, name
+        assert {r["eventId"] for r in found} <= events, name
+
+
 def test_equal_paths_in_one_trace(spark, tmp_path):
     trace = full_trace()
     body = "data:application/json;base64," + b64('{"ok":false}')
