@@ -94,7 +94,8 @@ def repeated_passages(
     document; other texts under the same id are documents of their own, ordered by a hash.
     An empty table has no passages.
     """
-    units = cut(find_units(docs, doc_id, text, unit))
+    # Read twice: cutting texts into units again is cheaper than writing all units.
+    units = find_units(docs, doc_id, text, unit)
     place = F.struct("rank", "part", "pos")
     first = (
         units.groupBy("h1", "h2")
