@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 TOKENIZERS = "/opt/tokenizers"
 WHITE = "\t\n\x0b\x0c\r "  # the class [\x20\x09-\x0D]
 BROADCAST_BYTES = 4 << 20
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,13 @@ def append_columns(
         for batch in batches:
             if compute is None:
                 compute = make()
-            columns = batch.columns
-            found = compute(*columns[width:])
-            found = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) for x, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns[:width], *found], names=[*kept, *names])
+            # A batch has many rows, and long texts make it large: it is worked on in parts.
+            step = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                columns = batch.slice(at, step).columns
+                found = compute(*columns[width:])
+                found = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) for x, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns[:width], *found], names=[*kept, *names])
 
     fields = {f.name: f for f in df.schema}
     schema = T.StructType([fields[c] for c in kept] + list(added))

@@ -18,7 +18,6 @@ from math import inf
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.common import TOKENIZERS, append_columns, read_bytes
@@ -26,36 +25,53 @@ from quarrylens.llm.common import TOKENIZERS, append_columns, read_bytes
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_COST = 10.0  # below the least score of a piece
-CACHED_SEGMENTS = 500_000
+CACHED_SEGMENTS = 200_000
 CACHED_LENGTH = 64
 
 
-class PieceCoder:
-    """Encoder and decoder of one model; ``content`` is the model file's bytes."""
+class PieceDecoder:
+    """Decoder of one model; ``content`` is the model file's bytes."""
 
     def __init__(self, content: bytes):
-        import ahocorasick
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_proto=content)
-        size = model.get_piece_size()
+        self.model = model = sentencepiece.SentencePieceProcessor(model_proto=content)
+        self.raw = [b""] * model.get_piece_size()
+        for i in range(len(self.raw)):
+            if model.is_byte(i):
+                self.raw[i] = bytes([int(model.id_to_piece(i)[3:5], 16)])
+            elif self.is_text(i):
+                self.raw[i] = model.id_to_piece(i).replace(BLANK, " ").encode()
+
+    def is_text(self, i: int) -> bool:
+        model = self.model
+        return not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; bytes that are no UTF-8 become the replacement character."""
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+
+
+class PieceCoder(PieceDecoder):
+    """Encoder and decoder of one model."""
+
+    def __init__(self, content: bytes):
+        import ahocorasick
+
+        super().__init__(content)
         self.byte_ids = [0] * 256
-        self.raw = [b""] * size
-        self.lengths = [0] * size
+        self.lengths = [0] * len(self.raw)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         single, scores, separable = set(), [], True
-        for i in range(size):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte_ids[value] = i
-                self.raw[i] = bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                text = piece.replace(BLANK, " ")
-                self.raw[i] = text.encode()
+        for i, raw in enumerate(self.raw):
+            if self.model.is_byte(i):
+                self.byte_ids[raw[0]] = i
+            elif self.is_text(i):
+                text = raw.decode()
                 self.lengths[i] = len(text)
-                self.automaton.add_word(text, (len(text), model.get_score(i), i))
-                scores.append(model.get_score(i))
+                self.automaton.add_word(text, (len(text), self.model.get_score(i), i))
+                scores.append(self.model.get_score(i))
                 separable = separable and " " not in text.lstrip(" ")
                 if len(text) == 1:
                     single.add(text)
@@ -136,11 +152,6 @@ class PieceCoder:
             found = b"".join(map(known.__getitem__, parts))
         return np.frombuffer(found, dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
-
 
 _coders: dict[bytes, PieceCoder] = {}
 
@@ -152,6 +163,19 @@ def coder(content: bytes) -> PieceCoder:
     return _coders[content]
 
 
+IDS = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+
+
+def _id_arrays(found: list[np.ndarray | None]) -> list[pa.Array]:
+    """The id lists of a batch and their lengths."""
+    sizes = np.array([0 if x is None else len(x) for x in found], dtype=np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    values = pa.array(np.concatenate([x for x in found if x is not None] or [np.empty(0, dtype=np.int32)]))
+    missing = pa.array([x is None for x in found], pa.bool_())
+    lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=missing)
+    return [lists, pa.array([None if x is None else len(x) for x in found], pa.int64())]
+
+
 def encode_texts(docs: DataFrame, text: str = "text", tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
     """``docs`` with ``token_ids`` and ``n_tokens``.
 
@@ -160,23 +184,16 @@ def encode_texts(docs: DataFrame, text: str = "text", tokenizers: str = TOKENIZE
     table stays empty, and an input column named like a result is replaced by it.
     """
     content = read_bytes(f"{tokenizers}/{model}")
-    added = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
     def make():
         own = coder(content)
 
         def compute(texts: pa.Array) -> list:
-            found = [None if x is None else own.encode(x) for x in texts.to_pylist()]
-            sizes = np.array([0 if x is None else len(x) for x in found], dtype=np.int64)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = pa.array(np.concatenate([x for x in found if x is not None] or [np.empty(0, dtype=np.int32)]))
-            missing = pa.array([x is None for x in found], pa.bool_())
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=missing)
-            return [lists, pa.array([None if x is None else len(x) for x in found], pa.int64())]
+            return _id_arrays([None if x is None else own.encode(x) for x in texts.to_pylist()])
 
         return compute
 
-    return append_columns(docs, [text], added, make)
+    return append_columns(docs, [text], T.StructType(IDS), make)
 
 
 def decode_tokens(
@@ -186,7 +203,7 @@ def decode_tokens(
     content = read_bytes(f"{tokenizers}/{model}")
 
     def make():
-        own = coder(content)
+        own = PieceDecoder(content)
 
         def compute(lists: pa.Array) -> list:
             values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -202,7 +219,24 @@ def decode_tokens(
     return append_columns(rows, [ids], T.StructType([T.StructField(out, T.StringType())]), make)
 
 
-def round_trip(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with ids, count and ``same``: whether decoding gives the text back."""
-    decoded = decode_tokens(encode_texts(docs, text, **options), **options)
-    return decoded.withColumn("same", F.col(f"`{text}`").eqNullSafe(F.col("decoded"))).drop("decoded")
+def round_trip(docs: DataFrame, text: str = "text", tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``same``: whether decoding gives the text back.
+
+    One pass does both, so that a task has one worker with one model; otherwise as
+    :func:`encode_texts`, with ``same`` true for a null text.
+    """
+    content = read_bytes(f"{tokenizers}/{model}")
+    added = T.StructType([*IDS, T.StructField("same", T.BooleanType())])
+
+    def make():
+        own = coder(content)
+
+        def compute(texts: pa.Array) -> list:
+            values = texts.to_pylist()
+            found = [None if x is None else own.encode(x) for x in values]
+            same = [x is None or own.decode(ids.tolist()) == x for x, ids in zip(values, found, strict=True)]
+            return [*_id_arrays(found), pa.array(same, pa.bool_())]
+
+        return compute
+
+    return append_columns(docs, [text], added, make)

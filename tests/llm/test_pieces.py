@@ -90,4 +90,6 @@ def test_frames(spark, own):
     assert len(found) == len(rows) and all(r["same"] for r in found)
     assert all((r["token_ids"] is None) == (r["text"] is None) for r in found)
     assert all(r["n_tokens"] == len(r["token_ids"]) and r["token_ids"] == own.encode(r["text"]).tolist() for r in found if r["text"] is not None)
-    assert decode_tokens(encode_texts(frame.limit(0))).count() == 0
+    decoded = decode_tokens(encode_texts(frame)).collect()
+    assert len(decoded) == len(rows) and all(r["decoded"] == r["text"] for r in decoded)
+    assert decode_tokens(encode_texts(frame.limit(0))).count() == round_trip(frame.limit(0)).count() == 0
