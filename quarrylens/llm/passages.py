@@ -1,10 +1,13 @@
-"""Substring dedup: repeated lines and sentences removed, the earliest occurrence kept.
+"""Substring dedup: repeated passages and sentences removed, the earliest occurrence kept.
 
-A text is cut into units (paragraphs, lines, or the sentences of lines).  The normalised
-units' 128-bit digests are grouped over all documents, and every occurrence but the earliest
-ranked one is a repeat.  Neighbouring repeats of one document form a passage; passages of
-enough words are removed, with their offsets in the original text.  So a passage is found
-wherever it stands in a line, and a short sentence that many documents share stays.
+The normalised units' 128-bit digests are grouped over all documents, and every occurrence but
+the earliest ranked one is a repeat.  Units are the sentences of lines, whose runs of enough
+words are repeats, and windows of ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
+sentence, and a short sentence that many documents share stays.
+
+Windows are not written for every word of the table.  Each has an anchor, the run of
+``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
+windows whose anchor is repeated are looked at, and no repeated window is missed.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quarrylens.llm.common import append_columns
+from quarrylens.llm.common import PART_BYTES, append_columns
 from quarrylens.operators.lineage import cut
 
 PASSAGE_WORDS = 25
@@ -32,6 +35,14 @@ UNITS = {
     "sentence": re.compile(r"[^\s.!?][^.!?\n]*+(?:[.!?]++(?!\s)[^.!?\n]*+)*+[.!?]*+|[.!?]++"),
 }
 LAST_ID = 2**63 - 1
+WINDOW_WORDS = 50
+ANCHOR_WORDS = 16
+# Kinds of units in the rows of ``find_units``; units of different kinds never match.
+RUN, ANCHOR = range(2)
+KIND_KEYS = np.array([0, 0x14057B7EF767814F], dtype=np.int64)
+POSITION = np.uint64(2**28 - 1)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
 
 
 def normalised(unit: str) -> list[str]:
@@ -47,46 +58,223 @@ def units_of(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, int, by
             yield found.start(), found.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
-def find_units(docs: DataFrame, doc_id: str, text: str, unit: str) -> DataFrame:
-    """(rank, part, pos, start, end, words, h1, h2): a row for each unit of each document.
+class _Digests(dict):
+    """Digests of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        digest = self[word] = xxhash.xxh3_128_digest(word.encode())
+        return digest
+
+
+class Words:
+    """The words of texts, their offsets, and digests of any run of them in constant time.
+
+    A run's digest is a polynomial of its words' digests modulo 2**64, in two halves.
+    """
+
+    def __init__(self) -> None:
+        self.cache = _Digests()
+        self.powers = self.inverses = np.ones((0, 2), dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n < len(self.powers):
+            return
+        size = 1 << (n + 1).bit_length()
+        self.powers, self.inverses = np.ones((size, 2), dtype=np.uint64), np.ones((size, 2), dtype=np.uint64)
+        for half, base in enumerate(BASES):
+            self.powers[1:, half] = base
+            self.inverses[1:, half] = pow(base, -1, 2**64)
+        self.powers = np.cumprod(self.powers, axis=0, dtype=np.uint64)
+        self.inverses = np.cumprod(self.inverses, axis=0, dtype=np.uint64)
+
+    def read(self, text: str) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        white = np.ones(len(codes) + 2, dtype=bool)
+        white[1:-1] = WHITE[np.minimum(codes, len(WHITE) - 1)]
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        if text.isascii() or unicodedata.is_normalized("NFKC", text):
+            words = text.lower().split()
+        else:
+            words = [" ".join(normalised(x)) for x in text.split()]
+        digests = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype="<u8").reshape(-1, 2)
+        self._grow(len(words))
+        self.sums = np.zeros((len(words) + 1, 2), dtype=np.uint64)
+        np.cumsum(digests * self.powers[: len(words)], axis=0, out=self.sums[1:])
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The digests of the runs of words from ``first`` up to before ``last``."""
+        return (self.sums[last] - self.sums[first]) * self.inverses[first]
+
+    def runs(self, n: int) -> np.ndarray:
+        """The digests of all runs of ``n`` words."""
+        at = max(len(self.starts) - n + 1, 0)
+        return (self.sums[n : n + at] - self.sums[:at]) * self.inverses[:at]
+
+    def anchors(self, window: int) -> np.ndarray:
+        """For each window of words the position of its anchor: the first of its runs with the least hash."""
+        length = min(ANCHOR_WORDS, window)
+        least = self.runs(length)[:, 0]
+        least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        least ^= least >> np.uint64(32)
+        least = (least & ~POSITION) | np.arange(len(least), dtype=np.uint64)
+        wide, size = window - length + 1, 1
+        if len(least) < wide:
+            return np.zeros(0, dtype=np.int64)
+        while size * 2 <= wide:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        rest = wide - size
+        least = np.minimum(least[: len(least) - rest], least[rest:])
+        return (least & POSITION).astype(np.int64)
+
+
+def _rank(doc_id: str) -> Column:
+    return F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST_ID))
+
+
+def _part(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode()) >> 1
+
+
+def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, pos, word, start, end, words) and digests: sentences and anchors."""
+    found = list(units_of(text, UNITS["sentence"]))
+    spans = np.array([x[:3] for x in found], dtype=np.int64).reshape(-1, 3)
+    words.read(text)
+    first = np.searchsorted(words.ends, spans[:, 0], "right")
+    columns = [np.column_stack([np.full(len(found), RUN), np.arange(len(found)), first, spans])]
+    digests = [np.frombuffer(b"".join(x[3] for x in found), dtype="<i8").reshape(-1, 2)]
+    at = np.unique(words.anchors(window))
+    nothing = np.zeros(len(at), dtype=np.int64)
+    columns.append(np.column_stack([np.full(len(at), ANCHOR), at, at, nothing, nothing, nothing]))
+    digests.append(words.digests(at, at + min(ANCHOR_WORDS, window)).view(np.int64))
+    columns, digests = np.vstack(columns), np.vstack(digests)
+    return columns, digests ^ KIND_KEYS[columns[:, 0]][:, None]
+
+
+UNIT_ROWS = "kind int, rank bigint, part bigint, pos int, word int, start int, end int, words int, h1 bigint, h2 bigint"
+
+
+def find_units(docs: DataFrame, doc_id: str, text: str, unit: str | None, window: int = WINDOW_WORDS) -> DataFrame:
+    """(kind, rank, part, pos, word, start, end, words, h1, h2): a row for each unit of each document.
 
     ``rank`` is the id, the last possible one where it is null; ``part`` tells texts apart that
-    come under one id.
+    come under one id.  Without ``unit`` there are all kinds of units.
     """
-    pattern = UNITS[unit]
+    names = [x.split()[0] for x in UNIT_ROWS.split(", ")]
 
-    def flush(rows: list, digests: list[bytes]) -> pa.RecordBatch:
-        halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        columns = np.array(rows, dtype=np.int64).reshape(-1, 6)
-        arrays = [pa.array(columns[:, i]) for i in range(2)] + [pa.array(columns[:, i].astype(np.int32)) for i in range(2, 6)]
-        names = ["rank", "part", "pos", "start", "end", "words", "h1", "h2"]
+    def flush(columns: list[np.ndarray], digests: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.vstack([np.zeros((0, 8), dtype=np.int64), *columns])
+        halves = np.vstack([np.zeros((0, 2), dtype=np.int64), *digests])
+        arrays = [pa.array(rows[:, i] if i in (1, 2) else rows[:, i].astype(np.int32)) for i in range(8)]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
 
+    def one_kind(value: str) -> tuple[np.ndarray, np.ndarray]:
+        found = list(units_of(value, UNITS[unit]))
+        columns = np.zeros((len(found), 6), dtype=np.int64)
+        columns[:, 1] = np.arange(len(found))
+        columns[:, 3:] = np.array([x[:3] for x in found], dtype=np.int64).reshape(-1, 3)
+        return columns, np.frombuffer(b"".join(x[3] for x in found), dtype="<i8").reshape(-1, 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            rows, digests = [], []
+            columns, digests, size = [], [], 0
             for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not value:
                     continue
-                part = xxhash.xxh3_64_intdigest(value.encode()) >> 1
-                for pos, (start, end, words, digest) in enumerate(units_of(value, pattern)):
-                    rows.append((rank, part, pos, start, end, words))
-                    digests.append(digest)
-                if len(rows) > 100_000:
-                    yield flush(rows, digests)
-                    rows, digests = [], []
-            yield flush(rows, digests)
+                rows, halves = _all_units(words, value, window) if unit is None else one_kind(value)
+                key = np.empty((len(rows), 2), dtype=np.int64)
+                key[:] = rank, _part(value)
+                columns.append(np.hstack([rows[:, :1], key, rows[:, 1:]]))
+                digests.append(halves)
+                size += len(rows)
+                if size > 100_000:
+                    yield flush(columns, digests)
+                    columns, digests, size = [], [], 0
+            yield flush(columns, digests)
+
+    return docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, UNIT_ROWS)
+
+
+def _repeats_of(units: DataFrame, keep_first: Column | None = None) -> DataFrame:
+    """``units`` with ``first``, their earliest place, without those that occur in one place only.
+
+    The earliest ones are left out as well, but for those where ``keep_first`` holds.
+    """
+    place = F.struct("rank", "part", "pos")
+    first = (
+        units.groupBy("h1", "h2")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("h1", "h2", "first")
+    )
+    later = place != F.col("first")
+    # Written before the join, so that both of its sides are plain exchanges that skew can split.
+    return units.join(cut(first), ["h1", "h2"]).filter(later if keep_first is None else later | keep_first)
+
+
+def _repeated_windows(docs: DataFrame, doc_id: str, text: str, anchors: DataFrame, window: int) -> DataFrame:
+    """(rank, part, word, start, end, words, kept) of the windows of words that occur earlier.
+
+    A window that overlaps its own earliest occurrence is none: the kept words would go too.
+    """
+    wanted = anchors.groupBy("rank", "part").agg(F.collect_set("pos").alias("anchors"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_part(x) if x else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=["rank", "text", "part"])
+
+    texts = docs.select(_rank(doc_id).alias("rank"), F.col(f"`{text}`").alias("text")).mapInArrow(keyed, "rank bigint, text string, part bigint")
+    found = cut(texts.join(wanted, ["rank", "part"]).select("rank", "part", "text", "anchors"))
+    names = ["rank", "part", "pos", "start", "end", "h1", "h2"]
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            # Rows of one text become several times its bytes, so that a batch is worked on in parts.
+            step = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+            for begin in range(0, batch.num_rows, step):
+                pieces = [np.zeros((0, 7), dtype=np.int64)]
+                for rank, part, value, at in zip(*[c.to_pylist() for c in batch.slice(begin, step).columns], strict=True):
+                    words.read(value)
+                    known = np.zeros(len(words.starts) + 1, dtype=bool)
+                    known[at] = True
+                    chosen = np.flatnonzero(known[words.anchors(window)])
+                    rows = np.empty((len(chosen), 7), dtype=np.int64)
+                    rows[:, 0], rows[:, 1], rows[:, 2] = rank, part, chosen
+                    rows[:, 3], rows[:, 4] = words.starts[chosen], words.ends[chosen + window - 1]
+                    rows[:, 5:] = words.digests(chosen, chosen + window).view(np.int64)
+                    pieces.append(rows)
+                rows = np.vstack(pieces)
+                arrays = [pa.array(rows[:, i].astype(np.int32) if i in (2, 3, 4) else rows[:, i]) for i in range(7)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rank = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST_ID))
-    schema = "rank bigint, part bigint, pos int, start int, end int, words int, h1 bigint, h2 bigint"
-    return docs.select(rank, F.col(f"`{text}`")).mapInArrow(run, schema)
+    windows = found.mapInArrow(cut_windows, "rank bigint, part bigint, pos int, start int, end int, h1 bigint, h2 bigint")
+    own = (F.col("rank") == F.col("first.rank")) & (F.col("part") == F.col("first.part"))
+    repeats = _repeats_of(windows).filter(~own | (F.col("pos") - F.col("first.pos") >= window))
+    return repeats.select(
+        "rank", "part", F.col("pos").alias("word"), "start", "end", F.lit(window).alias("words"), F.col("first.rank").alias("kept")
+    )
 
 
 def repeated_passages(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = PASSAGE_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    unit: str | None = None,
+    min_words: int = PASSAGE_WORDS,
+    window: int = WINDOW_WORDS,
 ) -> DataFrame:
     """(doc_id, part, start, end, n_words, n_units, kept_doc_id) of every passage to remove.
 
+    Repeats are runs of sentences of ``min_words`` words or more, and runs of ``window`` words or
+    more wherever they begin and end; those that touch or overlap are one passage.  With a ``unit`` only its runs of ``min_words`` are.
+
     ``kept_doc_id`` is the document with the earliest occurrence of the passage's first unit.
     Occurrences are ranked by id, then by position; rows without an id come last.
 
@@ -95,28 +283,29 @@ def repeated_passages(
     An empty table has no passages.
     """
     # Read twice: cutting texts into units again is cheaper than writing all units.
-    units = find_units(docs, doc_id, text, unit)
-    place = F.struct("rank", "part", "pos")
-    first = (
-        units.groupBy("h1", "h2")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .filter("first <> last")
-        .select("h1", "h2", "first")
-    )
-    # Written before the join, so that both of its sides are plain exchanges that skew can split.
-    repeats = units.join(cut(first), ["h1", "h2"]).filter(place != F.col("first"))
-    rows = repeats.select("rank", "part", "pos", "start", "end", "words", F.col("first.rank").alias("kept"))
-    rows = rows.repartition("rank", "part").dropDuplicates(["rank", "part", "pos"])
+    units = find_units(docs, doc_id, text, unit, window)
+    found = _repeats_of(units, F.col("kind") == ANCHOR if unit is None else None)
+    found = found.select("kind", "rank", "part", "pos", "word", "start", "end", "words", F.col("first.rank").alias("kept"))
+    if unit is None:
+        found = cut(found)
+    rows = found.filter(F.col("kind") == RUN).repartition("rank", "part").dropDuplicates(["rank", "part", "pos"])
     in_order = W.partitionBy("rank", "part").orderBy("pos")
     runs = rows.withColumn("_run", F.col("pos") - F.row_number().over(in_order))
     passages = runs.groupBy("rank", "part", "_run").agg(
+        F.min("word").alias("word"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").alias("n_words"),
         F.count(F.lit(1)).alias("n_units"),
         F.min_by("kept", "pos").alias("kept"),
     )
-    return passages.filter(F.col("n_words") >= min_words).select(
+    passages = passages.filter(F.col("n_words") >= min_words)
+    if unit is None:
+        passages = _joined(
+            passages.withColumnRenamed("n_words", "words").drop("_run"),
+            _repeated_windows(docs, doc_id, text, found.filter(F.col("kind") == ANCHOR), window),
+        )
+    return passages.select(
         F.nullif("rank", F.lit(LAST_ID)).alias("doc_id"),
         "part",
         "start",
@@ -127,6 +316,25 @@ def repeated_passages(
     )
 
 
+def _joined(runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The passages of repeats that touch or overlap, by the positions of their words."""
+    names = ["rank", "part", "word", "start", "end", "words", "n_units", "kept"]
+    single = F.lit(1).cast("bigint").alias("n_units")
+    alone = windows.select(*names[:6], single, "kept").dropDuplicates(["rank", "part", "word", "words"])
+    rows = runs.select(*names).unionByName(alone).repartition("rank", "part")
+    in_order = W.partitionBy("rank", "part").orderBy("word", "words")
+    before = F.max(F.col("word") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("word") > before, F.lit(True)).cast("int")
+    numbered = rows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy("rank", "part", "_run").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("bigint").alias("n_words"),
+        F.sum("n_units").alias("n_units"),
+        F.min_by("kept", F.struct("word", "words")).alias("kept"),
+    )
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept_text`` and ``removed``, the (start, end, kept_doc_id) cut from the original.
 

@@ -91,3 +91,40 @@ def test_long_text_without_breaks(spark):
     got = repeated_passages(helpers.docs(spark, [(1, text), (2, text)]), min_words=1).collect()
     assert [(r.doc_id, r.start, r.end) for r in got] == [(2, 0, 500_000)]
     assert re.fullmatch(UNITS["line"], text)
+
+
+def test_passages_at_any_word_against_windows(spark):
+    rng = random.Random(11)
+    shared = [helpers.prose(rng, n, vocabulary=100_000).split() for n in (50, 50, 57, 75, 130)]
+    rows = []
+    for i in range(60):
+        words = helpers.prose(rng, 90, vocabulary=100_000).split()
+        if i % 2:
+            # A part that begins and ends inside sentences, with other line breaks, and at times one word changed.
+            part = [x.upper() for x in shared[i % 5]]
+            if i % 3 == 0 and len(part) > 120:
+                part[60] = f"other{i}"
+            at = rng.randrange(len(words))
+            words = words[:at] + part + words[at:]
+        rows.append((i, "".join(w.strip(".") + rng.choice([" "] * 9 + ["\n"]) for w in words)))
+    rows += [(70, "É ﬁn " + rows[1][1]), (71, " ".join(["same"] * 170)), (72, " ".join(["same"] * 130))]
+    seen, covered = {}, set()
+    for doc_id, text in rows:
+        words = list(re.finditer(r"\S+", text))
+        for i in range(len(words) - 49):
+            key = " ".join(" ".join(normalised(w[0])) for w in words[i : i + 50])
+            first = seen.setdefault(key, (doc_id, i))
+            if first[0] != doc_id or first[1] + 50 <= i:
+                covered |= {(doc_id, w.start()) for w in words[i : i + 50]}
+    found = repeated_passages(helpers.docs(spark, rows), min_words=10**6).collect()
+    texts = dict(rows)
+    got = {(r.doc_id, r.start + m.start()) for r in found for m in re.finditer(r"\S+", texts[r.doc_id][r.start : r.end])}
+    whole = set()
+    first_lines = {}
+    for doc_id, text in rows:
+        for m in UNITS["line"].finditer(text):
+            if first_lines.setdefault(tuple(normalised(m[0])), (doc_id, m.start())) != (doc_id, m.start()):
+                whole |= {(doc_id, m.start() + w.start()) for w in re.finditer(r"\S+", m[0])}
+    assert len({d for d, _ in covered}) > 25
+    assert covered <= got and got - covered <= whole
+    assert {d for d, _ in got} >= {70, 71, 72}
