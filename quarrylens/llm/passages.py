@@ -1,9 +1,10 @@
-"""Substring dedup: repeated passages and sentences removed, the earliest occurrence kept.
+"""Substring dedup: repeated passages, lines and sentences removed, the earliest occurrence kept.
 
 The normalised units' 128-bit digests are grouped over all documents, and every occurrence but
-the earliest ranked one is a repeat.  Units are the sentences of lines, whose runs of enough
-words are repeats, and windows of ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
-sentence, and a short sentence that many documents share stays.
+the earliest ranked one is a repeat.  Units are whole lines, paragraphs and documents of any
+length, the sentences of lines, whose runs of enough words are repeats, and windows of
+``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
+sentence, and a short sentence that many documents share inside longer lines stays.
 
 Windows are not written for every word of the table.  Each has an anchor, the run of
 ``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
@@ -38,8 +39,8 @@ LAST_ID = 2**63 - 1
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 16
 # Kinds of units in the rows of ``find_units``; units of different kinds never match.
-RUN, ANCHOR = range(2)
-KIND_KEYS = np.array([0, 0x14057B7EF767814F], dtype=np.int64)
+RUN, WHOLE, ANCHOR = range(3)
+KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.int64)
 POSITION = np.uint64(2**28 - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
@@ -58,67 +59,77 @@ def units_of(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, int, by
             yield found.start(), found.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
-class _Digests(dict):
-    """Digests of words, kept while there are not too many."""
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a text, and the starts and ends of its words."""
+    if text.isascii():
+        codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    white = np.ones(len(codes) + 2, dtype=bool)
+    white[1:-1] = WHITE[codes if codes.dtype == np.uint8 else np.minimum(codes, len(WHITE) - 1)]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    return codes, edges[::2], edges[1::2]
+
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 200_000:
-            self.clear()
-        digest = self[word] = xxhash.xxh3_128_digest(word.encode())
-        return digest
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Words:
     """The words of texts, their offsets, and digests of any run of them in constant time.
 
-    A run's digest is a polynomial of its words' digests modulo 2**64, in two halves.
+    A word's digest is a mixed polynomial of its code points modulo 2**64, in two halves of
+    different bases; a run's is one of its words' digests.
     """
 
     def __init__(self) -> None:
-        self.cache = _Digests()
-        self.powers = self.inverses = np.ones((0, 2), dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n < len(self.powers):
-            return
-        size = 1 << (n + 1).bit_length()
-        self.powers, self.inverses = np.ones((size, 2), dtype=np.uint64), np.ones((size, 2), dtype=np.uint64)
-        for half, base in enumerate(BASES):
-            self.powers[1:, half] = base
-            self.inverses[1:, half] = pow(base, -1, 2**64)
-        self.powers = np.cumprod(self.powers, axis=0, dtype=np.uint64)
-        self.inverses = np.cumprod(self.inverses, axis=0, dtype=np.uint64)
+        self.powers = self.inverses = np.ones((2, 0), dtype=np.uint64)
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        n = values.shape[-1]
+        if n >= self.powers.shape[1]:
+            size = 1 << (n + 1).bit_length()
+            steps = np.ones((4, size), dtype=np.uint64)
+            steps[:, 1:] = np.array([[b % 2**64] for b in (*BASES, *[pow(b, -1, 2**64) for b in BASES])], dtype=np.uint64)
+            self.powers, self.inverses = np.split(np.cumprod(steps, axis=1, dtype=np.uint64), 2)
+        sums = np.zeros((2, n + 1), dtype=np.uint64)
+        np.cumsum(self.powers[:, :n] * values, axis=1, out=sums[:, 1:])
+        return sums
+
+    def _runs(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (sums[:, last] - sums[:, first]) * self.inverses[:, first]
+
+    def _word_digests(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        # A code point counts from 1, so that none is without effect.
+        return _mixed(self._runs(self._sums(codes.astype(np.uint64) + np.uint64(1)), starts, ends))
 
     def read(self, text: str) -> None:
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        white = np.ones(len(codes) + 2, dtype=bool)
-        white[1:-1] = WHITE[np.minimum(codes, len(WHITE) - 1)]
-        edges = np.flatnonzero(white[1:] != white[:-1])
-        self.starts, self.ends = edges[::2], edges[1::2]
-        if text.isascii() or unicodedata.is_normalized("NFKC", text):
-            words = text.lower().split()
+        codes, self.starts, self.ends = _codes(text)
+        if text.isascii():
+            found = codes + np.uint8(32) * ((codes >= 65) & (codes <= 90)), self.starts, self.ends
+        elif unicodedata.is_normalized("NFKC", text):
+            found = _codes(text.lower())
         else:
-            words = [" ".join(normalised(x)) for x in text.split()]
-        digests = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype="<u8").reshape(-1, 2)
-        self._grow(len(words))
-        self.sums = np.zeros((len(words) + 1, 2), dtype=np.uint64)
-        np.cumsum(digests * self.powers[: len(words)], axis=0, out=self.sums[1:])
+            # A word with white space in its compatibility form stays one word.
+            found = _codes(" ".join("\0".join(normalised(x)) or "\0" for x in text.split()))
+        self.sums = self._sums(self._word_digests(*found))
 
     def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The digests of the runs of words from ``first`` up to before ``last``."""
-        return (self.sums[last] - self.sums[first]) * self.inverses[first]
+        """The digests of the runs of words from ``first`` up to before ``last``, a row of two halves each."""
+        return self._runs(self.sums, first, last).T.view(np.int64) if len(first) else np.zeros((0, 2), dtype=np.int64)
 
-    def runs(self, n: int) -> np.ndarray:
-        """The digests of all runs of ``n`` words."""
-        at = max(len(self.starts) - n + 1, 0)
-        return (self.sums[n : n + at] - self.sums[:at]) * self.inverses[:at]
+    def digest_of(self, unit: str) -> np.ndarray:
+        """The digest of a unit that may begin or end inside a word of the text."""
+        sums = self._sums(self._word_digests(*_codes(" ".join(normalised(unit)))))
+        return sums[:, -1].view(np.int64)
 
     def anchors(self, window: int) -> np.ndarray:
         """For each window of words the position of its anchor: the first of its runs with the least hash."""
         length = min(ANCHOR_WORDS, window)
-        least = self.runs(length)[:, 0]
-        least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        least ^= least >> np.uint64(32)
+        size = max(len(self.starts) - length + 1, 0)
+        least = _mixed((self.sums[0, length : length + size] - self.sums[0, :size]) * self.inverses[0, :size])
         least = (least & ~POSITION) | np.arange(len(least), dtype=np.uint64)
         wide, size = window - length + 1, 1
         if len(least) < wide:
@@ -140,17 +151,29 @@ def _part(value: str) -> int:
 
 
 def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, pos, word, start, end, words) and digests: sentences and anchors."""
-    found = list(units_of(text, UNITS["sentence"]))
-    spans = np.array([x[:3] for x in found], dtype=np.int64).reshape(-1, 3)
+    """(kind, pos, word, start, end, words) and digests: sentences, whole lines and more, and anchors."""
     words.read(text)
-    first = np.searchsorted(words.ends, spans[:, 0], "right")
-    columns = [np.column_stack([np.full(len(found), RUN), np.arange(len(found)), first, spans])]
-    digests = [np.frombuffer(b"".join(x[3] for x in found), dtype="<i8").reshape(-1, 2)]
+    if not len(words.starts):
+        return np.zeros((0, 6), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+    spans = np.array([m.span() for m in UNITS["sentence"].finditer(text)], dtype=np.int64)
+    low, high = np.searchsorted(words.ends, spans[:, 0], "right"), np.searchsorted(words.starts, spans[:, 1])
+    columns = [np.column_stack([np.full(len(low), RUN), np.arange(len(low)), low, spans, high - low])]
+    digests = [words.digests(low, high)]
+    for i in np.flatnonzero((words.starts[low] < spans[:, 0]) | (words.ends[high - 1] > spans[:, 1])):
+        digests[0][i] = words.digest_of(text[spans[i, 0] : spans[i, 1]])
+    # Whole lines and paragraphs, one row for units of the same words; the document comes first.
+    wholes = np.array([m.span() for u in ("line", "paragraph") for m in UNITS[u].finditer(text)], dtype=np.int64)
+    wholes = np.vstack([[words.starts[0], words.ends[-1]], wholes])
+    runs = np.column_stack([np.searchsorted(words.starts, wholes[:, 0]), np.searchsorted(words.starts, wholes[:, 1])])
+    _, kept = np.unique(runs[:, 0] * (len(words.starts) + 1) + runs[:, 1], return_index=True)
+    kept.sort()
+    low, high = runs[kept].T
+    columns.append(np.column_stack([np.full(len(low), WHOLE), np.arange(len(low)), low, wholes[kept], high - low]))
+    digests.append(words.digests(low, high))
     at = np.unique(words.anchors(window))
     nothing = np.zeros(len(at), dtype=np.int64)
     columns.append(np.column_stack([np.full(len(at), ANCHOR), at, at, nothing, nothing, nothing]))
-    digests.append(words.digests(at, at + min(ANCHOR_WORDS, window)).view(np.int64))
+    digests.append(words.digests(at, at + min(ANCHOR_WORDS, window)))
     columns, digests = np.vstack(columns), np.vstack(digests)
     return columns, digests ^ KIND_KEYS[columns[:, 0]][:, None]
 
@@ -217,12 +240,14 @@ def _repeats_of(units: DataFrame, keep_first: Column | None = None) -> DataFrame
     return units.join(cut(first), ["h1", "h2"]).filter(later if keep_first is None else later | keep_first)
 
 
-def _repeated_windows(docs: DataFrame, doc_id: str, text: str, anchors: DataFrame, window: int) -> DataFrame:
+def _repeated_windows(docs: DataFrame, doc_id: str, text: str, anchors: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     """(rank, part, word, start, end, words, kept) of the windows of words that occur earlier.
 
+    Documents of ``copies`` occur earlier as a whole, so they hold no earliest window and are left out.
+
     A window that overlaps its own earliest occurrence is none: the kept words would go too.
     """
-    wanted = anchors.groupBy("rank", "part").agg(F.collect_set("pos").alias("anchors"))
+    wanted = anchors.groupBy("rank", "part").agg(F.collect_set("pos").alias("anchors")).join(copies, ["rank", "part"], "left_anti")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +273,7 @@ def _repeated_windows(docs: DataFrame, doc_id: str, text: str, anchors: DataFram
                     rows = np.empty((len(chosen), 7), dtype=np.int64)
                     rows[:, 0], rows[:, 1], rows[:, 2] = rank, part, chosen
                     rows[:, 3], rows[:, 4] = words.starts[chosen], words.ends[chosen + window - 1]
-                    rows[:, 5:] = words.digests(chosen, chosen + window).view(np.int64)
+                    rows[:, 5:] = words.digests(chosen, chosen + window)
                     pieces.append(rows)
                 rows = np.vstack(pieces)
                 arrays = [pa.array(rows[:, i].astype(np.int32) if i in (2, 3, 4) else rows[:, i]) for i in range(7)]
@@ -272,8 +297,9 @@ def repeated_passages(
 ) -> DataFrame:
     """(doc_id, part, start, end, n_words, n_units, kept_doc_id) of every passage to remove.
 
-    Repeats are runs of sentences of ``min_words`` words or more, and runs of ``window`` words or
-    more wherever they begin and end; those that touch or overlap are one passage.  With a ``unit`` only its runs of ``min_words`` are.
+    Repeats are whole lines, paragraphs and documents of any length, runs of sentences of
+    ``min_words`` words or more, and runs of ``window`` words or more wherever they begin and end;
+    those that touch or overlap are one passage.  With a ``unit`` only its runs of ``min_words`` are.
 
     ``kept_doc_id`` is the document with the earliest occurrence of the passage's first unit.
     Occurrences are ranked by id, then by position; rows without an id come last.
@@ -301,9 +327,12 @@ def repeated_passages(
     )
     passages = passages.filter(F.col("n_words") >= min_words)
     if unit is None:
+        wholes = found.filter(F.col("kind") == WHOLE)
+        anchors, copies = found.filter(F.col("kind") == ANCHOR), wholes.filter("pos = 0").select("rank", "part")
         passages = _joined(
             passages.withColumnRenamed("n_words", "words").drop("_run"),
-            _repeated_windows(docs, doc_id, text, found.filter(F.col("kind") == ANCHOR), window),
+            wholes,
+            _repeated_windows(docs, doc_id, text, anchors, copies, window),
         )
     return passages.select(
         F.nullif("rank", F.lit(LAST_ID)).alias("doc_id"),
@@ -316,12 +345,12 @@ def repeated_passages(
     )
 
 
-def _joined(runs: DataFrame, windows: DataFrame) -> DataFrame:
+def _joined(runs: DataFrame, wholes: DataFrame, windows: DataFrame) -> DataFrame:
     """The passages of repeats that touch or overlap, by the positions of their words."""
     names = ["rank", "part", "word", "start", "end", "words", "n_units", "kept"]
     single = F.lit(1).cast("bigint").alias("n_units")
-    alone = windows.select(*names[:6], single, "kept").dropDuplicates(["rank", "part", "word", "words"])
-    rows = runs.select(*names).unionByName(alone).repartition("rank", "part")
+    alone = [x.select(*names[:6], single, "kept").dropDuplicates(["rank", "part", "word", "words"]) for x in (wholes, windows)]
+    rows = runs.select(*names).unionByName(alone[0]).unionByName(alone[1]).repartition("rank", "part")
     in_order = W.partitionBy("rank", "part").orderBy("word", "words")
     before = F.max(F.col("word") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
     begins = F.coalesce(F.col("word") > before, F.lit(True)).cast("int")

@@ -128,3 +128,15 @@ def test_passages_at_any_word_against_windows(spark):
     assert len({d for d, _ in covered}) > 25
     assert covered <= got and got - covered <= whole
     assert {d for d, _ in got} >= {70, 71, 72}
+
+
+def test_short_lines_paragraphs_and_documents(spark):
+    rng = random.Random(12)
+    first = "Some rights kept.\n" + helpers.prose(rng, 40, vocabulary=100_000)
+    second = helpers.prose(rng, 40, vocabulary=100_000) + "\nsome  RIGHTS kept.\n\nWell wrapped,\nbut short."
+    third = "Own one. Some rights kept. Own two.\n\nWell wrapped, but\nshort.\n\nOwn three."
+    rows = [(1, first), (2, second), (3, third), (4, "Brief text."), (5, "Brief\n\ntext.")]
+    found = repeated_passages(helpers.docs(spark, rows)).collect()
+    texts = dict(rows)
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.kept_doc_id) for r in found}
+    assert got == {(2, "some  RIGHTS kept.", 3, 1), (3, "Well wrapped, but\nshort.", 4, 2), (5, "Brief\n\ntext.", 2, 4)}
