@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 
-ROUNDS = 20
+# No chain of calls is as long; lengths around a cycle double and stay below.
+LONGEST = 2**40
 
 PARTS = (
     "conv_id bigint, turn bigint, part int, kind string, call_id string, name string, refs array<string>, "
@@ -186,51 +187,109 @@ def _place(turn: Column, part: Column, depth: Column) -> Column:
     )
 
 
-def call_order(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def call_order(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, place, settled) of (conv_id, call_id, place, refs): one row per call.
 
-    A call that comes after all it refers to keeps its place in time.  Only the others move:
-    each takes the latest place of what it refers to, one step deeper, until nothing changes.
-    That takes as many rounds as the longest chain of calls that refer forwards.  If calls still
-    move after ``rounds``, those that moved in the second half of them are not settled: they are
-    in or behind a cycle, or at the end of a longer chain.
+    A call that comes after all it refers to keeps its place in time.  The others take the latest
+    place of what they refer to, directly or not, one step deeper for each call between.  A call is
+    not settled when its place depends on a cycle of references.  Chains may have any length: single
+    references are followed by doubling, in about log2 of the chain's length rounds.
     """
     edges = cut(
         calls.select("conv_id", "call_id", F.explode("refs").alias("ref"))
         .join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi")
         .distinct()
     )
-    places = calls.select("conv_id", "call_id", "place", F.lit(True).alias("settled"))
     if edges.isEmpty():
-        return places
-    places = cut(places)
-    late = None
-    for left in range(rounds, -1, -1):
-        target = places.select("conv_id", F.col("call_id").alias("ref"), F.col("place").alias("_before"))
-        pushed = (
-            edges.join(target, ["conv_id", "ref"])
-            .groupBy("conv_id", "call_id")
-            .agg(F.max("_before").alias("_before"))
-            .select("conv_id", "call_id", F.col("_before").withField("depth", F.col("_before.depth") + 1).alias("_pushed"))
-        )
+        return calls.select("conv_id", "call_id", "place", F.lit(True).alias("settled"))
+    tops = _latest_reached(calls, edges)
+    of_call = tops.select("conv_id", "call_id", F.col("top").alias("_top"))
+    of_ref = tops.select("conv_id", F.col("call_id").alias("ref"), F.col("top").alias("_of_ref"))
+    tight = edges.join(of_call, ["conv_id", "call_id"]).join(of_ref, ["conv_id", "ref"]).filter("_top = _of_ref")
+    depths = _depths(cut(tight.select("conv_id", "call_id", "ref")))
+    place = _place(F.col("top.turn"), F.col("top.part"), F.coalesce("depth", F.lit(0)))
+    found = tops.join(depths, ["conv_id", "call_id"], "left")
+    return found.select("conv_id", "call_id", place.alias("place"), F.coalesce("settled", F.lit(True)).alias("settled"))
+
+
+def _latest_reached(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, top, at): the latest (turn, part) among a call and all it refers to, and whose it is.
+
+    Values only rise and are places of calls, so that cycles come to rest as well.
+    """
+    top = F.struct(F.col("place.turn").alias("turn"), F.col("place.part").alias("part"))
+    tops = cut(calls.select("conv_id", "call_id", top.alias("top"), F.col("call_id").alias("at")))
+    while True:
+        # The latest call found so far may itself refer further: asking it as well doubles the reach.
+        asked = edges.unionByName(tops.filter("at <> call_id").select("conv_id", "call_id", F.col("at").alias("ref")))
+        target = tops.select("conv_id", F.col("call_id").alias("ref"), F.struct("top", "at").alias("_found"))
+        pushed = asked.join(target, ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.max("_found").alias("_found"))
         moved = cut(
-            places.select("conv_id", "call_id", "place")
+            tops.select("conv_id", "call_id", "top")
             .join(pushed, ["conv_id", "call_id"])
-            .filter(F.col("_pushed") > F.col("place"))
-            .select("conv_id", "call_id", "_pushed")
+            .filter(F.col("_found.top") > F.col("top"))
+            .select("conv_id", "call_id", "_found")
         )
         if moved.isEmpty():
-            return places
-        if left <= rounds // 2:
-            late = moved.drop("_pushed") if late is None else late.unionByName(moved.drop("_pushed"))
-        found = places.join(moved, ["conv_id", "call_id"], "left")
-        places = cut(found.select("conv_id", "call_id", F.coalesce("_pushed", "place").alias("place"), "settled"))
-    moving = late.distinct().withColumn("_late", F.lit(True))
-    found = places.join(moving, ["conv_id", "call_id"], "left")
-    return found.select("conv_id", "call_id", "place", F.col("_late").isNull().alias("settled"))
+            return tops
+        found = tops.join(moved, ["conv_id", "call_id"], "left")
+        tops = cut(
+            found.select(
+                "conv_id", "call_id", F.coalesce("_found.top", "top").alias("top"), F.coalesce("_found.at", "at").alias("at")
+            )
+        )
+
+
+def _depths(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, depth, settled) of the calls with ``edges``: the most references in a chain below each.
+
+    A row is a way down from a call, ending at ``ref``, or at the end of its chain where that is
+    null.  In a round ways to a call that has one open way go on along it, and those to a call
+    without any end.  If calls are left that reach no cycle, one of them ends in each round; so a
+    round without any leaves those on a cycle and behind it.
+    """
+    key = ["conv_id", "call_id"]
+    heads = edges.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("_goes_on")).distinct()
+    ways = edges.join(heads, ["conv_id", "ref"], "left").select(
+        *key, F.when(F.col("_goes_on"), F.col("ref")).alias("ref"), F.lit(1).cast("bigint").alias("length")
+    )
+    ways = cut(ways.groupBy(*key, "ref").agg(F.max("length").alias("length")))
+    before = None
+    while True:
+        nodes = cut(
+            ways.groupBy(*key).agg(
+                F.count("ref").alias("n_open"),
+                F.max("ref").alias("next"),
+                F.max(F.when(F.col("ref").isNotNull(), F.col("length"))).alias("step"),
+                F.max(F.when(F.col("ref").isNull(), F.col("length"))).alias("ended"),
+            )
+        )
+        left = nodes.filter("n_open > 0").count()
+        if left == 0 or left == before:
+            return nodes.select(*key, F.coalesce("ended", F.lit(0)).alias("depth"), (F.col("n_open") == 0).alias("settled"))
+        before = left
+        single = nodes.filter("n_open <= 1").select(
+            "conv_id",
+            F.col("call_id").alias("ref"),
+            F.filter(
+                F.array(
+                    F.when(F.col("ended").isNotNull(), F.struct(F.lit(None).cast("string").alias("ref"), F.col("ended").alias("length"))),
+                    F.when(F.col("n_open") == 1, F.struct(F.col("next").alias("ref"), F.col("step").alias("length"))),
+                ),
+                lambda x: x.isNotNull(),
+            ).alias("_on"),
+        )
+        stay = F.array(F.struct(F.col("ref").alias("ref"), F.lit(0).cast("bigint").alias("length")))
+        gone = ways.join(single, ["conv_id", "ref"], "left").select(*key, "length", F.explode(F.coalesce("_on", stay)).alias("_way"))
+        length = F.least(F.col("length") + F.col("_way.length"), F.lit(LONGEST))
+        ways = cut(
+            gone.select(*key, F.col("_way.ref").alias("ref"), length.alias("length"))
+            .groupBy(*key, "ref")
+            .agg(F.max("length").alias("length"))
+        )
 
 
-def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], rounds: int = ROUNDS) -> DataFrame:
+def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], rounds: int | None = None) -> DataFrame:
     """A row for each part of each message: its order, its link and its canonical JSON.
 
     Columns: conv_id, turn, part, kind (message, call or result), call_id, name, linked (a call:
@@ -245,7 +304,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], rounds:
     an identifier is linked with it.  Nulls: a part without conversation or identifier links with
     nothing; a null turn sorts last; a null role or text is a message.  Text that is no such JSON is a
     plain message, an empty table gives no rows, repeated rows are repeated parts, and other
-    columns of ``messages`` are not read.
+    columns of ``messages`` are not read.  ``rounds`` was a bound of the chains and has no effect.
     """
     parts = cut(message_parts(messages, schemas))
     own = _place(F.col("turn"), F.col("part"), F.lit(0))
@@ -256,7 +315,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], rounds:
         .agg(F.min_by("refs", own).alias("refs"), F.min(own).alias("place"))
     )
     order = cut(
-        call_order(calls, rounds)
+        call_order(calls)
         .join(calls.select("conv_id", "call_id", F.col("place").alias("first")), ["conv_id", "call_id"])
         .join(
             named.filter("kind = 'result'").select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True)),

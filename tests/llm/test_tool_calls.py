@@ -1,6 +1,7 @@
 """Chat formatting with tool calls."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,28 @@ def test_dialogues(spark):
     assert json.loads(by[1, 3].json)["arguments"]["after"] == {"$ref": "t1"} and not by[1, 3].valid
     assert by[2, 0].errors == ["the result has no call"] and not by[2, 1].valid
     assert link_tool_calls(as_tool_messages(frame.limit(0)), DIALOGUE_SCHEMAS).count() == 0
+
+
+def test_long_chains_beside_cycles(spark):
+    rng = random.Random(3)
+    refs = {}
+    for i in range(60):
+        refs[1, i] = [i + 1] if i < 59 else []
+    for i in range(15):
+        refs[2, i] = [i + 1] if i < 14 else []
+    # On a cycle, behind it, referring back to it, and beside it.
+    refs.update({(3, 0): [1], (3, 1): [2], (3, 2): [1, 3], (3, 3): [4], (3, 4): [], (3, 5): [2], (4, 0): [1], (4, 1): [2], (4, 2): [1], (4, 3): [2], (4, 4): [4]})
+    for c in range(5, 11):
+        for i in range(14):
+            refs[c, i] = sorted({rng.randrange(14) for _ in range(rng.choice([0, 1, 1, 2]))} - ({i} if c < 9 else set()))
+    want = {}
+    for c, i in refs:
+        place = {k: (k[1], 0) for k in refs if k[0] == c}
+        for _ in range(300):
+            place = {k: max([(k[1], 0)] + [(place[c, r][0], place[c, r][1] + 1) for r in refs[k]]) for k in place}
+        want[c, i] = place[c, i] if place[c, i][1] < 200 else None
+    rows = [(c, i, "assistant", call((f"c{i}", "any", {"$ref": [f"c{r}" for r in refs[c, i]]}))) for c, i in refs]
+    found = link_tool_calls(spark.createDataFrame(rows, MESSAGES), SCHEMAS).collect()
+    assert {(r.conv_id, r.turn) for r in found if "the call depends on itself" in r.errors} == {k for k, v in want.items() if v is None}
+    assert {(r.conv_id, r.turn): (r.order_turn, r.order_depth) for r in found if not r.errors} == {k: v for k, v in want.items() if v}
+    assert want[1, 0] == (59, 59) and want[3, 5] == (5, 0) and want[4, 0] is want[4, 1] is want[4, 4] is None and want[4, 3] == (3, 0)
