@@ -21,10 +21,9 @@ from quarrylens.llm.common import append_columns
 from quarrylens.llm.tree import Tree, decide, grow
 
 # Element names of the HTML standard.
-HIDDEN_TEXT = (
-    "script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "canvas",
-    "audio", "video", "select", "button", "datalist", "noembed", "noframes", "xmp",
-)
+RAW_TEXT = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+HIDDEN = frozenset("noscript template object svg math canvas audio video select button datalist".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -129,7 +128,7 @@ DEPTH = 12
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|$))"
-    r"|<(?P<raw>" + "|".join(HIDDEN_TEXT) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|<(?P<raw>" + "|".join(RAW_TEXT) + r")(?=[\s/>])(?P<raw_attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>"
     r"|<[!?/][^>]*>",
@@ -161,6 +160,22 @@ class Open:
     article: bool
     link: bool
     heading: bool
+    # The nearest hidden element around the text, and whether its own end was found.
+    hidden: Open | None = None
+    outer: Open | None = None
+    ended: bool = False
+    lost: bool | None = None
+
+    def dropped(self) -> bool:
+        """Whether a hidden element around has its end; asked when the page has been read."""
+        around, asked = self if self.name in HIDDEN else self.hidden, []
+        while around is not None and around.lost is None and not around.ended:
+            asked.append(around)
+            around = around.outer
+        lost = around is not None and (around.ended or bool(around.lost))
+        for x in asked:
+            x.lost = lost
+        return lost
 
 
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -191,35 +206,20 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
 
 def blocks_of(html: str) -> tuple[list[Block], bool]:
     """The text blocks of a page in order, and whether it has an article."""
-    found: list[Block] = []
     stack: list[Open] = []
-    current = Block()
-    has_article = False
+    # Texts, and None where a block ends, with the element around them: an element without an end hides nothing.
+    events: list[tuple[str | None, Open | None]] = []
+    articles: list[Open] = []
 
     def flush() -> None:
-        nonlocal current
-        text = " ".join("".join(current.pieces).split())
-        if text:
-            current.text = text
-            current.words = text.count(" ") + 1
-            current.density = min(1.0, current.linked / current.words)
-            found.append(current)
-        current = Block()
+        events.append((None, stack[-1] if stack else None))
 
     def add(raw: str) -> None:
-        text = unescape(raw) if "&" in raw else raw
-        top = stack[-1] if stack else None
-        if not current.pieces or not any(p.strip() for p in current.pieces):
-            current.furniture = bool(top and top.furniture)
-            current.article = bool(top and top.article)
-            current.heading = bool(top and top.heading)
-        current.pieces.append(text)
-        if top and top.link:
-            current.linked += len(text.split())
+        events.append((unescape(raw) if "&" in raw else raw, stack[-1] if stack else None))
 
-    def close(position: int) -> None:
-        if any(x.name in BLOCK for x in stack[position:]):
-            flush()
+    def close(position: int, own: bool = False) -> None:
+        stack[position].ended = own
+        events.extend((None, x) for x in stack[position:] if x.name in BLOCK)
         del stack[position:]
 
     at, end = 0, len(html)
@@ -232,37 +232,40 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
             break
         at = tag.end()
         raw = tag["raw"]
-        if raw:
+        # Inside svg and math there are no raw texts.
+        if raw and not any(x.name in FOREIGN for x in stack):
             stop = re.compile(rf"</{raw}\b[^>]*>", re.IGNORECASE).search(html, at)
             at = stop.end() if stop else end
             continue
-        name = tag["name"]
+        name = raw or tag["name"]
         if not name:
             continue
-        name = name.lower()
+        name, attributes = name.lower(), tag["raw_attrs"] if raw else tag["attrs"]
         if tag["close"]:
             for position in range(len(stack) - 1, -1, -1):
                 if stack[position].name == name:
-                    close(position)
+                    close(position, own=True)
                     break
             else:
                 if name in BLOCK:
                     flush()
             continue
         if name == "br":
-            current.pieces.append(" ")
+            add(" ")
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             continue
+        if attributes.endswith("/") and (name in FOREIGN or any(x.name in FOREIGN for x in stack)):
+            continue
         if name in BLOCK:
             # A block ends an open paragraph, with what is open inside it.
             for position in range(len(stack) - 1, -1, -1):
                 if stack[position].name == "p":
                     close(position)
                     break
-                if stack[position].name in BLOCK:
+                if stack[position].name in BLOCK or stack[position].name in HIDDEN:
                     break
             flush()
         if name in IMPLIED_END:
@@ -271,30 +274,60 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 if stack[position].name in ended:
                     close(position)
                     break
-                if stack[position].name in limits:
+                if stack[position].name in limits or stack[position].name in HIDDEN:
                     break
         if name == "a":
             for position in range(len(stack) - 1, -1, -1):
                 if stack[position].name == "a":
                     close(position)
                     break
-                if stack[position].name in BLOCK:
+                if stack[position].name in BLOCK or stack[position].name in HIDDEN:
                     break
         top = stack[-1] if stack else Open("", False, False, False, False)
-        furniture = _is_furniture(name, tag["attrs"], top.article)
-        is_article = name in ARTICLE_TAGS or "role=\"main\"" in tag["attrs"] or "role=\"article\"" in tag["attrs"]
-        has_article = has_article or (is_article and not furniture and not top.furniture)
-        stack.append(
-            Open(
-                name,
-                furniture or top.furniture,
-                is_article or top.article,
-                name == "a" or (top.link and name != "p"),
-                name in HEADINGS or top.heading,
-            )
+        furniture = _is_furniture(name, attributes, top.article)
+        is_article = name in ARTICLE_TAGS or "role=\"main\"" in attributes or "role=\"article\"" in attributes
+        opened = Open(
+            name,
+            furniture or top.furniture,
+            is_article or top.article,
+            name == "a" or (top.link and name != "p"),
+            name in HEADINGS or top.heading,
         )
+        around = top if top.name in HIDDEN else top.hidden
+        opened.hidden = opened.outer = around
+        if is_article and not opened.furniture:
+            articles.append(opened)
+        stack.append(opened)
     flush()
-    return found, has_article
+    return _blocks(events), any(not x.dropped() for x in articles)
+
+
+def _blocks(events: list[tuple[str | None, Open | None]]) -> list[Block]:
+    found: list[Block] = []
+    current = Block()
+    begun = False
+    for text, top in events:
+        if top is not None and (top.hidden or top.name in HIDDEN) and top.dropped():
+            continue
+        if text is None:
+            whole = " ".join("".join(current.pieces).split())
+            if whole:
+                current.text = whole
+                current.words = whole.count(" ") + 1
+                current.density = min(1.0, current.linked / current.words)
+                found.append(current)
+            if current.pieces:
+                current, begun = Block(), False
+            continue
+        if not begun and text.strip():
+            begun = True
+            current.furniture = bool(top and top.furniture)
+            current.article = bool(top and top.article)
+            current.heading = bool(top and top.heading)
+        current.pieces.append(text)
+        if top and top.link:
+            current.linked += len(text.split())
+    return found
 
 
 def features(blocks: list[Block], has_article: bool) -> list[tuple[float, ...]]:

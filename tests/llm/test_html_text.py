@@ -87,3 +87,23 @@ def test_against_a_plain_cut(spark):
             expect = ("long " * 200_000).strip()
         assert row["text"] == expect and row["n_chars"] == len(expect)
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one <svg width=1 /> two<p>three</article>", "one two\n\nthree"),
+        ("<article><p>one <math/> two<p>three", "one two\n\nthree"),
+        ("<article><p>one<p>two <button>Share<p>three</article>", "one\n\ntwo Share\n\nthree"),
+        ("<article><object data=x><p>one<p>two</article><p>three", "one\n\ntwo"),
+        ("<article><button>a <p>one<p>two <button>hidden</button> three</article>", "a\n\none\n\ntwo three"),
+        ("<article><p>one <object>x <object>y</object> z</object> two", "one two"),
+        ("<article><p>one <button><div>x<p>y</div></button> two", "one two"),
+        ("<article><p>one <svg><title/><style/><g><path d=x></svg> two", "one two"),
+        ("<article><p>one <svg><article>x</article></svg> <select><option>a<option>b</select>two", "one two"),
+        ("<article><style-guide>one</style-guide> <title-x>two</title-x>", "one two"),
+        ("<article><p>one <iframe><p>x</iframe> two <video><a href=v>get it</a></video>", "one two"),
+    ],
+)
+def test_hidden_elements_end(page, text):
+    assert main_text(page, TREE) == text
