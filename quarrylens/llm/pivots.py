@@ -2,8 +2,9 @@
 
 Reference vectors (pivots) are drawn from the table.  A vector is described by its nearest
 pivots in order, the head of its permutation.  Each pivot's inverted list holds the vectors
-whose head names it.  Two vectors that share enough pivots of their heads are candidates, and
-a candidate is linked if its cosine, in double precision, reaches the threshold.  A pair that
+whose head names it.  Two vectors that share enough pivots of their heads (any one, unless more
+are asked for) are candidates, and a candidate is linked if its cosine, in double precision,
+reaches the threshold.  A pair that
 several lists hold counts only in that of its smallest shared pivot.
 """
 
@@ -22,10 +23,12 @@ from quarrylens.operators.lineage import cut
 
 COSINE = 0.9
 HEAD = 8
-SHARED = 2
+# Two vectors of one list are compared anyway; asking for more shared pivots would drop found links.
+SHARED = 1
 LEAST_PIVOTS = 64
 MOST_PIVOTS = 1 << 15
 PAIRS_AT_ONCE = 1 << 18
+COSINES_AT_ONCE = 1 << 22
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -57,14 +60,18 @@ def link_classes(classes: DataFrame, pivots: np.ndarray, cosine: float, head: in
     head = min(head, len(pivots))
     shared = min(shared, head)
 
+    def nearest(vectors: np.ndarray) -> np.ndarray:
+        far = -(vectors @ pivots.T)
+        top = np.argpartition(far, head - 1, axis=1)[:, :head]
+        order = np.argsort(np.take_along_axis(far, top, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(top, order, axis=1).astype(np.int32)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = unit_rows(batch.column(2)) @ pivots.T
-            top = np.argpartition(-near, head - 1, axis=1)[:, :head]
-            order = np.argsort(np.take_along_axis(-near, top, axis=1), axis=1, kind="stable")
-            heads = np.take_along_axis(top, order, axis=1).astype(np.int32)
+            vectors, step = unit_rows(batch.column(2)), max(1, COSINES_AT_ONCE // len(pivots))
+            heads = np.concatenate([nearest(vectors[at : at + step]) for at in range(0, len(vectors), step)])
             rows = np.repeat(np.arange(len(heads)), head)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(heads.ravel()), head).cast(pa.list_(pa.int32()))
             columns = [pa.array(heads.ravel()), *[c.take(pa.array(rows)) for c in batch.columns], listed.take(pa.array(rows))]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import units
-from quarrylens.llm.pivots import near_vectors
+from quarrylens.llm.pivots import COSINE, HEAD, SHARED, link_classes, near_vectors
 
 
 def brute(rows, cosine=0.9):
@@ -71,3 +71,18 @@ def test_nothing_to_link(spark):
     assert near_vectors(empty).count() == 0
     bare = spark.createDataFrame([(1, None), (None, [1.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in near_vectors(bare).collect()] == [(1, 0, 1, True)]
+
+
+@pytest.mark.parametrize("pivots", [4096, 32768])
+def test_recall_with_many_pivots(spark, pivots):
+    rng = np.random.default_rng(7)
+    base, noise, drawn = (rng.standard_normal((n, 64)) for n in (600, 600, pivots))
+    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    near = 0.905 * base + np.sqrt(1 - 0.905**2) * noise
+    rows = [(i, 1, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, near]))]
+    classes = spark.createDataFrame(rows, "node bigint, weight bigint, vector array<double>")
+    links = link_classes(classes, drawn, COSINE, HEAD, SHARED).agg(F.sum("links")).first()[0] / 2
+    assert 0.97 * 600 <= links <= 600
