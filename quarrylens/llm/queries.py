@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.byte_cnn import fit, score_texts
+from quarrylens.llm.byte_pairs import encode_and_decode
 from quarrylens.llm.common import table
+from quarrylens.llm.hard_negatives import hard_negatives
 from quarrylens.llm.html_text import extract_text
 from quarrylens.llm.line_runs import dedup_lines
 from quarrylens.llm.mixture import mix_sources
@@ -18,6 +20,7 @@ from quarrylens.llm.pivots import near_vectors
 from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.simhash import simhash_groups
 from quarrylens.llm.tool_calls import DIALOGUE_SCHEMAS, as_tool_messages, link_tool_calls
+from quarrylens.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +207,58 @@ FROM runs"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix_sources(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Every anchor against all rows; the scores are integers, exact as doubles.
+OP11_SQL = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = (F.col("label").cast("bigint") + 1) % 10
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")))
+    return hard_negatives(vectors)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # One row per component; n and the deviation are the row's own.
+    found = found.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.col("explained")[F.col("at")].alias("explained"),
+        "identity_error",
+    )
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = encode_and_decode(docs)
+    return found.select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
