@@ -25,6 +25,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 BUCKET_KEYS = 4
 SHIFTS_AT_ONCE = 256
 CACHED_PIECES = 200_000
+CACHED_PAIRS = 500_000
 CACHED_LENGTH = 64
 SLICE_CHARS = 1 << 20
 
@@ -117,6 +118,19 @@ class Vocabulary:
         return rank if token == key else -1
 
 
+class _PairRanks(dict):
+    """Ranks of the byte strings that merges have asked for, each looked up once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, key: bytes) -> int:
+        if len(self) >= CACHED_PAIRS:
+            self.clear()
+        rank = self[key] = self.vocabulary.rank(key)
+        return rank
+
+
 class PairCoder:
     """Encoder and decoder of one vocabulary and pattern."""
 
@@ -126,33 +140,32 @@ class PairCoder:
         self.vocabulary = Vocabulary(content, seed, shifts)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.pairs = _PairRanks(self.vocabulary)
 
     def merge(self, piece: bytes) -> list[int]:
         """The second tier: ranks of a pre-token that is not in the vocabulary."""
-        rank, longest, n = self.vocabulary.rank, self.vocabulary.longest, len(piece)
+        ranks, longest, n = self.pairs, self.vocabulary.longest, len(piece)
         end = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))  # beginning of the part before the one that begins here
-        gone = bytearray(n + 1)
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+        end.append(n + longest + 1)
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks[piece[i : i + 2]]) >= 0]
         heapify(heap)
         while heap:
             _, start, stop = heappop(heap)
-            if gone[start]:
-                continue
-            middle = end[start]
-            if middle >= n or middle >= stop or end[middle] != stop:
+            middle = end[start]  # 0 where no part begins any more
+            if not middle or middle >= stop or end[middle] != stop:
                 continue  # one of the two parts has grown since
-            gone[middle] = 1
+            end[middle] = 0
             end[start] = stop
             before[stop] = start
-            if stop < n and end[stop] - start <= longest and (r := rank(piece[start : end[stop]])) >= 0:
-                heappush(heap, (r, start, end[stop]))
-            left = before[start]
-            if left >= 0 and stop - left <= longest and (r := rank(piece[left:stop])) >= 0:
+            after, left = end[stop], before[start]
+            if after - start <= longest and after <= n and (r := ranks[piece[start:after]]) >= 0:
+                heappush(heap, (r, start, after))
+            if left >= 0 and stop - left <= longest and (r := ranks[piece[left:stop]]) >= 0:
                 heappush(heap, (r, left, stop))
         found, at = [], 0
         while at < n:
-            token = rank(piece[at : end[at]])
+            token = ranks[piece[at : end[at]]]
             if token < 0:
                 raise ValueError(f"the vocabulary lacks the byte {piece[at]}")
             found.append(token)
