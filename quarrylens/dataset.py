@@ -29,6 +29,7 @@ from quarrylens.sources import module_graph as mg_files
 from quarrylens.sources.classify import classify
 from quarrylens.sources.documents import dataset_id, document_errors, read_documents
 from quarrylens.sources.export import ExportResult, export_collection, materialize_artifact
+from quarrylens.sources.json_stream import ingest_documents
 from quarrylens.sources.trace_events import trace_events, trace_metadata
 from quarrylens.sources.trace_stream import failed_files, ingest_traces, list_files, split_metadata
 from quarrylens.shipping import ship_package
@@ -404,8 +405,11 @@ def trace_dataset(
 
 
 # Chunk lists --------------------------------------------------------------------------
-def chunk_dataset(spark: SparkSession, documents: DataFrame, collation: str | None = None) -> Dataset:
-    chunks = ch.chunks_of(documents)
+def chunk_dataset(
+    spark: SparkSession, documents: DataFrame, collation: str | None = None, chunks: DataFrame | None = None
+) -> Dataset:
+    """Tables of chunk lists; ``chunks`` are given where the documents are held item by item."""
+    chunks = ch.chunks_of(documents) if chunks is None else chunks
     counts = chunks.groupBy("trace_id").agg(F.count(F.lit(1)).alias("itemCount"))
     manifest = manifest_of("vite-bundle", documents, counts)
     ds = Dataset(spark, "vite-bundle", manifest, collation)
@@ -517,16 +521,33 @@ def graph_dataset(spark: SparkSession, root: str, collation: str | None = None)
 
 
 # Any other JSON -----------------------------------------------------------------------
-def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | None = None) -> Dataset:
-    items = p.v_array(F.col("doc"), "$")
-    manifest = manifest_of("raw-json", documents, documents.select("trace_id", F.size(items).alias("itemCount")))
+def json_dataset(
+    spark: SparkSession,
+    documents: DataFrame,
+    collation: str | None = None,
+    items: DataFrame | None = None,
+    whole: Callable[[], DataFrame] | None = None,
+) -> Dataset:
+    """Discovery over documents; ``items`` are their root arrays where they are held item by item.
+
+    ``whole`` gives the documents for what hands them out as such.
+    """
+    whole = whole or (lambda: documents)
+    nodes = walk_json(documents, ["trace_id"], "text")
+    counts = None
+    if items is None:
+        sizes = documents.select("trace_id", F.size(p.v_array(F.col("doc"), "$")).alias("itemCount"))
+    else:
+        counts = cut(rawjson.item_counts(items))
+        nodes = nodes.unionByName(rawjson.item_nodes(items, walk_json))
+        sizes = counts.select("trace_id", F.col("rows").alias("itemCount"))
+    manifest = manifest_of("raw-json", documents, sizes)
     ds = Dataset(spark, "raw-json", manifest, collation)
     t = ds.frame
-    nodes = walk_json(documents, ["trace_id"], "text")
-    inferred = rawjson.inferred_tables(nodes)
-    long_rows = rawjson.inferred_rows(inferred)
+    inferred = rawjson.inferred_tables(nodes, counts)
+    long_rows = rawjson.inferred_rows(inferred, nodes, items, counts)
     ds.add_table("raw.schema.paths", lambda: rawjson.path_catalog(nodes), ("path", "trace_id"), "JSON paths")
-    ds.add_table("raw.embeddedBlobs", lambda: rawjson.embedded_blobs(documents), ("trace_id", "embeddedBlobId"), "Embedded payloads")
+    ds.add_table("raw.embeddedBlobs", lambda: rawjson.embedded_blobs(documents, items=items), ("trace_id", "embeddedBlobId"), "Embedded payloads")
 
     def typed_rows(name: str, object_type: str) -> DataFrame:
         rows = long_rows.filter(F.col("name") == name)
@@ -553,8 +574,8 @@ def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | Non
     ds.found_names = lambda: inferred.select(
         "name", F.lit("raw").alias("namespace"), F.lit(FOUND_ARRAY).alias("description")
     ).distinct()
-    ds.raw_specs["raw.document"] = lambda: documents
-    ds.document_builder = lambda: documents
+    ds.raw_specs["raw.document"] = whole
+    ds.document_builder = whole
     ds.add_report(
         "raw.summary",
         lambda: rawjson.raw_summary(documents, inferred, t("raw.schema.paths"), t("raw.embeddedBlobs")),
@@ -563,8 +584,8 @@ def json_dataset(spark: SparkSession, documents: DataFrame, collation: str | Non
     ds.capability_builder = lambda: rawjson.raw_capabilities(
         inferred, t("raw.schema.paths"), t("raw.embeddedBlobs"), documents
     )
-    ds.artifact_builder = lambda: art.raw_artifacts(documents, t("raw.embeddedBlobs"))
-    ds.collection_specs["raw.document"] = CollectionSpec(lambda: art.document_files(documents), "The document")
+    ds.artifact_builder = lambda: art.raw_artifacts(whole(), t("raw.embeddedBlobs"))
+    ds.collection_specs["raw.document"] = CollectionSpec(lambda: art.document_files(whole()), "The document")
     ds.collection_specs["raw.embedded-blobs"] = CollectionSpec(
         lambda: art.blob_files(t("raw.embeddedBlobs")), "Embedded payloads"
     )
@@ -581,8 +602,9 @@ def open_dataset(
 ) -> Dataset:
     """Open one file, several files of one kind, or a module-graph folder.
 
-    ``bronze`` names a folder where trace events are written once as Parquet rows;
-    use it for traces too large for one value and whenever more than one query runs.
+    ``bronze`` names a folder where trace events, chunks or the items of JSON arrays are written
+    once as Parquet rows; use it for files too large for one value and whenever more than one
+    query runs.
     A file that cannot be read gives no rows and is listed by ``errors()``.
     """
     ship_package(spark)
@@ -608,6 +630,21 @@ def open_dataset(
         )
         ds.error_builder = lambda: failed_files(rows).join(files, "trace_id").select("trace_id", "path", "reason")
         return ds
+    if kind != "devtools" and bronze is not None:
+        documents, items, failed = ingest_documents(spark, paths, bronze)
+        files = list_files(spark, paths).withColumnRenamed("length", "fileSizeBytes")
+        documents = documents.join(files.select("trace_id", "path", "fileSizeBytes"), "trace_id")
+
+        def whole() -> DataFrame:
+            return read_documents(spark, paths)
+
+        if kind == "vite-bundle":
+            ds = chunk_dataset(spark, documents, collation, ch.chunks_of_items(items))
+            ds.document_builder = whole
+        else:
+            ds = json_dataset(spark, documents, collation, items, whole)
+        ds.error_builder = lambda: failed.join(files, "trace_id").select("trace_id", "path", "reason")
+        return ds
     every = read_documents(spark, paths)
     documents = every.filter(F.col("doc").isNotNull())
     if kind == "devtools":

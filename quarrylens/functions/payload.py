@@ -47,6 +47,11 @@ def v_num_text(v: Column, path: str) -> Column:
     )
 
 
+def number_text(number: Column) -> Column:
+    """A number column as it is written: no exponent, no trailing zeros."""
+    return F.regexp_replace(number.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+
+
 def v_long(v: Column, path: str) -> Column:
     return F.when(json_type_at(v, path).rlike(_NUMERIC), _get(v, path, "double").cast("bigint"))
 

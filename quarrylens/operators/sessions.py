@@ -46,9 +46,10 @@ def _pointers(points: DataFrame, keys: list[str], gap: int, max_span: int) -> Da
     own = F.floor(F.col("ts") / width)
     earliest = F.floor((F.col("ts") - reach) / width)
     copies = points.select(*keys, "seg", "ts", own.alias("own"), F.explode(F.sequence(earliest, own)).alias("block"))
-    frame = (
-        Window.partitionBy(*keys, "seg", "block").orderBy("ts").rangeBetween(max_span + 1, reach)
-    )
+    # Frames count whole units; times with fractions are taken in thousandths.
+    parts = 1 if points.schema["ts"].dataType.typeName() in ("long", "integer") else 1000
+    place = F.round(F.col("ts") * parts).cast("bigint")
+    frame = Window.partitionBy(*keys, "seg", "block").orderBy(place).rangeBetween(max_span * parts + 1, reach * parts)
     return (
         copies.withColumn("nxt", F.min("ts").over(frame))
         .filter((F.col("own") == F.col("block")) & F.col("nxt").isNotNull())

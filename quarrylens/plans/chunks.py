@@ -54,6 +54,13 @@ def chunks_of(documents: DataFrame) -> DataFrame:
     ).withColumn("chunkIndex", F.col("chunkIndex").cast("bigint"))
 
 
+def chunks_of_items(items: DataFrame) -> DataFrame:
+    """The same of documents held as items (trace_id, position, text)."""
+    rows = items.select("trace_id", F.col("position").alias("chunkIndex"), F.parse_json("text").alias("chunk"))
+    first = rows.filter((F.col("chunkIndex") == 0) & is_chunk(F.col("chunk")))
+    return rows.join(first.select("trace_id"), "trace_id", "left_semi")
+
+
 def _size(v: Column, name: str) -> Column:
     return F.coalesce(p.v_num(v, f"$.{name}").cast("bigint"), F.lit(0))
 

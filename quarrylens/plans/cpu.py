@@ -150,9 +150,7 @@ def sample_points(chunks: DataFrame) -> DataFrame:
         "chunkTs",
         "pos",
         p.v_num_text(F.col("sample"), "$").alias("nodeId"),
-        F.coalesce(p.v_num(F.get("deltas", F.col("pos")), "$"), F.lit(0.0))
-        .cast("bigint")
-        .alias("timeDeltaUs"),
+        F.coalesce(p.v_num(F.get("deltas", F.col("pos")), "$"), F.lit(0.0)).alias("timeDeltaUs"),
     ).filter(F.col("nodeId").isNotNull())
     # One chunk is one event, so this window is bounded by the event.
     upto = (
@@ -160,9 +158,7 @@ def sample_points(chunks: DataFrame) -> DataFrame:
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return numeric.withColumn(
-        "tsUs", (F.col("chunkTs") + F.sum("timeDeltaUs").over(upto)).cast("bigint")
-    )
+    return numeric.withColumn("tsUs", F.col("chunkTs") + F.sum("timeDeltaUs").over(upto))
 
 
 def cpu_samples(events: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -395,7 +391,6 @@ def interaction_cpu_hotspots(samples: DataFrame, interactions: DataFrame) -> Dat
 
 
 def task_cpu_hotspots(samples: DataFrame, tasks: DataFrame) -> DataFrame:
-    spans = tasks.withColumn(
-        "taskEnd", F.col("tsUs") + F.round(F.col("durationMs") * 1000).cast("bigint")
-    ).withColumnRenamed("tsUs", "taskStart")
+    end = F.col("tsUs") + F.col("durationMs") * 1000
+    spans = tasks.withColumn("taskEnd", end).withColumnRenamed("tsUs", "taskStart")
     return window_cpu_hotspots(samples, spans, "task", F.col("taskId"), "taskStart", "taskEnd")

@@ -295,7 +295,7 @@ def interactions(events: DataFrame) -> DataFrame:
         .withColumn(
             "interactionId",
             F.when(F.col("sourceInteractionId") != "0", F.col("sourceInteractionId")).otherwise(
-                F.concat("type", F.lit("@"), F.col("tsUs").cast("string"))
+                F.concat("type", F.lit("@"), p.number_text(F.col("tsUs")))
             ),
         )
     )
@@ -540,7 +540,7 @@ def soft_navigations(events: DataFrame, tasks: DataFrame) -> DataFrame:
         "taskId",
         F.col("durationMs").alias("taskMs"),
         F.col("tsUs").alias("taskStart"),
-        (F.col("tsUs") + F.round(F.col("durationMs") * 1000).cast("bigint")).alias("taskEnd"),
+        (F.col("tsUs") + F.col("durationMs") * 1000).alias("taskEnd"),
         F.col("rawIndex").alias("taskIndex"),
     )
     pairs = overlap_join(

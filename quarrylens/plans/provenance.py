@@ -21,7 +21,7 @@ def _interaction_id() -> Column:
     args = F.col("args")
     number = p.v_num_text(args, "$.data.interactionId")
     kind = F.coalesce(p.v_text(args, "$.data.type"), F.lit("unknown"))
-    loose = F.concat(kind, F.lit("@"), F.col("tsUs").cast("string"))
+    loose = F.concat(kind, F.lit("@"), p.number_text(F.col("tsUs")))
     return F.when(
         (F.col("name") == "EventTiming") & p.v_object(args, "$.data").isNotNull(),
         F.when(number != "0", number).otherwise(loose),

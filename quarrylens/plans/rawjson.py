@@ -93,13 +93,42 @@ def table_name(path: Column) -> Column:
     return F.concat(F.lit("raw.inferred."), F.when(parts == "", "main").otherwise(parts))
 
 
-def inferred_tables(nodes: DataFrame) -> DataFrame:
-    """One row per non-empty array: name, path, occurrence, row count and the array.
+def item_nodes(items: DataFrame, walk) -> DataFrame:
+    """(trace_id, path, pos, v) of the values inside items (trace_id, position, text) of root arrays.
+
+    ``walk(documents, keys, text)`` gives the values of each text on its own; here they get the
+    paths and positions that they have in the document.
+    """
+    own = walk(items, ["trace_id", "position"], "text")
+    return own.select(
+        "trace_id",
+        F.concat(F.lit("$[]"), F.substr("path", F.lit(2))).alias("path"),
+        F.concat(F.array(F.col("position").cast("int")), "pos").alias("pos"),
+        "v",
+    )
+
+
+def item_counts(items: DataFrame) -> DataFrame:
+    """(trace_id, rows, whole): size of each root array held as items, and whether all are objects."""
+    is_object = p.v_object(F.parse_json("text"), "$").isNotNull()
+    return items.groupBy("trace_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(is_object).alias("whole"))
+
+
+def _arrays(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("items", p.v_array(F.col("v"), "$")).filter(F.size("items") > 0)
+
+
+def inferred_tables(nodes: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row per non-empty array: name, path, occurrence, row count and its position.
 
     A name met again in the same document gets ``.2``, ``.3`` ...; the window that
-    counts them is bounded by one document.
+    counts them is bounded by one document and holds no array.  ``counts`` are those of
+    :func:`item_counts`, of root arrays that ``nodes`` holds empty.
     """
-    arrays = nodes.withColumn("items", p.v_array(F.col("v"), "$")).filter(F.size("items") > 0)
+    arrays = _arrays(nodes).select("trace_id", "path", "pos", F.size("items").cast("bigint").alias("rows"))
+    if counts is not None:
+        root = F.array().cast(arrays.schema["pos"].dataType)
+        arrays = arrays.unionByName(counts.select("trace_id", F.lit("$").alias("path"), root.alias("pos"), "rows"))
     window = Window.partitionBy("trace_id", "base").orderBy("pos")
     numbered = arrays.withColumn("base", table_name(F.col("path"))).withColumn(
         "occurrence", F.row_number().over(window)
@@ -108,16 +137,29 @@ def inferred_tables(nodes: DataFrame) -> DataFrame:
         F.concat("base", F.lit("."), F.col("occurrence").cast("string"))
     )
     return numbered.select(
-        "trace_id", name.alias("name"), "path", "occurrence", F.size("items").alias("rows"), "items"
+        "trace_id", name.alias("name"), "path", "occurrence", "rows", "pos"
     )
 
 
-def inferred_rows(tables: DataFrame) -> DataFrame:
-    """Rows of the inferred tables: objects as they are, other values as (index, value)."""
+def inferred_rows(
+    tables: DataFrame, nodes: DataFrame, items: DataFrame | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """Rows of the inferred tables: objects as they are, other values as (index, value).
+
+    Arrays are found by their document and position; ``items`` are root arrays held item by item.
+    """
     whole = F.forall("items", lambda x: p.v_object(x, "$").isNotNull())
-    rows = tables.select(
-        "trace_id", "name", "path", "occurrence", whole.alias("whole"), F.posexplode("items")
+    named = tables.select("trace_id", "name", "path", "occurrence", "pos")
+    rows = (
+        _arrays(nodes)
+        .select("trace_id", F.col("pos"), "items")
+        .join(named, ["trace_id", "pos"])
+        .select("trace_id", "name", "path", "occurrence", whole.alias("whole"), F.posexplode("items"))
     )
+    if items is not None:
+        roots = named.filter(F.size("pos") == 0).drop("pos").join(counts.select("trace_id", "whole"), "trace_id")
+        own = items.select("trace_id", F.col("position").alias("pos"), F.parse_json("text").alias("col"))
+        rows = rows.unionByName(roots.join(own, "trace_id").select(*rows.columns))
     wrapped = F.to_variant_object(
         F.create_map(
             F.lit("index"),
@@ -278,6 +320,17 @@ def _payload_nodes(text: str) -> Iterator[tuple[str, list[int], str]]:
             stack.extend((f"{loc}.{k}", (*pos, i), x) for i, (k, x) in members if isinstance(x, str | list | dict))
 
 
+def item_payload_nodes(items: DataFrame) -> DataFrame:
+    """(trace_id, loc, pos, v) of the values that may hold a payload, of items of root arrays."""
+    own = payload_nodes(items, ["trace_id", "position"], "text")
+    return own.select(
+        "trace_id",
+        F.concat(F.lit("$["), F.col("position").cast("string"), F.lit("]"), F.substr("loc", F.lit(2))).alias("loc"),
+        F.concat(F.array(F.col("position").cast("int")), "pos").alias("pos"),
+        "v",
+    )
+
+
 def payload_nodes(documents: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(keys, loc, pos, v) of the values that may hold a payload, in one pass over each text.
 
@@ -381,9 +434,16 @@ def decode_blobs(candidates: DataFrame) -> DataFrame:
     )
 
 
-def embedded_blobs(documents: DataFrame, text: str = "text", keys: Sequence[str] = ("trace_id",)) -> DataFrame:
-    """``raw.embeddedBlobs``: payloads held in documents, decoded and hashed."""
+def embedded_blobs(
+    documents: DataFrame, text: str = "text", keys: Sequence[str] = ("trace_id",), items: DataFrame | None = None
+) -> DataFrame:
+    """``raw.embeddedBlobs``: payloads held in documents, decoded and hashed.
+
+    ``items`` are root arrays held item by item; such an array of numbers is not seen as one payload.
+    """
     nodes = payload_nodes(documents, keys, text)
+    if items is not None:
+        nodes = nodes.unionByName(item_payload_nodes(items))
     index = F.col("blobIndex").cast("string")
     padded = F.when(F.length(index) < 4, F.lpad(index, 4, "0")).otherwise(index)
     return decode_blobs(blob_candidates(nodes, keys)).select(

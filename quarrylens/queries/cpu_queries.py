@@ -12,12 +12,22 @@ from quarrylens.operators.closure import ancestor_closure
 from quarrylens.plans import cpu, dims
 from quarrylens.queries.dim_queries import TASKS, main_trace
 from quarrylens.queries.registry import query, with_events
-from quarrylens.queries.view_queries import _rounded
 from quarrylens.sources.star_events import by_type, read_table, trace_of
 
 HALF_DAY_US = 43_200_000_000
 
 
+def _rounded(rows, *names):
+    for name in names:
+        rows = rows.withColumn(name, F.round(name, 6))
+    return rows
+
+
+def _quarters():
+    """A delta in quarters of a microsecond: times of this size hold them exactly, in any order of adding."""
+    return F.floor(F.col("value") * 4000) / F.lit(4.0)
+
+
 def profile_trace(spark, sf_dir):
     names = {t: "ProfileChunk" for t in ("click", "view", "signup", "error")}
     names["purchase"] = "EventTiming"
@@ -36,7 +46,7 @@ def profile_trace(spark, sf_dir):
             F.array(node).alias("nodes"),
             F.array(node_id, F.col("uid") % 100 + 1).alias("samples"),
         )
-        deltas = F.array(F.round(F.col("value") * 1000).cast("bigint"), F.col("k"))
+        deltas = F.array(_quarters(), F.col("k") + 0.25)
         data = F.struct(
             F.when(chunk, profile).alias("cpuProfile"),
             F.when(chunk, deltas).alias("timeDeltas"),
@@ -49,10 +59,9 @@ def profile_trace(spark, sf_dir):
     return trace_of(spark, sf_dir, names, {t: "P" for t in names}, args)
 
 
-SAMPLES = """, c AS (SELECT * FROM e WHERE et <> 'purchase'), s AS (
-  SELECT trace_id, idx, 0 AS pos, k + 1 AS node, CAST(round(value * 1000) AS BIGINT) AS delta,
-    ts + CAST(round(value * 1000) AS BIGINT) AS ts FROM c
-  UNION ALL SELECT trace_id, idx, 1, uid % 100 + 1, k, ts + CAST(round(value * 1000) AS BIGINT) + k FROM c), d AS (
+SAMPLES = """, c AS (SELECT *, floor(value * 4000) / CAST(4 AS DOUBLE) AS d4 FROM e WHERE et <> 'purchase'), s AS (
+  SELECT trace_id, idx, 0 AS pos, k + 1 AS node, d4 AS delta, ts + d4 AS ts FROM c
+  UNION ALL SELECT trace_id, idx, 1, uid % 100 + 1, k + CAST(0.25 AS DOUBLE), ts + d4 + k + CAST(0.25 AS DOUBLE) FROM c), d AS (
   SELECT trace_id, k + 1 AS node, min(idx) AS since, count(*) AS times FROM c GROUP BY ALL)"""
 NAME = "CASE WHEN {n} % 10 <> 9 THEN 'f' || ({n} % 10) ELSE '(anonymous)' END"
 # Walks up from each sample while the node is declared by the sample's chunk.
@@ -115,7 +124,7 @@ NODES = """, own AS (SELECT trace_id, node, count(*) AS n, sum(delta) AS us FROM
   SELECT cl.trace_id, anc AS node, sum(n) AS tn, sum(us) AS tus FROM cl JOIN own ON own.trace_id = cl.trace_id AND own.node = cl.node GROUP BY 1, 2), nd AS (
   SELECT d.trace_id, CAST(d.node AS VARCHAR) AS "nodeId", CASE WHEN d.node // 3 > 0 THEN CAST(d.node // 3 AS VARCHAR) END AS "parentNodeId",
     """ + NAME.format(n="d.node") + """ AS "functionName", coalesce(n, 0) AS "selfSampleCount", CAST(coalesce(tn, 0) AS BIGINT) AS "totalSampleCount",
-    round(coalesce(us, 0) / 1000, 3) AS "selfTimeMs", round(coalesce(tus, 0) / 1000, 3) AS "totalTimeMs"
+    round(coalesce(us, 0) / 1000, 6) AS "selfTimeMs", round(coalesce(tus, 0) / 1000, 6) AS "totalTimeMs"
   FROM d LEFT JOIN own ON own.trace_id = d.trace_id AND own.node = d.node LEFT JOIN tot ON tot.trace_id = d.trace_id AND tot.node = d.node)"""
 
 
@@ -209,7 +218,7 @@ def tree_closure(spark, sf_dir):
         + STACKS
         + """, g AS (SELECT trace_id, label, count(*) AS n, sum(delta) AS us, min(idx * 2 + pos) AS first, arg_min(node, idx * 2 + pos) AS node FROM sm GROUP BY 1, 2)
 SELECT trace_id, 'cpu-stack:' || (row_number() OVER (PARTITION BY trace_id ORDER BY first) - 1) AS "stackId", label AS "stackLabel",
-  n AS "sampleCount", round(us / 1000, 3) AS "totalTimeMs", CAST(node AS VARCHAR) AS "topNodeId" FROM g""",
+  n AS "sampleCount", round(us / 1000, 6) AS "totalTimeMs", CAST(node AS VARCHAR) AS "topNodeId" FROM g""",
         recursive=True,
     ),
 )
@@ -222,10 +231,10 @@ def cpu_call_trees(spark, sf_dir):
     with_events(
         SAMPLES
         + STACKS
-        + f""", pf AS (SELECT trace_id, ts // {HALF_DAY_US} AS b, fn, count(*) AS n, sum(delta) AS us, min(idx * 2 + pos) AS first FROM sm GROUP BY 1, 2, 3), rk AS (
+        + f""", pf AS (SELECT trace_id, CAST(floor(ts / {HALF_DAY_US}) AS BIGINT) AS b, fn, count(*) AS n, sum(delta) AS us, min(idx * 2 + pos) AS first FROM sm GROUP BY 1, 2, 3), rk AS (
   SELECT *, row_number() OVER (PARTITION BY trace_id, b ORDER BY n DESC, first) AS r FROM pf)
 SELECT trace_id, 'cpu-bucket:' || b AS "bucketId", b * {HALF_DAY_US} AS "startTsUs", (b + 1) * {HALF_DAY_US} AS "endTsUs",
-  CAST(sum(n) AS BIGINT) AS "sampleCount", round(sum(us) / 1000, 3) AS "totalTimeMs",
+  CAST(sum(n) AS BIGINT) AS "sampleCount", round(sum(us) / 1000, 6) AS "totalTimeMs",
   string_agg(fn || '=' || n, ',' ORDER BY r) FILTER (r <= 5) AS "topFunctions" FROM rk GROUP BY trace_id, b""",
         recursive=True,
     ),
@@ -241,7 +250,7 @@ def cpu_timeline(spark, sf_dir):
 def _scoped(scope, windows):
     return f"""
 SELECT sm.trace_id, w.id AS "scopeId", CAST(node AS VARCHAR) AS "nodeId", fn AS "functionName", url, count(*) AS "sampleCount",
-  round(sum(delta) / 1000, 3) AS "totalTimeMs", '{scope}-cpu:' || w.id || ':' || node AS "{scope}CpuHotspotId"
+  round(sum(delta) / 1000, 6) AS "totalTimeMs", '{scope}-cpu:' || w.id || ':' || node AS "{scope}CpuHotspotId"
 FROM ({windows}) w JOIN sm ON sm.trace_id = w.trace_id AND sm.ts >= w.lo AND sm.ts <= w.hi GROUP BY sm.trace_id, w.id, node, fn, url"""
 
 

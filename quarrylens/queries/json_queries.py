@@ -170,7 +170,7 @@ UNION ALL SELECT trace_id, 'raw.inferred.pair.ids.2', '$.pair[].ids', 2 FROM t""
 )
 def inferred_tables(spark, sf_dir):
     nodes = walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text")
-    rows = rawjson.inferred_tables(nodes).drop("items", "occurrence")
+    rows = rawjson.inferred_tables(nodes).drop("pos", "occurrence")
     return rows.withColumn("rows", F.col("rows").cast("bigint"))
 
 
@@ -185,7 +185,7 @@ UNION ALL SELECT trace_id, 'raw.inferred.pair.ids.2', 2, 2 * turn FROM t""",
 )
 def inferred_rows(spark, sf_dir):
     nodes = walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text")
-    rows = rawjson.inferred_rows(rawjson.inferred_tables(nodes))
+    rows = rawjson.inferred_rows(rawjson.inferred_tables(nodes), nodes)
     number = F.coalesce(
         F.try_variant_get("row", "$.n", "bigint"), F.try_variant_get("row", "$.value", "bigint"), F.lit(0)
     )
@@ -202,7 +202,7 @@ def inferred_rows(spark, sf_dir):
 )
 def inferred_columns(spark, sf_dir):
     nodes = walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text")
-    return rawjson.inferred_columns(rawjson.inferred_rows(rawjson.inferred_tables(nodes)))
+    return rawjson.inferred_columns(rawjson.inferred_rows(rawjson.inferred_tables(nodes), nodes))
 
 
 @query(

@@ -16,7 +16,7 @@ def event_columns(event: Column) -> list[Column]:
         p.v_str(event, "$.ph").alias("ph"),
         p.v_long(event, "$.pid").alias("pid"),
         p.v_long(event, "$.tid").alias("tid"),
-        p.v_long(event, "$.ts").alias("ts"),
+        p.v_num(event, "$.ts").alias("ts"),
         p.v_num(event, "$.dur").alias("dur"),
         F.try_variant_get(event, "$.id", "variant").alias("id"),
         F.try_variant_get(event, "$.s", "variant").alias("s"),

@@ -1,15 +1,17 @@
 """Ingest of trace files too large for one value: file -> event rows -> Parquet.
 
-Each file is read by one task (gzip cannot be split) in constant memory and written
-out once, into a folder of its own key; every later query runs on the Parquet rows with
-full parallelism.  A file that was ingested before and has not changed is left as it is.
+A compressed file is read by one task in constant memory, a large plain one by as many tasks as
+it has ranges; see :mod:`quarrylens.sources.json_ranges`.  The rows are written once, into a
+folder of the file's own key; every later query runs on the Parquet rows with full
+parallelism.  A file that was ingested before and has not changed is left as it is.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 from quarrylens.sources.documents import clean_path, trace_key
+from quarrylens.sources.json_ranges import SPLIT_BYTES, read_members
 from quarrylens.sources.trace_events import event_columns
 
 EVENTS_KEY = "traceEvents"
@@ -25,6 +28,9 @@ ERROR_INDEX = -2
 TASK_BYTES = 64 << 20
 LOG = "_ingested"
 ROWS = "events"
+ROW_SCHEMA = "trace_id string, rawIndex bigint, event_json string"
+# Endings of files that one reader must unpack from the start.
+PACKED = r"(?i)\.(gz|bz2|zst|lz4|br|snappy|xz)$"
 BATCH_EVENTS = 4096
 READ_BYTES = 1 << 20
 _SPACE = re.compile(r"[\s]*")
@@ -165,25 +171,62 @@ def iter_trace_text(stream) -> Iterator[tuple[int, dict, str]]:
     yield METADATA_INDEX, {key: value for key, (value, _) in rest.items()}, "{" + members + "}"
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+Texts = Callable[..., Iterator[tuple[int, str]]]
 
-    for batch in batches:
-        for trace_id, uri in zip(batch["trace_id"], batch["uri"], strict=True):
-            rows: list[tuple[int, str]] = []
-            try:
-                system, path = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(path, compression="detect") as stream:
-                    for index, _, text in iter_trace_text(stream):
-                        rows.append((index, text))
-                        if len(rows) >= BATCH_EVENTS:
-                            yield _frame(trace_id, rows)
-                            rows = []
-            except (TraceFormatError, OSError, RecursionError) as error:
-                # The rows so far are left out when the table is read; see split_metadata.
-                rows = [(ERROR_INDEX, f"{type(error).__name__}: {error}")]
-            if rows:
+
+def trace_texts(stream) -> Iterator[tuple[int, str]]:
+    """(index, text) of the events and the metadata."""
+    for index, _, text in iter_trace_text(stream):
+        yield index, text
+
+
+def _file_reader(texts: Texts):
+    """A function of batches of (trace_id, uri) that gives the files' rows."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for trace_id, uri in zip(batch["trace_id"], batch["uri"], strict=True):
+
+                def rows(uri=uri) -> Iterator[tuple[int, str]]:
+                    system, path = fs.FileSystem.from_uri(uri)
+                    with system.open_input_stream(path, compression="detect") as stream:
+                        yield from texts(stream)
+
+                yield from _guarded(trace_id, rows)
+
+    return read
+
+
+def _guarded(trace_id: str, found: Texts) -> Iterator[pd.DataFrame]:
+    """Frames of a file's rows; a file that cannot be read to its end gives an error row last."""
+    rows: list[tuple[int, str]] = []
+    try:
+        for row in found():
+            rows.append(row)
+            if len(rows) >= BATCH_EVENTS:
                 yield _frame(trace_id, rows)
+                rows = []
+    except (TraceFormatError, OSError, RecursionError) as error:
+        # The rows so far are left out when the table is read; see split_metadata.
+        rows = [(ERROR_INDEX, f"{type(error).__name__}: {error}")]
+    if rows:
+        yield _frame(trace_id, rows)
+
+
+def _rest_reader(texts: Texts):
+    """A function of batches of (trace_id, skeleton) that gives the rows beside the members."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for trace_id, text in zip(batch["trace_id"], batch["skeleton"], strict=True):
+                if text is None:
+                    yield _frame(trace_id, [(ERROR_INDEX, "TraceFormatError: not a closed JSON array or object")])
+                else:
+                    yield from _guarded(trace_id, lambda text=text: texts(io.BytesIO(text.encode())))
+
+    return read
 
 
 def _frame(trace_id: str, rows: list[tuple[int, str]]) -> pd.DataFrame:
@@ -208,18 +251,41 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def stream_files(files: DataFrame) -> DataFrame:
-    """(trace_id, rawIndex, event_json) of listed files.
+def stream_texts(files: DataFrame, texts: Texts, key: str | None, split_bytes: int) -> DataFrame:
+    """Rows of listed files: members of the arrays of ``key`` and what ``texts`` says of the rest.
 
-    The metadata row has rawIndex -1, and the row of a file that cannot be read -2 with the
-    reason.  The files are spread over as many tasks as their sizes ask for.
+    Files that one reader must unpack, and files of one range, are read by one task each, and
+    the files are spread over as many tasks as their sizes ask for.
     """
-    total, count = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+    divisible = ~F.col("uri").rlike(PACKED) & (F.col("length") > split_bytes)
+    whole, large = cut(files.filter(~divisible)), cut(files.filter(divisible))
+    total, count = whole.agg(F.sum("length"), F.count(F.lit(1))).first()
     spread = max(files.sparkSession.sparkContext.defaultParallelism * 4, (total or 0) // TASK_BYTES)
-    return (
-        files.select("trace_id", "uri")
+    rows = (
+        whole.select("trace_id", "uri")
         .repartition(max(1, min(count, spread)))
-        .mapInPandas(_read_files, "trace_id string, rawIndex bigint, event_json string")
+        .mapInPandas(_file_reader(texts), ROW_SCHEMA)
+    )
+    if large.isEmpty():
+        return rows
+    members, rest = read_members(large.select("trace_id", "uri", "length"), key, split_bytes)
+    members = members.select("trace_id", F.col("position").alias("rawIndex"), F.col("text").alias("event_json"))
+    return rows.unionByName(members).unionByName(rest.mapInPandas(_rest_reader(texts), ROW_SCHEMA))
+
+
+def stream_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(trace_id, rawIndex, event_json) of listed files.
+
+    The metadata row has rawIndex -1, and the row of a file that cannot be read -2 with the
+    reason.
+    """
+    rows = stream_texts(files, trace_texts, EVENTS_KEY, split_bytes)
+    strange = (F.col("rawIndex") >= 0) & ~F.startswith(F.col("event_json"), F.lit("{"))
+    reason = F.lit("TraceFormatError: event array holds an item that is not an object")
+    return rows.select(
+        "trace_id",
+        F.when(strange, F.lit(ERROR_INDEX)).otherwise(F.col("rawIndex")).cast("bigint").alias("rawIndex"),
+        F.when(strange, reason).otherwise(F.col("event_json")).alias("event_json"),
     )
 
 
@@ -261,21 +327,33 @@ def _log(spark: SparkSession, out: str) -> DataFrame:
     return last.select("trace_id", "last.*")
 
 
-def ingest_traces(spark: SparkSession, paths: str | Sequence[str], out: str) -> DataFrame:
+def ingest_traces(
+    spark: SparkSession, paths: str | Sequence[str], out: str, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """Write the events of ``paths`` to Parquet below ``out`` and return those of ``paths``.
 
+    Rows are sorted by event name within each file, so a filter on the name, which nearly every
+    table starts with, skips row groups.
+    """
+    return ingest_rows(spark, paths, out, lambda files: typed_rows(stream_files(files, split_bytes)), ("name", "rawIndex"))
+
+
+def ingest_rows(
+    spark: SparkSession, paths: str | Sequence[str], out: str, make: Callable[[DataFrame], DataFrame], order: Sequence[str]
+) -> DataFrame:
+    """Write the rows that ``make`` gives of the files of ``paths`` to Parquet below ``out``; return those of ``paths``.
+
     Each file has a folder of its own, replaced as a whole when the file has changed, so
-    ingesting again neither repeats nor mixes rows.  Rows are sorted by event name within
-    each file, so a filter on the name, which nearly every table starts with, skips row groups.
+    ingesting again neither repeats nor mixes rows.
     """
     base = out.rstrip("/")
     asked = list_files(spark, paths)
     new = asked.join(_log(spark, base), ["trace_id", "length", "modified"], "left_anti")
     new = cut(new)
-    typed = typed_rows(stream_files(new))
+    typed = make(new)
     if not new.isEmpty():
         (
-            typed.sortWithinPartitions("trace_id", "name", "rawIndex")
+            typed.sortWithinPartitions("trace_id", *order)
             .write.partitionBy("trace_id")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
