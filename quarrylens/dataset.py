@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -440,27 +441,35 @@ def chunk_dataset(
 
 
 # Module graphs ------------------------------------------------------------------------
-def graph_dataset(spark: SparkSession, root: str, collation: str | None = None) -> Dataset:
-    """A module-graph folder; the root file gives the main tables, all files the routes."""
-    root = root.rstrip("/")
-    decoded = mg_files.decode_graph_files(spark, root)
+def graph_dataset(spark: SparkSession, roots: str | Sequence[str], collation: str | None = None) -> Dataset:
+    """Module-graph folders; each root file gives its folder's main tables, all files the routes.
+
+    ``trace_id`` is the folder in the main tables and the file in those of routes.
+    """
+    roots = sorted({r.rstrip("/") for r in ([roots] if isinstance(roots, str) else roots)})
+    decoded = mg_files.decode_graph_files(spark, roots)
     headers, edges = mg_files.headers(decoded), mg_files.edges(decoded).withColumnRenamed("path", "trace_id")
     analyze = headers.filter(mg_files.is_analyze_header(F.col("header")))
-    main = F.col("trace_id") == f"{root}/analyze.data"
+
+    def of_roots(df: DataFrame, name: str, column: str = "trace_id") -> DataFrame:
+        """Rows of the root files of that name, under their folder."""
+        own = df.filter(F.col(column).isin([f"{root}/{name}" for root in roots]))
+        return own.withColumn(column, F.regexp_replace(column, "/[^/]*$", ""))
+
     all_sources, all_parts = mg_files.source_rows(analyze), mg_files.part_rows(analyze)
     all_outputs = mg_files.output_rows(analyze)
     all_children = edges.filter(F.col("section") == "source_children")
-    sources, parts, outputs = (df.filter(main) for df in (all_sources, all_parts, all_outputs))
-    graph_headers = headers.filter(F.col("path") == f"{root}/modules.data")
-    module_rows = mg_files.module_rows(graph_headers)
-    route_rows = mg_files.read_routes(spark, root)
+    sources, parts, outputs, children = (of_roots(df, "analyze.data") for df in (all_sources, all_parts, all_outputs, all_children))
+    graph_headers = of_roots(headers, "modules.data", "path")
+    module_rows, edges = mg_files.module_rows(graph_headers), of_roots(edges, "modules.data")
+    route_rows = reduce(DataFrame.unionByName, [mg_files.read_routes(spark, root) for root in roots])
     analyze_files = analyze.select(F.col("path").alias("trace_id"))
     manifest = mg.count_rows(itemCount=parts)
     ds = Dataset(spark, "nextjs-bundle", manifest, collation)
     t = ds.frame
     src, out = "nextbundle.dims.sources", "nextbundle.dims.outputFiles"
     part, mod = "nextbundle.dims.chunkParts", "nextbundle.dims.modules"
-    ds.add_table(src, lambda: mg.source_rows(sources, all_children.filter(main), parts), ("sourceIndex",), "Source tree nodes")
+    ds.add_table(src, lambda: mg.source_rows(sources, children, parts), ("sourceIndex",), "Source tree nodes")
     ds.add_table(out, lambda: mg.output_files(outputs, parts), ("fileIndex",), "Output files")
     ds.add_table(part, lambda: mg.chunk_parts(parts, t(src), outputs), ("chunkPartIndex",), "Parts of sources in files")
     ds.add_table(mod, lambda: mg.modules(module_rows, edges), ("moduleIndex",), "Modules with their degrees")
@@ -484,19 +493,24 @@ def graph_dataset(spark: SparkSession, root: str, collation: str | None = None)
         )
 
     def route(route: str = "/"):
-        every_source = mg.source_rows(all_sources, all_children, all_parts)
+        # Only the files of the route are worked on.
+        table = t("nextbundle.dims.routes")
+        files = cut(table.filter(F.col("route") == (route or "/")).select(F.col("analyzePath").alias("trace_id")).distinct())
+        own = [df.join(files, "trace_id", "left_semi") for df in (all_sources, all_children, all_parts, all_outputs)]
+        route_sources, route_children, route_parts, route_outputs = own
+        every_source = mg.source_rows(route_sources, route_children, route_parts)
         return mg.route_report(
-            t("nextbundle.dims.routes"),
+            table,
             t("nextbundle.views.routeSizes"),
             every_source,
-            mg.output_files(all_outputs, all_parts),
-            mg.chunk_parts(all_parts, every_source, all_outputs),
+            mg.output_files(route_outputs, route_parts),
+            mg.chunk_parts(route_parts, every_source, route_outputs),
             route or "/",
         )
 
     ds.add_report("nextbundle.summary", summary, "Totals, largest sources and packages")
     ds.add_report("nextbundle.route", route, "One route")
-    ds.raw_specs["nextbundle.analyze"] = lambda: analyze.filter(F.col("path") == f"{root}/analyze.data")
+    ds.raw_specs["nextbundle.analyze"] = lambda: of_roots(analyze, "analyze.data", "path")
     ds.raw_specs["nextbundle.modules"] = lambda: graph_headers
     ds.raw_specs["nextbundle.routes"] = lambda: t("nextbundle.dims.routes")
     ds.document_builder = lambda: headers.select(
@@ -618,7 +632,7 @@ def open_dataset(
             raise ValueError(f"Files of different kinds, open one kind at a time: {kinds}")
         kind = kinds[0]
     if kind == "nextjs-bundle":
-        return graph_dataset(spark, paths[0], collation)
+        return graph_dataset(spark, paths, collation)
     if kind == "devtools" and bronze is not None:
         rows = ingest_traces(spark, paths, bronze)
         events, metadata = split_metadata(rows)

@@ -10,6 +10,7 @@ MODULES = (
     "plan_queries",
     "json_queries",
     "bundle_queries",
+    "source_queries",
 )
 
 

@@ -242,15 +242,19 @@ def _word(number):
 )
 def edge_sections(spark, sf_dir):
     """Each part as a binary file with two edge sections, decoded again."""
+    return edges(decode_contents(graph_contents(spark, sf_dir)))
+
+
+def graph_contents(spark, sf_dir):
+    """(path, content): each part as a binary file with two edge sections."""
     key = F.col("p_partkey")
     children = [F.lit(3), F.lit(1), F.lit(1), F.lit(3), key, key + 7, key + 9]
     dependents = [F.lit(1), F.lit(1), key + 1]
     header = '{"source_children":{"offset":0,"length":28},"module_dependents":{"offset":28,"length":12}}'
     parts = [F.lit(f"{len(header):08X}"), F.hex(F.encode(F.lit(header), "UTF-8")), *[_word(w) for w in (*children, *dependents)]]
-    files = read_table(spark, sf_dir, "part").select(
+    return read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), key.cast("string")).alias("path"), F.unhex(F.concat(*parts)).alias("content")
     )
-    return edges(decode_contents(files))
 
 
 # Module graph ---------------------------------------------------------------------------

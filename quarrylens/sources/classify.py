@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quarrylens.functions import payload as p
 from quarrylens.plans.chunks import is_chunk
 from quarrylens.sources.documents import clean_path, dataset_id
-from quarrylens.sources.module_graph import is_analyze_header
+from quarrylens.sources.json_ranges import Bytes, open_bytes
+from quarrylens.sources.module_graph import header_text, is_analyze_header
 from quarrylens.sources.trace_stream import JsonReader, TraceFormatError
 
 HEAD_BYTES = 4096
@@ -68,10 +69,13 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for uri, path in zip(batch["uri"], batch["path"], strict=True):
             system, name = fs.FileSystem.from_uri(uri)
             if path.endswith(".data"):
-                with system.open_input_stream(name) as stream:
-                    size = int.from_bytes(stream.read(4), "big")
-                    header = stream.read(size)
-                out.append([path, None, None, False, header.decode("utf-8", "replace")])
+                try:
+                    handle, length = open_bytes(uri)
+                    with handle:
+                        header = header_text(Bytes(handle, length))
+                except (OSError, ValueError):
+                    header = None
+                out.append([path, None, None, False, header])
                 continue
             raw, first = b"", None
             try:

@@ -1,11 +1,19 @@
-"""Writing artifacts as files, from the executors, to any shared file system."""
+"""Writing artifacts as files, from the executors, to any shared file system.
+
+Files are written in two steps.  Each attempt of a task writes into a staging folder of its own
+and hands on where its files are; Spark keeps the rows of one attempt of each task.  Then those
+files are moved to their places.  A task that fails, or runs twice, leaves no half file and no
+file of its own in the result, and what it staged is removed at the end.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -14,6 +22,9 @@ from quarrylens.operators.lineage import cut
 from quarrylens.plans.artifacts import shorten
 
 
+STAGING = "_staging"
+
+
 @dataclass(frozen=True)
 class ExportResult:
     path: str
@@ -28,8 +39,34 @@ def _target(out: str, relative: str) -> str:
     return "/".join([out.rstrip("/"), *parts])
 
 
-def _writer(out: str):
-    def write(rows: Iterable[Row]) -> None:
+def _stager(out: str, job: str):
+    """Write the files of a task below a folder of this attempt; give (relativePath, staged)."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system = base = None
+        attempt, number = uuid.uuid4().hex, 0
+        for batch in batches:
+            if system is None:
+                system, base = _file_system(fs, out)
+                system.create_dir(f"{base.rstrip('/')}/{STAGING}/{job}/{attempt}", recursive=True)
+            placed = []
+            for path, kind, body in zip(batch["relativePath"], batch["kind"], batch["body"], strict=True):
+                staged = f"{STAGING}/{job}/{attempt}/{number}"
+                number += 1
+                with system.open_output_stream(f"{base.rstrip('/')}/{staged}") as sink:
+                    sink.write(_laid_out(kind, body))
+                placed.append((path, staged))
+            yield pd.DataFrame(placed, columns=["relativePath", "staged"])
+
+    return write
+
+
+def _mover(out: str):
+    """Move staged files to their places; one that was moved before is left where it is."""
+
+    def move(rows: Iterable[Row]) -> None:
         from pyarrow import fs
 
         made: set[str] = set()
@@ -37,21 +74,43 @@ def _writer(out: str):
         for row in rows:
             if system is None:
                 system, base = _file_system(fs, out)
-            target = _target(base, row["relativePath"])
+            staged, target = f"{base.rstrip('/')}/{row['staged']}", _target(base, row["relativePath"])
             folder = target.rsplit("/", 1)[0]
             if folder not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            with system.open_output_stream(target) as sink:
-                sink.write(_laid_out(row))
+            try:
+                system.move(staged, target)
+            except OSError:
+                there = fs.FileType.File
+                if system.get_file_info(staged).type == there or system.get_file_info(target).type != there:
+                    raise
+
+    return move
 
-    return write
 
+def write_files(files: DataFrame, out: str) -> None:
+    """Write rows (relativePath, kind, body) as files below ``out``, all or none of a row's bytes."""
+    from pyarrow import fs
 
-def _laid_out(row: Row) -> bytes:
+    job = uuid.uuid4().hex
+    system, base = _file_system(fs, out)
+    try:
+        staged = files.select("relativePath", "kind", "body").mapInPandas(_stager(out, job), "relativePath string, staged string")
+        cut(staged).foreachPartition(_mover(out))
+    finally:
+        folder = f"{base.rstrip('/')}/{STAGING}/{job}"
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+        above = f"{base.rstrip('/')}/{STAGING}"
+        if system.get_file_info(above).type == fs.FileType.Directory and not system.get_file_info(fs.FileSelector(above)):
+            system.delete_dir(above)
+
+
+def _laid_out(kind: str, body: bytes) -> bytes:
     """Stored bytes; JSON content is indented."""
-    body = bytes(row["body"])
-    if row["kind"] != "json":
+    body = bytes(body)
+    if kind != "json":
         return body
     return json.dumps(json.loads(body), indent=2, ensure_ascii=False).encode()
 
@@ -95,7 +154,7 @@ def export_collection(
         per_trace = found.select("trace_id").distinct().limit(2).count() > 1
     folder = F.concat("trace_id", F.lit("/"), "relativePath") if per_trace else F.col("relativePath")
     placed = _distinct_paths(found.withColumn("relativePath", folder))
-    placed.select("relativePath", "kind", "body").foreachPartition(_writer(out))
+    write_files(placed, out)
     listed = placed.select(
         "trace_id", "relativePath", "artifactId", shorten(F.col("metadata")).alias("metadata"), "mediaType", "sizeBytes"
     )
@@ -131,7 +190,7 @@ def materialize_artifact(artifacts: DataFrame, artifact_id: str, out: str) -> st
     if len({r["trace_id"] for r in found}) > 1:
         raise ValueError(f"Several traces have {artifact_id}, name one by trace_id")
     path = min(r["relativePath"] for r in found)
-    rows.filter(F.col("relativePath") == path).limit(1).foreachPartition(_writer(out))
+    write_files(rows.filter(F.col("relativePath") == path).limit(1), out)
     _write_text(
         out,
         "manifest.json",

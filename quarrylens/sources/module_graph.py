@@ -2,21 +2,27 @@
 
 Layout: big-endian u32 header length, the header, then sections the header points
 at.  A section is u32 node count, u32 end offsets, u32 targets.
+
+A file is not read whole: one small read gives its header, and each section is cut into ranges
+of nodes, whose offsets and targets are fetched by position in tasks of their own.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
+from quarrylens.operators.lineage import cut
 from quarrylens.sources.documents import clean_path
+from quarrylens.sources.json_ranges import Bytes, open_bytes
 
 ANALYZE_SECTIONS = ("output_file_chunk_parts", "source_chunk_parts", "source_children")
 MODULE_SECTIONS = (
@@ -27,6 +33,7 @@ MODULE_SECTIONS = (
 )
 ANALYZE_ARRAYS = ("sources", "chunk_parts", "output_files", "source_roots")
 EDGE_BATCH = 1 << 18
+RANGE_NODES = 1 << 18
 DECODED = "path string, section string, node bigint, pos bigint, target bigint, header string"
 
 
@@ -103,16 +110,111 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
 
 
-def decode_graph_files(spark: SparkSession, root: str) -> DataFrame:
-    """Header and edge rows of every ``*.data`` file under ``root``, one task per file."""
+def _words(data: Bytes, offset: int, first: int, stop: int) -> np.ndarray:
+    """32-bit words ``first`` up to ``stop`` counted from ``offset``."""
+    return np.frombuffer(data.at(offset + 4 * first, 4 * (stop - first)), dtype=">u4").astype(np.int64)
+
+
+def header_text(data: Bytes) -> str:
+    """The header's JSON text; its length is checked before it is read."""
+    if data.length < 4:
+        raise GraphFormatError("missing header length")
+    (size,) = struct.unpack(">I", data.at(0, 4))
+    if 4 + size > data.length:
+        raise GraphFormatError("truncated header")
+    return data.at(4, size).decode("utf-8")
+
+
+def section_range(data: Bytes, offset: int, words: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, position, target) arrays of the nodes from ``low`` up to ``high``, in bounded parts.
+
+    The section has ``words`` words from ``offset`` on.
+    """
+    count = int(_words(data, offset, 0, 1)[0])
+    length = words - 1 - count
+    ends = _words(data, offset, 1 + low, 1 + high)
+    begins = np.concatenate((_words(data, offset, low, 1 + low) if low else [0], ends[:-1]))
+    sizes = np.maximum(np.minimum(ends, length) - np.minimum(begins, length), 0)
+    upto = np.cumsum(sizes)
+    for at in range(0, int(upto[-1]) if len(upto) else 0, EDGE_BATCH):
+        edge = np.arange(at, min(at + EDGE_BATCH, int(upto[-1])))
+        node = np.searchsorted(upto, edge, side="right")
+        pos = edge - (upto[node] - sizes[node])
+        place = begins[node] + pos
+        # Ends that fall instead of rise make a part reach over more than its own targets.
+        breaks = np.flatnonzero(np.diff(place) != 1) + 1
+        for own in np.split(np.arange(len(edge)), breaks):
+            first = int(place[own[0]])
+            targets = _words(data, offset + 4 * (1 + count), first, first + len(own))
+            yield low + node[own], pos[own], targets
+
+
+def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, uri, header, sections: name, offset in the file, words, nodes)."""
+    for batch in batches:
+        out = []
+        for path, uri in zip(batch["path"], batch["uri"], strict=True):
+            handle, length = open_bytes(uri)
+            with handle:
+                data = Bytes(handle, length)
+                text = header_text(data)
+                header, body = json.loads(text), 4 + len(text.encode())
+                sections = []
+                for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
+                    ref = header.get(name)
+                    if not isinstance(ref, dict):
+                        continue
+                    start, size = int(ref["offset"]), int(ref["length"])
+                    if start < 0 or size < 4 or body + start + size > length:
+                        raise GraphFormatError("edge reference outside the file")
+                    if size % 4:
+                        raise GraphFormatError("edge section is not made of 32-bit words")
+                    nodes = int(_words(data, body + start, 0, 1)[0])
+                    if 4 * (1 + nodes) > size:
+                        raise GraphFormatError("edge section shorter than its offsets")
+                    sections.append({"section": name, "offset": body + start, "words": size // 4, "nodes": nodes})
+            out.append((path, uri, json.dumps(header, ensure_ascii=False), sections))
+        yield pd.DataFrame(out, columns=["path", "uri", "header", "sections"])
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            handle, length = open_bytes(r["uri"])
+            with handle:
+                parts: list[pa.RecordBatch] = []
+                for edges in section_range(Bytes(handle, length), r["offset"], r["words"], r["low"], r["high"]):
+                    parts.append(_rows(r["path"], r["section"], *edges))
+                    if sum(x.num_rows for x in parts) >= EDGE_BATCH:
+                        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                        parts = []
+                if parts:
+                    yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def decode_graph_files(spark: SparkSession, roots: str | Sequence[str], range_nodes: int = RANGE_NODES) -> DataFrame:
+    """Header and edge rows of every ``*.data`` file under ``roots``, a task per range of nodes."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.data")
         .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(clean_path(F.col("path")).alias("path"), "content")
+        .load([roots] if isinstance(roots, str) else list(roots))
+        .select(clean_path(F.col("path")).alias("path"), F.col("path").alias("uri"))
+    )
+    cores = spark.sparkContext.defaultParallelism
+    found = cut(
+        files.repartition(4 * cores, "uri").mapInPandas(
+            _read_headers,
+            "path string, uri string, header string, sections array<struct<section:string,offset:bigint,words:bigint,nodes:bigint>>",
+        )
     )
-    return decode_contents(files)
+    low = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nodes") - 1, F.lit(range_nodes).cast("bigint")))
+    ranges = found.select("path", "uri", F.inline("sections")).filter("nodes > 0").withColumn("low", low)
+    ranges = cut(ranges.withColumn("high", F.least(F.col("low") + range_nodes, "nodes")))
+    edge_rows = ranges.repartition(max(1, min(ranges.count(), 64 * cores)), "uri", "section", "low").mapInArrow(_read_ranges, DECODED)
+    none = F.lit(None).cast("bigint")
+    header_rows = found.select("path", F.lit("header").alias("section"), none.alias("node"), none.alias("pos"), none.alias("target"), "header")
+    return header_rows.unionByName(edge_rows)
 
 
 def decode_contents(files: DataFrame) -> DataFrame:
@@ -187,7 +289,7 @@ def module_rows(header_rows: DataFrame) -> DataFrame:
 
 
 def read_routes(spark: SparkSession, root: str) -> DataFrame:
-    """(pos, route, analyzePath) from ``routes.json``; empty when missing or not a list."""
+    """(pos, route, analyzePath) from the folder's ``routes.json``; empty when missing or not a list."""
     empty = spark.createDataFrame([], "pos int, route string, analyzePath string")
     listing = (
         spark.read.format("binaryFile").option("pathGlobFilter", "routes.json").load(root)
