@@ -6,9 +6,12 @@ length, the sentences of lines, whose runs of enough words are repeats, and wind
 ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
 sentence, and a short sentence that many documents share inside longer lines stays.
 
-Windows are not written for every word of the table.  Each has an anchor, the run of
-``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
-windows whose anchor is repeated are looked at, and no repeated window is missed.
+Texts are read twice.  The first reading counts one hash per unit, and sets the repeated ones
+in a filter of fixed size; the second writes only the units that pass it, which their whole
+digests then compare.  Windows are not written for every word either.  Each has an anchor, the run
+of ``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
+windows whose anchor passes the filter are written, and no repeated window is missed.  A
+document that is a copy as a whole holds no earliest window, and writes none.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quarrylens.llm.common import PART_BYTES, append_columns
+from quarrylens.llm.common import append_columns
 from quarrylens.operators.lineage import cut
 
 PASSAGE_WORDS = 25
@@ -39,8 +42,12 @@ LAST_ID = 2**63 - 1
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 16
 # Kinds of units in the rows of ``find_units``; units of different kinds never match.
-RUN, WHOLE, ANCHOR = range(3)
-KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.int64)
+RUN, WHOLE, ANCHOR, WINDOW = range(4)
+KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x27BB2EE687B0B0FD], dtype=np.int64)
+# Bits of the filters that the tasks get; with more keys a filter lets more pass, and nothing else changes.
+FILTER_BITS = 1 << 26
+BITMAP_BITS = 1 << 15
+BLOCK_CODES = 1 << 20
 POSITION = np.uint64(2**28 - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
@@ -102,8 +109,17 @@ class Words:
         return (sums[:, last] - sums[:, first]) * self.inverses[:, first]
 
     def _word_digests(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        # A code point counts from 1, so that none is without effect.
-        return _mixed(self._runs(self._sums(codes.astype(np.uint64) + np.uint64(1)), starts, ends))
+        found = np.empty((2, len(starts)), dtype=np.uint64)
+        at = 0
+        while at < len(starts):
+            # Whole words of about a block: a long text takes no more memory than that at once.
+            begin = int(starts[at])
+            stop = max(at + 1, int(np.searchsorted(ends, begin + BLOCK_CODES, "right")))
+            # A code point counts from 1, so that none is without effect.
+            sums = self._sums(codes[begin : int(ends[stop - 1])].astype(np.uint64) + np.uint64(1))
+            found[:, at:stop] = _mixed(self._runs(sums, starts[at:stop] - begin, ends[at:stop] - begin))
+            at = stop
+        return found
 
     def read(self, text: str) -> None:
         codes, self.starts, self.ends = _codes(text)
@@ -178,15 +194,122 @@ def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.nda
     return columns, digests ^ KIND_KEYS[columns[:, 0]][:, None]
 
 
+def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and digests, as of ``_all_units``, of the windows that have one of these anchors."""
+    known = np.zeros(len(words.starts) + 1, dtype=bool)
+    known[anchors] = True
+    at = np.flatnonzero(known[words.anchors(window)])
+    rows = np.column_stack([np.full(len(at), WINDOW), at, at, words.starts[at], words.ends[at + window - 1], np.full(len(at), window)])
+    return rows, words.digests(at, at + window) ^ KIND_KEYS[WINDOW]
+
+
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each 64-bit key in a filter."""
+    mixed = _mixed(keys.astype(np.int64).view(np.uint64))
+    return [(mixed & np.uint64(FILTER_BITS - 1)).astype(np.int64), (mixed >> np.uint64(38)).astype(np.int64) % FILTER_BITS]
+
+
+def _owner_keys(h: np.ndarray, rank: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A key of a unit in one document."""
+    mixed = _mixed(rank.astype(np.int64).view(np.uint64)) ^ _mixed(part.astype(np.int64).view(np.uint64) + np.uint64(1))
+    return (_mixed(mixed) ^ h.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets pass: all that were set, and few others."""
+    out = np.ones(len(keys), dtype=bool)
+    for place in _places(keys):
+        out &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """The bits of (key): at most ``FILTER_BITS / BITMAP_BITS`` bitmaps come to the driver, 8 MB in all."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _places(batch.column(0).to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["place"])
+
+    places = keys.mapInArrow(place, "place bigint")
+    bucket = F.expr(f"place div {BITMAP_BITS}").alias("bucket")
+    maps = places.groupBy(bucket).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in maps.collect():
+        own = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+        bits[row["bucket"] * BITMAP_BITS // 8 :][: len(own)] = own
+    return bits
+
+
+def _counted(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
+    """(h, first): the hashes of units that occur more than once; of whole documents also the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            hashes, owners, size = [], [], 0
+
+            def flush(hashes: list, owners: list) -> pa.RecordBatch:
+                h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *hashes]), return_counts=True)
+                whole = np.array(owners, dtype=np.int64).reshape(-1, 3)
+                none = pa.nulls(len(h), pa.int64())
+                columns = [
+                    np.concatenate([h, whole[:, 0]]),
+                    np.concatenate([n, np.ones(len(whole), dtype=np.int64)]),
+                    pa.concat_arrays([none, pa.array(whole[:, 1])]),
+                    pa.concat_arrays([none, pa.array(whole[:, 2])]),
+                ]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "n", "rank", "part"])
+
+            for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, digests = _all_units(words, value or "", window)
+                if not len(rows):
+                    continue
+                document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
+                owners.append((int(digests[document][0, 0]), rank, _part(value)))
+                hashes.append(digests[~document, 0])
+                size += len(rows)
+                if size > 100_000:
+                    yield flush(hashes, owners)
+                    hashes, owners, size = [], [], 0
+            yield flush(hashes, owners)
+
+    found = docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, "h bigint, n bigint, rank bigint, part bigint")
+    first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "part")))
+    return found.groupBy("h").agg(F.sum("n").alias("n"), first.alias("first")).filter("n > 1").select("h", "first")
+
+
 UNIT_ROWS = "kind int, rank bigint, part bigint, pos int, word int, start int, end int, words int, h1 bigint, h2 bigint"
 
 
-def find_units(docs: DataFrame, doc_id: str, text: str, unit: str | None, window: int = WINDOW_WORDS) -> DataFrame:
+def find_units(
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    unit: str | None,
+    window: int = WINDOW_WORDS,
+    filters: tuple[np.ndarray, np.ndarray] | None = None,
+) -> DataFrame:
     """(kind, rank, part, pos, word, start, end, words, h1, h2): a row for each unit of each document.
 
     ``rank`` is the id, the last possible one where it is null; ``part`` tells texts apart that
-    come under one id.  Without ``unit`` there are all kinds of units.
+    come under one id.  Without ``unit`` there are all kinds of units that pass the ``filters``:
+    one of repeated hashes, one of the first documents among equal ones.
     """
+
+    def passing(words: Words, value: str, rank: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        repeated, firsts = filters
+        rows, digests = _all_units(words, value, window)
+        known = _passes(repeated, digests[:, 0])
+        rows, digests = rows[known], digests[known]
+        document = np.flatnonzero((rows[:, 0] == WHOLE) & (rows[:, 1] == 0))
+        anchors = rows[:, 0] == ANCHOR
+        kept = [(rows[~anchors], digests[~anchors])]
+        copy = len(document) and not _passes(firsts, _owner_keys(digests[document, 0], np.array([rank]), np.array([part])))[0]
+        if anchors.any() and not copy:
+            kept.append(_windows(words, rows[anchors, 1], window))
+        return np.vstack([k[0] for k in kept]), np.vstack([k[1] for k in kept])
+
     names = [x.split()[0] for x in UNIT_ROWS.split(", ")]
 
     def flush(columns: list[np.ndarray], digests: list[np.ndarray]) -> pa.RecordBatch:
@@ -209,9 +332,10 @@ def find_units(docs: DataFrame, doc_id: str, text: str, unit: str | None, window
             for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not value:
                     continue
-                rows, halves = _all_units(words, value, window) if unit is None else one_kind(value)
+                part = _part(value)
+                rows, halves = passing(words, value, rank, part) if unit is None else one_kind(value)
                 key = np.empty((len(rows), 2), dtype=np.int64)
-                key[:] = rank, _part(value)
+                key[:] = rank, part
                 columns.append(np.hstack([rows[:, :1], key, rows[:, 1:]]))
                 digests.append(halves)
                 size += len(rows)
@@ -223,11 +347,8 @@ def find_units(docs: DataFrame, doc_id: str, text: str, unit: str | None, window
     return docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, UNIT_ROWS)
 
 
-def _repeats_of(units: DataFrame, keep_first: Column | None = None) -> DataFrame:
-    """``units`` with ``first``, their earliest place, without those that occur in one place only.
-
-    The earliest ones are left out as well, but for those where ``keep_first`` holds.
-    """
+def _repeats_of(units: DataFrame) -> DataFrame:
+    """``units`` with ``first``, their earliest place, without those that occur in one place only or first."""
     place = F.struct("rank", "part", "pos")
     first = (
         units.groupBy("h1", "h2")
@@ -235,56 +356,8 @@ def _repeats_of(units: DataFrame, keep_first: Column | None = None) -> DataFrame
         .filter("n > 1")
         .select("h1", "h2", "first")
     )
-    later = place != F.col("first")
     # Written before the join, so that both of its sides are plain exchanges that skew can split.
-    return units.join(cut(first), ["h1", "h2"]).filter(later if keep_first is None else later | keep_first)
-
-
-def _repeated_windows(docs: DataFrame, doc_id: str, text: str, anchors: DataFrame, copies: DataFrame, window: int) -> DataFrame:
-    """(rank, part, word, start, end, words, kept) of the windows of words that occur earlier.
-
-    Documents of ``copies`` occur earlier as a whole, so they hold no earliest window and are left out.
-
-    A window that overlaps its own earliest occurrence is none: the kept words would go too.
-    """
-    wanted = anchors.groupBy("rank", "part").agg(F.collect_set("pos").alias("anchors")).join(copies, ["rank", "part"], "left_anti")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [_part(x) if x else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=["rank", "text", "part"])
-
-    texts = docs.select(_rank(doc_id).alias("rank"), F.col(f"`{text}`").alias("text")).mapInArrow(keyed, "rank bigint, text string, part bigint")
-    found = cut(texts.join(wanted, ["rank", "part"]).select("rank", "part", "text", "anchors"))
-    names = ["rank", "part", "pos", "start", "end", "h1", "h2"]
-
-    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            # Rows of one text become several times its bytes, so that a batch is worked on in parts.
-            step = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
-            for begin in range(0, batch.num_rows, step):
-                pieces = [np.zeros((0, 7), dtype=np.int64)]
-                for rank, part, value, at in zip(*[c.to_pylist() for c in batch.slice(begin, step).columns], strict=True):
-                    words.read(value)
-                    known = np.zeros(len(words.starts) + 1, dtype=bool)
-                    known[at] = True
-                    chosen = np.flatnonzero(known[words.anchors(window)])
-                    rows = np.empty((len(chosen), 7), dtype=np.int64)
-                    rows[:, 0], rows[:, 1], rows[:, 2] = rank, part, chosen
-                    rows[:, 3], rows[:, 4] = words.starts[chosen], words.ends[chosen + window - 1]
-                    rows[:, 5:] = words.digests(chosen, chosen + window)
-                    pieces.append(rows)
-                rows = np.vstack(pieces)
-                arrays = [pa.array(rows[:, i].astype(np.int32) if i in (2, 3, 4) else rows[:, i]) for i in range(7)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    windows = found.mapInArrow(cut_windows, "rank bigint, part bigint, pos int, start int, end int, h1 bigint, h2 bigint")
-    own = (F.col("rank") == F.col("first.rank")) & (F.col("part") == F.col("first.part"))
-    repeats = _repeats_of(windows).filter(~own | (F.col("pos") - F.col("first.pos") >= window))
-    return repeats.select(
-        "rank", "part", F.col("pos").alias("word"), "start", "end", F.lit(window).alias("words"), F.col("first.rank").alias("kept")
-    )
+    return units.join(cut(first), ["h1", "h2"]).filter(place != F.col("first"))
 
 
 def repeated_passages(
@@ -308,9 +381,23 @@ def repeated_passages(
     document; other texts under the same id are documents of their own, ordered by a hash.
     An empty table has no passages.
     """
-    # Read twice: cutting texts into units again is cheaper than writing all units.
-    units = find_units(docs, doc_id, text, unit, window)
-    found = _repeats_of(units, F.col("kind") == ANCHOR if unit is None else None)
+    if unit is None:
+        repeated = cut(_counted(docs, doc_id, text, window))
+        whole = repeated.filter(F.col("first").isNotNull()).select("h", "first.rank", "first.part")
+
+        def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = _owner_keys(*[c.to_numpy() for c in batch.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+        filters = _filter_of(repeated.select("h")), _filter_of(whole.mapInArrow(owners, "key bigint"))
+        units = cut(find_units(docs, doc_id, text, None, window, filters))
+    else:
+        units = find_units(docs, doc_id, text, unit)
+    own = (F.col("rank") == F.col("first.rank")) & (F.col("part") == F.col("first.part"))
+    # A window that overlaps its own earliest occurrence is none: the kept words would go too.
+    apart = (F.col("kind") != WINDOW) | ~own | (F.col("pos") - F.col("first.pos") >= window)
+    found = _repeats_of(units).filter(apart)
     found = found.select("kind", "rank", "part", "pos", "word", "start", "end", "words", F.col("first.rank").alias("kept"))
     if unit is None:
         found = cut(found)
@@ -327,12 +414,10 @@ def repeated_passages(
     )
     passages = passages.filter(F.col("n_words") >= min_words)
     if unit is None:
-        wholes = found.filter(F.col("kind") == WHOLE)
-        anchors, copies = found.filter(F.col("kind") == ANCHOR), wholes.filter("pos = 0").select("rank", "part")
         passages = _joined(
             passages.withColumnRenamed("n_words", "words").drop("_run"),
-            wholes,
-            _repeated_windows(docs, doc_id, text, anchors, copies, window),
+            found.filter(F.col("kind") == WHOLE),
+            found.filter(F.col("kind") == WINDOW),
         )
     return passages.select(
         F.nullif("rank", F.lit(LAST_ID)).alias("doc_id"),

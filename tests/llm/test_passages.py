@@ -2,12 +2,25 @@
 
 import random
 import re
+import tracemalloc
 
 import helpers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm.passages import UNITS, normalised, remove_passages, repeated_passages
+from quarrylens.llm.passages import (
+    ANCHOR,
+    UNITS,
+    Words,
+    _all_units,
+    _filter_of,
+    _passes,
+    _windows,
+    normalised,
+    remove_passages,
+    repeated_passages,
+)
 
 
 def brute(rows, unit, least):
@@ -140,3 +153,24 @@ def test_short_lines_paragraphs_and_documents(spark):
     texts = dict(rows)
     got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.kept_doc_id) for r in found}
     assert got == {(2, "some  RIGHTS kept.", 3, 1), (3, "Well wrapped, but\nshort.", 4, 2), (5, "Brief\n\ntext.", 2, 4)}
+
+
+def test_memory_of_a_long_text():
+    """Bytes for each character of a text of 4 million, all units and windows included."""
+    rng = random.Random(3)
+    part = helpers.prose(rng, 100_000, vocabulary=100_000)
+    text = part * 6
+    words = Words()
+    tracemalloc.start()
+    rows, _ = _all_units(words, text, 50)
+    _windows(words, rows[rows[:, 0] == ANCHOR, 1], 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 3_500_000 and peak < 100 * len(text)
+
+
+def test_filter_lets_all_its_keys_pass(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
+    bits = _filter_of(spark.createDataFrame([(int(k),) for k in keys[:10_000]], "key bigint").repartition(3))
+    assert _passes(bits, keys[:10_000]).all() and _passes(bits, keys[10_000:]).sum() < 20
+    assert not _passes(_filter_of(spark.createDataFrame([], "key bigint")), keys).any()
