@@ -6,8 +6,8 @@ length, the sentences of lines, whose runs of enough words are repeats, and wind
 ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
 sentence, and a short sentence that many documents share inside longer lines stays.
 
-Texts are read twice.  The first reading counts one hash per unit, and sets the repeated ones
-in a filter of fixed size; the second writes only the units that pass it, which their whole
+The first reading of the texts counts one hash per unit, and sets the repeated ones
+in a filter of fixed size; later ones write only the units that pass it, which their whole
 digests then compare.  Windows are not written for every word either.  Each has an anchor, the run
 of ``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
 windows whose anchor passes the filter are written, and no repeated window is missed.  A
@@ -40,7 +40,7 @@ UNITS = {
 }
 LAST_ID = 2**63 - 1
 WINDOW_WORDS = 50
-ANCHOR_WORDS = 16
+ANCHOR_WORDS = 40
 # Kinds of units in the rows of ``find_units``; units of different kinds never match.
 RUN, WHOLE, ANCHOR, WINDOW = range(4)
 KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x27BB2EE687B0B0FD], dtype=np.int64)
@@ -391,7 +391,8 @@ def repeated_passages(
                 yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
         filters = _filter_of(repeated.select("h")), _filter_of(whole.mapInArrow(owners, "key bigint"))
-        units = cut(find_units(docs, doc_id, text, None, window, filters))
+        # Read twice more: cutting texts into units again is cheaper than writing the units.
+        units = find_units(docs, doc_id, text, None, window, filters)
     else:
         units = find_units(docs, doc_id, text, unit)
     own = (F.col("rank") == F.col("first.rank")) & (F.col("part") == F.col("first.part"))
