@@ -10,6 +10,8 @@ Ranks of merged pairs come from the same hash, so the vocabulary is held once.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -24,7 +26,7 @@ from quarrylens.llm.common import TOKENIZERS, append_columns, read_bytes
 RANKS = "byte_bpe_50k.tiktoken"
 BUCKET_KEYS = 4
 SHIFTS_AT_ONCE = 256
-CACHED_PIECES = 200_000
+CACHED_PIECES = 500_000
 CACHED_PAIRS = 500_000
 CACHED_LENGTH = 64
 SLICE_CHARS = 1 << 20
@@ -148,35 +150,36 @@ class PairCoder:
         end = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))  # beginning of the part before the one that begins here
         end.append(n + longest + 1)
+        tokens = [ranks[piece[i : i + 1]] for i in range(n)]  # of the part that begins here
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks[piece[i : i + 2]]) >= 0]
         heapify(heap)
         while heap:
-            _, start, stop = heappop(heap)
+            token, start, stop = heappop(heap)
             middle = end[start]  # 0 where no part begins any more
             if not middle or middle >= stop or end[middle] != stop:
                 continue  # one of the two parts has grown since
             end[middle] = 0
             end[start] = stop
+            tokens[start] = token
             before[stop] = start
             after, left = end[stop], before[start]
             if after - start <= longest and after <= n and (r := ranks[piece[start:after]]) >= 0:
                 heappush(heap, (r, start, after))
             if left >= 0 and stop - left <= longest and (r := ranks[piece[left:stop]]) >= 0:
                 heappush(heap, (r, left, stop))
-        found, at = [], 0
-        while at < n:
-            token = ranks[piece[at : end[at]]]
-            if token < 0:
-                raise ValueError(f"the vocabulary lacks the byte {piece[at]}")
-            found.append(token)
-            at = end[at]
+        found = [token for token, stop in zip(tokens, end, strict=False) if stop]
+        if min(found) < 0:
+            raise ValueError("the vocabulary lacks a byte of the text")
         return found
 
     def piece_ids(self, piece: str) -> bytes:
         """Packed ids of one pre-token."""
         raw = piece.encode()
         whole = self.vocabulary.rank(raw) if len(raw) <= self.vocabulary.longest else -1
-        return np.array([whole] if whole >= 0 else self.merge(raw), dtype="<u4").tobytes()
+        ids = array("I", [whole] if whole >= 0 else self.merge(raw))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text, in lists of bounded length.
