@@ -25,6 +25,7 @@ from quarrylens.plans import chunks as ch
 from quarrylens.plans import cpu, dims, facts, rawjson, reports, views
 from quarrylens.plans import module_graph as mg
 from quarrylens.plans.provenance import provenance
+from quarrylens.plans.shredded import carried
 from quarrylens.plans.table_plan import TablePlan, TableQuery
 from quarrylens.sources import module_graph as mg_files
 from quarrylens.sources.classify import classify
@@ -307,7 +308,8 @@ def trace_dataset(
 
     e = "devtools.facts.events"
     add("devtools.raw.events", lambda: facts.raw_events(events), "trace_id", "rawIndex", description="Events as parsed")
-    add(e, lambda: facts.event_facts(events), "trace_id", "rawIndex", description="Normalized events")
+    wide = facts.event_facts(events)  # with the argument columns of ingested events
+    add(e, lambda: wide.drop(*carried(wide)), "trace_id", "rawIndex", description="Normalized events")
     for name, build in {
         "instantEvents": facts.instant_events,
         "sliceEvents": facts.slice_events,
@@ -321,7 +323,7 @@ def trace_dataset(
     add("devtools.dims.frames", lambda: dims.frames(t(e)), "-eventCount", "frameId", "trace_id", description="Frames")
     add("devtools.dims.workers", lambda: dims.workers(t(e), t("devtools.dims.threads")), "workerId", "trace_id", description="Workers")
     add("devtools.dims.layers", lambda: dims.layers(t(e)), "-eventCount", "layerId", "trace_id", description="Layers")
-    add("devtools.dims.requests", lambda: dims.requests(t(e)), "startTimeUs", "requestId", "trace_id", description="Request lifecycles")
+    add("devtools.dims.requests", lambda: dims.requests(wide), "startTimeUs", "requestId", "trace_id", description="Request lifecycles")
     add("devtools.dims.requestBodies", lambda: rawjson.request_bodies(events, t("devtools.dims.requests")), "trace_id", "rawIndex", "requestBodyId", description="Payloads of requests")
     add("devtools.dims.screenshots", lambda: dims.screenshots(events), "trace_id", "index", description="Screenshots")
     add("devtools.dims.interactions", lambda: dims.interactions(events), "-durationMs", "startTsUs", "trace_id", "interactionId", description="Interactions")

@@ -16,6 +16,7 @@ from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_order
 from quarrylens.operators.range_join import overlap_join, range_join
 from quarrylens.plans.facts import event_id, trace_bounds
+from quarrylens.plans.shredded import argument
 
 # Which event type names an interaction, most telling first.
 INTERACTION_TYPES = ("click", "keydown", "pointerup", "mouseup", "pointerdown", "mousedown")
@@ -139,20 +140,6 @@ def layers(facts: DataFrame) -> DataFrame:
     )
 
 
-def _headers(data: Column) -> Column:
-    objects = F.filter(
-        F.transform(p.v_array(data, "$.data.headers"), lambda h: p.v_object(h, "$")),
-        lambda h: h.isNotNull(),
-    )
-
-    def member(h: Column, name: str) -> Column:
-        text = F.try_variant_get(F.try_element_at(h, F.lit(name)), "$", "string")
-        return F.coalesce(text, F.lit("")).alias(name)
-
-    # An entry of another type is left out, as one without members would be.
-    return F.transform(objects, lambda h: F.struct(member(h, "name"), member(h, "value")))
-
-
 def requests(facts: DataFrame) -> DataFrame:
     """``devtools.dims.requests``: request lifecycles, later events winning.
 
@@ -160,38 +147,28 @@ def requests(facts: DataFrame) -> DataFrame:
     is decided inside the first aggregate unless sends lie on both sides of the
     finish; only those requests are read a second time.
     """
-    args = F.col("args")
     rows = facts.filter(F.col("requestId").isNotNull())
     sends = F.col("name") == "ResourceSendRequest"
     answers = F.col("name") == "ResourceReceiveResponse"
     ends = F.col("name") == "ResourceFinish"
     send_at = F.struct("rawIndex", "tsUs")
-    header_list = F.when(p.v_array(args, "$.data.headers").isNotNull(), _headers(args))
-    timing = F.when(
-        p.v_object(args, "$.data.timing").isNotNull(),
-        F.try_variant_get(args, "$.data.timing", "string"),
-    )
 
-    def answer(value: Column) -> Column:
-        return last_where(value, F.col("rawIndex"), answers)
+    def answer(name: str) -> Column:
+        return last_where(argument(facts, name), F.col("rawIndex"), answers)
 
     base = rows.groupBy("trace_id", "requestId").agg(
         F.coalesce(F.min_by(F.col("url"), F.col("rawIndex")), F.lit("")).alias("_firstUrl"),
-        last_where(p.v_text(args, "$.data.url"), F.col("rawIndex"), sends).alias("_sentUrl"),
-        F.coalesce(last_where(p.v_text(args, "$.data.requestMethod"), F.col("rawIndex"), sends), F.lit("")).alias("method"),
+        last_where(argument(facts, "dataUrl"), F.col("rawIndex"), sends).alias("_sentUrl"),
+        F.coalesce(last_where(argument(facts, "requestMethod"), F.col("rawIndex"), sends), F.lit("")).alias("method"),
         F.min_by("tsUs", F.col("rawIndex")).alias("_firstTs"),
         F.min(F.when(sends, send_at)).alias("_firstSend"),
         F.max(F.when(sends, send_at)).alias("_lastSend"),
         F.max(F.when(ends, F.struct("rawIndex", "endUs"))).alias("_finish"),
-        answer(p.v_num(args, "$.data.statusCode").cast("int")).alias("statusCode"),
-        answer(p.v_text(args, "$.data.mimeType")).alias("mimeType"),
-        answer(p.v_text(args, "$.data.protocol")).alias("protocol"),
-        answer(p.v_bool(args, "$.data.fromCache")).alias("fromCache"),
-        answer(p.v_bool(args, "$.data.fromServiceWorker")).alias("fromServiceWorker"),
+        *[answer(name).alias(name) for name in ("statusCode", "mimeType", "protocol", "fromCache", "fromServiceWorker")],
         F.coalesce(
-            answer(header_list), F.array().cast("array<struct<name:string,value:string>>")
+            answer("headers"), F.array().cast("array<struct<name:string,value:string>>")
         ).alias("responseHeaders"),
-        F.parse_json(answer(timing)).alias("timing"),
+        F.parse_json(answer("timing")).alias("timing"),
     )
     # One row per request; written because it is read twice below.
     base = cut(base)
@@ -345,19 +322,17 @@ def interactions(events: DataFrame) -> DataFrame:
 
 def scripts(events: DataFrame, source_maps: DataFrame) -> DataFrame:
     """``devtools.dims.scripts``: last url and last source text per script id."""
-    args = F.col("args")
+    # Only the length of the text travels, not the text.
     seen = events.select(
         "trace_id",
         "rawIndex",
-        p.v_id(args, "$.data.scriptId").alias("scriptId"),
-        p.v_text(args, "$.data.url").alias("url"),
-        p.v_text(args, "$.data.sourceText").alias("text"),
+        argument(events, "scriptId").alias("scriptId"),
+        argument(events, "dataUrl").alias("url"),
+        argument(events, "sourceUnits").alias("units"),
     ).filter(F.col("scriptId").isNotNull())
-    # Only the length of the text travels, not the text.
-    units = F.octet_length(F.encode("text", "UTF-16BE")) / 2
     grouped = seen.groupBy("trace_id", "scriptId").agg(
         last_where(F.col("url"), F.col("rawIndex")).alias("url"),
-        last_where(units.cast("bigint"), F.col("rawIndex")).alias("_units"),
+        last_where(F.col("units"), F.col("rawIndex")).alias("_units"),
     )
     first_map = source_maps.groupBy("trace_id", "url").agg(
         F.min("mapIndex").alias("_map")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
+from quarrylens.plans.shredded import argument, carried
 
 INSTANT_PHASES = ("I", "i", "M", "n")
 ASYNC_PHASES = ("b", "e", "s", "t", "f", "n")
@@ -26,6 +27,18 @@ SECONDARY_INDEXES = {
     "byUrl": "url",
 }
 POSTING_BLOCK = 1 << 16
+KEY_ARGUMENTS = (
+    "frameId",
+    "requestId",
+    "url",
+    "scriptId",
+    "interactionId",
+    "frameSeqId",
+    "nodeId",
+    "workerId",
+    "layerId",
+    "sampleTraceId",
+)
 
 RAW_EVENT_COLUMNS = ("trace_id", "rawIndex", "name", "ph", "pid", "tid", "ts")
 
@@ -45,10 +58,12 @@ def raw_events(events: DataFrame) -> DataFrame:
 
 
 def event_facts(events: DataFrame, keep_args: bool = True) -> DataFrame:
-    """``devtools.facts.events``."""
-    args = F.col("args")
+    """``devtools.facts.events``, and the argument columns of events that have them."""
     dur = F.coalesce(F.col("dur"), F.lit(0))
-    data_id = ["$.data.sampleTraceId", "$.data.traceId", "$.traceId"]
+
+    def own(name: str) -> Column:
+        return argument(events, name).alias(name)
+
     facts = events.select(
         "trace_id",
         event_id().alias("eventId"),
@@ -64,21 +79,9 @@ def event_facts(events: DataFrame, keep_args: bool = True) -> DataFrame:
         (F.col("ts") + dur).alias("endUs"),
         p.v_id(F.col("id"), "$").alias("id"),
         p.v_id(F.col("s"), "$").alias("flowScope"),
-        p.first_text(args, "$.data.frame", "$.frame", "$.beginData.frame").alias("frameId"),
-        p.v_text(args, "$.data.requestId").alias("requestId"),
-        p.first_text(
-            args, "$.data.url", "$.url", "$.data.script_url", "$.data.final_response_url"
-        ).alias("url"),
-        p.v_id(args, "$.data.scriptId").alias("scriptId"),
-        p.v_num_text(args, "$.data.interactionId").alias("interactionId"),
-        p.first_num_text(args, "$.frameSeqId", "$.frame_sequence", "$.data.frameSeqId").alias(
-            "frameSeqId"
-        ),
-        p.first_num_text(args, "$.data.nodeId", "$.endData.nodeId").alias("nodeId"),
-        p.v_id(args, "$.data.workerId", "$.workerId").alias("workerId"),
-        p.v_id(args, "$.data.layerId", "$.layerId").alias("layerId"),
-        p.v_id(args, *data_id).alias("sampleTraceId"),
-        args.alias("args"),
+        *[own(name) for name in KEY_ARGUMENTS],
+        "args",
+        *carried(events),
     )
     return facts if keep_args else facts.drop("args")
 

@@ -290,8 +290,17 @@ def _graph(spark, sf_dir):
     nation = F.col("s_nationkey") % 4
     folder = F.when(F.col("s_suppkey") % 3 == 0, "a/server/").otherwise("a/static/")
     ext = F.when(nation == 0, ".js").when(nation == 1, ".css").when(nation == 2, ".json").otherwise("")
-    # One file in ten is missing, so some parts point nowhere.
-    outputs = supplier.filter(F.col("s_suppkey") % 10 != 9).select(
+    # Every part is in one more file that does not exist.
+    nowhere = part.select(
+        graph,
+        (-key - 1).alias("chunkPartIndex"),
+        key.alias("sourceIndex"),
+        F.lit(-1).cast("bigint").alias("outputFileIndex"),
+        F.col("p_size").cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("compressedSize"),
+    )
+    parts = parts.unionByName(nowhere)
+    outputs = supplier.select(
         graph,
         F.col("s_suppkey").alias("fileIndex"),
         F.concat(F.lit("[output]/"), folder, F.translate("s_name", "#", "-"), ext).alias("filename"),
@@ -324,7 +333,8 @@ GRAPH = r"""WITH RECURSIVE src AS (
   SELECT p_partkey AS i, CASE WHEN p_partkey = 0 THEN '[project]/' WHEN p_partkey < 4 THEN '[project]/node_modules/' || replace(p_brand, '#', '-') || '/'
     ELSE replace(p_brand, '#', '-') || '.' || p_partkey END AS seg, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS par FROM part), pt AS (
   SELECT i, seg AS path FROM src WHERE par IS NULL UNION ALL SELECT src.i, pt.path || src.seg FROM src JOIN pt ON src.par = pt.i), parts AS (
-  SELECT l_orderkey * 8 + l_linenumber AS n, l_partkey AS i, l_suppkey AS f, CAST(l_quantity AS BIGINT) AS size, CAST(floor(l_quantity / 2) AS BIGINT) AS comp FROM lineitem), cl AS (
+  SELECT l_orderkey * 8 + l_linenumber AS n, l_partkey AS i, l_suppkey AS f, CAST(l_quantity AS BIGINT) AS size, CAST(floor(l_quantity / 2) AS BIGINT) AS comp FROM lineitem
+  UNION ALL SELECT -p_partkey - 1, p_partkey, -1, CAST(p_size AS BIGINT), 0 FROM part), cl AS (
   SELECT i AS d, i AS a FROM src UNION ALL SELECT d, a // 4 FROM cl WHERE a > 0), own AS (
   SELECT i, sum(size) AS size, sum(comp) AS comp, count(*) AS n FROM parts GROUP BY 1), tot AS (
   SELECT a AS i, sum(size) AS size, sum(comp) AS comp, sum(n) AS n FROM cl JOIN own ON own.i = cl.d GROUP BY 1), s AS (
@@ -335,7 +345,7 @@ GRAPH = r"""WITH RECURSIVE src AS (
   SELECT s_suppkey AS i, CASE WHEN s_suppkey % 3 = 0 THEN 'a/server/' ELSE 'a/static/' END || replace(s_name, '#', '-') ||
     CASE s_nationkey % 4 WHEN 0 THEN '.js' WHEN 1 THEN '.css' WHEN 2 THEN '.json' ELSE '' END AS clean,
     CASE WHEN s_suppkey % 3 = 0 THEN 'server' ELSE 'client' END AS env,
-    CASE s_nationkey % 4 WHEN 0 THEN 'js' WHEN 1 THEN 'css' WHEN 2 THEN 'json' ELSE 'other' END AS type FROM supplier WHERE s_suppkey % 10 <> 9), f AS (
+    CASE s_nationkey % 4 WHEN 0 THEN 'js' WHEN 1 THEN 'css' WHEN 2 THEN 'json' ELSE 'other' END AS type FROM supplier), f AS (
   SELECT f0.*, CAST(coalesce(size, 0) AS BIGINT) AS size, CAST(coalesce(comp, 0) AS BIGINT) AS comp, coalesce(n, 0) AS n FROM f0 LEFT JOIN fo USING (i)), pl AS (
   SELECT parts.i, string_agg(DISTINCT clean, ', ' ORDER BY clean) AS files, count(DISTINCT clean) AS nf, string_agg(DISTINCT env, ', ' ORDER BY env) AS envs
   FROM parts JOIN f ON f.i = parts.f GROUP BY 1), tree AS (
@@ -447,7 +457,7 @@ def environment_breakdown(spark, sf_dir):
 
 
 def _route_frames(spark, sf_dir):
-    """Customers' segments are routes; every nation but the last has a file of its orders."""
+    """Nations are routes with a file of their orders each, and routes that have none."""
     nation = read_table(spark, sf_dir, "nation")
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
@@ -457,7 +467,13 @@ def _route_frames(spark, sf_dir):
         F.concat(F.lit("/"), "n_name").alias("route"),
         path.alias("analyzePath"),
     )
-    files = nation.filter(F.col("n_nationkey") < 20).select(path.alias("trace_id"), "n_nationkey")
+    gone = nation.select(
+        (F.col("n_nationkey") + 1000).alias("pos"),
+        F.concat(F.lit("/gone/"), "n_name").alias("route"),
+        F.concat(F.lit("/x/gone/"), "n_name", F.lit("/analyze.data")).alias("analyzePath"),
+    )
+    route_rows = route_rows.unionByName(gone)
+    files = nation.select(path.alias("trace_id"), "n_nationkey")
     owned = customer.join(files, customer.c_nationkey == files.n_nationkey)
     parts = orders.join(owned, orders.o_custkey == owned.c_custkey).select(
         "trace_id",
@@ -469,7 +485,8 @@ def _route_frames(spark, sf_dir):
 
 @query(
     "i10_routes",
-    """SELECT n_nationkey AS pos, '/' || n_name AS route, n_nationkey < 20 AS "hasAnalyzeData" FROM nation""",
+    """SELECT n_nationkey AS pos, '/' || n_name AS route, TRUE AS "hasAnalyzeData" FROM nation
+UNION ALL SELECT n_nationkey + 1000, '/gone/' || n_name, FALSE FROM nation""",
 )
 def routes(spark, sf_dir):
     route_rows, files, *_ = _route_frames(spark, sf_dir)
@@ -483,7 +500,7 @@ def routes(spark, sf_dir):
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
 SELECT '/' || n_name AS route, coalesce(size, 0) AS "totalSize", coalesce(comp, 0) AS "compressedSize", coalesce(sources, 0) AS "sourceCount",
   coalesce(files, 0) AS "outputFileCount", coalesce(n, 0) AS "chunkPartCount"
-FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN o ON o.k = n_nationkey WHERE n_nationkey < 20""",
+FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN o ON o.k = n_nationkey""",
 )
 def route_sizes(spark, sf_dir):
     route_rows, files, sources, outputs, parts = _route_frames(spark, sf_dir)
@@ -512,8 +529,9 @@ def graph_summary_sources(spark, sf_dir):
 
 @query(
     "f12_graph_summary_totals",
-    """SELECT (SELECT count(*) FROM part) AS "totalSources", (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 9) AS "totalOutputFiles",
-  (SELECT count(*) FROM lineitem) AS "totalChunkParts", (SELECT count(*) FROM part) AS "totalModules", 25 AS "routeCount" """,
+    """SELECT (SELECT count(*) FROM part) AS "totalSources", (SELECT count(*) FROM supplier) AS "totalOutputFiles",
+  (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) AS "totalChunkParts", (SELECT count(*) FROM part) AS "totalModules",
+  (SELECT 2 * count(*) FROM nation) AS "routeCount" """,
 )
 def graph_summary_totals(spark, sf_dir):
     return _graph_summary(spark, sf_dir)["totals"]

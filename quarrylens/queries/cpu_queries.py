@@ -82,7 +82,7 @@ STACKS = f""", up AS (
   FROM s JOIN st USING (trace_id, idx, pos) LEFT JOIN d ON d.trace_id = s.trace_id AND d.node = s.node AND d.since <= s.idx)"""
 
 
-def _samples(spark, sf_dir):
+def cpu_rows(spark, sf_dir):
     no_scripts = spark.createDataFrame([], "trace_id string, scriptId string, sourceMapId string")
     return cpu.cpu_samples(profile_trace(spark, sf_dir), no_scripts)
 
@@ -100,8 +100,8 @@ SELECT trace_id, 'cpu-sample:' || (row_number() OVER (PARTITION BY trace_id ORDE
         recursive=True,
     ),
 )
-def cpu_samples(spark, sf_dir):
-    return cpu.number_samples(_samples(spark, sf_dir)).select(
+def cpucpu_rows(spark, sf_dir):
+    return cpu.number_samples(cpu_rows(spark, sf_dir)).select(
         "trace_id",
         "sampleId",
         "eventId",
@@ -223,7 +223,7 @@ SELECT trace_id, 'cpu-stack:' || (row_number() OVER (PARTITION BY trace_id ORDER
     ),
 )
 def cpu_call_trees(spark, sf_dir):
-    return _rounded(cpu.cpu_call_trees(_samples(spark, sf_dir)), "totalTimeMs")
+    return _rounded(cpu.cpu_call_trees(cpu_rows(spark, sf_dir)), "totalTimeMs")
 
 
 @query(
@@ -240,7 +240,7 @@ SELECT trace_id, 'cpu-bucket:' || b AS "bucketId", b * {HALF_DAY_US} AS "startTs
     ),
 )
 def cpu_timeline(spark, sf_dir):
-    rows = cpu.cpu_timeline(_samples(spark, sf_dir), HALF_DAY_US)
+    rows = cpu.cpu_timeline(cpu_rows(spark, sf_dir), HALF_DAY_US)
     tops = F.array_join(
         F.transform("topFunctions", lambda t: F.concat_ws("=", t["functionName"], t["count"])), ","
     )
@@ -268,7 +268,7 @@ FROM ({windows}) w JOIN sm ON sm.trace_id = w.trace_id AND sm.ts >= w.lo AND sm.
 )
 def interaction_cpu_hotspots(spark, sf_dir):
     interactions = dims.interactions(profile_trace(spark, sf_dir))
-    rows = cpu.interaction_cpu_hotspots(_samples(spark, sf_dir), interactions)
+    rows = cpu.interaction_cpu_hotspots(cpu_rows(spark, sf_dir), interactions)
     return _rounded(rows.drop("scriptId"), "totalTimeMs")
 
 
@@ -284,5 +284,5 @@ def interaction_cpu_hotspots(spark, sf_dir):
 )
 def task_cpu_hotspots(spark, sf_dir):
     tasks = dims.main_thread_tasks(main_trace(spark, sf_dir))
-    rows = cpu.task_cpu_hotspots(_samples(spark, sf_dir), tasks)
+    rows = cpu.task_cpu_hotspots(cpu_rows(spark, sf_dir), tasks)
     return _rounded(rows.drop("scriptId"), "totalTimeMs")

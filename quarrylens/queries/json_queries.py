@@ -468,13 +468,35 @@ ARTIFACTS = BODIES + """, sh AS (SELECT trace_id, k, row_number() OVER (PARTITIO
     sha256('picture ' || k) AS hash FROM sh
   UNION ALL SELECT trace_id, 'artifact:devtools:script:' || sid, 'text', 'text/javascript', octet_length(encode(text)), sha256(text) FROM sc WHERE text IS NOT NULL
   UNION ALL SELECT CAST(doc_id AS VARCHAR), 'artifact:code:source:0:0', 'text', 'text/plain', octet_length(encode(text)), sha256(text) FROM documents
-  UNION ALL SELECT trace_id, "artifactId", "decodedKind", "mediaType", "sizeBytes", hash FROM bd)"""
+  UNION ALL SELECT trace_id, "artifactId", "decodedKind", "mediaType", "sizeBytes", hash FROM bd
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'artifact:code:sourcemap:0', 'json', 'application/source-map+json', NULL, NULL FROM documents)"""
 
 
 @query("j01_trace_artifacts", with_events(ARTIFACTS + " SELECT * FROM a"))
 def trace_artifacts(spark, sf_dir):
-    rows = trace_artifact_rows(spark, sf_dir).filter(F.col("mediaType") != "application/source-map+json")
-    return rows.select("trace_id", "id", "kind", "mediaType", "sizeBytes", "hash")
+    """Sizes and hashes but for source maps, whose text depends on how a writer escapes characters."""
+    rows = trace_artifact_rows(spark, sf_dir)
+    plain = F.col("mediaType") != "application/source-map+json"
+    return rows.select(
+        "trace_id",
+        "id",
+        "kind",
+        "mediaType",
+        F.when(plain, F.col("sizeBytes")).alias("sizeBytes"),
+        F.when(plain, F.col("hash")).alias("hash"),
+    )
+
+
+@query(
+    "j01_source_map_contents",
+    """SELECT CAST(doc_id AS VARCHAR) AS trace_id, './src/' || lang || '/' || doc_id AS source, sha256(text) AS hash FROM documents""",
+)
+def source_map_contents(spark, sf_dir):
+    """What the source-map artifacts hold, read back from their bytes."""
+    maps = art.source_map_artifacts(dims.source_maps(_document_maps(spark, sf_dir)))
+    held = F.from_json(F.decode("content", "UTF-8"), "sourceMap struct<sources: array<string>, sourcesContent: array<string>>")["sourceMap"]
+    text = F.get(held["sourcesContent"], F.lit(0))
+    return maps.select("trace_id", F.get(held["sources"], F.lit(0)).alias("source"), F.sha2(F.encode(text, "UTF-8"), 256).alias("hash"))
 
 
 @query(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarrylens.operators.lineage import cut
 from quarrylens.plans.table_plan import TablePlan, TableQuery, parse_filter
 from quarrylens.queries.registry import query
 from quarrylens.sources.star_events import read_table
@@ -62,26 +64,54 @@ def select_columns(spark, sf_dir):
     return table.where("l_returnflag", "=", "R").select(["l_orderkey", "l_quantity", "missing"]).rows()
 
 
-@query("b13_collated_order", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment >= 'FURNITURE'")
+def _positions(rows):
+    """``rows`` with their places in the order they come in, found without a window over all of them."""
+    written = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return written.withColumn("_part", part).join(starts, "_part").withColumn("position", F.col("_start") + inside).drop("_at", "_part", "_start")
+
+
+def _mixed_case(spark, sf_dir):
+    """Customers whose segment is in lower case for every other one."""
+    name = F.concat(F.left("c_name", F.lit(1)), "c_mktsegment")
+    mixed = F.when(F.col("c_custkey") % 2 == 0, F.lower(name)).otherwise(name).alias("s")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", mixed)
+
+
+@query(
+    "b13_collated_order",
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(left(c_name, 1) || c_mktsegment) ELSE left(c_name, 1) || c_mktsegment END AS s FROM customer)
+SELECT c_custkey, s, row_number() OVER (ORDER BY lower(s), s = lower(s) DESC, c_custkey) - 1 AS position FROM c
+WHERE lower(s) > 'cfurniture' OR s = 'CFURNITURE'""",
+)
 def collated_order(spark, sf_dir):
-    table = TableQuery(read_table(spark, sf_dir, "customer"), collation="UNICODE")
-    kept = table.where("c_mktsegment", ">=", "FURNITURE").order_by("c_mktsegment")
-    return kept.select(["c_custkey", "c_mktsegment"]).rows()
+    """Letters before case, and lower case first where only the case differs."""
+    table = TableQuery(_mixed_case(spark, sf_dir), (F.col("c_custkey").asc(),), collation="UNICODE")
+    kept = table.where("s", ">=", "cFURNITURE").order_by("s")
+    return _positions(kept.select(["c_custkey", "s"]).rows())
 
 
 @query(
     "b17_order_by",
-    f"SELECT o_orderkey, status, priority FROM {NULLED} ORDER BY priority DESC NULLS LAST, status ASC NULLS FIRST, o_orderkey LIMIT 500",
+    f"""SELECT o_orderkey, status, priority,
+  row_number() OVER (ORDER BY priority DESC NULLS LAST, status ASC NULLS FIRST, o_orderkey) - 1 AS position FROM {NULLED}""",
 )
 def order_by(spark, sf_dir):
-    plan = TablePlan(order_by=(("priority", "desc"), ("status", "asc")), limit=500)
-    return _orders(spark, sf_dir).query(plan).select(["o_orderkey", "status", "priority"]).rows()
+    plan = TablePlan(order_by=(("priority", "desc"), ("status", "asc")))
+    return _positions(_orders(spark, sf_dir).query(plan).select(["o_orderkey", "status", "priority"]).rows())
 
 
-@query("b17_order_by_replaced", f"SELECT o_orderkey FROM {NULLED} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+@query(
+    "b17_order_by_replaced",
+    f"SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM {NULLED}",
+)
 def order_by_replaced(spark, sf_dir):
     table = _orders(spark, sf_dir).order_by("status").order_by("o_totalprice", "desc")
-    return table.limit(25).select(["o_orderkey"]).rows()
+    return _positions(table.select(["o_orderkey"]).rows())
 
 
 @query("b18_offset", f"SELECT o_orderkey, o_totalprice FROM {NULLED} ORDER BY o_totalprice, o_orderkey OFFSET 100")
@@ -115,9 +145,7 @@ def count(spark, sf_dir):
 )
 def count_collated(spark, sf_dir):
     """Letters before case: half of the names are in lower case."""
-    name = F.concat(F.left("c_name", F.lit(1)), "c_mktsegment")
-    mixed = F.when(F.col("c_custkey") % 2 == 0, F.lower(name)).otherwise(name).alias("s")
-    table = TableQuery(read_table(spark, sf_dir, "customer").select(mixed), collation="UNICODE")
+    table = TableQuery(_mixed_case(spark, sf_dir), collation="UNICODE")
     return spark.createDataFrame([(table.where("s", "<", "cF").count(),)], "n bigint")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.plans import dims, facts, reports, views
+from quarrylens.plans import cpu, dims, facts, reports, views
+from quarrylens.queries.cpu_queries import NODES, SAMPLES, STACKS, cpu_rows, profile_trace
 from quarrylens.queries.dim_queries import (
     REQUESTS,
     SHOTS,
@@ -272,22 +273,24 @@ class _Tables:
     def _codeHotspots(self):
         return _code_hotspots(self.spark, self.sf_dir)
 
-    def _cpuHotspots(self):
-        schema = "trace_id string, nodeId string, scriptId string, url string, functionName string, selfTimeMs double, sampleCount bigint"
-        return self.spark.createDataFrame([], schema)
-
     def _cpuSamples(self):
-        schema = "trace_id string, nodeId string, functionName string, url string, scriptId string, tsUs bigint, timeDeltaUs bigint"
-        return self.spark.createDataFrame([], schema)
+        return cpu_rows(self.spark, self.sf_dir)
+
+    def _cpuHotspots(self):
+        return cpu.cpu_hotspots(cpu.cpu_nodes(profile_trace(self.spark, self.sf_dir)))
 
     def _cpuCallTrees(self):
-        schema = "trace_id string, stackId string, totalTimeMs double, sampleCount bigint"
-        return self.spark.createDataFrame([], schema)
+        return cpu.cpu_call_trees(self._cpuSamples())
 
     def _sourceMaps(self):
-        return self.spark.createDataFrame([], "trace_id string, sourceMapId string")
+        """A map for every event of a fifth of the users, as the scripts have them."""
+        rows = base_rows(self.spark, self.sf_dir).filter(F.col("uid") % 5 == 0)
+        return rows.select("trace_id", _text("sourcemap:", "rawIndex").alias("sourceMapId"), _text("https://u/", "uid").alias("url"))
 
-    _sources = _sourceMaps
+    def _sources(self):
+        return self._sourceMaps().select(
+            "trace_id", F.replace("sourceMapId", F.lit("sourcemap"), F.lit("source")).alias("sourceId"), "sourceMapId"
+        )
 
 
 TARGET = """, tg AS (SELECT * FROM ia ORDER BY dur DESC, lo, trace_id, iid LIMIT 1)"""
@@ -322,6 +325,25 @@ def interaction_report_shifts(spark, sf_dir):
     return rows.select("trace_id", "layoutShiftId", "tsUs", "score")
 
 
+@query(
+    "f02_interaction_report_cpu",
+    with_events(
+        RENDERS
+        + TARGET
+        + SAMPLES
+        + STACKS
+        + """
+SELECT CAST(node AS VARCHAR) AS "nodeId", fn AS "functionName", url, count(*) AS "sampleCount", round(sum(delta) / 1000, 6) AS "totalTimeMs"
+FROM sm JOIN tg ON sm.trace_id = tg.trace_id AND sm.ts >= lo AND sm.ts <= hi GROUP BY node, fn, url
+ORDER BY 5 DESC, 4 DESC, 1 LIMIT 20""",
+        recursive=True,
+    ),
+)
+def interaction_report_cpu(spark, sf_dir):
+    rows = reports.interaction_report(_Tables(spark, sf_dir))["cpuHotspots"]
+    return rows.select("nodeId", "functionName", "url", "sampleCount", F.round("totalTimeMs", 6).alias("totalTimeMs"))
+
+
 @query(
     "f03_frame_report_changes",
     with_events(
@@ -383,6 +405,80 @@ def hotspots_report_code(spark, sf_dir):
     )
 
 
+@query(
+    "f06_hotspots_report_cpu",
+    with_events(
+        SAMPLES
+        + NODES
+        + """ SELECT trace_id, "nodeId", "functionName", "selfSampleCount" AS "sampleCount", "selfTimeMs" FROM nd WHERE "selfSampleCount" > 0
+QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY nd."selfTimeMs" DESC, "selfSampleCount" DESC, "functionName", "nodeId") <= 50""",
+        recursive=True,
+    ),
+)
+def hotspots_report_cpu(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    rows = reports.hotspots_report(t("codeHotspots"), t("cpuHotspots"), t("cpuCallTrees"))["cpuHotspots"]
+    return rows.select("trace_id", "nodeId", "functionName", "sampleCount", F.round("selfTimeMs", 6).alias("selfTimeMs"))
+
+
+@query(
+    "f06_hotspots_report_stacks",
+    with_events(
+        SAMPLES
+        + STACKS
+        + """, g AS (SELECT trace_id, label, count(*) AS n, sum(delta) AS us, min(idx * 2 + pos) AS first FROM sm GROUP BY 1, 2), o AS (
+  SELECT *, 'cpu-stack:' || (row_number() OVER (PARTITION BY trace_id ORDER BY first) - 1) AS "stackId" FROM g)
+SELECT trace_id, "stackId", label AS "stackLabel", n AS "sampleCount", round(us / 1000, 6) AS "totalTimeMs" FROM o
+QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY us DESC, n DESC, "stackId") <= 20""",
+        recursive=True,
+    ),
+)
+def hotspots_report_stacks(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    rows = reports.hotspots_report(t("codeHotspots"), t("cpuHotspots"), t("cpuCallTrees"))["cpuCallTrees"]
+    return rows.select("trace_id", "stackId", "stackLabel", "sampleCount", F.round("totalTimeMs", 6).alias("totalTimeMs"))
+
+
+@query(
+    "f07_script_report_sources",
+    with_events(
+        CODE
+        + """, tg AS (SELECT su.trace_id, su.sid, mp.n FROM su JOIN mp ON mp.trace_id = su.trace_id AND mp.url = su.url WHERE sid = '55' LIMIT 1)
+SELECT trace_id, 'sourcemap:' || n AS "sourceMapId", 'source:' || n AS "sourceId" FROM tg"""
+    ),
+)
+def script_report_sources(spark, sf_dir):
+    report = reports.script_report(_Tables(spark, sf_dir), "55")
+    found = report["sourceMap"].select("trace_id", "sourceMapId")
+    return found.join(report["sources"], ["trace_id", "sourceMapId"])
+
+
+class _ProfiledTables(_Tables):
+    """The same with the scripts that the profile names."""
+
+    def _scripts(self):
+        rows = base_rows(self.spark, self.sf_dir)
+        script = F.concat(F.lit("s"), (F.col("uid") % 3).cast("string")).alias("scriptId")
+        return rows.select("trace_id", script, F.lit("a.js").alias("url"), F.lit(None).cast("string").alias("sourceMapId")).distinct()
+
+
+@query(
+    "f07_script_report_cpu",
+    with_events(
+        SAMPLES
+        + NODES
+        + """ SELECT trace_id, "nodeId", "functionName", "selfSampleCount" AS "sampleCount" FROM nd
+WHERE trace_id = (SELECT min(trace_id) FROM e WHERE uid % 3 = 1) AND "selfSampleCount" > 0
+  AND (CAST("nodeId" AS BIGINT) % 2 = 0 OR (CAST("nodeId" AS BIGINT) > 50 AND CAST("nodeId" AS BIGINT) % 3 = 1))""",
+        recursive=True,
+    ),
+)
+def script_report_cpu(spark, sf_dir):
+    """Sampled nodes of the script or of its file."""
+    rows = reports.script_report(_ProfiledTables(spark, sf_dir), "s1")["cpuHotspots"]
+    return rows.select("trace_id", "nodeId", "functionName", "sampleCount")
+
+
 @query(
     "f07_script_report_code",
     with_events(
@@ -399,21 +495,19 @@ def script_report_code(spark, sf_dir):
 @query(
     "f08_capabilities",
     with_events("""
-SELECT DISTINCT trace_id, FALSE AS "cpuProfile", FALSE AS "eventTiming", TRUE AS "framePipeline", FALSE AS "networkTiming",
-  FALSE AS "renderUserTiming", TRUE AS "layoutShift", FALSE AS "softNavigation", TRUE AS screenshots, FALSE AS "networkBodies",
-  TRUE AS "inlineScriptSource", FALSE AS "sourceMaps", FALSE AS "sourceContents" FROM e"""),
+SELECT trace_id, FALSE AS "cpuProfile", FALSE AS "eventTiming", bool_or(et = 'signup') AS "framePipeline", FALSE AS "networkTiming",
+  FALSE AS "renderUserTiming", bool_or(et = 'error') AS "layoutShift", FALSE AS "softNavigation", bool_or(et = 'view') AS screenshots,
+  bool_or(k < 90 AND et <> 'click' AND uid % 3 = 1) AS "networkBodies", bool_or(et = 'error' AND k > 80) AS "inlineScriptSource",
+  bool_or(uid % 5 = 0) AS "sourceMaps", bool_or(uid % 5 = 0 AND k > 50) AS "sourceContents" FROM e GROUP BY 1"""),
 )
 def capabilities(spark, sf_dir):
-    media = media_trace(spark, sf_dir)
-    none = spark.createDataFrame([], "trace_id string, hasContent boolean, url string, mapIndex bigint")
-    return reports.trace_capabilities(
-        media,
-        dims.scripts(media, none),
-        none,
-        none,
-        dims.screenshots(media),
-        none,
-    )
+    """Bodies, maps and sources are rows of the same events."""
+    media, rows = media_trace(spark, sf_dir), base_rows(spark, sf_dir)
+    mapped = rows.filter(F.col("uid") % 5 == 0)
+    maps = mapped.select("trace_id", _text("https://u/", "uid").alias("url"), F.col("rawIndex").alias("mapIndex"))
+    contents = mapped.select("trace_id", (F.col("k") > 50).alias("hasContent"))
+    bodies = rows.filter((F.col("k") < 90) & (F.col("et") != "click") & (F.col("uid") % 3 == 1)).select("trace_id")
+    return reports.trace_capabilities(media, dims.scripts(media, maps), contents, maps, dims.screenshots(media), bodies)
 
 
 @query(

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
+from quarrylens.plans.shredded import bloom_filters, shred
 from quarrylens.sources.documents import clean_path, trace_key
 from quarrylens.sources.json_ranges import SPLIT_BYTES, read_members
 from quarrylens.sources.trace_events import event_columns
@@ -333,13 +334,21 @@ def ingest_traces(
     """Write the events of ``paths`` to Parquet below ``out`` and return those of ``paths``.
 
     Rows are sorted by event name within each file, so a filter on the name, which nearly every
-    table starts with, skips row groups.
+    table starts with, skips row groups.  The arguments that tables read are columns of their own;
+    see :mod:`quarrylens.plans.shredded`.
     """
-    return ingest_rows(spark, paths, out, lambda files: typed_rows(stream_files(files, split_bytes)), ("name", "rawIndex"))
+    return ingest_rows(
+        spark, paths, out, lambda files: shred(typed_rows(stream_files(files, split_bytes))), ("name", "rawIndex"), bloom_filters()
+    )
 
 
 def ingest_rows(
-    spark: SparkSession, paths: str | Sequence[str], out: str, make: Callable[[DataFrame], DataFrame], order: Sequence[str]
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    out: str,
+    make: Callable[[DataFrame], DataFrame],
+    order: Sequence[str],
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Write the rows that ``make`` gives of the files of ``paths`` to Parquet below ``out``; return those of ``paths``.
 
@@ -357,6 +366,7 @@ def ingest_rows(
             .write.partitionBy("trace_id")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
+            .options(**(options or {}))
             .parquet(f"{base}/{ROWS}")
         )
         entries = new.select("trace_id", "length", "modified", F.current_timestamp().alias("at"))
