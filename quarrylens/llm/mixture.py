@@ -85,6 +85,12 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, tie: str, most:
     return joined.withColumn("quota", quota).drop("_sure", "_top", "_seats", "_open", "_party", "_won")
 
 
+def row_key(doc_id: str, text: str, source: str) -> Column:
+    """A digest of a row's id, source and text; null ids, sources and texts are values of their own."""
+    named = F.to_json(F.struct(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{source}`").cast("string").alias("s")))
+    return F.md5(F.concat(named, F.coalesce(F.md5(F.col(f"`{text}`")), F.lit("-"))))
+
+
 def mix_sources(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -96,21 +102,29 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    with_key: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, passes, tail_words, front_words).
+    """(doc_id, source, size, source_size, target, taken, passes, tail_words, front_words, first_word).
 
     ``taken`` words are ``passes`` whole copies, ``tail_words`` from word ``first_word`` on, and
     the first ``front_words``.  The ring of a shard is cut by words, so most documents are taken
     whole or not at all; the two ends of a shard's run are parts.
 
     Nulls: a null text has size 0; a null source is a source of its own, the last; rows
-    without an id are ordered before the others by their size.  Repeated rows are rows of their own.  An empty
-    table gives no rows, and a table without words takes nothing.
+    without an id are placed by a digest of their text instead.  Repeated rows are rows of their own.  An empty
+    table gives no rows, and a table without words takes nothing.  ``with_key`` adds ``_key``,
+    the digest of a row's id, source and text.
     """
+    key = row_key(doc_id, text, source)
+    if not with_key:
+        key = F.when(F.col(f"`{doc_id}`").isNull(), key)
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = cut(
         docs.select(
-            F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size")
+            F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
+            F.col(f"`{source}`").alias("source"),
+            size.alias("size"),
+            key.alias("_key"),
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -125,11 +139,11 @@ def mix_sources(
         )
     )
     known = rows.join(broadcast_if_small(shared), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    id_text = F.coalesce(F.col("doc_id").cast("string"), "_key")
     known = known.withColumn("_order", _hash(F.lit(str(seed)), id_text))
     known = known.withColumn("_shard", F.col("_order") % F.col("_shards"))
     shard = W.partitionBy("_rank", "_shard")
-    ring = shard.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed + 1)), id_text)), "doc_id", "size")
+    ring = shard.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed + 1)), id_text)), "doc_id", "size", "_key")
     known = known.withColumn("_end", F.sum("size").over(ring.rowsBetween(W.unboundedPreceding, 0)))
     known = known.withColumn("_ring", F.sum("size").over(shard))
     # The shard's blocks: its words over the words that one block of the source stands for.
@@ -164,20 +178,22 @@ def mix_sources(
         tail.cast("bigint").alias("tail_words"),
         front.cast("bigint").alias("front_words"),
         first_word.cast("bigint").alias("first_word"),
+        *(["_key"] if with_key else []),
     )
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for each whole copy and each part that it takes.
 
-    Rows of one id share what the first of them takes, so ids should be unique; rows without an
-    id or without words are in no mix.
+    Rows are known by a digest of id, source and text, so that rows without an id, and other texts under
+    one id, are in it with the words they are planned with.  Repeated rows have their other
+    columns from one of them.  Rows without words are in no mix.
     """
-    plan = mix_sources(docs, doc_id, text, **options).filter("taken > 0 and doc_id is not null")
-    plan = plan.select(
-        F.col("doc_id").alias("_mixed"), "passes", "tail_words", "front_words", "first_word", F.col("size").alias("_size")
-    ).dropDuplicates(["_mixed"])
-    joined = docs.join(plan, F.col(f"`{doc_id}`") == F.col("_mixed"))
+    plan = mix_sources(docs, doc_id, text, with_key=True, **options).filter("taken > 0")
+    plan = plan.select("_key", "passes", "tail_words", "front_words", "first_word", F.col("size").alias("_size"))
+    # The rows are dealt out by the key once, for both steps.
+    keyed = docs.withColumn("_key", row_key(doc_id, text, options.get("source", "source"))).dropDuplicates(["_key"])
+    joined = keyed.join(plan, "_key")
     own = F.col(f"`{text}`")
     pieces = F.regexp_extract_all(own, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     whole, none = F.array(own), F.array().cast("array<string>")

@@ -175,10 +175,11 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, for each group of near copies.
 
-    Rows without an id stay.  Rows that repeat the id of a kept document are one document:
-    one of them stays.
+    Rows without an id stay.  Of rows that repeat the id and the text of a kept document one
+    stays; another text under that id is a document of its own and stays too.
     """
     kept = simhash_groups(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     own = F.col(f"`{doc_id}`")
-    named = docs.filter(own.isNotNull()).join(kept, own == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    named = docs.filter(own.isNotNull()).join(kept, own == F.col("_kept"), "left_semi")
+    named = named.withColumn("_digest", F.md5(F.col(f"`{text}`"))).dropDuplicates([doc_id, "_digest"]).drop("_digest")
     return named.unionByName(docs.filter(own.isNull()))

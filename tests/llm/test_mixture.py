@@ -85,6 +85,20 @@ def test_the_mix_holds_what_it_takes(spark):
     assert words == {i: n for i, n in plan.items() if n}
 
 
+def test_rows_without_an_id_and_texts_that_share_one(spark):
+    data = [(i % 40 if i % 3 else None, f"{'own ' * (i % 7)}text {i}", "en", f"s{i % 2}") for i in range(400)]
+    data += data[:50] + [(None, None, "en", None), (7, "same words", "en", None), (7, "same words", "de", None)]
+    frame = helpers.docs(spark, data)
+    planned = mix_sources(frame, shard_words=300).collect()
+    assert len(planned) == len(data)
+    want, got = {}, {}
+    for r in planned:
+        want[(r.doc_id, r.source)] = want.get((r.doc_id, r.source), 0) + r.taken
+    for r in mixed_documents(frame, shard_words=300).collect():
+        got[(r.doc_id, r.source)] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert got == {k: n for k, n in want.items() if n} and None in {k[0] for k in got}
+
+
 def test_odd_tables(spark):
     empty = helpers.docs(spark, [(1, "x")]).limit(0)
     assert mix_sources(empty).count() == 0 and mixed_documents(empty).count() == 0

@@ -93,6 +93,9 @@ def test_groups_and_dedup(spark):
     assert {i: r.component_id for i, r in got.items()} == helpers.components(prints, pairs)
     assert {i: int(np.int64(r.fp).astype(np.uint64)) for i, r in got.items()} == prints
     kept = simhash_dedup(frame.unionByName(frame).unionByName(helpers.docs(spark, [(None, "x"), (None, "x")])))
+    other = helpers.prose(rng, 200)
+    shared = simhash_dedup(frame.unionByName(helpers.docs(spark, [(0, other), (0, other)])))
+    assert sorted(r.text for r in shared.filter("doc_id = 0").collect()) == sorted([base[0], other])
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted(set(helpers.components(prints, pairs).values()))
     assert kept.filter("doc_id is null").count() == 2
