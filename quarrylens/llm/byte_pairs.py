@@ -10,6 +10,7 @@ Ranks of merged pairs come from the same hash, so the vocabulary is held once.
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -120,6 +121,13 @@ class Vocabulary:
         return rank if token == key else -1
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The same pattern for texts of ASCII characters only, without classes of Unicode."""
+    letters, digits, white = "A-Za-z", "0-9", r"\t\n\x0b\x0c\r "
+    other = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]")
+    return other.replace(r"\p{N}", f"[{digits}]").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]")
+
+
 class _PairRanks(dict):
     """Ranks of the byte strings that merges have asked for, each looked up once."""
 
@@ -138,9 +146,12 @@ class PairCoder:
 
     def __init__(self, content: bytes, seed: int, shifts: bytes, pattern: str):
         import regex
+        from public_tokenizers import PATTERN
 
         self.vocabulary = Vocabulary(content, seed, shifts)
         self.find = regex.compile(pattern).findall
+        # The pattern that comes with the files has a plainer form where no other characters are.
+        self.find_ascii = re.compile(ascii_pattern(pattern)).findall if pattern == PATTERN else self.find
         self.known: dict[str, bytes] = {}
         self.pairs = _PairRanks(self.vocabulary)
 
@@ -188,9 +199,10 @@ class PairCoder:
         pattern must match every character, as those of byte-level vocabularies do.
         """
         at, size, n = 0, SLICE_CHARS, len(text)
+        find = self.find_ascii if text.isascii() else self.find
         while at < n:
             stop = min(at + size, n)
-            found = self.find(text, at, stop)
+            found = find(text, at, stop)
             if stop < n:
                 found.pop()
                 if not found:

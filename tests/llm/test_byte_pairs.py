@@ -10,7 +10,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import functions as F
 
 from quarrylens.llm import byte_pairs
-from quarrylens.llm.byte_pairs import PairCoder, coder_parts, decode_bytes, encode_and_decode, encode_bytes, hash_shifts, read_ranks
+from quarrylens.llm.byte_pairs import PairCoder, ascii_pattern, coder_parts, decode_bytes, encode_and_decode, encode_bytes, hash_shifts, read_ranks
 from quarrylens.llm.common import TOKENIZERS, read_bytes
 
 ODD = ["", " ", "  a  b ", "\n\n x\t", "it's 'tis we'll I'd", "日本語 🙂", "<|endoftext|>", "\x00\x1c\x85 ", "a" * 3000, " " * 500 + "x", "Ünïcode", "1234567890 12"]
@@ -64,6 +64,14 @@ def test_equals_the_library_on_every_pre_token_without_the_first_tier(own, libra
                 assert own.merge(raw) == library.encode_ordinary(piece)
 
 
+def test_ascii_texts_are_cut_alike(own):
+    rng = random.Random(2)
+    for n in range(4000):
+        text = "".join(chr(rng.choice([rng.randrange(128), 32, 39, 10, 115, 49])) for _ in range(rng.randint(1, 30)))
+        assert own.find_ascii(text) == own.find(text), repr(text)
+    assert "p{" not in ascii_pattern(PATTERN)
+
+
 @pytest.mark.parametrize("size", [3, 7, 50])
 def test_slices_do_not_change_the_ids(own, library, monkeypatch, size):
     monkeypatch.setattr(byte_pairs, "SLICE_CHARS", size)
