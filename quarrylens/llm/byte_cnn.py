@@ -3,8 +3,9 @@
 A text's UTF-8 bytes are embedded and convolved with learned filters.  The activations are
 max-pooled over overlapping chunks that cover the whole text; each chunk's pooled vector
 gives a logit through one hidden layer, and the mean logit of all chunks the probability.
-The network is trained on the driver from a bounded sample of labelled rows and sent to the
-tasks, which score whole texts of any length.
+The network is learnt from the whole texts of a bounded sample of labelled rows: in each
+round the tasks train on their rows from the same weights, and the driver averages what they
+return.  The weights are then sent to the tasks, which score whole texts of any length.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.common import append_columns
+from quarrylens.operators.lineage import cut
 
 EMBED = 8
 WIDTH = 8  # bytes under a filter
@@ -32,10 +34,10 @@ CHUNK = BLOCK * CHUNK_BLOCKS
 BYTES_AT_ONCE = 1 << 18
 THRESHOLD = 0.3
 
-SAMPLE_PER_CLASS = 2_000  # labelled rows that the driver trains on, at most
-SAMPLE_CHUNKS = 4  # evenly spaced chunks of each of them
-EPOCHS = 6
-BATCH = 64
+SAMPLE_PER_CLASS = 2_000  # labelled rows to train on, at most; whole texts
+PARTS = 4  # tasks that train side by side
+ROUNDS = 14  # passes over the rows, each from the average of the last
+BATCH = 16  # texts
 RATE = 3e-3
 SEED = 7
 
@@ -88,52 +90,75 @@ def chunk_spans(n_bytes: int) -> list[tuple[int, int]]:
     return [(s * BLOCK, min(s + CHUNK_BLOCKS, blocks) * BLOCK) for s in starts]
 
 
-def train(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the weighted logistic loss of single chunks, (n, CHUNK + WIDTH) bytes each."""
+@dataclass
+class Learner:
+    """A network with the running moments of its gradients (Adam)."""
+
+    net: Network
+    moments: list[np.ndarray]
+    steps: int = 0
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.net.weights(), *self.moments]
+
+    def learn(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> None:
+        """One step on the weighted logistic loss of whole texts."""
+        self.steps += 1
+        own = self.net.weights()
+        first, second = self.moments[: len(own)], self.moments[len(own) :]
+        for w, g, m, v in zip(own, _gradients(self.net, texts, labels, weights), first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float64)
+
+    def set(self, values: np.ndarray) -> None:
+        at = 0
+        for x in self.arrays():
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+
+def new_learner(seed: int = SEED) -> Learner:
     net = new_network(seed)
-    rng = np.random.default_rng(seed)
-    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(chunks))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            step += 1
-            for w, g, (m, v) in zip(net.weights(), _gradients(net, chunks[rows], labels[rows], weights[rows]), moments, strict=True):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.999
-                v += 0.001 * g * g
-                w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return net
-
-
-def _gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    n = len(x)
-    windows = _windows(net.embed[x])
-    active = windows.reshape(-1, WIDTH * EMBED) @ net.filters
-    active = active.reshape(n, -1, FILTERS)
-    peak = active.argmax(axis=1)
-    value = np.take_along_axis(active, peak[:, None, :], axis=1)[:, 0, :] + net.bias
-    pooled = np.maximum(value, 0)
-    inner = pooled @ net.hidden + net.hidden_bias
+    return Learner(net, [np.zeros_like(w) for _ in range(2) for w in net.weights()])
+
+
+def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    raw, blocks, peaks, places = _block_peaks(net, texts, places=True)
+    pooled = np.maximum(peaks + net.bias, 0)
+    owner, members, chunks_of = _chunks(blocks)
+    over = pooled[members]  # (chunks, blocks of a chunk, filters)
+    winner = over.argmax(axis=1)
+    best = np.take_along_axis(over, winner[:, None, :], axis=1)[:, 0, :]
+    inner = best @ net.hidden + net.hidden_bias
     shown = np.maximum(inner, 0)
     logit = (shown @ net.out)[:, 0] + net.out_bias[0]
-    error = ((1 / (1 + np.exp(-logit)) - y) * weight / n).astype(np.float32)[:, None]
+    mean = np.bincount(owner, weights=logit) / chunks_of
+    error = (1 / (1 + np.exp(-np.clip(mean, -60, 60))) - labels) * weights / len(texts)
+    error = (error / chunks_of)[owner].astype(np.float32)[:, None]
     d_shown = (error @ net.out.T) * (inner > 0)
-    d_value = (d_shown @ net.hidden.T) * (value > 0)
-    rows = np.arange(n)[:, None]
-    at_peak = windows[rows, peak]  # (n, FILTERS, WIDTH * EMBED)
-    d_filters = np.einsum("nfw,nf->wf", at_peak, d_value, optimize=True)
-    d_window = (d_value[:, :, None] * net.filters.T[None]).reshape(n, FILTERS, WIDTH, EMBED)
-    under = x[rows[:, :, None], (peak * STEP)[:, :, None] + np.arange(WIDTH)]
-    d_embed = np.zeros_like(net.embed)
-    np.add.at(d_embed, under.ravel(), d_window.reshape(-1, EMBED))
+    d_best = (d_shown @ net.hidden.T) * (best > 0)
+    cell = np.take_along_axis(members, winner, axis=1) * FILTERS + np.arange(FILTERS)
+    d_value = np.bincount(cell.ravel(), weights=d_best.ravel(), minlength=len(peaks) * FILTERS)
+    d_value = d_value.reshape(-1, FILTERS).astype(np.float32)
+    d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+    used = np.flatnonzero(d_value.any(axis=1))
+    for at in range(0, len(used), BYTES_AT_ONCE // BLOCK):
+        some = used[at : at + BYTES_AT_ONCE // BLOCK]
+        under = raw[(some[:, None] * BLOCK + places[some] * STEP)[:, :, None] + np.arange(WIDTH)]
+        windows = net.embed[under].reshape(len(some), FILTERS, WIDTH * EMBED)
+        d_filters += np.einsum("nfw,nf->wf", windows, d_value[some], optimize=True)
+        d_window = (d_value[some][:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        for k in range(EMBED):
+            d_embed[:, k] += np.bincount(under.ravel(), weights=d_window[:, k], minlength=256)
     return [
         d_embed,
-        d_filters.astype(np.float32),
+        d_filters,
         d_value.sum(axis=0),
-        pooled.T @ d_shown,
+        best.T @ d_shown,
         d_shown.sum(axis=0),
         shown.T @ error,
         error.sum(axis=0),
@@ -154,14 +179,16 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _scores(net: Network, texts: list[bytes]) -> np.ndarray:
+def _block_peaks(net: Network, texts: list[bytes], places: bool = False) -> tuple:
+    """The texts' joined bytes, blocks of each, and each block's largest activations with, if asked, their windows."""
     # Each text ends with WIDTH zero bytes at least, a whole window of them.
     blocks = np.array([-(-(len(t) + WIDTH) // BLOCK) for t in texts])
     joined = b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, blocks.tolist(), strict=True)) + bytes(WIDTH)
     raw = np.frombuffer(joined, dtype=np.uint8)
     per_block = BLOCK // STEP
     total = int(blocks.sum())
-    pooled = np.empty((total, FILTERS), np.float32)
+    peaks = np.empty((total, FILTERS), np.float32)
+    at_peak = np.empty((total, FILTERS), np.int32) if places else None
     last_block = np.zeros(total, dtype=bool)
     last_block[np.cumsum(blocks) - 1] = True
     blocks_at_once = BYTES_AT_ONCE // BLOCK
@@ -171,37 +198,60 @@ def _scores(net: Network, texts: list[bytes]) -> np.ndarray:
         active = (windows @ net.filters).reshape(high - low, per_block, FILTERS)
         # The windows that begin in a text's last zero bytes would reach into the next text.
         active[last_block[low:high], 1 - WIDTH // STEP :] = -np.inf
-        pooled[low:high] = active.max(axis=1)
-    pooled = np.maximum(pooled + net.bias, 0)
-    first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+        if places:
+            at_peak[low:high] = active.argmax(axis=1)
+        peaks[low:high] = active.max(axis=1)
+    return raw, blocks, peaks, at_peak
+
+
+def _chunks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each chunk's text, its CHUNK_BLOCKS blocks (the last repeated), and the number of chunks of each text."""
+    first = np.cumsum(blocks) - blocks
     chunks_of = np.maximum(1, -(-(blocks - CHUNK_BLOCKS) // CHUNK_HOP) + 1)
-    owner = np.repeat(np.arange(len(texts)), chunks_of)
+    owner = np.repeat(np.arange(len(blocks)), chunks_of)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(chunks_of) - chunks_of, chunks_of)
     start = first[owner] + nth * CHUNK_HOP
     last = (first + blocks - 1)[owner]
-    best = pooled[start]
+    return owner, np.minimum(start[:, None] + np.arange(CHUNK_BLOCKS), last[:, None]), chunks_of
+
+
+def _scores(net: Network, texts: list[bytes]) -> np.ndarray:
+    _, blocks, peaks, _ = _block_peaks(net, texts)
+    pooled = np.maximum(peaks + net.bias, 0)
+    owner, members, chunks_of = _chunks(blocks)
+    best = pooled[members[:, 0]]
     for i in range(1, CHUNK_BLOCKS):
-        best = np.maximum(best, pooled[np.minimum(start + i, last)])
+        best = np.maximum(best, pooled[members[:, i]])
     logit = (np.maximum(best @ net.hidden + net.hidden_bias, 0) @ net.out)[:, 0] + net.out_bias[0]
     mean = np.bincount(owner, weights=logit) / chunks_of
     return 1 / (1 + np.exp(-np.clip(mean, -60, 60)))
 
 
-def _sample_chunks(rows: DataFrame, per_text: int) -> DataFrame:
-    """(label, chunk) of evenly spaced chunks of labelled texts, padded with zero bytes."""
+def _round(values: np.ndarray, steps: int, shares: tuple[float, float], seed: int):
+    """A task's training on its rows, from the weights of the last round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, seen = new_learner(), 0
+        learner.set(values)
+        learner.steps = steps
+        rng = np.random.default_rng(seed)
         for batch in batches:
-            labels, chunks = [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                spans = chunk_spans(len(text) + WIDTH)
-                picked = sorted({round(i * (len(spans) - 1) / max(1, per_text - 1)) for i in range(per_text)})
-                for low, high in (spans[i] for i in picked):
-                    chunks.append(text[low : high + WIDTH].ljust(CHUNK + WIDTH, b"\0"))
-                    labels.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(chunks, pa.binary())], names=["label", "chunk"])
-
-    return rows.mapInArrow(run, "label int, chunk binary")
+            labels = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            texts = batch.column(1).cast(pa.binary())
+            order = rng.permutation(len(labels))
+            for at in range(0, len(order), BATCH):
+                rows = order[at : at + BATCH]
+                some = labels[rows]
+                weights = np.where(some == 1, 0.5 / shares[1], 0.5 / shares[0])
+                learner.learn([texts[int(i)].as_py() for i in rows], some, weights)
+            seen += len(labels)
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seen], pa.int64()), pa.array([learner.steps], pa.int64()), pa.array([learner.flat().tobytes()], pa.binary())],
+                names=["rows", "steps", "state"],
+            )
+
+    return run
 
 
 def fit(
@@ -211,12 +261,15 @@ def fit(
     text: str = "text",
     label: str = "quality",
     per_class: int = SAMPLE_PER_CLASS,
-    per_text: int = SAMPLE_CHUNKS,
+    parts: int = PARTS,
+    rounds: int = ROUNDS,
 ) -> Network | None:
     """A network learnt from at most ``per_class`` rows of each label, those of the smallest hashes.
 
-    The driver gets ``2 * per_class * per_text`` chunks at most, of CHUNK + WIDTH bytes each.
-    Both classes weigh the same in the loss.  Without rows of both labels there is no network.
+    The rows' whole texts are written to the checkpoint folder in ``parts`` parts and read again by
+    each round; the driver gets a part's weights and their moments, some 60 kB.  Every text counts
+    alike, whatever its length, and both classes weigh the same in the loss.  Without rows of both
+    labels there is no network.
     """
     marks = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("label"))
     marks = marks.filter("_id is not null and label in (0, 1)").dropDuplicates(["_id"])
@@ -227,15 +280,20 @@ def fit(
     own = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = own.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
     # Rows that repeat an id would let the sample grow, so each id gives one text.
-    rows = rows.groupBy("_id", "label").agg(F.min("text").alias("text")).orderBy("_id").select("label", "text")
-    found = _sample_chunks(rows, per_text).toArrow()
-    marks_of = found.column("label").to_numpy()
-    if len(set(marks_of.tolist())) < 2:
+    rows = rows.groupBy("_id", "label").agg(F.min("text").alias("text"))
+    rows = cut(rows.repartition(parts, F.xxhash64("_id")).sortWithinPartitions(F.xxhash64("_id"), "_id").select("label", "text"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    raw = b"".join(found.column("chunk").to_pylist())
-    chunks = np.frombuffer(raw, dtype=np.uint8).reshape(-1, CHUNK + WIDTH)
-    share = np.bincount(marks_of, minlength=2) / len(marks_of)
-    return train(chunks, marks_of.astype(np.float32), (0.5 / share[marks_of]).astype(np.float32))
+    shares = (counts[0] / sum(counts.values()), counts[1] / sum(counts.values()))
+    learner = new_learner()
+    for i in range(rounds):
+        run = _round(learner.flat(), learner.steps, shares, SEED + i)
+        found = sorted((bytes(r["state"]), r["rows"], r["steps"]) for r in rows.mapInArrow(run, "rows long, steps long, state binary").collect())
+        states = np.array([np.frombuffer(state) for state, _, _ in found])
+        learner.set(np.average(states, axis=0, weights=[n for _, n, _ in found]))
+        learner.steps = max(steps for _, _, steps in found)
+    return learner.net
 
 
 def score_texts(docs: DataFrame, net: Network | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -36,6 +36,41 @@ def test_batched_scores_equal_plain_ones(monkeypatch):
     assert np.allclose(scores(net, texts), want, atol=1e-5)
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(4)
+    texts = [b"", b"short", rng.bytes(CHUNK + 300), rng.bytes(3000)]
+    labels, weights = np.array([0, 1, 1, 0.0]), np.array([1, 1, 0.5, 2.0])
+    net = new_network(9)
+    for w in net.weights():
+        w += 0.01 * rng.standard_normal(w.shape).astype(np.float32)
+
+    def loss():
+        p = scores(net, texts)
+        return -(weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).mean()
+
+    for w, g in zip(net.weights(), byte_cnn._gradients(net, texts, labels, weights), strict=True):
+        direction = g / (np.linalg.norm(g) + 1e-12)
+        kept = w.copy()
+        values = []
+        for sign in (1, -1):
+            w[...] = kept + sign * 2e-3 * direction
+            values.append(loss())
+        w[...] = kept
+        assert abs((values[0] - values[1]) / 4e-3 - np.linalg.norm(g)) < 0.03 * np.linalg.norm(g) + 1e-3
+
+
+def test_every_part_of_a_text_trains(spark):
+    """Texts that differ only far behind their beginnings, in one of many chunks, are told apart."""
+    rng = np.random.default_rng(3)
+    filler = [bytes(rng.integers(97, 103, 5000).astype(np.uint8)).decode() for _ in range(60)]
+    rows = [(i, t[:3111] + ("#%&#%&#%&" * 60 if i % 2 else "") + t[3111:]) for i, t in enumerate(filler)]
+    frame = helpers.docs(spark, rows)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    net = fit(frame, marks, parts=1, rounds=60)
+    got = {r["doc_id"]: r["score"] for r in score_texts(frame, net).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2))
+
+
 def test_chunks_cover_a_text():
     for n in [0, 1, BLOCK, CHUNK, CHUNK + 1, 5000, 12_345]:
         spans = chunk_spans(n)
