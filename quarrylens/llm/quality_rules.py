@@ -26,8 +26,10 @@ from quarrylens.llm.common import TOKENIZERS, append_columns, read_bytes
 BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SYMBOLS = b"#*$%&|<>"
-# A text of fewer tokens is judged by the base rules alone: its ratios are too noisy.
-LEAST_TOKENS = 64
+# A short text may owe this many tokens to one foreign run, such as a number or a key, of one code point a token;
+# its part of a text of FULL_TOKENS is inside the bands.
+FOREIGN_RUN = 32
+FULL_TOKENS = 256
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,22 @@ BANDS: Mapping[str, Mapping[str, Band]] = {
         "HIRAGANA": Band((0.2, 4.0), 0.9, 0.4),
         "HANGUL": Band((0.2, 4.0), 0.9, 0.4),
         "other": Band((0.1, 12.0), 1.0, 0.3),
-    }
+    },
+    # Made for English: other languages need more tokens, other scripts mostly bytes.
+    "byte_bpe_50k.tiktoken": {
+        "en": Band((1.95, 12.0), 0.1, 0.68),
+        "de": Band((1.8, 12.0), 0.1, 0.68),
+        "fr": Band((1.62, 12.0), 0.12, 0.68),
+        "es": Band((1.58, 12.0), 0.12, 0.68),
+        "LATIN": Band((1.0, 12.0), 0.3, 0.55),
+        "CYRILLIC": Band((0.4, 12.0), 0.6, 0.4),
+        "GREEK": Band((0.4, 12.0), 0.7, 0.4),
+        "ARABIC": Band((0.4, 12.0), 0.7, 0.4),
+        "CJK": Band((0.15, 4.0), 1.0, 0.3),
+        "HIRAGANA": Band((0.15, 4.0), 1.0, 0.3),
+        "HANGUL": Band((0.15, 4.0), 1.0, 0.3),
+        "other": Band((0.1, 12.0), 1.0, 0.25),
+    },
 }
 
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -154,11 +171,18 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum()) + 0.0
 
 
+def foreign_share(n_tokens: int) -> float:
+    """The part of a text of so many tokens that one foreign run may be, beyond what the bands hold."""
+    return min(1.0, FOREIGN_RUN * max(0.0, 1 / n_tokens - 1 / FULL_TOKENS))
+
+
 def accepts(band: Band, n_tokens: int, chars: float, byte_share: float, bits: float) -> bool:
-    if n_tokens < LEAST_TOKENS:
-        return True
+    """Whether the measures of a text of any length lie inside the band, which is wider for short texts."""
     low, high = band.chars
-    return low <= chars <= high and byte_share <= band.byte_share and bits >= band.spread * math.log2(min(n_tokens, 256))
+    part = foreign_share(n_tokens)
+    low -= part * max(0.0, low - 1.0)
+    spread = (band.spread - 0.3 * part) * math.log2(min(n_tokens, FULL_TOKENS))
+    return low <= chars <= high * (1 + part) and byte_share <= band.byte_share + 0.2 * part and bits >= spread
 
 
 def quality_rules(

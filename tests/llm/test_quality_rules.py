@@ -1,5 +1,7 @@
 """Quality rules by tokeniser fertility."""
 
+import base64
+import math
 import random
 import re
 
@@ -7,7 +9,7 @@ import helpers
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import TOKENIZERS, read_bytes
-from quarrylens.llm.quality_rules import BANDS, base_counts, entropy, load_vocabulary, main_script, quality_rules
+from quarrylens.llm.quality_rules import BANDS, accepts, base_counts, entropy, foreign_share, load_vocabulary, main_script, quality_rules
 
 ODD = ["", " \n\t ", "one", "a\xa0b \x1c c", "x\n\nx\n x\nx", "a b c d e a b c d e", "a b c d e f a b c d e", "aaaa " * 30, "#1 *2 $% & | < >", "日本語 " * 5]
 
@@ -32,6 +34,52 @@ def test_base_counts():
         assert base_counts(text.encode())[1] == plain(text)
 
 
+def plain_verdict(text, lang):
+    """The measures and the verdict of the bands, token by token."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    joined, points = " ".join(words), sum(map(len, words))
+    kept, measures = True, []
+    for name, bands in BANDS.items():
+        ids = load_vocabulary(name, read_bytes(f"{TOKENIZERS}/{name}")).encoding.encode_ordinary(joined)
+        ranks = dict(line.split() for line in read_bytes(f"{TOKENIZERS}/{name}").splitlines())
+        lone = {int(ranks[k]) for k in ranks if len(base64.b64decode(k)) == 1 and base64.b64decode(k)[0] > 127}
+        shares = [ids.count(i) / len(ids) for i in set(ids)]
+        bits = -sum(x * math.log2(x) for x in shares)
+        band = bands.get(lang) or bands.get(main_script(joined)) or bands["other"]
+        part = min(1, max(0, 32 / len(ids) - 32 / 256))
+        low = band.chars[0] - part * max(0, band.chars[0] - 1)
+        chars, lones = points / len(ids), sum(i in lone for i in ids) / len(ids)
+        measures.append((len(ids), chars, lones, bits))
+        kept &= low <= chars <= band.chars[1] * (1 + part) and lones <= band.byte_share + 0.2 * part
+        kept &= bits >= (band.spread - 0.3 * part) * math.log2(min(len(ids), 256))
+    return kept, measures
+
+
+def test_bands_against_plain_measures(spark):
+    rng = random.Random(12)
+    junk = ["".join(chr(rng.randrange(0x1000, 0x109F)) for _ in range(5)) for _ in range(80)]
+    rows = [(i, helpers.prose(rng, 12 + 4 * i, vocabulary=rng.choice([8, 400])), rng.choice(["en", "de", None])) for i in range(25)]
+    rows += [(30 + i, " ".join(rng.sample(junk, 12 + i)), rng.choice(["en", "xx"])) for i in range(6)]
+    rows += [(40 + i, " ".join(f"{rng.getrandbits(64):x}#%" for _ in range(11 + 3 * i)), "en") for i in range(6)]
+    for r in quality_rules(helpers.docs(spark, rows)).collect():
+        kept, measures = plain_verdict(r["text"], r["lang"])
+        for got, want in zip(r["fertility"], measures, strict=True):
+            assert got["n_tokens"] == want[0]
+            found = (got["chars_per_token"], got["byte_share"], got["token_entropy"])
+            assert all(abs(a - b) < 1e-9 for a, b in zip(found, want[1:], strict=True))
+        assert r["kept"] == (kept and not r["base_failed"])
+
+
+def test_short_texts_have_a_verdict():
+    band = BANDS["byte_bpe_multi_50k.tiktoken"]["en"]
+    for n in (10, 20, 40, 63, 64, 100, 255, 256, 1000):
+        assert accepts(band, n, 4.0, 0.0, 0.95 * math.log2(min(n, 256)))
+        assert not accepts(band, n, 0.6, 0.0, 0.95 * math.log2(min(n, 256)))
+        assert not accepts(band, n, 4.0, 0.9, 0.95 * math.log2(min(n, 256)))
+        assert not accepts(band, n, 4.0, 0.0, 0.1)
+    assert foreign_share(256) == 0 and foreign_share(57) < foreign_share(40) <= 1
+
+
 def test_verdicts(spark):
     rng = random.Random(6)
     rows = [(i, t, "en") for i, t in enumerate(ODD)] + [(50, None, "en"), (50, None, "en")]
@@ -56,7 +104,7 @@ def test_verdicts(spark):
 
 
 def test_measures():
-    (name,) = BANDS
+    name = next(iter(BANDS))
     model = load_vocabulary(name, read_bytes(f"{TOKENIZERS}/{name}"))
     ids = model.encode("This is plain text.")
     assert not model.is_byte[ids].any()
