@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylens.operators.lineage import ensure_checkpoint_dir
+
 TOKENIZERS = "/opt/tokenizers"
 WHITE = "\t\n\x0b\x0c\r "  # the class [\x20\x09-\x0D]
 BROADCAST_BYTES = 4 << 20
@@ -73,6 +76,15 @@ def read_bytes(path: str) -> bytes:
         return handle.read()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint folder, smaller there than its rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(written: DataFrame) -> DataFrame:
     """``written`` (already on storage) marked for broadcast when its measured size is small.
 

@@ -6,12 +6,14 @@ length, the sentences of lines, whose runs of enough words are repeats, and wind
 ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
 sentence, and a short sentence that many documents share inside longer lines stays.
 
-The first reading of the texts counts one hash per unit, and sets the repeated ones
-in a filter of fixed size; later ones write only the units that pass it, which their whole
-digests then compare.  Windows are not written for every word either.  Each has an anchor, the run
-of ``ANCHOR_WORDS`` words in it with the least hash; equal windows have equal anchors, so only
-windows whose anchor passes the filter are written, and no repeated window is missed.  A
-document that is a copy as a whole holds no earliest window, and writes none.
+The first reading of the texts counts one 64-bit hash per unit and finds the least rank of its
+documents.  The repeated hashes go into a filter of fixed size; the second reading writes only the
+units that pass it, once, and joins them with their first places.  Windows are not written for
+every word either.  Each has an anchor, the run of ``ANCHOR_WORDS`` words in it with the least hash;
+equal windows have equal anchors, so only windows whose anchor passes the filter matter, and no
+repeated window is missed.  The windows of one anchor follow each other and are one row, a pack; equal
+packs are compared as one, and single windows only where an anchor has several different packs.
+A document that is a copy as a whole is one repeat and holds no earliest unit.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quarrylens.llm.common import append_columns
+from quarrylens.llm.common import append_columns, written
 from quarrylens.operators.lineage import cut
 
 PASSAGE_WORDS = 25
@@ -41,13 +43,15 @@ UNITS = {
 LAST_ID = 2**63 - 1
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 40
-# Kinds of units in the rows of ``find_units``; units of different kinds never match.
+# Kinds of units; units of different kinds never match.
 RUN, WHOLE, ANCHOR, WINDOW = range(4)
 KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x27BB2EE687B0B0FD], dtype=np.int64)
 # Bits of the filters that the tasks get; with more keys a filter lets more pass, and nothing else changes.
 FILTER_BITS = 1 << 26
 BITMAP_BITS = 1 << 15
 BLOCK_CODES = 1 << 20
+# What a document adds to the count of its hash, beside one for the unit.
+DOCUMENT = 1 << 40
 POSITION = np.uint64(2**28 - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
@@ -194,13 +198,19 @@ def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.nda
     return columns, digests ^ KIND_KEYS[columns[:, 0]][:, None]
 
 
-def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and digests, as of ``_all_units``, of the windows that have one of these anchors."""
+def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that have one of these anchors, as the anchors' packs.
+
+    Gives the packs' bounds in the list of windows, their anchors' hashes, and the windows' positions and hashes.
+    """
     known = np.zeros(len(words.starts) + 1, dtype=bool)
     known[anchors] = True
-    at = np.flatnonzero(known[words.anchors(window)])
-    rows = np.column_stack([np.full(len(at), WINDOW), at, at, words.starts[at], words.ends[at + window - 1], np.full(len(at), window)])
-    return rows, words.digests(at, at + window) ^ KIND_KEYS[WINDOW]
+    anchor = words.anchors(window)
+    at = np.flatnonzero(known[anchor])
+    anchor = anchor[at]
+    begins = np.flatnonzero(np.diff(anchor, prepend=-1))
+    heads = words.digests(anchor[begins], anchor[begins] + min(ANCHOR_WORDS, window))[:, 0] ^ KIND_KEYS[WINDOW]
+    return np.append(begins, len(at)), heads, at, words.digests(at, at + window)[:, 1]
 
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
@@ -209,10 +219,9 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
     return [(mixed & np.uint64(FILTER_BITS - 1)).astype(np.int64), (mixed >> np.uint64(38)).astype(np.int64) % FILTER_BITS]
 
 
-def _owner_keys(h: np.ndarray, rank: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """A key of a unit in one document."""
-    mixed = _mixed(rank.astype(np.int64).view(np.uint64)) ^ _mixed(part.astype(np.int64).view(np.uint64) + np.uint64(1))
-    return (_mixed(mixed) ^ h.astype(np.int64).view(np.uint64)).view(np.int64)
+def _owner_keys(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A key of a unit in the documents of one rank."""
+    return (_mixed(_mixed(rank.astype(np.int64).view(np.uint64))) ^ h.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -242,107 +251,156 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """(h, first): the hashes of units that occur more than once; of whole documents also the first one."""
+    """(h, n, rank): the hashes of units that occur more than once, and of all whole documents.
+
+    ``n`` counts the units, and ``DOCUMENT`` more for each document; ``rank`` is the least one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            hashes, owners, size = [], [], 0
-
-            def flush(hashes: list, owners: list) -> pa.RecordBatch:
-                h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *hashes]), return_counts=True)
-                whole = np.array(owners, dtype=np.int64).reshape(-1, 3)
-                none = pa.nulls(len(h), pa.int64())
-                columns = [
-                    np.concatenate([h, whole[:, 0]]),
-                    np.concatenate([n, np.ones(len(whole), dtype=np.int64)]),
-                    pa.concat_arrays([none, pa.array(whole[:, 1])]),
-                    pa.concat_arrays([none, pa.array(whole[:, 2])]),
-                ]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "n", "rank", "part"])
 
+        def flush(found: list) -> pa.RecordBatch:
+            # In order of rank, so that the first place of a hash has its least rank.
+            found.sort(key=lambda x: x[0])
+            ranks = np.repeat(np.array([x[0] for x in found], dtype=np.int64), [len(x[1]) for x in found])
+            hashes = np.concatenate([np.zeros(0, dtype=np.int64), *[x[1] for x in found]])
+            h, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            whole = np.array([x[2] for x in found if len(x[1])], dtype=np.int64)
+            np.add.at(n, np.searchsorted(h, whole), DOCUMENT)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(ranks[at])], names=["h", "n", "rank"])
+
+        for batch in batches:
+            found, size = [], 0
             for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, digests = _all_units(words, value or "", window)
                 if not len(rows):
                     continue
-                document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
-                owners.append((int(digests[document][0, 0]), rank, _part(value)))
-                hashes.append(digests[~document, 0])
-                size += len(rows)
-                if size > 100_000:
-                    yield flush(hashes, owners)
-                    hashes, owners, size = [], [], 0
-            yield flush(hashes, owners)
+                document = np.flatnonzero((rows[:, 0] == WHOLE) & (rows[:, 1] == 0))[0]
+                found.append((rank, digests[:, 0].copy(), digests[document, 0]))
+                size += len(digests)
+                if size > 200_000:
+                    yield flush(found)
+                    found, size = [], 0
+            yield flush(found)
 
-    found = docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, "h bigint, n bigint, rank bigint, part bigint")
-    first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "part")))
-    return found.groupBy("h").agg(F.sum("n").alias("n"), first.alias("first")).filter("n > 1").select("h", "first")
+    found = docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, "h bigint, n bigint, rank bigint")
+    return found.groupBy("h").agg(F.sum("n").alias("n"), F.min("rank").alias("rank")).filter(f"n % {DOCUMENT} > 1 OR n >= {DOCUMENT}")
 
 
-UNIT_ROWS = "kind int, rank bigint, part bigint, pos int, word int, start int, end int, words int, h1 bigint, h2 bigint"
+PACKED_ROWS = (
+    "kind int, rank bigint, part bigint, pos int, word int, words int, start int, end int, again boolean, "
+    "h1 bigint, h2 bigint, hashes array<bigint>, starts array<int>, ends array<int>"
+)
 
 
-def find_units(
+def _passing_units(
     docs: DataFrame,
     doc_id: str,
     text: str,
-    unit: str | None,
-    window: int = WINDOW_WORDS,
-    filters: tuple[np.ndarray, np.ndarray] | None = None,
+    window: int,
+    repeated: np.ndarray,
+    documents: np.ndarray,
+    shared: np.ndarray,
 ) -> DataFrame:
-    """(kind, rank, part, pos, word, start, end, words, h1, h2): a row for each unit of each document.
+    """The units that may be repeated: sentences, wholes, and packs of windows with their hashes and offsets.
 
-    ``rank`` is the id, the last possible one where it is null; ``part`` tells texts apart that
-    come under one id.  Without ``unit`` there are all kinds of units that pass the ``filters``:
-    one of repeated hashes, one of the first documents among equal ones.
+    The filters hold the repeated hashes, the first documents among equal ones, and the ranks of several rows.
+    ``part`` tells the texts of such a rank apart and is 0 elsewhere; ``again`` marks a unit that an
+    equal one precedes in its document.
     """
-
-    def passing(words: Words, value: str, rank: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-        repeated, firsts = filters
+    names = [x.split()[0] for x in PACKED_ROWS.split(", ")]
+
+    def lists(values: list[np.ndarray], sizes: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))])
+        flat = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *values])).cast(kind)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+
+    def flush(columns: list[np.ndarray], sizes: list, values: list) -> pa.RecordBatch:
+        rows = np.vstack([np.zeros((0, 11), dtype=np.int64), *columns])
+        wide = {1: pa.int64(), 2: pa.int64(), 8: pa.bool_(), 9: pa.int64(), 10: pa.int64()}
+        arrays = [pa.array(rows[:, i]).cast(wide.get(i, pa.int32())) for i in range(11)]
+        for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32())):
+            arrays.append(lists([v[i] for v in values], sizes, kind))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def units(words: Words, value: str, rank: int, part: int) -> tuple[list, list, list]:
         rows, digests = _all_units(words, value, window)
-        known = _passes(repeated, digests[:, 0])
+        if not len(rows):
+            return [], [], []
+        document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
+        # All first documents are in their filter, so one that is not there is a copy.
+        copy = not _passes(documents, _owner_keys(digests[document, 0], np.array([rank])))[0]
+        known = document.copy() if copy else _passes(repeated, digests[:, 0])
         rows, digests = rows[known], digests[known]
-        document = np.flatnonzero((rows[:, 0] == WHOLE) & (rows[:, 1] == 0))
-        anchors = rows[:, 0] == ANCHOR
-        kept = [(rows[~anchors], digests[~anchors])]
-        copy = len(document) and not _passes(firsts, _owner_keys(digests[document, 0], np.array([rank]), np.array([part])))[0]
-        if anchors.any() and not copy:
-            kept.append(_windows(words, rows[anchors, 1], window))
-        return np.vstack([k[0] for k in kept]), np.vstack([k[1] for k in kept])
-
-    names = [x.split()[0] for x in UNIT_ROWS.split(", ")]
-
-    def flush(columns: list[np.ndarray], digests: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.vstack([np.zeros((0, 8), dtype=np.int64), *columns])
-        halves = np.vstack([np.zeros((0, 2), dtype=np.int64), *digests])
-        arrays = [pa.array(rows[:, i] if i in (1, 2) else rows[:, i].astype(np.int32)) for i in range(8)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
-
-    def one_kind(value: str) -> tuple[np.ndarray, np.ndarray]:
-        found = list(units_of(value, UNITS[unit]))
-        columns = np.zeros((len(found), 6), dtype=np.int64)
-        columns[:, 1] = np.arange(len(found))
-        columns[:, 3:] = np.array([x[:3] for x in found], dtype=np.int64).reshape(-1, 3)
-        return columns, np.frombuffer(b"".join(x[3] for x in found), dtype="<i8").reshape(-1, 2)
+        plain = rows[:, 0] != ANCHOR
+        anchors, rows, digests = rows[~plain, 1], rows[plain], digests[plain]
+        again = np.ones(len(rows), dtype=np.int64)
+        again[np.unique(digests[:, 0], return_index=True)[1]] = 0
+        out = np.empty((len(rows), 11), dtype=np.int64)
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3:5] = rows[:, 0], rank, part, rows[:, 1:3]
+        out[:, 5], out[:, 6:8], out[:, 8], out[:, 9:11] = rows[:, 5], rows[:, 3:5], again, digests
+        columns, sizes, values = [out], [np.zeros(len(out), dtype=np.int64)], []
+        if len(anchors):
+            bounds, heads, at, hashes = _windows(words, anchors, window)
+            if len(heads):
+                starts, ends = words.starts[at], words.ends[at + window - 1]
+                first, last = bounds[:-1], bounds[1:] - 1
+                packs = np.empty((len(heads), 11), dtype=np.int64)
+                packs[:, 0], packs[:, 1], packs[:, 2], packs[:, 3], packs[:, 4] = WINDOW, rank, part, at[first], at[first]
+                packs[:, 5], packs[:, 6], packs[:, 7], packs[:, 8], packs[:, 9] = window, starts[first], ends[last], 0, heads
+                # The digest of a pack's list: a sum of its hashes, each mixed with its place.
+                place = (np.arange(len(at)) - np.repeat(first, np.diff(bounds)) + 1).astype(np.uint64)
+                mixed = _mixed(hashes.view(np.uint64) ^ _mixed(place))
+                packs[:, 10] = np.add.reduceat(mixed, first).view(np.int64)
+                columns.append(packs)
+                sizes.append(np.diff(bounds))
+                values.append((hashes, starts, ends))
+        return columns, sizes, values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            columns, digests, size = [], [], 0
+            found, size = ([], [], []), 0
             for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not value:
                     continue
-                part = _part(value)
-                rows, halves = passing(words, value, rank, part) if unit is None else one_kind(value)
-                key = np.empty((len(rows), 2), dtype=np.int64)
-                key[:] = rank, part
-                columns.append(np.hstack([rows[:, :1], key, rows[:, 1:]]))
-                digests.append(halves)
-                size += len(rows)
-                if size > 100_000:
-                    yield flush(columns, digests)
-                    columns, digests, size = [], [], 0
-            yield flush(columns, digests)
+                part = (_part(value) or 1) if _passes(shared, np.array([rank]))[0] else 0
+                for kept, new in zip(found, units(words, value, rank, part), strict=True):
+                    kept.extend(new)
+                size = sum(len(x) for x in found[0]) if len(found[0]) % 64 == 0 else size
+                if size > 100_000 or sum(len(v[0]) for v in found[2][-2:]) > 200_000:
+                    yield flush(*found)
+                    found, size = ([], [], []), 0
+            yield flush(*found)
+
+    return docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, PACKED_ROWS)
+
+
+UNIT_ROWS = "rank bigint, part bigint, pos int, start int, end int, words int, h1 bigint, h2 bigint"
+UNIT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def find_units(docs: DataFrame, doc_id: str, text: str, unit: str) -> DataFrame:
+    """(rank, part, pos, start, end, words, h1, h2): a row for each unit of each document.
+
+    ``rank`` is the id, the last possible one where it is null; ``part`` tells texts apart that
+    come under one id.
+    """
+    names = [x.split()[0] for x in UNIT_ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[] for _ in names]
+            for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = _part(value or "")
+                for pos, (start, end, words, digest) in enumerate(units_of(value or "", UNITS[unit])):
+                    halves = np.frombuffer(digest, dtype="<i8").tolist()
+                    for column, x in zip(columns, (rank, part, pos, start, end, words, *halves), strict=True):
+                        column.append(x)
+                    if len(columns[0]) >= 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, UNIT_TYPES, strict=True)], names=names)
+                        columns = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, UNIT_TYPES, strict=True)], names=names)
 
     return docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, UNIT_ROWS)
 
@@ -382,44 +440,20 @@ def repeated_passages(
     An empty table has no passages.
     """
     if unit is None:
-        repeated = cut(_counted(docs, doc_id, text, window))
-        whole = repeated.filter(F.col("first").isNotNull()).select("h", "first.rank", "first.part")
-
-        def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = _owner_keys(*[c.to_numpy() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
-
-        filters = _filter_of(repeated.select("h")), _filter_of(whole.mapInArrow(owners, "key bigint"))
-        # Read twice more: cutting texts into units again is cheaper than writing the units.
-        units = find_units(docs, doc_id, text, None, window, filters)
+        passages = _all_passages(docs, doc_id, text, min_words, window)
     else:
-        units = find_units(docs, doc_id, text, unit)
-    own = (F.col("rank") == F.col("first.rank")) & (F.col("part") == F.col("first.part"))
-    # A window that overlaps its own earliest occurrence is none: the kept words would go too.
-    apart = (F.col("kind") != WINDOW) | ~own | (F.col("pos") - F.col("first.pos") >= window)
-    found = _repeats_of(units).filter(apart)
-    found = found.select("kind", "rank", "part", "pos", "word", "start", "end", "words", F.col("first.rank").alias("kept"))
-    if unit is None:
-        found = cut(found)
-    rows = found.filter(F.col("kind") == RUN).repartition("rank", "part").dropDuplicates(["rank", "part", "pos"])
-    in_order = W.partitionBy("rank", "part").orderBy("pos")
-    runs = rows.withColumn("_run", F.col("pos") - F.row_number().over(in_order))
-    passages = runs.groupBy("rank", "part", "_run").agg(
-        F.min("word").alias("word"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_units"),
-        F.min_by("kept", "pos").alias("kept"),
-    )
-    passages = passages.filter(F.col("n_words") >= min_words)
-    if unit is None:
-        passages = _joined(
-            passages.withColumnRenamed("n_words", "words").drop("_run"),
-            found.filter(F.col("kind") == WHOLE),
-            found.filter(F.col("kind") == WINDOW),
+        found = _repeats_of(find_units(docs, doc_id, text, unit))
+        rows = found.repartition("rank", "part").dropDuplicates(["rank", "part", "pos"])
+        in_order = W.partitionBy("rank", "part").orderBy("pos")
+        runs = rows.withColumn("_run", F.col("pos") - F.row_number().over(in_order))
+        passages = runs.groupBy("rank", "part", "_run").agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("words").alias("n_words"),
+            F.count(F.lit(1)).alias("n_units"),
+            F.min_by("first.rank", "pos").alias("kept"),
         )
+        passages = passages.filter(F.col("n_words") >= min_words)
     return passages.select(
         F.nullif("rank", F.lit(LAST_ID)).alias("doc_id"),
         "part",
@@ -431,20 +465,129 @@ def repeated_passages(
     )
 
 
-def _joined(runs: DataFrame, wholes: DataFrame, windows: DataFrame) -> DataFrame:
-    """The passages of repeats that touch or overlap, by the positions of their words."""
-    names = ["rank", "part", "word", "start", "end", "words", "n_units", "kept"]
-    single = F.lit(1).cast("bigint").alias("n_units")
-    alone = [x.select(*names[:6], single, "kept").dropDuplicates(["rank", "part", "word", "words"]) for x in (wholes, windows)]
-    rows = runs.select(*names).unionByName(alone[0]).unionByName(alone[1]).repartition("rank", "part")
-    in_order = W.partitionBy("rank", "part").orderBy("word", "words")
-    before = F.max(F.col("word") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+def _all_passages(docs: DataFrame, doc_id: str, text: str, min_words: int, window: int) -> DataFrame:
+    """(rank, part, start, end, n_words, n_units, kept) of the passages of all kinds of units."""
+
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _owner_keys(*[c.to_numpy() for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+    counted = written(_counted(docs, doc_id, text, window))
+    repeated = counted.filter(f"n % {DOCUMENT} > 1").select("h", "rank")
+    documents = counted.filter(f"n >= {DOCUMENT}").select("h", "rank").mapInArrow(owners, "key bigint")
+    shared = docs.select(_rank(doc_id).alias("key")).groupBy("key").count().filter("count > 1").select("key")
+    filters = _filter_of(repeated.select("h")), _filter_of(documents), _filter_of(shared)
+    units = written(_passing_units(docs, doc_id, text, window, *filters))
+    rows = _single_repeats(units.filter(F.col("kind") != WINDOW), repeated)
+    rows = rows.unionByName(_window_repeats(units.filter(F.col("kind") == WINDOW), window))
+    return _joined(rows, min_words)
+
+
+def _single_repeats(units: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The sentences and wholes that are not the first of their hash."""
+    # Among several texts of the first rank, the one of the least part is first.
+    tied = units.filter("part <> 0 AND NOT again").select("h1", "rank", "part").join(
+        repeated.withColumnRenamed("h", "h1"), ["h1", "rank"]
+    )
+    tied = tied.groupBy("h1").agg(F.min("part").alias("first_part"))
+    first = repeated.select(F.col("h").alias("h1"), F.col("rank").alias("kept")).join(tied, "h1", "left")
+    first = written(first.withColumn("first_part", F.coalesce("first_part", F.lit(0))))
+    later = (F.col("rank") != F.col("kept")) | (F.col("part") != F.col("first_part")) | F.col("again")
+    # Numbers that do not compress stay out of the exchange.
+    singles = units.select("kind", "rank", "part", "pos", "word", "words", "start", "end", "again", "h1")
+    found = singles.join(first, "h1").filter(later)
+    return found.select(
+        "kind",
+        "rank",
+        "part",
+        "pos",
+        "word",
+        "words",
+        (F.col("word") + F.col("words")).alias("until"),
+        "start",
+        "end",
+        F.lit(1).alias("n_units"),
+        "kept",
+    )
+
+
+def _window_repeats(packs: DataFrame, window: int) -> DataFrame:
+    """The windows that occur earlier, those that follow each other in a pack as one row."""
+    lists = packs.groupBy("h1", "h2").agg(
+        F.min(F.struct("rank", "part", "pos")).alias("first"),
+        F.first("hashes").alias("hashes"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    lists = written(lists)
+    several = lists.groupBy("h1").count().filter("count > 1").select("h1")
+    mixed = lists.join(several, "h1", "left_semi").select("h1", "h2", "first", "n", F.posexplode("hashes").alias("i", "hash"))
+    place = F.struct("first.rank", "first.part", (F.col("first.pos") + F.col("i")).alias("pos"))
+    first = mixed.groupBy("h1", "hash").agg(F.min(place).alias("place"), F.sum("n").alias("n")).filter("n > 1")
+    # Written before the join, so that both of its sides are plain exchanges that skew can split.
+    each = mixed.select("h1", "h2", "i", "hash").join(written(first.select("h1", "hash", "place")), ["h1", "hash"])
+    each = each.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("i", "place.*"))).alias("firsts"))
+    alone = lists.filter("n > 1").join(several, "h1", "left_anti")
+    known = alone.select("h1", "h2", "first", F.lit(None).cast(each.schema["firsts"].dataType).alias("firsts"))
+    known = known.unionByName(each.withColumn("first", F.lit(None).cast(lists.schema["first"].dataType)))
+    known = written(known)
+
+    def apart(first: Column, pos: Column) -> Column:
+        """A window that overlaps its own earliest occurrence is no repeat: the kept words would go too."""
+        own = (F.col("rank") == first["rank"]) & (F.col("part") == first["part"])
+        return ~own | (pos - first["pos"] >= window)
+
+    found = packs.select("rank", "part", "pos", "h1", "h2", "starts", "ends").join(known, ["h1", "h2"])
+    found = found.withColumn("hits", F.filter("firsts", lambda x: apart(x, F.col("pos") + x["i"])))
+    hits = F.col("hits")
+    begins = F.filter(hits, lambda x, k: (k == 0) | (F.get(hits, k - 1)["i"] != x["i"] - 1))
+    ends = F.filter(hits, lambda x, k: (k == F.size(hits) - 1) | (F.get(hits, k + 1)["i"] != x["i"] + 1))
+    spans = F.zip_with(begins, ends, lambda a, b: F.struct(a["i"].alias("a"), b["i"].alias("b"), a["rank"].alias("kept")))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.size("starts") - 1).alias("b"), F.col("first.rank").alias("kept")))
+    spans = F.when(F.col("firsts").isNotNull(), spans).when(apart(F.col("first"), F.col("pos")), whole)
+    found = found.select("rank", "part", "pos", "starts", "ends", F.explode(spans).alias("span"))
+    return found.select(
+        F.lit(WINDOW).alias("kind"),
+        "rank",
+        "part",
+        (F.col("pos") + F.col("span.a")).alias("pos"),
+        (F.col("pos") + F.col("span.a")).alias("word"),
+        F.lit(window).alias("words"),
+        (F.col("pos") + F.col("span.b") + window).alias("until"),
+        F.get("starts", F.col("span.a")).alias("start"),
+        F.get("ends", F.col("span.b")).alias("end"),
+        (F.col("span.b") - F.col("span.a") + 1).alias("n_units"),
+        F.col("span.kept").alias("kept"),
+    )
+
+
+def _joined(rows: DataFrame, min_words: int) -> DataFrame:
+    """The passages of repeats that touch or overlap, by the positions of their words, in one exchange."""
+    key = ["rank", "part"]
+    rows = rows.repartition(*key).dropDuplicates([*key, "kind", "pos"])
+    by_kind = W.partitionBy(*key, "kind").orderBy("pos")
+    run = F.when(F.col("kind") == RUN, F.col("pos") - F.row_number().over(by_kind)).otherwise(F.col("pos"))
+    units = rows.withColumn("_run", run).groupBy(*key, "kind", "_run").agg(
+        F.min("word").alias("word"),
+        F.sum("words").alias("words"),
+        F.max("until").alias("until"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum("n_units").alias("n_units"),
+        F.min_by("kept", "pos").alias("kept"),
+    )
+    units = units.filter((F.col("kind") != RUN) | (F.col("words") >= min_words))
+    units = units.withColumn("until", F.when(F.col("kind") == RUN, F.col("word") + F.col("words")).otherwise(F.col("until")))
+    in_order = W.partitionBy(*key).orderBy("word", "words")
+    before = F.max("until").over(in_order.rowsBetween(W.unboundedPreceding, -1))
     begins = F.coalesce(F.col("word") > before, F.lit(True)).cast("int")
-    numbered = rows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("rank", "part", "_run").agg(
+    numbered = units.withColumn("_begins", begins).withColumn(
+        "_passage", F.sum("_begins").over(in_order.rowsBetween(W.unboundedPreceding, 0))
+    )
+    return numbered.groupBy(*key, "_passage").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("bigint").alias("n_words"),
+        (F.max("until") - F.min("word")).cast("bigint").alias("n_words"),
         F.sum("n_units").alias("n_units"),
         F.min_by("kept", F.struct("word", "words")).alias("kept"),
     )
@@ -470,7 +613,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id"
 
     keyed = append_columns(docs, [text], T.StructType([T.StructField("_own_part", T.LongType())]), part_of)
     keyed = keyed.withColumn("_own_rank", F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST_ID)))
-    on = (F.col("_own_rank") == F.col("_rank")) & (F.col("_own_part") == F.col("_part"))
+    # A part of 0 stands for the only text of its id.
+    on = (F.col("_own_rank") == F.col("_rank")) & (F.col("_part").isin(0) | (F.col("_own_part") == F.col("_part")))
     joined = keyed.join(by_doc, on, "left").drop("_rank", "_part", "_own_rank", "_own_part")
 
     def make():
