@@ -135,6 +135,7 @@ class Words:
             # A word with white space in its compatibility form stays one word.
             found = _codes(" ".join("\0".join(normalised(x)) or "\0" for x in text.split()))
         self.sums = self._sums(self._word_digests(*found))
+        self._anchors: tuple[int, np.ndarray] | None = None
 
     def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The digests of the runs of words from ``first`` up to before ``last``, a row of two halves each."""
@@ -147,6 +148,11 @@ class Words:
 
     def anchors(self, window: int) -> np.ndarray:
         """For each window of words the position of its anchor: the first of its runs with the least hash."""
+        if self._anchors is None or self._anchors[0] != window:
+            self._anchors = window, self._find_anchors(window)
+        return self._anchors[1]
+
+    def _find_anchors(self, window: int) -> np.ndarray:
         length = min(ANCHOR_WORDS, window)
         size = max(len(self.starts) - length + 1, 0)
         least = _mixed((self.sums[0, length : length + size] - self.sums[0, :size]) * self.inverses[0, :size])
@@ -361,14 +367,15 @@ def _passing_units(
         words = Words()
         for batch in batches:
             found, size = ([], [], []), 0
-            for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tied = _passes(shared, batch.column(0).to_numpy()).tolist()
+            for rank, value, several in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tied, strict=True):
                 if not value:
                     continue
-                part = (_part(value) or 1) if _passes(shared, np.array([rank]))[0] else 0
-                for kept, new in zip(found, units(words, value, rank, part), strict=True):
-                    kept.extend(new)
-                size = sum(len(x) for x in found[0]) if len(found[0]) % 64 == 0 else size
-                if size > 100_000 or sum(len(v[0]) for v in found[2][-2:]) > 200_000:
+                new = units(words, value, rank, (_part(value) or 1) if several else 0)
+                for kept, more in zip(found, new, strict=True):
+                    kept.extend(more)
+                size += sum(map(len, new[0])) + sum(len(v[0]) for v in new[2])
+                if size > 100_000:
                     yield flush(*found)
                     found, size = ([], [], []), 0
             yield flush(*found)
