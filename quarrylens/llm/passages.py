@@ -1,7 +1,7 @@
 """Substring dedup: repeated passages, lines and sentences removed, the earliest occurrence kept.
 
-The normalised units' 128-bit digests are grouped over all documents, and every occurrence but
-the earliest ranked one is a repeat.  Units are whole lines, paragraphs and documents of any
+The normalised units' digests (64 bits; windows 64 and 64 of their anchor; 128 bits with a ``unit``) are
+grouped over all documents, and every occurrence but the earliest ranked one is a repeat.  Units are whole lines, paragraphs and documents of any
 length, the sentences of lines, whose runs of enough words are repeats, and windows of
 ``WINDOW_WORDS`` words at every word.  So a passage is found wherever its ends stand in a
 sentence, and a short sentence that many documents share inside longer lines stays.
@@ -444,6 +444,7 @@ def repeated_passages(
 
     Nulls: null and empty texts have no units.  Rows that repeat an id and a text are one
     document; other texts under the same id are documents of their own, ordered by a hash.
+    That hash is ``part``; without a ``unit`` it is 0 where the id has one row only.
     An empty table has no passages.
     """
     if unit is None:
