@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quarrylens.functions import blobs
 from quarrylens.functions import payload as p
+from quarrylens.operators.large_join import shuffle_join
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import top_per_group
 
@@ -400,7 +401,7 @@ def blob_candidates(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("blobIndex", F.row_number().over(inside_document) - 1)
         .drop("_rn")
     )
-    return found.join(numbered, [*keys, "loc", "pos"]).withColumnRenamed("loc", "path").drop("pos")
+    return shuffle_join(found, numbered, [*keys, "loc", "pos"]).withColumnRenamed("loc", "path").drop("pos")
 
 
 def _raw_bytes() -> Column:
@@ -487,7 +488,7 @@ def request_bodies(events: DataFrame, requests: DataFrame) -> DataFrame:
     media = F.when(
         F.col("mediaType") == "application/octet-stream", F.coalesce("mimeType", "mediaType")
     ).otherwise(F.col("mediaType"))
-    return found.join(owner, ["trace_id", "requestId"], "left").select(
+    return shuffle_join(found, owner, ["trace_id", "requestId"], "left").select(
         "trace_id",
         F.concat(F.lit("request-body:"), both).alias("requestBodyId"),
         F.concat(F.lit("artifact:devtools:request-body:"), both).alias("artifactId"),
