@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import payload as p
+from quarrylens.operators.large_join import shuffle_join
 from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import ordinal_by_order, ordinal_by_unique
 from quarrylens.operators.range_join import interval_stats, overlap_join, range_join
@@ -44,7 +45,7 @@ def render_measures(events: DataFrame) -> DataFrame:
         (F.coalesce(F.col("dur"), F.lit(0)) / 1000).alias("durationMs"),
         p.v_id(args, "$.sampleTraceId", "$.traceId").alias("traceId"),
     )
-    joined = measures.join(begins, ["trace_id", "traceId"]).withColumn(
+    joined = shuffle_join(measures, begins, ["trace_id", "traceId"]).withColumn(
         "detail", F.try_parse_json("b.detailText")
     )
     detail = F.col("detail")
@@ -130,7 +131,7 @@ def frame_pipeline(events: DataFrame, screenshots: DataFrame) -> DataFrame:
         p.v_text(args, "$.frame_reporter.scroll_state").alias("scrollState"),
         numbers.alias("stageTimingsMs"),
     )
-    return rows.join(by_frame, ["trace_id", "frameSequence"], "left")
+    return shuffle_join(rows, by_frame, ["trace_id", "frameSequence"], "left")
 
 
 def code_hotspots(events: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -232,8 +233,8 @@ def interaction_windows(
     key = ["trace_id", "interactionId"]
     return (
         interactions.select(*key, "type", "durationMs")
-        .join(per_window, key, "left")
-        .join(navs, key, "left")
+        .join(per_window.hint("merge"), key, "left")
+        .join(navs.hint("merge"), key, "left")
         .fillna({name: 0 for name in names})
         .select(*key, "type", "durationMs", *names)
     )
