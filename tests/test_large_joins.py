@@ -23,7 +23,7 @@ def broadcasts(df):
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 @pytest.mark.parametrize(
     "name",
-    ["d09_request_bodies", "e03_interaction_renders"],
+    ["d09_request_bodies", "e03_interaction_renders", "e14_interaction_cpu_hotspots"],
 )
 def test_query_broadcasts_no_growing_side(spark, monkeypatch, name):
     monkeypatch.setattr(large_join, "FEW_ROWS", 0)
