@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import blobs, paths
+from quarrylens.operators.large_join import shuffle_join
 
 METADATA_LIMIT = 500
 
@@ -59,9 +60,7 @@ def screenshot_artifacts(screenshots: DataFrame) -> DataFrame:
 def script_artifacts(scripts: DataFrame, texts: DataFrame) -> DataFrame:
     """Source texts: the first one of each script."""
     c = F.col
-    with_text = scripts.filter(c("sourceTextArtifactId").isNotNull()).join(
-        texts, ["trace_id", "scriptId"]
-    )
+    with_text = shuffle_join(scripts.filter(c("sourceTextArtifactId").isNotNull()), texts, ["trace_id", "scriptId"])
     unnamed = F.concat(F.lit("script-"), c("scriptId"))
     return with_text.select(
         *_artifact(
@@ -236,7 +235,7 @@ def shorten(metadata: Column) -> Column:
 def manifest_items(items: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Collection items whose artifact exists, as the manifest lists them."""
     known = artifacts.select("trace_id", F.col("id").alias("artifactId"), "mediaType", "sizeBytes")
-    return items.join(known, ["trace_id", "artifactId"]).select(
+    return shuffle_join(items, known, ["trace_id", "artifactId"]).select(
         "trace_id",
         "relativePath",
         "artifactId",
