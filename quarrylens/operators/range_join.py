@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.operators.large_join import counted_join
+from quarrylens.operators.large_join import FEW_ROWS
 from quarrylens.operators.lineage import cut
 
 FANOUT = 16
@@ -76,7 +76,7 @@ def range_join(
     """Rows of ``points`` and ``intervals`` with equal keys and start <= ts <= end.
 
     Column names other than ``keys`` must differ.  ``left_open`` tests start < ts.
-    The intervals are broadcast where they were counted to be few, else both sides are shuffled.
+    Both sides are shuffled, as sizes are only guessed; intervals counted to be few are hashed, not sorted.
     """
     if stats is None:
         intervals, stats = measure(intervals, start, end)
@@ -96,7 +96,7 @@ def range_join(
     probes = probes.withColumn("_cell", _cell(F.col(ts), F.col("_level")))
     inside = (F.col(ts) > F.col(start)) if left_open else (F.col(ts) >= F.col(start))
     return (
-        counted_join(probes, spread, [*keys, "_level", "_cell"], stats.rows)
+        probes.join(spread.hint("shuffle_hash" if stats.rows <= FEW_ROWS else "merge"), [*keys, "_level", "_cell"])
         .filter(inside & (F.col(ts) <= F.col(end)))
         .drop("_level", "_cell")
     )
