@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,12 +53,25 @@ def bytes_of(numbers: Column) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unbase64_lenient(text: Column) -> Column:
+    clean = F.regexp_replace(F.replace(F.replace(text, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")), r"[^A-Za-z0-9+/]+", "")
+
+    def padded(clean: Column) -> Column:
+        size = F.length(clean)
+        whole = F.when(size % 4 == 1, F.left(clean, size - 1)).otherwise(clean)
+        return F.rpad(whole, (F.ceil((size - F.when(size % 4 == 1, 1).otherwise(0)) / 4) * 4).cast("int"), F.lit("="))
+
+    return F.unbase64(_once(clean, padded))
+
+
 def from_base64(text: Column) -> Column:
     """Lenient base64: characters outside the alphabet are skipped."""
-    clean = F.regexp_replace(F.translate(text, "-_", "+/"), r"[^A-Za-z0-9+/]", "")
-    whole = F.when(F.length(clean) % 4 == 1, F.left(clean, F.length(clean) - 1)).otherwise(clean)
-    padded = F.rpad(whole, F.ceil(F.length(whole) / 4).cast("int") * 4, F.lit("="))
-    return F.unbase64(F.when(is_base64(text), text).otherwise(padded))
+    return _once(text, lambda t: F.when(is_base64(t), F.unbase64(t)).otherwise(_unbase64_lenient(t)))
 
 
 @F.pandas_udf(T.BinaryType())

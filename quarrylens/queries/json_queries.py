@@ -719,7 +719,6 @@ def human_sizes(spark, sf_dir):
     """SELECT doc_id, sha256(text) AS hash, octet_length(encode(text)) AS bytes FROM documents""",
 )
 def decode_and_hash(spark, sf_dir):
-    data = blobs.from_base64(F.base64(F.encode("text", "UTF-8")))
-    return spread_table(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2(data, 256).alias("hash"), F.octet_length(data).cast("bigint").alias("bytes")
-    )
+    coded = F.base64(F.encode("text", "UTF-8"))
+    data = spread_table(spark, sf_dir, "documents").select("doc_id", blobs.from_base64(coded).alias("data"))
+    return data.select("doc_id", F.sha2("data", 256).alias("hash"), F.octet_length("data").cast("bigint").alias("bytes"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.spreading import spread_rows
+from quarrylens.operators.spreading import spread_file_rows
 
 MICROS_PER_MINUTE = 60_000_000
 
@@ -23,7 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows become documents or events, spread by its first column."""
     rows = read_table(spark, sf_dir, name)
-    return spread_rows(rows, rows.columns[0])
+    return spread_file_rows(rows, rows.columns[0])
 
 
 def epoch_micros(ts: Column) -> Column:
