@@ -41,11 +41,13 @@ def walk_json(
     text: str,
     *,
     depth: int | None = None,
+    leaves: bool = True,
 ) -> DataFrame:
     """(keys, path, pos, v): one row per value of the JSON text.
 
     ``path`` writes arrays as ``[]``.  ``pos`` lists the positions from the root, members
-    in key order, so sorting by it gives visit order.
+    in key order, so sorting by it gives visit order.  Without ``leaves``, values that are
+    neither objects nor arrays are dropped once met, but for those of the deepest level.
     """
     depth = max_depth(documents, text) if depth is None else depth
     root = documents.select(
@@ -61,7 +63,7 @@ def walk_json(
         opened = root.withColumn("_members", F.when(here, p.v_object(F.col("v"), "$"))).withColumn(
             "_items", F.when(here & F.col("_members").isNull(), p.v_array(F.col("v"), "$"))
         )
-        root = opened.select(*keys, F.inline(_expand(level)))
+        root = opened.select(*keys, F.inline(_expand(level, leaves)))
     return root.drop("level")
 
 
@@ -70,7 +72,7 @@ def _node(path, pos, v, level) -> Column:
     return F.struct(*[x.alias(n) for x, n in zip(values, NODE_FIELDS, strict=True)])
 
 
-def _expand(level: int) -> Column:
+def _expand(level: int, leaves: bool) -> Column:
     path, pos, v = (F.col(c) for c in ("path", "pos", "v"))
     own = F.array(_node(path, pos, v, F.col("level")))
     members, items = F.col("_members"), F.col("_items")
@@ -85,5 +87,5 @@ def _expand(level: int) -> Column:
     return (
         F.when(members.isNotNull(), F.concat(own, F.transform(F.map_entries(members), member)))
         .when(items.isNotNull(), F.concat(own, F.transform(items, item)))
-        .otherwise(own)
+        .otherwise(own if leaves else F.when(F.col("level") != level, own))
     )

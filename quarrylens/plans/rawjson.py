@@ -18,6 +18,7 @@ from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import top_per_group
 
 SAMPLE_LIMIT = 5
+KINDS = ("null", "array", "object", "string", "boolean", "number")
 # Words in the paths of times and of payloads.
 TIME_LIKE = r"(?i)(time|timestamp|duration|start|end|ts)"
 BLOB_PATH = r"(?i)(snapshot|base64|blob|image|payload|body|content)$"
@@ -119,6 +120,11 @@ def _arrays(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("items", p.v_array(F.col("v"), "$")).filter(F.size("items") > 0)
 
 
+def held_arrays(nodes: DataFrame) -> DataFrame:
+    """The non-empty arrays of ``nodes``, written once: tables and their rows both read them."""
+    return cut(nodes.filter(F.size(p.v_array(F.col("v"), "$")) > 0))
+
+
 def inferred_tables(nodes: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row per non-empty array: name, path, occurrence, row count and its position.
 
@@ -154,8 +160,10 @@ def inferred_rows(
     rows = (
         _arrays(nodes)
         .select("trace_id", F.col("pos"), "items")
+        # Settled once for each array; beside the explode it would be for each item.
+        .withColumn("whole", whole)
         .join(named, ["trace_id", "pos"])
-        .select("trace_id", "name", "path", "occurrence", whole.alias("whole"), F.posexplode("items"))
+        .select("trace_id", "name", "path", "occurrence", "whole", F.posexplode("items"))
     )
     if items is not None:
         roots = named.filter(F.size("pos") == 0).drop("pos").join(counts.select("trace_id", "whole"), "trace_id")
@@ -184,12 +192,12 @@ def inferred_columns(rows: DataFrame) -> DataFrame:
     cells = rows.select(
         "trace_id", "name", "row_index", F.explode(p.v_object(F.col("row"), "$"))
     ).select("trace_id", "name", F.col("key").alias("column"), "row_index", "value")
-    first = F.min_by(
-        F.when(F.col("row_index") == 0, json_kind_of(F.col("value"))), F.col("row_index")
-    )
-    return cells.groupBy("trace_id", "name", "column").agg(
-        F.coalesce(first, F.lit("undefined")).alias("type")
-    )
+    # A table has one row 0; numbers for the kinds let the aggregate hash instead of sort.
+    number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), json_kind_of(F.col("value")))
+    first = F.max(F.when(F.col("row_index") == 0, number))
+    kind = F.try_element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("_first").cast("int"))
+    found = cells.groupBy("trace_id", "name", "column").agg(first.alias("_first"))
+    return found.withColumn("type", F.coalesce(kind, F.lit("undefined"))).drop("_first")
 
 
 def _numbers(v: Column) -> Column:

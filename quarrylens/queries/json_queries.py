@@ -184,7 +184,7 @@ UNION ALL SELECT trace_id, 'raw.inferred.pair.ids', 1, turn FROM t
 UNION ALL SELECT trace_id, 'raw.inferred.pair.ids.2', 2, 2 * turn FROM t""",
 )
 def inferred_rows(spark, sf_dir):
-    nodes = walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text")
+    nodes = rawjson.held_arrays(walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text", leaves=False))
     rows = rawjson.inferred_rows(rawjson.inferred_tables(nodes), nodes)
     number = F.coalesce(
         F.try_variant_get("row", "$.n", "bigint"), F.try_variant_get("row", "$.value", "bigint"), F.lit(0)
@@ -201,7 +201,7 @@ def inferred_rows(spark, sf_dir):
   ('raw.inferred.pair.ids.2', 'index', 'number'), ('raw.inferred.pair.ids.2', 'value', 'number')) AS q(name, "column", type)""",
 )
 def inferred_columns(spark, sf_dir):
-    nodes = walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text")
+    nodes = rawjson.held_arrays(walk_json(_conversation_documents(spark, sf_dir), ["trace_id"], "text", leaves=False))
     return rawjson.inferred_columns(rawjson.inferred_rows(rawjson.inferred_tables(nodes), nodes))
 
 

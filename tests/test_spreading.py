@@ -9,6 +9,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quarrylens.functions import blobs
+from quarrylens.operators.json_walk import walk_json
+from quarrylens.plans import rawjson
 from quarrylens.sources.star_events import spread_table
 
 
@@ -42,3 +44,22 @@ def test_lenient_base64(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = df.select("i", blobs.from_base64(F.col("t")).alias("d")).orderBy("i").collect()
     assert [None if r["d"] is None else bytes(r["d"]) for r in got] == expected
+
+
+def test_inferred_tables_without_leaves(spark):
+    text = '{"words":[{"w":"a","n":1},{"w":"b"}],"mixed":[1,{"x":[2]},"s"],"late":[{"n":1},{"n":2,"z":[true]}],"empty":[]}'
+    docs = spark.createDataFrame([("t", text), ("u", "[1,[2,3]]"), ("v", "7")], "trace_id string, text string")
+    every = walk_json(docs, ["trace_id"], "text")
+    held = rawjson.held_arrays(walk_json(docs, ["trace_id"], "text", leaves=False))
+
+    def found(nodes):
+        tables = rawjson.inferred_tables(nodes)
+        rows = rawjson.inferred_rows(tables, nodes)
+        columns = rawjson.inferred_columns(rows)
+        return [sorted(map(str, d.collect())) for d in (tables, rows.withColumn("row", F.to_json("row")), columns)]
+
+    assert found(held) == found(every)
+    kinds = {(r["trace_id"], r["name"], r["column"]): r["type"] for r in rawjson.inferred_columns(rawjson.inferred_rows(rawjson.inferred_tables(held), held)).collect()}
+    assert kinds["t", "raw.inferred.late", "z"] == "undefined"
+    assert kinds["t", "raw.inferred.words", "w"] == "string"
+    assert kinds["u", "raw.inferred.main", "index"] == "number"
