@@ -252,7 +252,7 @@ def graph_contents(spark, sf_dir):
     dependents = [F.lit(1), F.lit(1), key + 1]
     header = '{"source_children":{"offset":0,"length":28},"module_dependents":{"offset":28,"length":12}}'
     parts = [F.lit(f"{len(header):08X}"), F.hex(F.encode(F.lit(header), "UTF-8")), *[_word(w) for w in (*children, *dependents)]]
-    return read_table(spark, sf_dir, "part").select(
+    return spread_table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), key.cast("string")).alias("path"), F.unhex(F.concat(*parts)).alias("content")
     )
 

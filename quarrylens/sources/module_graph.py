@@ -33,7 +33,9 @@ MODULE_SECTIONS = (
 )
 ANALYZE_ARRAYS = ("sources", "chunk_parts", "output_files", "source_roots")
 EDGE_BATCH = 1 << 18
+BATCH_BYTES = 4 << 20
 RANGE_NODES = 1 << 18
+TASK_RANGES = 1 << 14
 DECODED = "path string, section string, node bigint, pos bigint, target bigint, header string"
 
 
@@ -69,45 +71,49 @@ def section_edges(body: memoryview, ref: dict) -> tuple[np.ndarray, np.ndarray,
     return node, pos, targets[np.repeat(begins, sizes) + pos]
 
 
-def _rows(path: str, section: str, node, pos, target, header: str | None = None) -> pa.RecordBatch:
-    count = len(node)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.repeat(pa.scalar(path), count),
-            pa.repeat(pa.scalar(section), count),
-            *[pa.array(x, pa.int64()) for x in (node, pos, target)],
-            pa.repeat(pa.scalar(header, pa.string()), count),
-        ],
-        names=["path", "section", "node", "pos", "target", "header"],
-    )
+class _Rows:
+    """Rows of many small parts, given on as batches of many rows each."""
+
+    def __init__(self):
+        self._parts: list[tuple] = []
+        self._count = self._chars = 0
+
+    def add(self, path: str, section: str, node, pos, target, header: str | None = None) -> Iterator[pa.RecordBatch]:
+        """Take a part; a batch once there is enough for one."""
+        self._parts.append((path, section, node, pos, target, header))
+        self._count += len(node)
+        self._chars += len(header or "")
+        if self._count >= EDGE_BATCH or self._chars >= BATCH_BYTES:
+            yield from self.rest()
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        parts, self._parts, self._count, self._chars = self._parts, [], 0, 0
+        owner = np.repeat(np.arange(len(parts)), [len(x[2]) for x in parts])
+        if not len(owner):
+            return
+        empty = np.array([x[5] is not None for x in parts])[owner]
+        texts = [pa.array([x[i] for x in parts], pa.string()).take(pa.array(owner)) for i in (0, 1, 5)]
+        numbers = [pa.array(np.concatenate([x[i] for x in parts]).astype(np.int64), mask=empty) for i in (2, 3, 4)]
+        yield pa.RecordBatch.from_arrays([*texts[:2], *numbers, texts[2]], names=["path", "section", "node", "pos", "target", "header"])
 
-def _file_rows(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
-    header, body = header_of(content)
-    none = [None]
-    yield _rows(path, "header", none, none, none, json.dumps(header, ensure_ascii=False))
-    for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
-        if not isinstance(header.get(name), dict):
-            continue
-        edges = section_edges(body, header[name])
-        for at in range(0, len(edges[0]), EDGE_BATCH):
-            yield _rows(path, name, *[column[at : at + EDGE_BATCH] for column in edges])
+
+_NONE = np.zeros(1, dtype=np.int64)  # of a header row, whose numbers are null
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of all files, small files together in one batch."""
-    pending: list[pa.RecordBatch] = []
-    count = 0
+    rows = _Rows()
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            for rows in _file_rows(path.as_py(), content.as_py()):
-                pending.append(rows)
-                count += rows.num_rows
-                if count >= EDGE_BATCH:
-                    yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
-                    pending, count = [], 0
-    if pending:
-        yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
+        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+            header, body = header_of(content.as_py())
+            yield from rows.add(path, "header", _NONE, _NONE, _NONE, json.dumps(header, ensure_ascii=False))
+            for name in (*ANALYZE_SECTIONS, *MODULE_SECTIONS):
+                if not isinstance(header.get(name), dict):
+                    continue
+                edges = section_edges(body, header[name])
+                for at in range(0, len(edges[0]), EDGE_BATCH):
+                    yield from rows.add(path, name, *[column[at : at + EDGE_BATCH] for column in edges])
+    yield from rows.rest()
 
 
 def _words(data: Bytes, offset: int, first: int, stop: int) -> np.ndarray:
@@ -178,18 +184,21 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ranges; a file stays open while its ranges follow each other."""
+    rows = _Rows()
+    uri = handle = None
     for batch in batches:
         for r in batch.to_pylist():
-            handle, length = open_bytes(r["uri"])
-            with handle:
-                parts: list[pa.RecordBatch] = []
-                for edges in section_range(Bytes(handle, length), r["offset"], r["words"], r["low"], r["high"]):
-                    parts.append(_rows(r["path"], r["section"], *edges))
-                    if sum(x.num_rows for x in parts) >= EDGE_BATCH:
-                        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
-                        parts = []
-                if parts:
-                    yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+            if r["uri"] != uri:
+                if handle is not None:
+                    handle.close()
+                uri = r["uri"]
+                handle, length = open_bytes(uri)
+            for edges in section_range(Bytes(handle, length), r["offset"], r["words"], r["low"], r["high"]):
+                yield from rows.add(r["path"], r["section"], *edges)
+    if handle is not None:
+        handle.close()
+    yield from rows.rest()
 
 
 def decode_graph_files(spark: SparkSession, roots: str | Sequence[str], range_nodes: int = RANGE_NODES) -> DataFrame:
@@ -211,7 +220,11 @@ def decode_graph_files(spark: SparkSession, roots: str | Sequence[str], range_no
     low = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nodes") - 1, F.lit(range_nodes).cast("bigint")))
     ranges = found.select("path", "uri", F.inline("sections")).filter("nodes > 0").withColumn("low", low)
     ranges = cut(ranges.withColumn("high", F.least(F.col("low") + range_nodes, "nodes")))
-    edge_rows = ranges.repartition(max(1, min(ranges.count(), 64 * cores)), "uri", "section", "low").mapInArrow(_read_ranges, DECODED)
+    # A range of few nodes costs less than a task of its own.
+    count = ranges.count()
+    tasks = max(1, min(count, max(4 * cores, count * range_nodes // RANGE_NODES, count // TASK_RANGES)))
+    spread = ranges.repartition(tasks, "uri", F.floor(F.col("low") / RANGE_NODES)).sortWithinPartitions("uri", "section", "low")
+    edge_rows = spread.mapInArrow(_read_ranges, DECODED)
     none = F.lit(None).cast("bigint")
     header_rows = found.select("path", F.lit("header").alias("section"), none.alias("node"), none.alias("pos"), none.alias("target"), "header")
     return header_rows.unionByName(edge_rows)
