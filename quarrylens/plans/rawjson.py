@@ -18,6 +18,7 @@ from quarrylens.operators.lineage import cut
 from quarrylens.operators.ordinal import top_per_group
 
 SAMPLE_LIMIT = 5
+BATCH_BYTES = 4 << 20
 KINDS = ("null", "array", "object", "string", "boolean", "number")
 # Words in the paths of times and of payloads.
 TIME_LIKE = r"(?i)(time|timestamp|duration|start|end|ts)"
@@ -347,21 +348,30 @@ def payload_nodes(documents: DataFrame, keys: Sequence[str], text: str) -> DataF
     """
     width = len(keys)
 
+    def batch_of(batch: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(owners, pa.int32())
+        columns = [
+            *[c.take(at) for c in batch.columns[:width]],
+            pa.array([x[0] for x in found], pa.string()),
+            pa.array([x[1] for x in found], pa.list_(pa.int32())),
+            pa.array([x[2] for x in found], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "loc", "pos", "json"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One text at a time, and given on after a few megabytes: a batch holds many large texts.
         for batch in batches:
-            owners, found = [], []
-            for row, value in enumerate(batch.column(width).to_pylist()):
-                own = [] if value is None else list(_payload_nodes(value))
-                owners.extend([row] * len(own))
-                found.extend(own)
-            at = pa.array(owners, pa.int32())
-            columns = [
-                *[c.take(at) for c in batch.columns[:width]],
-                pa.array([x[0] for x in found], pa.string()),
-                pa.array([x[1] for x in found], pa.list_(pa.int32())),
-                pa.array([x[2] for x in found], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "loc", "pos", "json"])
+            owners, found, size = [], [], 0
+            for row, text in enumerate(batch.column(width)):
+                for node in _payload_nodes(text.as_py()) if text.is_valid else ():
+                    owners.append(row)
+                    found.append(node)
+                    size += len(node[2])
+                    if size >= BATCH_BYTES:
+                        yield batch_of(batch, owners, found)
+                        owners, found, size = [], [], 0
+            if found:
+                yield batch_of(batch, owners, found)
 
     rows = documents.select(*keys, text)
     fields = [rows.schema[k] for k in keys]
