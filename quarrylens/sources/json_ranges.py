@@ -19,12 +19,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 
 SPLIT_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
 BATCH_MEMBERS = 4096
 BATCH_BYTES = 4 << 20
@@ -249,8 +250,14 @@ def _state(row: dict, data: Bytes) -> State:
     return State(bool(row["inside"]), escaped_at(data, row["at"]), int(row["depth"]))
 
 
-def _spread(rows: DataFrame, count: int) -> DataFrame:
-    return rows.repartition(max(1, count))
+def _spread(rows: DataFrame, tasks: int) -> DataFrame:
+    """Ranges over tasks, those of a file one after the other, so that it is opened once."""
+    return rows.repartition(tasks).sortWithinPartitions("uri", "at")
+
+
+def range_tasks(spark: SparkSession, count: int, split_bytes: int) -> int:
+    """Tasks for so many ranges: as many as there is work for, since a short range costs less than a task."""
+    return max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count * split_bytes // TASK_BYTES)))
 
 
 def split_files(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, int]:
@@ -269,9 +276,10 @@ def read_members(files: DataFrame, key: str | None, split_bytes: int = SPLIT_BYT
     close, or that is neither an array nor an object; such a document may have members all the same.
     """
     splits, count = split_files(files, split_bytes)
+    tasks = range_tasks(files.sparkSession, count, split_bytes)
     sums = cut(
         _over_files(
-            _spread(splits, count),
+            _spread(splits, tasks),
             lambda data, r: [(r["at"], *summary(data, r["at"], r["stop"]))],
             "trace_id string, at bigint, quotes bigint, if_outside bigint, if_inside bigint",
         )
@@ -285,7 +293,7 @@ def read_members(files: DataFrame, key: str | None, split_bytes: int = SPLIT_BYT
     closed = begun.groupBy("trace_id").agg(((F.sum("step") == 0) & (F.sum("quotes") % 2 == 0)).alias("closed"))
 
     marks = _over_files(
-        _spread(begun, count),
+        _spread(begun, tasks),
         lambda data, r: array_ends(data, r["at"], r["stop"], _state(r, data), key),
         "trace_id string, place bigint, way int",
     )
@@ -302,11 +310,11 @@ def read_members(files: DataFrame, key: str | None, split_bytes: int = SPLIT_BYT
         return members(data, row["at"], row["stop"], _state(row, data), arrays_of(row))
 
     counted = _over_files(
-        _spread(placed, count), lambda data, r: [(r["at"], sum(1 for _ in found(data, r)))], "trace_id string, at bigint, n bigint"
+        _spread(placed, tasks), lambda data, r: [(r["at"], sum(1 for _ in found(data, r)))], "trace_id string, at bigint, n bigint"
     )
     first = cut(counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("trace_id", "at", "first"))
     rows = _over_files(
-        _spread(placed.join(first, ["trace_id", "at"]), count),
+        _spread(placed.join(first, ["trace_id", "at"]), tasks),
         lambda data, r: ((r["first"] + i, text.decode("utf-8", "replace")) for i, text in enumerate(found(data, r))),
         "trace_id string, position bigint, text string",
     )
