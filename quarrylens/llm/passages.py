@@ -78,10 +78,17 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     white = np.ones(len(codes) + 2, dtype=bool)
     white[1:-1] = WHITE[codes if codes.dtype == np.uint8 else np.minimum(codes, len(WHITE) - 1)]
-    edges = np.flatnonzero(white[1:] != white[:-1])
+    edges = (white[1:] != white[:-1]).nonzero()[0]
     return codes, edges[::2], edges[1::2]
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,59 +99,106 @@ class Words:
     """The words of texts, their offsets, and digests of any run of them in constant time.
 
     A word's digest is a mixed polynomial of its code points modulo 2**64, in two halves of
-    different bases; a run's is one of its words' digests.
+    different bases; a run's is one of its words' digests.  A half is made when it is asked for.
     """
 
     def __init__(self) -> None:
         self.powers = self.inverses = np.ones((2, 0), dtype=np.uint64)
 
-    def _sums(self, values: np.ndarray) -> np.ndarray:
-        n = values.shape[-1]
+    def _sums(self, values: np.ndarray, half: int) -> np.ndarray:
+        n = len(values)
         if n >= self.powers.shape[1]:
             size = 1 << (n + 1).bit_length()
             steps = np.ones((4, size), dtype=np.uint64)
             steps[:, 1:] = np.array([[b % 2**64] for b in (*BASES, *[pow(b, -1, 2**64) for b in BASES])], dtype=np.uint64)
             self.powers, self.inverses = np.split(np.cumprod(steps, axis=1, dtype=np.uint64), 2)
-        sums = np.zeros((2, n + 1), dtype=np.uint64)
-        np.cumsum(self.powers[:, :n] * values, axis=1, out=sums[:, 1:])
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self.powers[half, :n] * values, out=sums[1:])
         return sums
 
-    def _runs(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return (sums[:, last] - sums[:, first]) * self.inverses[:, first]
+    def _runs(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray, half: int) -> np.ndarray:
+        return (sums[last] - sums[first]) * self.inverses[half][first]
 
-    def _word_digests(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found = np.empty((2, len(starts)), dtype=np.uint64)
+    def _word_digests(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, half: int) -> np.ndarray:
+        found = np.empty(len(starts), dtype=np.uint64)
         at = 0
         while at < len(starts):
             # Whole words of about a block: a long text takes no more memory than that at once.
             begin = int(starts[at])
             stop = max(at + 1, int(np.searchsorted(ends, begin + BLOCK_CODES, "right")))
             # A code point counts from 1, so that none is without effect.
-            sums = self._sums(codes[begin : int(ends[stop - 1])].astype(np.uint64) + np.uint64(1))
-            found[:, at:stop] = _mixed(self._runs(sums, starts[at:stop] - begin, ends[at:stop] - begin))
+            sums = self._sums(codes[begin : int(ends[stop - 1])].astype(np.uint64) + np.uint64(1), half)
+            found[at:stop] = _mixed(self._runs(sums, starts[at:stop] - begin, ends[at:stop] - begin, half))
             at = stop
         return found
 
     def read(self, text: str) -> None:
-        codes, self.starts, self.ends = _codes(text)
+        self.codes, self.starts, self.ends = _codes(text)
         if text.isascii():
-            found = codes + np.uint8(32) * ((codes >= 65) & (codes <= 90)), self.starts, self.ends
+            self._spelt = np.frombuffer(text.lower().encode("ascii"), dtype=np.uint8), self.starts, self.ends
         elif unicodedata.is_normalized("NFKC", text):
-            found = _codes(text.lower())
+            self._spelt = _codes(text.lower())
         else:
             # A word with white space in its compatibility form stays one word.
-            found = _codes(" ".join("\0".join(normalised(x)) or "\0" for x in text.split()))
-        self.sums = self._sums(self._word_digests(*found))
+            self._spelt = _codes(" ".join("\0".join(normalised(x)) or "\0" for x in text.split()))
+        self._halves: list[np.ndarray | None] = [None, None]
         self._anchors: tuple[int, np.ndarray] | None = None
 
-    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The digests of the runs of words from ``first`` up to before ``last``, a row of two halves each."""
-        return self._runs(self.sums, first, last).T.view(np.int64) if len(first) else np.zeros((0, 2), dtype=np.int64)
+    def sums(self, half: int) -> np.ndarray:
+        if self._halves[half] is None:
+            self._halves[half] = self._sums(self._word_digests(*self._spelt, half), half)
+        return self._halves[half]
+
+    def digests(self, first: np.ndarray, last: np.ndarray, half: int) -> np.ndarray:
+        """One half of the digests of the runs of words from ``first`` up to before ``last``."""
+        return self._runs(self.sums(half), first, last, half).view(np.int64) if len(first) else np.zeros(0, dtype=np.int64)
+
+    def span_digests(self, text: str, spans: np.ndarray, low: np.ndarray, high: np.ndarray, half: int) -> np.ndarray:
+        """The same of the words ``low`` to ``high``, of which the first may begin before its span, or the last end after it."""
+        found = self.digests(low, high, half)
+        for i in ((self.starts[low] < spans[:, 0]) | (self.ends[high - 1] > spans[:, 1])).nonzero()[0]:
+            own = " ".join(normalised(text[spans[i, 0] : spans[i, 1]]))
+            found[i] = self._sums(self._word_digests(*_codes(own), half), half)[-1].view(np.int64)
+        return found
 
-    def digest_of(self, unit: str) -> np.ndarray:
-        """The digest of a unit that may begin or end inside a word of the text."""
-        sums = self._sums(self._word_digests(*_codes(" ".join(normalised(unit)))))
-        return sums[:, -1].view(np.int64)
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """The line of each word, and the ends of all lines."""
+        newlines = (self.codes == 10).nonzero()[0]
+        return newlines.searchsorted(self.starts), np.concatenate([newlines, [len(self.codes)]])
+
+    def sentences(self, line: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end) of the text's sentences, as ``UNITS`` finds them, and their first and last words."""
+        # A sentence ends after a word that ends with a mark, and with its line.
+        last = self.codes[self.ends - 1]
+        marked = (last == 46) | (last == 33) | (last == 63)
+        begins = np.ones(len(line), dtype=bool)
+        begins[1:] = marked[:-1] | (line[1:] != line[:-1])
+        low = begins.nonzero()[0]
+        high = np.concatenate([low[1:], [len(line)]])
+        spans = np.empty((len(low), 2), dtype=np.int64)
+        spans[:, 0] = self.starts[low]
+        spans[:, 1] = np.where(marked[high - 1], self.ends[high - 1], line_ends[line[high - 1]])
+        # Marks at the beginning of a word are a sentence of their own.
+        first = self.codes[spans[:, 0]]
+        for i in ((first == 46) | (first == 33) | (first == 63)).nonzero()[0][::-1]:
+            begin, stop = int(spans[i, 0]), int(self.ends[low[i]])
+            other = np.flatnonzero(~np.isin(self.codes[begin:stop], (46, 33, 63)))
+            if len(other):
+                cut_at = begin + int(other[0])
+                spans = np.insert(spans, i, (begin, cut_at), axis=0)
+                spans[i + 1, 0] = cut_at
+                low, high = np.insert(low, i, low[i]), np.insert(high, i, low[i] + 1)
+        return spans, low, high
+
+    def paragraph_ends(self, text: str, line: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
+        """The line feeds before a line of nothing but spaces and tabs, and the text's end."""
+        blank = np.ones(len(line_ends), dtype=bool)
+        blank[line] = False
+        blank[0] = False
+        empty = line_ends[1:] - line_ends[:-1] == 1
+        for k in (blank[1:] & ~empty).nonzero()[0] + 1:
+            blank[k] = not text[line_ends[k - 1] + 1 : line_ends[k]].strip(" \t")
+        return np.concatenate([line_ends[blank.nonzero()[0] - 1], line_ends[-1:]])
 
     def anchors(self, window: int) -> np.ndarray:
         """For each window of words the position of its anchor: the first of its runs with the least hash."""
@@ -155,7 +209,8 @@ class Words:
     def _find_anchors(self, window: int) -> np.ndarray:
         length = min(ANCHOR_WORDS, window)
         size = max(len(self.starts) - length + 1, 0)
-        least = _mixed((self.sums[0, length : length + size] - self.sums[0, :size]) * self.inverses[0, :size])
+        sums = self.sums(0)
+        least = _mixed((sums[length : length + size] - sums[:size]) * self.inverses[0, :size])
         least = (least & ~POSITION) | np.arange(len(least), dtype=np.uint64)
         wide, size = window - length + 1, 1
         if len(least) < wide:
@@ -177,31 +232,46 @@ def _part(value: str) -> int:
 
 
 def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, pos, word, start, end, words) and digests: sentences, whole lines and more, and anchors."""
+    """(kind, pos, word, start, end, words) and hashes: sentences, whole lines and more, and anchors."""
     words.read(text)
     if not len(words.starts):
-        return np.zeros((0, 6), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
-    spans = np.array([m.span() for m in UNITS["sentence"].finditer(text)], dtype=np.int64)
-    low, high = np.searchsorted(words.ends, spans[:, 0], "right"), np.searchsorted(words.starts, spans[:, 1])
-    columns = [np.column_stack([np.full(len(low), RUN), np.arange(len(low)), low, spans, high - low])]
-    digests = [words.digests(low, high)]
-    for i in np.flatnonzero((words.starts[low] < spans[:, 0]) | (words.ends[high - 1] > spans[:, 1])):
-        digests[0][i] = words.digest_of(text[spans[i, 0] : spans[i, 1]])
+        return np.zeros((0, 6), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    line, line_ends = words.lines()
+    spans, low, high = words.sentences(line, line_ends)
     # Whole lines and paragraphs, one row for units of the same words; the document comes first.
-    wholes = np.array([m.span() for u in ("line", "paragraph") for m in UNITS[u].finditer(text)], dtype=np.int64)
-    wholes = np.vstack([[words.starts[0], words.ends[-1]], wholes])
-    runs = np.column_stack([np.searchsorted(words.starts, wholes[:, 0]), np.searchsorted(words.starts, wholes[:, 1])])
-    _, kept = np.unique(runs[:, 0] * (len(words.starts) + 1) + runs[:, 1], return_index=True)
+    ends = words.paragraph_ends(text, line, line_ends)
+    paragraph = ends.searchsorted(words.starts)
+    begins = _begins(line), _begins(paragraph)
+    n = len(words.starts)
+    first = np.concatenate([[0], *begins])
+    until = np.concatenate([[n], begins[0][1:], [n], begins[1][1:], [n]])
+    stops = np.concatenate([words.ends[-1:], line_ends[line[begins[0]]], ends[paragraph[begins[1]]]])
+    _, kept = np.unique(first * (n + 1) + until, return_index=True)
     kept.sort()
-    low, high = runs[kept].T
-    columns.append(np.column_stack([np.full(len(low), WHOLE), np.arange(len(low)), low, wholes[kept], high - low]))
-    digests.append(words.digests(low, high))
-    at = np.unique(words.anchors(window))
-    nothing = np.zeros(len(at), dtype=np.int64)
-    columns.append(np.column_stack([np.full(len(at), ANCHOR), at, at, nothing, nothing, nothing]))
-    digests.append(words.digests(at, at + min(ANCHOR_WORDS, window)))
-    columns, digests = np.vstack(columns), np.vstack(digests)
-    return columns, digests ^ KIND_KEYS[columns[:, 0]][:, None]
+    first, until, stops = first[kept], until[kept], stops[kept]
+    # The anchors of windows in order never go back.
+    at = words.anchors(window)
+    at = at[_begins(at)]
+    a, b = len(low), len(low) + len(kept)
+    columns, hashes = np.zeros((b + len(at), 6), dtype=np.int64), np.empty(b + len(at), dtype=np.int64)
+    columns[:a, 0], columns[a:b, 0], columns[b:, 0] = RUN, WHOLE, ANCHOR
+    columns[:a, 1], columns[a:b, 1], columns[b:, 1] = np.arange(a), np.arange(b - a), at
+    columns[:a, 2], columns[a:b, 2], columns[b:, 2] = low, first, at
+    columns[:a, 3:5], columns[a:b, 3], columns[a:b, 4] = spans, words.starts[first], stops
+    columns[:a, 5], columns[a:b, 5] = high - low, until - first
+    hashes[:a] = words.span_digests(text, spans, low, high, 0) ^ KIND_KEYS[RUN]
+    hashes[a:b] = words.digests(first, until, 0) ^ KIND_KEYS[WHOLE]
+    hashes[b:] = words.digests(at, at + min(ANCHOR_WORDS, window), 0) ^ KIND_KEYS[ANCHOR]
+    return columns, hashes
+
+
+def _second_halves(words: Words, text: str, rows: np.ndarray) -> np.ndarray:
+    """The other half of the digests of sentences and wholes, which only units that may be repeated need."""
+    found = words.digests(rows[:, 2], rows[:, 2] + rows[:, 5], 1)
+    runs = np.flatnonzero(rows[:, 0] == RUN)
+    own = rows[runs]
+    found[runs] = words.span_digests(text, own[:, 3:5], own[:, 2], own[:, 2] + own[:, 5], 1)
+    return found ^ KIND_KEYS[rows[:, 0]]
 
 
 def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,9 +284,9 @@ def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray
     anchor = words.anchors(window)
     at = np.flatnonzero(known[anchor])
     anchor = anchor[at]
-    begins = np.flatnonzero(np.diff(anchor, prepend=-1))
-    heads = words.digests(anchor[begins], anchor[begins] + min(ANCHOR_WORDS, window))[:, 0] ^ KIND_KEYS[WINDOW]
-    return np.append(begins, len(at)), heads, at, words.digests(at, at + window)[:, 1]
+    begins = _begins(anchor)
+    heads = words.digests(anchor[begins], anchor[begins] + min(ANCHOR_WORDS, window), 0) ^ KIND_KEYS[WINDOW]
+    return np.append(begins, len(at)), heads, at, words.digests(at, at + window, 1)
 
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
@@ -278,12 +348,12 @@ def _counted(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
         for batch in batches:
             found, size = [], 0
             for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, digests = _all_units(words, value or "", window)
+                rows, hashes = _all_units(words, value or "", window)
                 if not len(rows):
                     continue
                 document = np.flatnonzero((rows[:, 0] == WHOLE) & (rows[:, 1] == 0))[0]
-                found.append((rank, digests[:, 0].copy(), digests[document, 0]))
-                size += len(digests)
+                found.append((rank, hashes, hashes[document]))
+                size += len(hashes)
                 if size > 200_000:
                     yield flush(found)
                     found, size = [], 0
@@ -330,21 +400,21 @@ def _passing_units(
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def units(words: Words, value: str, rank: int, part: int) -> tuple[list, list, list]:
-        rows, digests = _all_units(words, value, window)
+        rows, heads = _all_units(words, value, window)
         if not len(rows):
             return [], [], []
         document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
         # All first documents are in their filter, so one that is not there is a copy.
-        copy = not _passes(documents, _owner_keys(digests[document, 0], np.array([rank])))[0]
-        known = document.copy() if copy else _passes(repeated, digests[:, 0])
-        rows, digests = rows[known], digests[known]
+        copy = not _passes(documents, _owner_keys(heads[document], np.array([rank])))[0]
+        known = document.copy() if copy else _passes(repeated, heads)
+        rows, heads = rows[known], heads[known]
         plain = rows[:, 0] != ANCHOR
-        anchors, rows, digests = rows[~plain, 1], rows[plain], digests[plain]
+        anchors, rows, heads = rows[~plain, 1], rows[plain], heads[plain]
         again = np.ones(len(rows), dtype=np.int64)
-        again[np.unique(digests[:, 0], return_index=True)[1]] = 0
+        again[np.unique(heads, return_index=True)[1]] = 0
         out = np.empty((len(rows), 11), dtype=np.int64)
         out[:, 0], out[:, 1], out[:, 2], out[:, 3:5] = rows[:, 0], rank, part, rows[:, 1:3]
-        out[:, 5], out[:, 6:8], out[:, 8], out[:, 9:11] = rows[:, 5], rows[:, 3:5], again, digests
+        out[:, 5], out[:, 6:8], out[:, 8], out[:, 9:11] = rows[:, 5], rows[:, 3:5], again, np.column_stack([heads, _second_halves(words, value, rows)])
         columns, sizes, values = [out], [np.zeros(len(out), dtype=np.int64)], []
         if len(anchors):
             bounds, heads, at, hashes = _windows(words, anchors, window)
