@@ -50,6 +50,8 @@ KIND_KEYS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x27BB2EE687B0B
 FILTER_BITS = 1 << 26
 BITMAP_BITS = 1 << 15
 BLOCK_CODES = 1 << 20
+# Code points of the texts that are read at once.
+GROUP_CODES = 1 << 17
 # What a document adds to the count of its hash, beside one for the unit.
 DOCUMENT = 1 << 40
 POSITION = np.uint64(2**28 - 1)
@@ -89,6 +91,25 @@ def _begins(x: np.ndarray) -> np.ndarray:
     return new.nonzero()[0]
 
 
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """The number of each value within its run of equal values."""
+    begins = _begins(x) if len(x) else np.zeros(0, dtype=np.int64)
+    return np.arange(len(x)) - np.repeat(begins, np.diff(begins, append=len(x)))
+
+
+def _parts_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The part in which each start lies, of parts that end at ``ends``."""
+    return np.repeat(np.arange(len(ends)), np.diff(starts.searchsorted(ends), prepend=0))
+
+
+def _spelling(text: str) -> str:
+    """A text of as many words, in their one spelling."""
+    if text.isascii() or unicodedata.is_normalized("NFKC", text):
+        return text.lower()
+    # A word with white space in its compatibility form stays one word.
+    return " ".join("\0".join(normalised(x)) or "\0" for x in text.split())
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -100,6 +121,8 @@ class Words:
 
     A word's digest is a mixed polynomial of its code points modulo 2**64, in two halves of
     different bases; a run's is one of its words' digests.  A half is made when it is asked for.
+    Texts are read many at once, so that short ones cost little more than their code points; no
+    line, and so no unit, lies in two of them.
     """
 
     def __init__(self) -> None:
@@ -132,17 +155,20 @@ class Words:
             at = stop
         return found
 
-    def read(self, text: str) -> None:
+    def read(self, text: str, stops: np.ndarray | None = None) -> None:
+        """Read a text, or several joined by line feeds, which end at ``stops``."""
         self.codes, self.starts, self.ends = _codes(text)
+        self.stops = np.array([len(self.codes)]) if stops is None else stops
+        self.offsets = np.concatenate([[0], self.stops[:-1] + 1])
+        self.text = _parts_of(self.starts, self.stops)
+        self.firsts = self.starts.searchsorted(self.offsets)
         if text.isascii():
             self._spelt = np.frombuffer(text.lower().encode("ascii"), dtype=np.uint8), self.starts, self.ends
-        elif unicodedata.is_normalized("NFKC", text):
-            self._spelt = _codes(text.lower())
         else:
-            # A word with white space in its compatibility form stays one word.
-            self._spelt = _codes(" ".join("\0".join(normalised(x)) or "\0" for x in text.split()))
+            bounds = zip(self.offsets.tolist(), self.stops.tolist(), strict=True)
+            self._spelt = _codes("\n".join([_spelling(text[begin:stop]) for begin, stop in bounds]))
         self._halves: list[np.ndarray | None] = [None, None]
-        self._anchors: tuple[int, np.ndarray] | None = None
+        self._anchors: tuple[int, np.ndarray, np.ndarray] | None = None
 
     def sums(self, half: int) -> np.ndarray:
         if self._halves[half] is None:
@@ -163,8 +189,8 @@ class Words:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """The line of each word, and the ends of all lines."""
-        newlines = (self.codes == 10).nonzero()[0]
-        return newlines.searchsorted(self.starts), np.concatenate([newlines, [len(self.codes)]])
+        line_ends = np.append((self.codes == 10).nonzero()[0], len(self.codes))
+        return _parts_of(self.starts, line_ends), line_ends
 
     def sentences(self, line: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end) of the text's sentences, as ``UNITS`` finds them, and their first and last words."""
@@ -180,31 +206,40 @@ class Words:
         spans[:, 1] = np.where(marked[high - 1], self.ends[high - 1], line_ends[line[high - 1]])
         # Marks at the beginning of a word are a sentence of their own.
         first = self.codes[spans[:, 0]]
-        for i in ((first == 46) | (first == 33) | (first == 63)).nonzero()[0][::-1]:
-            begin, stop = int(spans[i, 0]), int(self.ends[low[i]])
-            other = np.flatnonzero(~np.isin(self.codes[begin:stop], (46, 33, 63)))
+        parted, cuts = [], []
+        for i in ((first == 46) | (first == 33) | (first == 63)).nonzero()[0].tolist():
+            begin = int(spans[i, 0])
+            codes = self.codes[begin : int(self.ends[low[i]])]
+            other = ((codes != 46) & (codes != 33) & (codes != 63)).nonzero()[0]
             if len(other):
-                cut_at = begin + int(other[0])
-                spans = np.insert(spans, i, (begin, cut_at), axis=0)
-                spans[i + 1, 0] = cut_at
-                low, high = np.insert(low, i, low[i]), np.insert(high, i, low[i] + 1)
+                parted.append(i)
+                cuts.append(begin + int(other[0]))
+        if parted:
+            marks = np.column_stack([spans[parted, 0], cuts])
+            spans[parted, 0] = cuts
+            spans = np.insert(spans, parted, marks, axis=0)
+            low, high = np.insert(low, parted, low[parted]), np.insert(high, parted, low[parted] + 1)
         return spans, low, high
 
     def paragraph_ends(self, text: str, line: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
-        """The line feeds before a line of nothing but spaces and tabs, and the text's end."""
+        """The line feeds before a line of nothing but spaces and tabs, and the ends of texts."""
         blank = np.ones(len(line_ends), dtype=bool)
         blank[line] = False
-        blank[0] = False
         empty = line_ends[1:] - line_ends[:-1] == 1
         for k in (blank[1:] & ~empty).nonzero()[0] + 1:
             blank[k] = not text[line_ends[k - 1] + 1 : line_ends[k]].strip(" \t")
-        return np.concatenate([line_ends[blank.nonzero()[0] - 1], line_ends[-1:]])
+        ending = np.append(blank[1:], True)
+        ending[line_ends.searchsorted(self.stops)] = True
+        return line_ends[ending]
 
-    def anchors(self, window: int) -> np.ndarray:
-        """For each window of words the position of its anchor: the first of its runs with the least hash."""
+    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' windows of words and for each the position of its anchor: the first of its runs with the least hash."""
         if self._anchors is None or self._anchors[0] != window:
-            self._anchors = window, self._find_anchors(window)
-        return self._anchors[1]
+            anchor = self._find_anchors(window)
+            # A window lies in one text.
+            at = (self.text[: len(anchor)] == self.text[len(self.text) - len(anchor) :]).nonzero()[0]
+            self._anchors = window, at, anchor[at]
+        return self._anchors[1:]
 
     def _find_anchors(self, window: int) -> np.ndarray:
         length = min(ANCHOR_WORDS, window)
@@ -231,33 +266,52 @@ def _part(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) >> 1
 
 
-def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, pos, word, start, end, words) and hashes: sentences, whole lines and more, and anchors."""
-    words.read(text)
-    if not len(words.starts):
-        return np.zeros((0, 6), dtype=np.int64), np.zeros(0, dtype=np.int64)
+def _groups(values: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """(begin, stop, text, stops): the values in groups, joined by line feeds, and where each ends in the text."""
+    begin, size = 0, 0
+    for stop, value in enumerate(values, 1):
+        size += len(value or "")
+        if size >= GROUP_CODES or stop == len(values):
+            texts = [x or "" for x in values[begin:stop]]
+            yield begin, stop, "\n".join(texts), np.cumsum([len(x) + 1 for x in texts]) - 1
+            begin, size = stop, 0
+
+
+def _all_units(words: Words, text: str, window: int, stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, pos, word, start, end, words, text) and hashes: sentences, whole lines and more, and anchors.
+
+    Several texts are joined by line feeds and end at ``stops``; a unit's place is that in its own text.
+    """
+    words.read(text, stops)
+    n = len(words.starts)
+    if not n:
+        return np.zeros((0, 7), dtype=np.int64), np.zeros(0, dtype=np.int64)
     line, line_ends = words.lines()
     spans, low, high = words.sentences(line, line_ends)
     # Whole lines and paragraphs, one row for units of the same words; the document comes first.
     ends = words.paragraph_ends(text, line, line_ends)
-    paragraph = ends.searchsorted(words.starts)
-    begins = _begins(line), _begins(paragraph)
-    n = len(words.starts)
-    first = np.concatenate([[0], *begins])
-    until = np.concatenate([[n], begins[0][1:], [n], begins[1][1:], [n]])
-    stops = np.concatenate([words.ends[-1:], line_ends[line[begins[0]]], ends[paragraph[begins[1]]]])
+    paragraph = _parts_of(words.starts, ends)
+    begins = _begins(words.text), _begins(line), _begins(paragraph)
+    first = np.concatenate(begins)
+    until = np.concatenate([np.append(x[1:], n) for x in begins])
+    stop = np.concatenate([words.ends[until[: len(begins[0])] - 1], line_ends[line[begins[1]]], ends[paragraph[begins[2]]]])
     _, kept = np.unique(first * (n + 1) + until, return_index=True)
     kept.sort()
-    first, until, stops = first[kept], until[kept], stops[kept]
+    kept = kept[np.argsort(words.text[first[kept]], kind="stable")]
+    first, until, stop = first[kept], until[kept], stop[kept]
     # The anchors of windows in order never go back.
-    at = words.anchors(window)
-    at = at[_begins(at)]
+    at = words.anchors(window)[1]
+    at = at[_begins(at)] if len(at) else at
     a, b = len(low), len(low) + len(kept)
-    columns, hashes = np.zeros((b + len(at), 6), dtype=np.int64), np.empty(b + len(at), dtype=np.int64)
+    columns, hashes = np.zeros((b + len(at), 7), dtype=np.int64), np.empty(b + len(at), dtype=np.int64)
+    word = np.concatenate([low, first, at])
+    own = words.text[word]
     columns[:a, 0], columns[a:b, 0], columns[b:, 0] = RUN, WHOLE, ANCHOR
-    columns[:a, 1], columns[a:b, 1], columns[b:, 1] = np.arange(a), np.arange(b - a), at
-    columns[:a, 2], columns[a:b, 2], columns[b:, 2] = low, first, at
-    columns[:a, 3:5], columns[a:b, 3], columns[a:b, 4] = spans, words.starts[first], stops
+    columns[:, 2], columns[:, 6] = word - words.firsts[own], own
+    columns[:a, 1], columns[a:b, 1], columns[b:, 1] = _numbers(own[:a]), _numbers(own[a:b]), columns[b:, 2]
+    offsets = words.offsets[own[:b]]
+    columns[:a, 3:5] = spans - offsets[:a, None]
+    columns[a:b, 3], columns[a:b, 4] = words.starts[first] - offsets[a:], stop - offsets[a:]
     columns[:a, 5], columns[a:b, 5] = high - low, until - first
     hashes[:a] = words.span_digests(text, spans, low, high, 0) ^ KIND_KEYS[RUN]
     hashes[a:b] = words.digests(first, until, 0) ^ KIND_KEYS[WHOLE]
@@ -267,10 +321,11 @@ def _all_units(words: Words, text: str, window: int) -> tuple[np.ndarray, np.nda
 
 def _second_halves(words: Words, text: str, rows: np.ndarray) -> np.ndarray:
     """The other half of the digests of sentences and wholes, which only units that may be repeated need."""
-    found = words.digests(rows[:, 2], rows[:, 2] + rows[:, 5], 1)
+    low = rows[:, 2] + words.firsts[rows[:, 6]]
+    found = words.digests(low, low + rows[:, 5], 1)
     runs = np.flatnonzero(rows[:, 0] == RUN)
-    own = rows[runs]
-    found[runs] = words.span_digests(text, own[:, 3:5], own[:, 2], own[:, 2] + own[:, 5], 1)
+    own, low = rows[runs], low[runs]
+    found[runs] = words.span_digests(text, own[:, 3:5] + words.offsets[own[:, 6], None], low, low + own[:, 5], 1)
     return found ^ KIND_KEYS[rows[:, 0]]
 
 
@@ -281,9 +336,9 @@ def _windows(words: Words, anchors: np.ndarray, window: int) -> tuple[np.ndarray
     """
     known = np.zeros(len(words.starts) + 1, dtype=bool)
     known[anchors] = True
-    anchor = words.anchors(window)
-    at = np.flatnonzero(known[anchor])
-    anchor = anchor[at]
+    at, anchor = words.anchors(window)
+    passing = known[anchor]
+    at, anchor = at[passing], anchor[passing]
     begins = _begins(anchor)
     heads = words.digests(anchor[begins], anchor[begins] + min(ANCHOR_WORDS, window), 0) ^ KIND_KEYS[WINDOW]
     return np.append(begins, len(at)), heads, at, words.digests(at, at + window, 1)
@@ -336,28 +391,28 @@ def _counted(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
         words = Words()
 
         def flush(found: list) -> pa.RecordBatch:
-            # In order of rank, so that the first place of a hash has its least rank.
-            found.sort(key=lambda x: x[0])
-            ranks = np.repeat(np.array([x[0] for x in found], dtype=np.int64), [len(x[1]) for x in found])
-            hashes = np.concatenate([np.zeros(0, dtype=np.int64), *[x[1] for x in found]])
-            h, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            whole = np.array([x[2] for x in found if len(x[1])], dtype=np.int64)
-            np.add.at(n, np.searchsorted(h, whole), DOCUMENT)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(ranks[at])], names=["h", "n", "rank"])
+            hashes, counts, ranks = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*found, strict=True))
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            begins = _begins(hashes)
+            columns = hashes[begins], np.add.reduceat(counts[order], begins), np.minimum.reduceat(ranks[order], begins)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "n", "rank"])
 
         for batch in batches:
             found, size = [], 0
-            for rank, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, hashes = _all_units(words, value or "", window)
+            rank = batch.column(0).to_numpy()
+            for begin, stop, joined, stops in _groups(batch.column(1).to_pylist()):
+                rows, hashes = _all_units(words, joined, window, stops)
                 if not len(rows):
                     continue
-                document = np.flatnonzero((rows[:, 0] == WHOLE) & (rows[:, 1] == 0))[0]
-                found.append((rank, hashes, hashes[document]))
+                document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
+                found.append((hashes, np.where(document, DOCUMENT + 1, 1), rank[begin:stop][rows[:, 6]]))
                 size += len(hashes)
                 if size > 200_000:
                     yield flush(found)
                     found, size = [], 0
-            yield flush(found)
+            if found:
+                yield flush(found)
 
     found = docs.select(_rank(doc_id), F.col(f"`{text}`")).mapInArrow(run, "h bigint, n bigint, rank bigint")
     return found.groupBy("h").agg(F.sum("n").alias("n"), F.min("rank").alias("rank")).filter(f"n % {DOCUMENT} > 1 OR n >= {DOCUMENT}")
@@ -399,30 +454,40 @@ def _passing_units(
             arrays.append(lists([v[i] for v in values], sizes, kind))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def units(words: Words, value: str, rank: int, part: int) -> tuple[list, list, list]:
-        rows, heads = _all_units(words, value, window)
+    def units(words: Words, joined: str, stops: np.ndarray, ranks: np.ndarray, parts: np.ndarray) -> tuple[list, list, list]:
+        rows, heads = _all_units(words, joined, window, stops)
         if not len(rows):
             return [], [], []
         document = (rows[:, 0] == WHOLE) & (rows[:, 1] == 0)
+        own = rows[document, 6]
         # All first documents are in their filter, so one that is not there is a copy.
-        copy = not _passes(documents, _owner_keys(heads[document], np.array([rank])))[0]
-        known = document.copy() if copy else _passes(repeated, heads)
+        copies = np.zeros(len(stops), dtype=bool)
+        copies[own] = ~_passes(documents, _owner_keys(heads[document], ranks[own]))
+        known = np.where(copies[rows[:, 6]], document, _passes(repeated, heads))
         rows, heads = rows[known], heads[known]
         plain = rows[:, 0] != ANCHOR
-        anchors, rows, heads = rows[~plain, 1], rows[plain], heads[plain]
-        again = np.ones(len(rows), dtype=np.int64)
-        again[np.unique(heads, return_index=True)[1]] = 0
+        anchors = rows[~plain, 1] + words.firsts[rows[~plain, 6]]
+        rows, heads = rows[plain], heads[plain]
+        own = rows[:, 6]
+        # Units of one kind are in order of their texts, and so are equal ones after a stable sort.
+        order = np.argsort(heads, kind="stable")
+        before, after = order[:-1], order[1:]
+        again = np.zeros(len(rows), dtype=np.int64)
+        again[after] = (heads[after] == heads[before]) & (own[after] == own[before])
         out = np.empty((len(rows), 11), dtype=np.int64)
-        out[:, 0], out[:, 1], out[:, 2], out[:, 3:5] = rows[:, 0], rank, part, rows[:, 1:3]
-        out[:, 5], out[:, 6:8], out[:, 8], out[:, 9:11] = rows[:, 5], rows[:, 3:5], again, np.column_stack([heads, _second_halves(words, value, rows)])
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3:5] = rows[:, 0], ranks[own], parts[own], rows[:, 1:3]
+        out[:, 5], out[:, 6:8], out[:, 8], out[:, 9], out[:, 10] = rows[:, 5], rows[:, 3:5], again, heads, _second_halves(words, joined, rows)
         columns, sizes, values = [out], [np.zeros(len(out), dtype=np.int64)], []
         if len(anchors):
             bounds, heads, at, hashes = _windows(words, anchors, window)
             if len(heads):
-                starts, ends = words.starts[at], words.ends[at + window - 1]
+                offsets = words.offsets[words.text[at]]
+                starts, ends = words.starts[at] - offsets, words.ends[at + window - 1] - offsets
                 first, last = bounds[:-1], bounds[1:] - 1
+                own = words.text[at[first]]
                 packs = np.empty((len(heads), 11), dtype=np.int64)
-                packs[:, 0], packs[:, 1], packs[:, 2], packs[:, 3], packs[:, 4] = WINDOW, rank, part, at[first], at[first]
+                packs[:, 0], packs[:, 1], packs[:, 2] = WINDOW, ranks[own], parts[own]
+                packs[:, 3] = packs[:, 4] = at[first] - words.firsts[own]
                 packs[:, 5], packs[:, 6], packs[:, 7], packs[:, 8], packs[:, 9] = window, starts[first], ends[last], 0, heads
                 # The digest of a pack's list: a sum of its hashes, each mixed with its place.
                 place = (np.arange(len(at)) - np.repeat(first, np.diff(bounds)) + 1).astype(np.uint64)
@@ -437,11 +502,14 @@ def _passing_units(
         words = Words()
         for batch in batches:
             found, size = ([], [], []), 0
-            tied = _passes(shared, batch.column(0).to_numpy()).tolist()
-            for rank, value, several in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tied, strict=True):
-                if not value:
-                    continue
-                new = units(words, value, rank, (_part(value) or 1) if several else 0)
+            ranks = batch.column(0).to_numpy()
+            tied = _passes(shared, ranks)
+            texts = batch.column(1).to_pylist()
+            parts = np.zeros(len(ranks), dtype=np.int64)
+            for i in tied.nonzero()[0].tolist():
+                parts[i] = _part(texts[i] or "") or 1
+            for begin, stop, joined, stops in _groups(texts):
+                new = units(words, joined, stops, ranks[begin:stop], parts[begin:stop])
                 for kept, more in zip(found, new, strict=True):
                     kept.extend(more)
                 size += sum(map(len, new[0])) + sum(len(v[0]) for v in new[2])
