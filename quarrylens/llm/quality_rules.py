@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Mapping
@@ -25,6 +26,10 @@ from quarrylens.llm.common import TOKENIZERS, append_columns, read_bytes
 # The published pre-tokenisation pattern of byte-level BPE vocabularies.
 BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# White space as that pattern has it.  Its matcher keeps a state for each character of a run and has room for a million.
+WHITE_RUN = 1 << 16
+_WHITE_RUNS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % WHITE_RUN)
+
 SYMBOLS = b"#*$%&|<>"
 # A short text may owe this many tokens to one foreign run, such as a number or a key, of one code point a token;
 # its part of a text of FULL_TOKENS is inside the bands.
@@ -119,7 +124,7 @@ def base_counts(text: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int
     """The words of a UTF-8 text and its five base counts."""
     words = text.split()
     white = sum(map(text.count, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
-    points = len(text) - white if text.isascii() else len(text.decode()) - white
+    points = len(text) - white if text.isascii() else len(text.decode(errors="replace")) - white
     lines = [x for x in text.split(b"\n") if x.strip()]
     symbols = sum(text.count(c) for c in SYMBOLS)
     return words, (len(words), points, symbols, len(lines) - len(set(lines)), repeat_words(words))
@@ -145,9 +150,20 @@ class ByteVocabulary:
         self.is_byte = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.is_byte[[i for x, i in ranks.items() if len(x) == 1 and x[0] >= 0x80]] = True
 
-    def encode(self, text: str) -> np.ndarray:
+    def _encode(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=())
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text; a long run of white space is one pre-token, found without the matcher."""
+        at, parts = 0, []
+        for run in _WHITE_RUNS.finditer(text) if len(text) >= WHITE_RUN else ():
+            # The last character of a run belongs to what follows it.
+            stop = run.end() - (run.end() < len(text))
+            parts += [self._encode(text[at : run.start()]), self.encoding._encode_single_piece(text[run.start() : stop])]
+            at = stop
+        rest = self._encode(text[at:])
+        return np.concatenate([*parts, rest]).astype(rest.dtype) if parts else rest
+
 
 class PieceVocabulary:
     """A SentencePiece model with byte fallback."""
@@ -212,7 +228,7 @@ def quality_rules(
             failed = n_words < 10 or 100 * repeated > 20 * n_words
             if not words:
                 return (*base, [], failed, False)
-            joined, measures, kept = b" ".join(words).decode(), [], not failed
+            joined, measures, kept = b" ".join(words).decode(errors="replace"), [], not failed
             for name, vocabulary in vocabularies.items():
                 ids = vocabulary.encode(joined)
                 known = bands[name]

@@ -9,7 +9,9 @@ import helpers
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import TOKENIZERS, read_bytes
+from quarrylens.llm import quality_rules as rules
 from quarrylens.llm.quality_rules import BANDS, accepts, base_counts, entropy, foreign_share, load_vocabulary, main_script, quality_rules
+from quarrylens.llm.queries import QUERIES
 
 ODD = ["", " \n\t ", "one", "a\xa0b \x1c c", "x\n\nx\n x\nx", "a b c d e a b c d e", "a b c d e f a b c d e", "aaaa " * 30, "#1 *2 $% & | < >", "日本語 " * 5]
 
@@ -113,3 +115,29 @@ def test_measures():
     pieces = load_vocabulary("piece_bpe_32k.model", read_bytes(f"{TOKENIZERS}/piece_bpe_32k.model"))
     assert pieces.is_byte[pieces.encode("ခ")].sum() == 3
     assert main_script("Привет мир") == "CYRILLIC" and main_script("12 !") == "other"
+
+
+def test_query_over_documents_without_words(spark, tmp_path):
+    texts = ["one two three " * 9, "", " \n\t ", None, "a" + "\u3000" * 1_100_000 + "b"]
+    helpers.docs(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op7_tokeniser_fertility"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0]["n_tokens"] > 0 and got[4]["n_tokens"] > 0
+    for i in (1, 2, 3):
+        assert got[i]["n_words"] == 0 and got[i]["base_failed"] and not got[i]["kept"]
+        assert all(got[i][x] is None for x in ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "band"))
+
+
+def test_text_that_is_not_unicode():
+    words, counts = base_counts(b"ab \xff\xc3 c\xc3\xa9")
+    assert words == [b"ab", b"\xff\xc3", b"c\xc3\xa9"] and counts[:2] == (3, 6)
+
+
+def test_long_runs_of_white_space(monkeypatch):
+    """The ids are those of the whole text, wherever runs are cut out of it."""
+    rng = random.Random(8)
+    model = load_vocabulary(next(iter(BANDS)), read_bytes(f"{TOKENIZERS}/{next(iter(BANDS))}"))
+    monkeypatch.setattr(rules, "WHITE_RUN", 3)
+    monkeypatch.setattr(rules, "_WHITE_RUNS", re.compile(rules._WHITE_RUNS.pattern.replace(str(1 << 16), "3")))
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "word", "7", "#", "\x1c", "é", " ", " ", "\u3000\u3000", "\xa0", "\u2003", "\u200b"]) for _ in range(rng.randint(0, 25)))
+        assert model.encode(text).tolist() == model.encoding.encode_ordinary(text)
