@@ -130,10 +130,10 @@ def graph_files(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/sources-{uuid.uuid4().hex}"
     files = graph_contents(spark, sf_dir)
-    # A folder with an entry for each part would be listed by one task.
+    # A folder with an entry for each part would be listed by one task; one for each part would be a block of disk more.
     part = F.substr("path", F.lit(2))
     folder = F.floor(part.cast("bigint") / PER_FILE).cast("string")
-    path = F.concat(folder, F.lit("/doc-"), part, F.lit("/modules.data"))
+    path = F.concat(folder, F.lit("/doc-"), part, F.lit(".data"))
     write_files(files.select(path.alias("relativePath"), F.lit("binary").alias("kind"), F.col("content").alias("body")), out)
     found = edges(decode_graph_files(spark, out, range_nodes=2))
     return found.select(_doc_of("path").alias("doc"), "section", "node", "pos", "target")

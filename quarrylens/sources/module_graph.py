@@ -23,6 +23,7 @@ from quarrylens.functions import payload as p
 from quarrylens.operators.lineage import cut
 from quarrylens.sources.documents import clean_path
 from quarrylens.sources.json_ranges import Bytes, open_bytes
+from quarrylens.sources.listing import list_tree
 
 ANALYZE_SECTIONS = ("output_file_chunk_parts", "source_chunk_parts", "source_children")
 MODULE_SECTIONS = (
@@ -203,13 +204,8 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode_graph_files(spark: SparkSession, roots: str | Sequence[str], range_nodes: int = RANGE_NODES) -> DataFrame:
     """Header and edge rows of every ``*.data`` file under ``roots``, a task per range of nodes."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.data")
-        .option("recursiveFileLookup", "true")
-        .load([roots] if isinstance(roots, str) else list(roots))
-        .select(clean_path(F.col("path")).alias("path"), F.col("path").alias("uri"))
-    )
+    listed = list_tree(spark, [roots] if isinstance(roots, str) else list(roots), ".data")
+    files = listed.select(clean_path(F.col("uri")).alias("path"), "uri")
     cores = spark.sparkContext.defaultParallelism
     found = cut(
         files.repartition(4 * cores, "uri").mapInPandas(
