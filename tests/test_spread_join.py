@@ -68,3 +68,52 @@ def test_window_hotspots_hold_few_pairs(spark, monkeypatch):
         assert got[key]["taskCpuHotspotId"] == f"task-cpu:{key[0]}:{key[1]}"
     # One trace in one cell still makes as many tasks as its pairs ask for.
     assert out.rdd.getNumPartitions() >= sum(map(len, expected.values())) / 200 / 2
+
+
+def joined(spark, points, windows, groups=(), task_pairs=500):
+    """The pairs, checked against a plain loop; points (k, pid, ts, node), windows (k, wid, s, e)."""
+    p = spark.createDataFrame(points, "k string, pid int, ts long, node int")
+    w = spark.createDataFrame(windows, "k string, wid int, s long, e long")
+    known = range_join.point_stats(p, ["k"], "ts", groups)
+    pairs, _ = range_join.spread_range_join(p, w, ["k"], "ts", "s", "e", task_pairs=task_pairs, known_points=known)
+    held = pairs.select("pid", "wid", "node", *range_join.CELL).collect()
+    expected = sorted((i, j) for k, i, ts, _ in points for m, j, s, e in windows if k == m and s <= ts <= e)
+    assert sorted((r["pid"], r["wid"]) for r in held) == expected and expected
+    return held
+
+
+def levels(held):
+    return {r["_cell"] % (range_join.MAX_LEVEL + 1) for r in held}
+
+
+def test_points_are_put_on_few_levels(spark):
+    """Intervals of six levels, most of them of one: a point has one row, not one for each level."""
+    rng = random.Random(11)
+    lengths = [0, 20_000, 10**6, 10**7] + [5 * 10**8] * 56 + [3 * 10**9]
+    points = [("ab"[i % 2], i, rng.randrange(10**11), 0) for i in range(700)]
+    starts = [ts for _, _, ts, _ in points]
+    windows = [("ab"[j % 2], j, s := starts[j % 2 :: 2][j], s + n) for j, n in enumerate(lengths)]
+    assert len(levels(joined(spark, points, windows))) == 1
+
+
+def test_bursts_of_points_keep_their_levels(spark):
+    """Evenly spread, the points would be so far apart that short intervals could stand on wide cells."""
+    rng = random.Random(12)
+    points = [("a", i, 10**9 + rng.randrange(10**6), 0) for i in range(600)] + [("a", -1, 10**13, 0)]
+    windows = [("a", j, s := 10**9 + rng.randrange(10**6), s + 400) for j in range(300)] + [("a", 900, 0, 2 * 10**9)]
+    assert 0 in levels(joined(spark, points, windows))
+
+
+def test_pieces_repeat_few_sums(spark):
+    """A cell with far too many pairs is cut so that sums of an interval and a node stay together."""
+    rng = random.Random(13)
+    points = [("a", i, rng.randrange(1000), i % 4) for i in range(1500)]
+    windows = [("a", j, s := rng.randrange(300), s + 600) for j in range(200)]
+    held = joined(spark, points, windows, ["node"], task_pairs=1000)
+    pieces = {r["_piece"] for r in held}
+    sums = {(r["wid"], r["node"], r["_cell"], r["_piece"]) for r in held}
+    assert len(pieces) > 100 and len(sums) < 40 * 200 * 4
+    per_piece = defaultdict(int)
+    for r in held:
+        per_piece[r["_piece"]] += 1
+    assert max(per_piece.values()) < 10_000
